@@ -55,9 +55,10 @@ def label_sets(label_ref: DataFrame) -> DataFrame:
 def mapping_for(mapping: DataFrame, dataset: str, order: str | None = None) -> DataFrame:
     """Entries of one dataset keyed by normalised label; the last entry of a repeated label wins."""
     m = mapping.where(F.col("dataset_name") == dataset).withColumn("norm", normalise_label("original_label"))
+    m = m.withColumn("_row", F.col(order) if order else F.monotonically_increasing_id())
     row = F.struct("binary_label", blank_to_null("coarse_family").alias("coarse_family"),
                    F.coalesce("keep_or_exclude", F.lit("keep")).alias("keep_or_exclude"))
-    last = F.max_by(row, F.col(order) if order else F.monotonically_increasing_id())
+    last = F.max_by(row, "_row")
     return (m.groupBy("norm").agg(last.alias("_m"))
             .select("norm", F.col("_m.binary_label").alias("binary_label"),
                     F.col("_m.coarse_family").alias("coarse_family"),
