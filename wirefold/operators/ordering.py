@@ -37,35 +37,35 @@ def with_bucket(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
     return out.withColumn(BUCKET, F.col("_bf").cast("int")).drop("_bv", "_bf")
 
 
-def _offsets(df: DataFrame, groups: list[str], sums: list[str], descending: bool) -> DataFrame:
+def _offsets(df: DataFrame, groups: list[str], sums: list[str], descending: bool,
+             value: str | None = None) -> DataFrame:
+    """Per (groups, bucket): sums over the buckets before it and, for `value`, the next non-empty bucket's first."""
     order = F.desc(BUCKET) if descending else F.asc(BUCKET)
-    totals = df.groupBy(*groups, BUCKET).agg(*[F.sum(s).alias(s) for s in sums])
-    w = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*groups, BUCKET, *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_off_{s}") for s in sums])
+    firsts = [F.min(value).alias("_first")] if value else []
+    totals = df.groupBy(*groups, BUCKET).agg(*[F.sum(s).alias(s) for s in sums], *firsts)
+    w = Window.partitionBy(*groups).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*groups, BUCKET, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
+                         *([F.lead("_first").over(w).alias("_after")] if value else []))
 
 
 def running_totals(cells: DataFrame, groups: list[str], value: str, sums: list[str], *,
-                   cuts: list[float] | None = None, descending: bool = False) -> DataFrame:
-    """Inclusive running sums `cum_<s>` over `value` within `groups`; `cells` has one row per (groups, value)."""
-    cuts = depth_cuts(cells, value) if cuts is None else cuts
-    b = with_bucket(cells, value, cuts)
-    order = F.desc(value) if descending else F.asc(value)
-    w = Window.partitionBy(*groups, BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.select("*", *[F.sum(s).over(w).alias(f"_loc_{s}") for s in sums])
-    out = local.join(_offsets(b, groups, sums, descending), [*groups, BUCKET])
-    keep = [c for c in cells.columns]
-    return out.select(*keep, *[(F.col(f"_loc_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums])
-
+                   cuts: list[float] | None = None, descending: bool = False,
+                   next_out: str | None = None) -> DataFrame:
+    """Inclusive running sums `cum_<s>` over `value` within `groups`; `cells` has one row per (groups, value).
 
-def next_value(cells: DataFrame, groups: list[str], value: str, cuts: list[float], out: str) -> DataFrame:
-    """Next larger value within `groups` (NULL for the largest)."""
+    `next_out` adds the next larger value (ascending order only; NULL for the largest).
+    """
+    cuts = depth_cuts(cells, value) if cuts is None else cuts
     b = with_bucket(cells, value, cuts)
-    w = Window.partitionBy(*groups, BUCKET).orderBy(value)
-    firsts = b.groupBy(*groups, BUCKET).agg(F.min(value).alias("_first"))
-    g = Window.partitionBy(*groups).orderBy(BUCKET)
-    after = firsts.select(*groups, BUCKET, F.lead("_first").over(g).alias("_after"))
-    return (b.withColumn(out, F.lead(value).over(w)).join(after, [*groups, BUCKET])
-            .withColumn(out, F.coalesce(out, "_after")).drop("_after", BUCKET))
+    w = Window.partitionBy(*groups, BUCKET).orderBy(F.desc(value) if descending else F.asc(value))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    lead = [F.lead(value).over(w).alias("_next")] if next_out else []
+    local = b.select("*", *[F.sum(s).over(upto).alias(f"_loc_{s}") for s in sums], *lead)
+    out = local.join(_offsets(b, groups, sums, descending, value if next_out else None), [*groups, BUCKET])
+    nxt = [F.coalesce("_next", "_after").alias(next_out)] if next_out else []
+    return out.select(*cells.columns, *[(F.col(f"_loc_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
+                      *nxt)
 
 
 def numbered(df: DataFrame, groups: list[str], first: str, ties: list, out: str,

@@ -107,8 +107,12 @@ def slice_features(seqs: DataFrame, feature_set: str = "A", k: int | None = None
 def channel_means(seqs: DataFrame, flow: list[str], n_channels: int = 4) -> DataFrame:
     """Per flow and channel the mean over real steps, one row per (flow, channel)."""
     real = F.slice("sequence", 1, F.greatest("n_packets", F.lit(1)))
-    means = [F.aggregate(F.transform(real, lambda v, i=i: F.element_at(v, i + 1).cast("double")), F.lit(0.0),
-                         lambda a, x: a + x) / F.greatest("n_packets", F.lit(1)) for i in range(n_channels)]
+
+    def total(i: int):
+        return F.aggregate(F.transform(real, lambda v: F.element_at(v, i + 1).cast("double")), F.lit(0.0),
+                           lambda a, x: a + x)
+
+    means = [total(i) / F.greatest("n_packets", F.lit(1)) for i in range(n_channels)]
     e = F.explode(F.array(*[F.struct(F.lit(i).alias("channel"), m.alias("value")) for i, m in enumerate(means)]))
     keep = [c for c in seqs.columns if c not in ("sequence", "n_packets")]
     return seqs.select(*keep, e.alias("_e")).select(*keep, "_e.channel", "_e.value")
