@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["flow_queries", "label_queries", "feature_queries", "threshold_queries", "join_queries", "evaluation_queries", "report_queries", "model_queries", "stream_queries"]
+MODULES = ["flow_queries", "label_queries", "feature_queries", "threshold_queries", "join_queries", "evaluation_queries", "report_queries", "model_queries", "stream_queries", "source_queries"]
 
 
 def collect(attr: str) -> dict:

@@ -92,8 +92,9 @@ def _rate(width: int, slide: int) -> str:
 H = 3_600_000_000
 _COLS = "window_start_us, window_end_us, domain, n_flows, n_alerts, alarm_share"
 ORACLE = {
-    "stream_flows": o.flows(f"select {_ID}, end_us, {', '.join(TOTALS)} from flows, wm where end_us + {o.IDLE_US} < w",
-                            _WM),
+    "stream_flows": o.flows(f"""select {_ID}, end_us, {', '.join(TOTALS)} from (select *, lead(start_us) over (partition by
+        pcap_file, src_ip, src_port, dst_ip, dst_port, protocol order by start_us) as nxt from flows), wm
+        where end_us + {o.IDLE_US} < w or nxt < w""", _WM),
     "alarm_rate_hourly": o.sql(["scores", "packets"], f"select {_COLS} from rate", _rate(H, H)),
     "alarm_rate_sliding": o.sql(["scores", "packets"], f"select {_COLS} from rate", _rate(6 * H, 2 * H)),
     "stream_alarm_rate": o.sql(["scores", "packets"], f"select {_COLS} from rate, wm where window_end_us <= w",
