@@ -199,10 +199,11 @@ def _chunk_plan(pk: DataFrame, hot_rows: int, bucket_us: int) -> DataFrame | Non
     The first aggregate combines map-side, so a hot key costs one row per task. A key's rows in the second window
     are its time buckets, bounded by the capture's length.
     """
-    hot = cut_lineage(pk.groupBy(*KEY).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*KEY))
-    n_hot = hot.count()
-    if n_hot == 0:
+    hot = pk.groupBy(*KEY).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*KEY)
+    if hot.isEmpty():
         return None
+    hot = cut_lineage(hot)
+    n_hot = hot.count()
     per = (pk.join(broadcast_if_small(hot, n_hot), KEY, "left_semi")
            .groupBy(*KEY, _bucket(bucket_us)).agg(F.count("*").alias("_n")))
     w = Window.partitionBy(*KEY).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
@@ -276,12 +277,14 @@ def assign_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float = A
                  tie: str = "event_id") -> DataFrame:
     """Accepted packets with key columns, `fwd`, `flow_start_us`, `delta_us` (gap inside the flow, first 0), `opens`.
 
-    `hot_rows=None` skips the look for hot keys (one column-pruned counting pass).
+    `hot_rows=None` skips the look for hot keys (a row count, then one column-pruned counting pass on large inputs).
     """
     idle, active = round(idle_s * US), round(active_s * US)
     pk = with_key(accept(packets))
     cols, keys = pk.columns, list(KEY)
-    plan = _chunk_plan(pk, hot_rows, round((chunk_bucket_s or idle_s) * US)) if hot_rows else None
+    # Counting rows needs no column, so a small input is settled from file footers alone.
+    look = hot_rows is not None and packets.count() > hot_rows
+    plan = _chunk_plan(pk, hot_rows, round((chunk_bucket_s or idle_s) * US)) if look else None
     if plan is not None:
         bucket_us = round((chunk_bucket_s or idle_s) * US)
         n = plan.count()
@@ -338,15 +341,19 @@ def build_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float = AC
                 stats: bool = False, flags: bool = False, hot_rows: int | None = HOT_ROWS,
                 number: bool = False) -> DataFrame:
     """Packets to flows: key, start and end, packet and byte totals by direction, optional statistics."""
-    flows = flow_totals(assign_flows(packets, idle_s, active_s, hot_rows), stats, flags)
-    flows = flows.withColumnsRenamed({"lo_ip": "src_ip", "lo_port": "src_port",
-                                      "hi_ip": "dst_ip", "hi_port": "dst_port"})
-    flows = flows.withColumn("duration_us", F.col("end_us") - F.col("start_us"))
-    flows = flows.withColumns({"start_time": micros_to_seconds("start_us"), "end_time": micros_to_seconds("end_us"),
-                               "duration_s": micros_to_seconds("duration_us")})
+    flows = finish(flow_totals(assign_flows(packets, idle_s, active_s, hot_rows), stats, flags))
     return number_flows(flows) if number else flows
 
 
+def finish(totals: DataFrame) -> DataFrame:
+    """Flow totals with endpoint names and times in seconds."""
+    flows = totals.withColumnsRenamed({"lo_ip": "src_ip", "lo_port": "src_port", "hi_ip": "dst_ip",
+                                       "hi_port": "dst_port"})
+    flows = flows.withColumn("duration_us", F.col("end_us") - F.col("start_us"))
+    return flows.withColumns({"start_time": micros_to_seconds("start_us"), "end_time": micros_to_seconds("end_us"),
+                              "duration_s": micros_to_seconds("duration_us")})
+
+
 FLOW_ORDER = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"]
 
 
@@ -361,12 +368,13 @@ def stable_flow_key(flows: DataFrame) -> DataFrame:
     return flows.withColumn("flow_key", F.sha2(F.concat_ws("|", "pcap_file", *FLOW_ORDER, "start_us"), 256))
 
 
-def idle_sessions(packets: DataFrame, idle_s: float = IDLE_S, chunk_s: float = 86_400.0) -> DataFrame:
+def idle_sessions(packets: DataFrame, idle_s: float = IDLE_S, chunk_s: float | None = None) -> DataFrame:
     """Sessions split on idle gaps only, in SQL: pieces inside (key, time chunk), then pieces linked over chunks.
 
-    The window over packets is bounded by the chunk; the window over pieces by the capture's length.
+    The window over packets is bounded by the chunk (ten idle timeouts by default); the window over pieces by the
+    capture's length, since a key has at most one piece per idle timeout and one more per chunk.
     """
-    idle = round(idle_s * US)
+    idle, chunk_s = round(idle_s * US), chunk_s or 10 * idle_s
     pk = with_key(accept(packets)).withColumn(CHUNK, F.floor(F.col("ts_us") / round(chunk_s * US)).cast("bigint"))
     w = Window.partitionBy(*KEY, CHUNK).orderBy("ts_us")
     opened = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) > idle, F.lit(True))

@@ -90,7 +90,7 @@ def percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, f
     cells = src.groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     cuts = depth_cuts(src.select(F.col(value).cast("double").alias("_v")), "_v")
     ranked = running_totals(cells, groups, "_v", ["_n"], cuts=cuts)
-    sizes = src.groupBy(*groups).agg(F.count("*").alias("_size"))
+    sizes = cells.groupBy(*groups).agg(F.sum("_n").alias("_size"))
     r = ranked.join(sizes, groups)
     aggs, cols = [], []
     for name, p in probs.items():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wirefold.functions.columns import is_forward_ip_only, proto_id
 from wirefold.operators.flows import KEY, US
-from wirefold.operators.intervals import points_in_intervals
+from wirefold.operators.intervals import best_interval
 from wirefold.operators.packets import accept, with_key
 
 EPSILON_S = 1.0
@@ -26,14 +26,11 @@ def packets_to_flows(packets: DataFrame, flows: DataFrame, epsilon_s: float = EP
     eps = round(epsilon_s * US)
     pk = with_key(accept(packets))
     f = flows.select("pcap_file", F.col("src_ip").alias("lo_ip"), F.col("src_port").alias("lo_port"),
-                     F.col("dst_ip").alias("hi_ip"), F.col("dst_port").alias("hi_port"), "protocol", "start_us",
-                     "end_us", (F.col("start_us") - eps).alias("_lo"), (F.col("end_us") + eps).alias("_hi"))
-    c = points_in_intervals(pk.select(*KEY, packet_id, "ts_us"), f, KEY, "ts_us", "_lo", "_hi",
-                            round(active_s * US) + 2 * eps)
-    gap = F.greatest(F.col("start_us") - F.col("ts_us"), F.col("ts_us") - F.col("end_us"), F.lit(0))
-    best = c.groupBy(packet_id).agg(F.min_by("start_us", F.struct(gap.alias("g"), (-F.col("start_us")).alias("s")))
-                                    .alias("flow_start_us"))
-    return pk.join(best, packet_id, "left")
+                     F.col("dst_ip").alias("hi_ip"), F.col("dst_port").alias("hi_port"), "protocol",
+                     F.col("start_us").alias("_start"), F.col("end_us").alias("_end"), (F.col("start_us") - eps).alias("_lo"), (F.col("end_us") + eps).alias("_hi"))
+    gap = F.greatest(F.col("_start") - F.col("ts_us"), F.col("ts_us") - F.col("_end"), F.lit(0)).alias("g")
+    return best_interval(pk, f, KEY, packet_id, "ts_us", "_lo", "_hi", round(active_s * US) + 2 * eps,
+                         [gap, (-F.col("_start")).alias("s")], "_start", "flow_start_us")
 
 
 def packets_without_flow(assigned: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wirefold.functions import rules
 from wirefold.operators.ordering import percentiles
 from wirefold.operators.thresholds import metrics_at, ranking_metrics
+from wirefold.session import cut_lineage
 
 
 def with_subsets(df: DataFrame, by: list[str], volume: str = "bytes_total", rate: str | None = None,
@@ -18,7 +19,8 @@ def with_subsets(df: DataFrame, by: list[str], volume: str = "bytes_total", rate
     q = percentiles(attacks, by, volume, {"q_volume": 0.75})
     if rate:
         q = q.join(percentiles(attacks, by, rate, {"q_rate": 0.75}), by)
-    j = df.join(q, by, "left")
+    # One row per group, used by every later branch: stored once, and broadcast by size at run time.
+    j = df.join(cut_lineage(q), by, "left")
     benign = F.col(y) == 0
     tags = [F.lit("full_test"), F.when(F.col("protocol") == 6, "tcp_only"), F.when(F.col("protocol") == 17, "udp_only"),
             F.when(benign | (F.col(volume) >= F.col("q_volume")), "high_vol_atk_q75")]

@@ -37,7 +37,7 @@ def skip_cap_packets(spark, sf):
 
 
 def flows_idle(spark, sf):
-    s = fl.idle_sessions(table(spark, sf, "packets"), IDLE_S, chunk_s=259_200.0)
+    s = fl.idle_sessions(table(spark, sf, "packets"), IDLE_S)
     return s.withColumnsRenamed({"lo_ip": "src_ip", "lo_port": "src_port", "hi_ip": "dst_ip", "hi_port": "dst_port"})
 
 

@@ -14,7 +14,9 @@ from wirefold.operators.packets import accept, with_key
 
 
 def session_flows(packets: DataFrame, idle_s: float = 60.0, time_col: str = "ts", delay: str | None = None) -> DataFrame:
-    """Idle-only flows by session windows; sessions merge map-side before the shuffle."""
+    """Idle-only flows by session windows. Sessions merge inside every map task before the shuffle, so a hot key
+    sends its sessions and not its packets."""
+    packets.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     pk = with_key(accept(packets))
     if delay:
         pk = pk.withWatermark(time_col, delay)
