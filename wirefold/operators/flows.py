@@ -284,9 +284,10 @@ def assign_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float = A
     cols, keys = pk.columns, list(KEY)
     # Counting rows needs no column, so a small input is settled from file footers alone.
     look = hot_rows is not None and packets.count() > hot_rows
-    plan = _chunk_plan(pk, hot_rows, round((chunk_bucket_s or idle_s) * US)) if look else None
+    # Chunks are whole buckets of a tenth of the idle timeout, so one overshoots `hot_rows` by a bucket at most.
+    bucket_us = round((chunk_bucket_s or idle_s / 10) * US)
+    plan = _chunk_plan(pk, hot_rows, bucket_us) if look else None
     if plan is not None:
-        bucket_us = round((chunk_bucket_s or idle_s) * US)
         n = plan.count()
         tagged = (pk.withColumn("_tb", _bucket(bucket_us))
                   .join(broadcast_if_small(plan, n), [*KEY, "_tb"], "left").drop("_tb"))
@@ -342,7 +343,8 @@ def build_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float = AC
                 number: bool = False) -> DataFrame:
     """Packets to flows: key, start and end, packet and byte totals by direction, optional statistics."""
     flows = finish(flow_totals(assign_flows(packets, idle_s, active_s, hot_rows), stats, flags))
-    return number_flows(flows) if number else flows
+    # Numbering reads its input several times (cuts, totals, rows), so the flows are stored first.
+    return number_flows(cut_lineage(flows)) if number else flows
 
 
 def finish(totals: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from wirefold.registry import oracle as o
 from wirefold.registry.flow_queries import flows_of
 from wirefold.registry.label_queries import labelled, with_labels
 from wirefold.schemas import FEATURES, META_COLS
+from wirefold.session import cut_lineage
 
 REAL = [c for c in FEATURES if c not in ("packet_count_total", "bytes_total", "packet_count_fwd", "packet_count_bwd",
                                          "bytes_fwd", "bytes_bwd", "protocol", "is_tcp", "is_udp")]
@@ -152,14 +153,19 @@ def split_sidecar(spark, sf):
     return sp.sidecar(f)
 
 
+def _master(spark, sf):
+    """The numbered flow table, stored once as the read-only master that side tables refer to."""
+    return cut_lineage(sp.with_day_split(flows_of(spark, sf, number=True)))
+
+
 def sidecar_join(spark, sf):
-    f = sp.with_day_split(flows_of(spark, sf, number=True))
+    f = _master(spark, sf)
     return (sp.join_sidecar(f.drop("day", "split"), sp.sidecar(f), check=False)
             .groupBy("day", "split").agg(F.count("*").alias("n"), F.sum("bytes_total").alias("bytes")))
 
 
 def sidecar_mismatch(spark, sf):
-    f = sp.with_day_split(flows_of(spark, sf, number=True))
+    f = _master(spark, sf)
     side = sp.sidecar(f)
     damaged = (side.where("global_flow_id % 10 <> 0")
                .unionByName(side.where("global_flow_id % 25 = 1"))
@@ -168,7 +174,7 @@ def sidecar_mismatch(spark, sf):
 
 
 def endpoint_recovery(spark, sf):
-    f = flows_of(spark, sf, number=True)
+    f = _master(spark, sf)
     feats = ft.extract_features(f)
     return (sp.recover_endpoints(feats, f).groupBy("pcap_file", "src_ip", "dst_port")
             .agg(F.count("*").alias("n"), F.sum("bytes_total").alias("bytes")))

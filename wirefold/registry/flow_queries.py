@@ -58,8 +58,9 @@ def flow_numbering(spark, sf):
 
 def flow_statistics(spark, sf):
     f = flows_of(spark, sf, stats=True)
-    r = [F.round(c, 4).alias(c) for c in ("size_mean", "size_std", "iat_mean_us", "iat_std_us")]
-    return f.select(*IDENT, "size_min", "size_max", "iat_min_us", "iat_max_us", *r)
+    size = [F.round(c, 4).alias(c) for c in ("size_mean", "size_std")]
+    gaps = [F.round(F.col(f"{c}_us") / 1e6, 4).alias(f"{c}_s") for c in ("iat_mean", "iat_std")]
+    return f.select(*IDENT, "size_min", "size_max", "iat_min_us", "iat_max_us", *size, *gaps)
 
 
 def tcp_flag_counts(spark, sf):
@@ -106,8 +107,8 @@ ORACLE = {
         hi_port as dst_port, protocol, flow_start_us as start_us, min(ip_len) as size_min, max(ip_len) as size_max,
         min(delta_us) filter (not opens) as iat_min_us, max(delta_us) filter (not opens) as iat_max_us,
         round(avg(ip_len), 4) as size_mean, round(stddev_samp(ip_len), 4) as size_std,
-        round(avg(delta_us) filter (not opens), 4) as iat_mean_us,
-        round(stddev_samp(delta_us) filter (not opens), 4) as iat_std_us from walk
+        round(avg(delta_us) filter (not opens) / 1e6, 4) as iat_mean_s,
+        round(stddev_samp(delta_us) filter (not opens) / 1e6, 4) as iat_std_s from walk
         group by pcap_file, lo_ip, lo_port, hi_ip, hi_port, protocol, flow_start_us"""),
     "tcp_flag_counts": o.assigned("""select pcap_file, lo_ip as src_ip, lo_port as src_port, hi_ip as dst_ip,
         hi_port as dst_port, protocol, flow_start_us as start_us, """ + ", ".join(

@@ -86,11 +86,11 @@ def read_label_csv(spark: SparkSession, paths: str | list[str], nrows: int | Non
     out = None
     for enc in sorted(by_enc):
         for group in _same_header(spark, by_enc[enc], enc):
-            # All columns are named by the header and read as text, so column pruning cannot hide a bad line.
+            # Whole lines are parsed whatever the query needs, so that a bad line is dropped from every result.
             head = spark.read.option("header", "true").option("encoding", enc).csv(group).columns
             schema = T.StructType([T.StructField(c, T.StringType()) for c in head])
             df = (spark.read.schema(schema).option("header", "true").option("mode", "DROPMALFORMED")
-                  .option("encoding", enc).option("enforceSchema", "true").csv(group))
+                  .option("encoding", enc).option("columnPruning", "false").csv(group))
             df = df.withColumn("pcap_file", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1))
             df = df.toDF(*[c.strip() for c in df.columns])
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
