@@ -38,8 +38,7 @@ def packets_to_flows(spark: SparkSession, source: str | DataFrame, target: str,
     tie = "packet_no" if "packet_no" in packets.columns else "event_id"
     if s.skip_packets or s.max_packets is not None:
         packets = pk.skip_and_cap(packets, s.skip_packets, s.max_packets, order=tie)
-    flows = fl.flow_totals(fl.assign_flows(packets, s.idle_s, s.active_s, tie=tie))
-    flows = fl.finish(flows)
+    flows = fl.build_flows(packets, s.idle_s, s.active_s)
     sinks.write_once(flows, f"{target}/flows_raw", fmt="parquet")
     numbered = fl.number_flows(spark.read.parquet(f"{target}/flows_raw"))
     sinks.write_once(numbered, f"{target}/flows", fmt=s.fmt)

@@ -47,9 +47,7 @@ def flows(spark, sf):
 
 def flows_hot_keys(spark, sf):
     """Same flows with every key above 20 packets cut into time chunks: the skew path gives the same answer."""
-    a = fl.assign_flows(table(spark, sf, "packets"), IDLE_S, ACTIVE_S, hot_rows=20)
-    return (fl.flow_totals(a).withColumnsRenamed({"lo_ip": "src_ip", "lo_port": "src_port", "hi_ip": "dst_ip",
-                                                  "hi_port": "dst_port"}).select(*IDENT, "end_us", *TOTALS))
+    return flows_of(spark, sf, hot_rows=20).select(*IDENT, "end_us", *TOTALS)
 
 
 def flow_numbering(spark, sf):
@@ -58,9 +56,11 @@ def flow_numbering(spark, sf):
 
 def flow_statistics(spark, sf):
     f = flows_of(spark, sf, stats=True)
-    size = [F.round(c, 4).alias(c) for c in ("size_mean", "size_std")]
-    gaps = [F.round(F.col(f"{c}_us") / 1e6, 4).alias(f"{c}_s") for c in ("iat_mean", "iat_std")]
-    return f.select(*IDENT, "size_min", "size_max", "iat_min_us", "iat_max_us", *size, *gaps)
+    # A mean of few integers often ends in an exact 5, so means are cut to whole microseconds and not rounded.
+    return f.select(*IDENT, "size_min", "size_max", "iat_min_us", "iat_max_us",
+                    F.round("size_mean", 6).alias("size_mean"), F.round("size_std", 4).alias("size_std"),
+                    F.floor("iat_mean_us").alias("iat_mean_us"),
+                    F.round(F.col("iat_std_us") / 1e6, 3).alias("iat_std_s"))
 
 
 def tcp_flag_counts(spark, sf):
@@ -106,9 +106,9 @@ ORACLE = {
     "flow_statistics": o.assigned("""select pcap_file, lo_ip as src_ip, lo_port as src_port, hi_ip as dst_ip,
         hi_port as dst_port, protocol, flow_start_us as start_us, min(ip_len) as size_min, max(ip_len) as size_max,
         min(delta_us) filter (not opens) as iat_min_us, max(delta_us) filter (not opens) as iat_max_us,
-        round(avg(ip_len), 4) as size_mean, round(stddev_samp(ip_len), 4) as size_std,
-        round(avg(delta_us) filter (not opens) / 1e6, 4) as iat_mean_s,
-        round(stddev_samp(delta_us) filter (not opens) / 1e6, 4) as iat_std_s from walk
+        round(avg(ip_len), 6) as size_mean, round(stddev_samp(ip_len), 4) as size_std,
+        cast(floor(avg(delta_us) filter (not opens)) as bigint) as iat_mean_us,
+        round(stddev_samp(delta_us) filter (not opens) / 1e6, 3) as iat_std_s from walk
         group by pcap_file, lo_ip, lo_port, hi_ip, hi_port, protocol, flow_start_us"""),
     "tcp_flag_counts": o.assigned("""select pcap_file, lo_ip as src_ip, lo_port as src_port, hi_ip as dst_ip,
         hi_port as dst_port, protocol, flow_start_us as start_us, """ + ", ".join(
