@@ -103,3 +103,10 @@ def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     return np.unique(grams(words, min(n, len(words))))
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions starts[i], starts[i] + 1, ... of sizes[i] members, for all i in a row."""
+    starts, sizes = starts.astype(np.int64), sizes.astype(np.int64)
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
