@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import bpe, fingerprints, shards
+from wirefold.llm import bpe, fingerprints, lengths, packing, secret_scan, shards
 from wirefold.llm.common import table
 
 
@@ -32,5 +32,25 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op5_fingerprints)}
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: counts of the base kinds, digest of the base spans, all spans."""
+    got = secret_scan.scan(table(spark, sf_dir, "documents"))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return got.select("doc_id", n("assign"), n("access"), n("hex"),
+                      F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context-limit report over all documents, one row per length that occurs."""
+    return lengths.context_report(lengths.histogram(lengths.token_lengths(table(spark, sf_dir, "documents"))))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op5_fingerprints, op6_secrets, op9_token_counts,
+                                  op10_packing)}
 ORACLE: dict[str, str] = {}
