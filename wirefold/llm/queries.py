@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import bpe, fingerprints, lengths, packing, secret_scan, shards
-from wirefold.llm.common import table
+from wirefold.llm import bpe, fingerprints, language, lengths, packing, quality, secret_scan, shards
+from wirefold.llm.common import documents, id_remainder, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learned from labels whose id has another remainder than 2."""
+    docs = documents(table(spark, sf_dir, "documents"))
+    learn = id_remainder(F.col("doc_id"), 4) != 2
+    model = quality.train(docs, table(spark, sf_dir, "labels"), learn)
+    got = quality.with_scores(docs, model)
+    return got.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                      (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and spans of every text, learned from documents whose id has another remainder than 1."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, allowed=id_remainder(F.col("doc_id"), 3) != 1)
+    got = language.with_languages(documents(docs), model)
+    return got.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred",
+                      F.col("lang_score").alias("score"), F.col("lang_spans").alias("spans"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -51,6 +70,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op5_fingerprints, op6_secrets, op9_token_counts,
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_language, op5_fingerprints, op6_secrets, op9_token_counts,
                                   op10_packing)}
 ORACLE: dict[str, str] = {}
