@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import bpe, fingerprints, language, lengths, packing, quality, secret_scan, shards
+from wirefold.llm import bpe, fingerprints, language, lengths, packing, quality, secret_scan, set_join, shards
 from wirefold.llm.common import documents, id_remainder, table
 
 
@@ -60,6 +60,33 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
 
 
+def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a similarity of 0.75 or more of their shingle sets."""
+    got = set_join.similar_components(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_shingles", "component_id")
+
+
+OP7_SQL = """
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end as s from words),
+kinds as (select min(doc_id) as rep, s, len(s) as n from (select doc_id, list_sort(s) as s from sets) group by s),
+members as (select rep, n, unnest(s) as g from kinds where n > 0),
+shared as (select a.rep as a, b.rep as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as both
+  from members a join members b on a.g = b.g and a.rep < b.rep group by a.rep, b.rep),
+links as (select a, b from shared where 100 * both >= 75 * (na + nb - both)),
+edges as (select a, b from links union select b, a from links),
+reach(node, seen) as (select rep, rep from kinds where n > 0
+  union select r.node, e.b from reach r join edges e on r.seen = e.a),
+comp as (select node, min(seen) as component from reach group by node)
+select d.doc_id, len(d.s)::bigint as n_shingles, coalesce(c.component, d.doc_id) as component_id
+from sets d left join kinds k on list_sort(d.s) = k.s and k.n > 0 left join comp c on c.node = k.rep
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context-limit report over all documents, one row per length that occurs."""
     return lengths.context_report(lengths.histogram(lengths.token_lengths(table(spark, sf_dir, "documents"))))
@@ -70,6 +97,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_language, op5_fingerprints, op6_secrets, op9_token_counts,
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_language, op5_fingerprints, op6_secrets, op7_set_join, op9_token_counts,
                                   op10_packing)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_set_join": OP7_SQL}
