@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import bpe, fingerprints, language, lengths, packing, quality, secret_scan, set_join, shards
+from wirefold.llm import bpe, fingerprints, language, lengths, packing, quality, secret_scan, set_join, shards, vector_join
 from wirefold.llm.common import documents, id_remainder, table
 
 
@@ -87,6 +87,25 @@ from sets d left join kinds k on list_sort(d.s) = k.s and k.n > 0 left join comp
 """
 
 
+def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    return vector_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+OP8_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+ok as (select vec_id, e from v where e is not null and len(list_filter(e, x -> x is null or not isfinite(x))) = 0
+  and list_dot_product(e, e) > 0),
+links as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(node, seen) as (select vec_id, vec_id from v union select r.node, l.b from reach r join links l on r.seen = l.a),
+comp as (select node, min(seen) as c from reach group by node),
+deg as (select a, count(*) as n from links group by a)
+select v.vec_id, coalesce(d.n, 0)::bigint as n_links, c.c as component_id, v.vec_id = c.c as kept
+from v join comp c on c.node = v.vec_id left join deg d on d.a = v.vec_id
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context-limit report over all documents, one row per length that occurs."""
     return lengths.context_report(lengths.histogram(lengths.token_lengths(table(spark, sf_dir, "documents"))))
@@ -97,6 +116,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_language, op5_fingerprints, op6_secrets, op7_set_join, op9_token_counts,
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_language, op5_fingerprints, op6_secrets, op7_set_join, op8_vector_join,
+                                  op9_token_counts,
                                   op10_packing)}
-ORACLE: dict[str, str] = {"op7_set_join": OP7_SQL}
+ORACLE: dict[str, str] = {"op7_set_join": OP7_SQL, "op8_vector_join": OP8_SQL}
