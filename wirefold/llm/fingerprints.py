@@ -125,10 +125,10 @@ def with_next(docs: DataFrame, carry: list[str], splits: int = SPLITS) -> DataFr
     at = F.struct(F.col("__range").alias("r"), F.lit(False).alias("ghost"))
     ghost = F.struct(over.alias("r"), F.lit(True).alias("ghost"))
     d = d.withColumn("__at", F.explode(F.when(F.col("__key") == top, F.array(at, ghost)).otherwise(F.array(at))))
-    w = Window.partitionBy("__at.r").orderBy(F.col("__at.ghost"), F.col("__key").desc(), F.col("text").desc())
-    for c in carry:
-        d = d.withColumn(f"next_{c}", F.lead(c).over(w))
-    return d.filter(~F.col("__at.ghost")).drop("__key", "__range", "__at")
+    d = d.withColumns({"__range": F.col("__at.r"), "__ghost": F.col("__at.ghost")}).drop("__at")
+    w = Window.partitionBy("__range").orderBy("__ghost", F.col("__key").desc(), F.col("text").desc())
+    d = d.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})  # one window for all
+    return d.filter(~F.col("__ghost")).drop("__key", "__range", "__ghost")
 
 
 def edited_fingerprints(docs: DataFrame, banks: int = BANKS, splits: int = SPLITS) -> DataFrame:
