@@ -87,3 +87,21 @@ def test_missing_and_empty(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tb.discover_captures(spark, str(tmp_path))
     assert tb.discover_csvs(spark, str(tmp_path)) == []
+
+
+def test_other_packet_blocks_and_late_interfaces(spark, tmp_path):
+    fs = frames(6)
+    out = ng(fs[:2])
+    out += block(3, st.pack("<I", len(fs[2][1])) + fs[2][1])
+    us, f = fs[4]
+    out += block(2, st.pack("<HHIIII", 0, 0, us >> 32, us & 0xFFFFFFFF, len(f), len(f)) + f)
+    out += block(1, st.pack("<HHI", 1, 0, 300_000))  # an interface after packets, with microseconds
+    us, f = fs[5][0], ether(ipv4(6, (10, 0, 0, 1), (10, 0, 1, 1), 5, 6, 20000))
+    f += bytes(270_000)
+    out += block(6, st.pack("<IIIII", 1, us >> 32, us & 0xFFFFFFFF, len(f), len(f)) + f)
+    (tmp_path / "a.pcapng").write_bytes(out)
+    rows = read_captures(spark, str(tmp_path), 0).orderBy("packet_no").collect()
+    assert [r.ts_us for r in rows] == [fs[0][0], fs[1][0], None, fs[4][0], fs[5][0]]
+    assert rows[2].src_ip == "10.0.0.2" and rows[4].ip_len == 20000
+    got = {r.outcome: r.n_packets for r in pk.reject_counts(read_captures(spark, str(tmp_path), 0)).collect()}
+    assert got == {"accepted": 4, "skipped_no_time": 1}

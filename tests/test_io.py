@@ -20,7 +20,7 @@ def test_label_csv_encodings_and_bad_lines(spark, tmp_path):
     assert tb.detect_label_column(raw.columns) == "Label" and tb.detect_label_column(["x"]) is None
     rows = sorted((r.pcap_file, r.source_port, r.label) for r in tb.five_tuple_labels(raw).collect() if r.source_port)
     assert rows == [("a.csv", 1, "Web \x96 XSS"), ("b.csv", 1, "Web – XSS")]
-    assert raw.count() == 3 and tb.read_label_csv(spark, files, nrows=1).count() == 1
+    assert raw.count() == 3 and tb.read_label_csv(spark, files, nrows=1).count() == 2
     with pytest.raises(FileNotFoundError):
         tb.discover_csvs(spark, str(tmp_path / "none"))
 
@@ -85,3 +85,14 @@ def test_packet_scan_and_feature_schema(spark, tmp_path):
     one = spark.range(1).withColumn("x", F.lit(1))
     assert ft.schemas_agree([one, one]) and not ft.schemas_agree([one, one.withColumn("y", F.lit(1))])
     assert ft.missing_meta(one) == META_COLS
+
+
+def test_label_lines_short_and_long(spark, tmp_path):
+    for name, n in (("a.csv", 3), ("b.csv", 4)):
+        lines = ["Src IP, Label ,x"] + [f"10.0.0.{i},L{i},1" for i in range(n)] + ["10.9.9.9,short", "1,2,3,4,5"]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    files = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    got = tb.read_label_csv(spark, files).collect()
+    assert len(got) == 9 and sum(r["Label"] == "short" and r["x"] is None for r in got) == 2
+    few = tb.read_label_csv(spark, files, nrows=2).collect()
+    assert sorted((r["pcap_file"], r["Label"]) for r in few) == [(f, x) for f in ("a.csv", "b.csv") for x in ("L0", "L1")]

@@ -41,7 +41,7 @@ def test_outcomes(tables):
     assert by_port(out, "label_match_method") == {
         0: "canonical_5tuple", 1: "canonical_5tuple", 2: "ambiguous_canonical_5tuple", 3: "canonical_5tuple",
         4: "canonical_5tuple", 5: "no_key", 6: "unmatched", 7: "no_key"}
-    assert by_port(out, "binary_label") == {0: "benign", 1: "attack", 2: None, 3: None, 4: "attack", 5: None, 6: None,
+    assert by_port(out, "binary_label") == {0: "benign", 1: "attack", 2: None, 3: None, 4: None, 5: None, 6: None,
                                            7: None}
     assert by_port(out, "exclusion_reason") == {0: None, 1: None, 2: "ambiguous_5tuple", 3: "unmapped_label",
                                                4: "excluded_label", 5: "parse_fail", 6: "unmatched", 7: "parse_fail"}

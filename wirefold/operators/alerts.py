@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirefold.functions.columns import percent, proto_number
@@ -10,15 +10,22 @@ from wirefold.operators.flows import US
 from wirefold.operators.intervals import points_in_intervals
 from wirefold.operators.labeling import NKEY, with_canonical
 
-# Fixed value: alert clock offset in seconds, per dataset.
-ALERT_OFFSET_S = {"default": 7200.0}
 TOLERANCE_S = 2.0
 FLOW_REF = ["pcap_file", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "start_us"]
 
 
-def correct_time(alerts: DataFrame, dataset: str = "default", col: str = "alert_ts_us") -> DataFrame:
-    off = ALERT_OFFSET_S.get(dataset, 0.0)
-    return alerts.withColumn("t_us", F.col(col) - round(off * US))
+def correct_time(alerts: DataFrame, offset_s: float = 0.0, col: str = "alert_ts_us") -> DataFrame:
+    """Adds `t_us`, the alert time less the clock offset of its dataset; no offset is assumed."""
+    return alerts.withColumn("t_us", F.col(col) - round(offset_s * US))
+
+
+def from_log(alerts: DataFrame) -> DataFrame:
+    """Adds `alert_id` and `alert_ts_us` to flattened log events, which carry a text time and no id: the id is a hash
+    of the event and, among equal events, of their number."""
+    t = F.unix_micros(F.try_to_timestamp("timestamp"))
+    same = Window.partitionBy("_h").orderBy("_h")
+    a = alerts.withColumns({"alert_ts_us": t, "_h": F.xxhash64(*alerts.columns)})
+    return a.withColumn("alert_id", F.xxhash64("_h", F.row_number().over(same))).drop("_h")
 
 
 def _keyed_alerts(alerts: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from wirefold.functions import rules
 from wirefold.functions.columns import safe_divide
 from wirefold.operators.ordering import BUCKET, depth_cuts, percentiles, with_bucket
 from wirefold.operators.thresholds import confusion, predicted, rates, score_cells
+from wirefold.session import cut_lineage
 
 REPLICATES = 1000
 SEED = 42
@@ -162,12 +163,12 @@ def bootstrap_areas(df: DataFrame, by: list[str], replicates: int = REPLICATES,
     Prevalence stays that of the data. Weights of a bucket depend on its key and seed only, so the second pass
     redraws the same ones.
     """
-    cells = with_bucket(score_cells(df, by, score, y), "score", depth_cuts(df, score))
+    cells = cut_lineage(with_bucket(score_cells(df, by, score, y), "score", depth_cuts(df, score)))
     keys = [*by, BUCKET]
     arr = T.ArrayType(T.DoubleType())
     out = T.StructType([cells.schema[k] for k in keys] + [T.StructField(c, arr) for c in ("p", "n", "u")])
     srt = cells.select(*keys, "score", "pos", "neg").repartition(*keys).sortWithinPartitions(*keys, F.desc("score"))
-    roc = srt.mapInPandas(_streams(keys, seed, replicates, "roc"), out)
+    roc = cut_lineage(srt.mapInPandas(_streams(keys, seed, replicates, "roc"), out))  # draws are dear
     long = roc.select(*keys, F.posexplode(F.arrays_zip("p", "n", "u")).alias("replicate", "_z")).select(
         *keys, "replicate", "_z.p", "_z.n", "_z.u")
     w = Window.partitionBy(*by, "replicate").orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
@@ -185,8 +186,8 @@ def bootstrap_areas(df: DataFrame, by: list[str], replicates: int = REPLICATES,
               .mapInPandas(_streams(keys, seed, replicates, "pr"), out))
     ap = (second.select(*keys, F.posexplode("u").alias("replicate", "u")).groupBy(*by, "replicate")
           .agg(F.sum("u").alias("ap")))
-    return auc.join(ap, [*by, "replicate"]).select(*by, "replicate", "roc_auc",
-                                                   F.try_divide("ap", "P").alias("pr_auc"))
+    return cut_lineage(auc.join(ap, [*by, "replicate"]).select(*by, "replicate", "roc_auc",
+                                                               F.try_divide("ap", "P").alias("pr_auc")))
 
 
 # --- paired comparison -------------------------------------------------------------------------------------------

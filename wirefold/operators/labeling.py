@@ -86,10 +86,13 @@ def align_labels(flows: DataFrame, label_ref: DataFrame, mapping: DataFrame, dat
               .when(F.col("ambiguous").isNull(), "unmatched").otherwise("canonical_5tuple"))
     mapped = F.coalesce(F.col("binary_label").isNotNull(), F.lit(False))
     keep = F.coalesce("keep", F.lit(True)) if apply_keep else F.lit(True)
+    # A label that the mapping excludes leaves its class out of training, splits and metrics.
+    blank = (method == "canonical_5tuple") & mapped & ~keep
     out = j.withColumns({
         "label_match_method": method, "matched_flag": method == "canonical_5tuple",
         "ambiguous_flag": method == "ambiguous_canonical_5tuple", "original_label": F.col("label"),
-        "exclusion_reason": rules.exclusion_reason(method, mapped, keep)})
+        "exclusion_reason": rules.exclusion_reason(method, mapped, keep),
+        "binary_label": F.when(~blank, F.col("binary_label")), "coarse_family": F.when(~blank, F.col("coarse_family"))})
     return out.drop(*NKEY, "ambiguous", "label", "n_label_rows", "norm", "keep")
 
 

@@ -63,12 +63,15 @@ def require_only(df: DataFrame, col: str, allowed: list[str], what: str) -> Data
     return df
 
 
-def with_class_weight(train: DataFrame, y: str = "y") -> DataFrame:
-    """Balanced weights n/(2 n_c); the two counts are read once and enter as literals."""
+def with_class_weight(train: DataFrame, y: str = "y", positive_only: bool = False) -> DataFrame:
+    """Balanced weights n/(2 n_c), or n_benign/n_attack for attacks and 1 for benign rows; the two counts are read once
+    and enter as literals."""
     c = {r[y]: r["n"] for r in train.groupBy(y).agg(F.count("*").alias("n")).collect()}
     if set(c) != {0, 1}:
         raise ValueError(f"training rows need both classes, found {sorted(c)}")
     n = c[0] + c[1]
+    if positive_only:
+        return train.withColumn("w", F.when(F.col(y) == 1, c[0] / c[1]).otherwise(1.0))
     return train.withColumn("w", F.when(F.col(y) == 1, n / (2 * c[1])).otherwise(n / (2 * c[0])))
 
 
@@ -79,7 +82,7 @@ def fit(train: DataFrame, kind: str, cfg: Config | None = None, cols: list[str]
     guard_features(cols)
     if split_col in train.columns:
         require_only(train, split_col, ["train"], kind)
-    t = with_class_weight(train, y)
+    t = with_class_weight(train, y, positive_only=kind == "boosted_trees")
     asm = VectorAssembler(inputCols=cols, outputCol="raw" if kind == "logistic_regression" else "features")
     if kind == "logistic_regression":
         n = train.count()
@@ -93,7 +96,7 @@ def fit(train: DataFrame, kind: str, cfg: Config | None = None, cols: list[str]
         stages = [asm, m]
     elif kind == "boosted_trees":
         g = cfg.gbt
-        m = GBTClassifier(labelCol=y, maxIter=g["rounds"], maxDepth=g["depth"], stepSize=g["step"],
+        m = GBTClassifier(labelCol=y, weightCol="w", maxIter=g["rounds"], maxDepth=g["depth"], stepSize=g["step"],
                           subsamplingRate=g["rows"], featureSubsetStrategy=g["cols"], seed=cfg.seed)
         stages = [asm, m]
     else:
@@ -137,9 +140,8 @@ def source_thresholds(val: DataFrame, budget: float = 0.01, score_col: str = "y_
 def transfer(source: DataFrame, target: DataFrame, kind: str, dataset_col: str = "dataset",
              cfg: Config | None = None) -> DataFrame:
     """Target rows scored and labelled with model, scaler and thresholds fitted on the source alone."""
-    names = [r[0] for r in source.select(dataset_col).distinct().limit(50).collect()]
-    overlap = target.where(F.col(dataset_col).isin(*names)).limit(1).count()
-    if overlap:
+    shared = source.select(dataset_col).distinct().join(target.select(dataset_col).distinct(), dataset_col, "left_semi")
+    if not shared.isEmpty():
         raise ValueError("source and target share a dataset")
     source = cut_lineage(source)
     model = fit(source.where(F.col("split") == "train"), kind, cfg)

@@ -11,15 +11,23 @@ from wirefold.operators.ordering import numbered
 def reject_reason():
     """Why a packet cannot belong to a flow; NULL when accepted."""
     return (F.when(F.col("src_ip").isNull() | F.col("dst_ip").isNull(), "skipped_no_ip")
-            .when(~F.coalesce(F.col("protocol").isin(6, 17), F.lit(False)), "skipped_no_transport"))
+            .when(~F.coalesce(F.col("protocol").isin(6, 17), F.lit(False)) | F.col("src_port").isNull()
+                  | F.col("dst_port").isNull(), "skipped_no_transport"))
+
+
+def _reason(packets: DataFrame):
+    """The reject reason, or that a capture block carried no time."""
+    if "ts_us" not in packets.columns:
+        return reject_reason()
+    return F.coalesce(reject_reason(), F.when(F.col("ts_us").isNull(), "skipped_no_time"))
 
 
 def accept(packets: DataFrame) -> DataFrame:
-    return packets.where(reject_reason().isNull())
+    return packets.where(_reason(packets).isNull())
 
 
 def reject_counts(packets: DataFrame) -> DataFrame:
-    return (packets.groupBy(F.coalesce(reject_reason(), F.lit("accepted")).alias("outcome"))
+    return (packets.groupBy(F.coalesce(_reason(packets), F.lit("accepted")).alias("outcome"))
             .agg(F.count("*").alias("n_packets")))
 
 

@@ -48,7 +48,12 @@ def first_packets(df: DataFrame, flow: list[str], order: list[str], k: int = K_M
     so a hot flow sends at most `k` rows per task."""
     keys = [F.desc(c) for c in order] if tail else [F.asc(c) for c in order]
     w = Window.partitionBy(*flow).orderBy(*keys)
-    return df.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+    cut = df.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+    if not tail:
+        return cut
+    # positions run forward in time for the last rows too
+    last = F.max("pos").over(Window.partitionBy(*flow))
+    return cut.withColumn("pos", (last - F.col("pos") + 1).cast("int"))
 
 
 def packet_channels(assigned: DataFrame, ip_only: bool = True) -> DataFrame:

@@ -15,11 +15,12 @@ from wirefold.registry.feature_queries import _DAY, _ROLE
 from wirefold.registry.flow_queries import IDENT, flows_of
 
 TOL_S = 70_000.0
+OFFSET_S = 7200.0  # the clock offset of the stand-in alerts
 FLOW = [*fl.KEY, "flow_start_us"]
 
 
 def alerts_of(spark, sf):
-    return al.correct_time(table(spark, sf, "alerts"))
+    return al.correct_time(table(spark, sf, "alerts"), OFFSET_S)
 
 
 def _cands(spark, sf):
@@ -200,7 +201,8 @@ ORACLE = {
         select count(*), 'flows_without_packets' from (select distinct {_FL} from walk where flow_start_us % 10 = 0)"""),
     "first_packets": o.assigned("""select event_id, pos, signed_len, direction, round(delta_t, 6) as delta_t, protocol_id
         from steps where pos <= 8""", STEPS),
-    "last_packets": o.assigned("select event_id, rpos as pos from steps where rpos <= 3", STEPS),
+    "last_packets": o.assigned(f"""select event_id, max(rpos) over (partition by {_FL}) - rpos + 1 as pos
+        from steps where rpos <= 3""", STEPS),
     "sequence_scaler": o.assigned("""select n_steps, round(len_mean, 6) as len_mean, round(len_std, 6) as len_std,
         round(dt_mean, 6) as dt_mean, round(dt_std, 6) as dt_std from sc""", STEPS, _SC),
     "packet_sequences": o.assigned(f"""select {_FL}, count(*) as n_packets,

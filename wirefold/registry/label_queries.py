@@ -149,12 +149,17 @@ MAPPED = """mapped as (select """ + _norm("original_label") + """ as norm, binar
 
 def _labelled(keep: bool = True) -> str:
     excl = "when not m.keep then 'excluded_label'" if keep else ""
+
+    def blank(c: str) -> str:
+        """A label that the mapping excludes has no class."""
+        return f"case when m.keep or f.src_port is null or l.ambiguous then m.{c} end as {c}" if keep else f"m.{c}"
+
     return f"""labelled as (
   select f.*, f.src_port is not null and l.ambiguous is not null and not l.ambiguous as matched_flag,
     f.src_port is not null and coalesce(l.ambiguous, false) as ambiguous_flag,
     case when f.src_port is null then 'no_key' when l.ambiguous then 'ambiguous_canonical_5tuple'
          when l.ambiguous is null then 'unmatched' else 'canonical_5tuple' end as label_match_method,
-    l.label as original_label, m.binary_label, m.coarse_family,
+    l.label as original_label, {blank('binary_label')}, {blank('coarse_family')},
     case when f.src_port is null then 'parse_fail' when l.ambiguous then 'ambiguous_5tuple'
          when l.ambiguous is null then 'unmatched' when m.binary_label is null then 'unmapped_label' {excl} end as exclusion_reason
   from gap_flows f

@@ -17,11 +17,6 @@ from wirefold.registry import oracle as o
 from wirefold.schemas import FEATURES
 from wirefold.session import cut_lineage
 
-# Smaller ensembles than the defaults: every level of every tree is a Spark job.
-QUICK = md.Config(rf={"trees": 30, "depth": 8, "min_leaf": 2},
-                  gbt={"rounds": 10, "depth": 4, "step": 0.1, "rows": 0.8, "cols": "0.8"})
-
-
 def training_table(spark, sf):
     """Clean labelled flows with features, split by day; stored once, because every fit reads it many times."""
     lab = labelled(spark, sf).withColumn("flow_id", F.col("start_us"))
@@ -37,7 +32,7 @@ def scaler_stats(spark, sf):
 
 def _scored(spark, sf, kind):
     t = training_table(spark, sf)
-    m = md.fit(t.where("split = 'train'"), kind, QUICK)
+    m = md.fit(t.where("split = 'train'"), kind)
     return md.score(m, t, kind).select("model_name", "pcap_file", "flow_id", "split", "y", "y_score")
 
 
@@ -54,8 +49,8 @@ def gbt_scores(spark, sf):
 
 
 def baseline_metrics(spark, sf):
-    """Train, score and evaluate two baselines on the test days."""
-    p = md.run_baselines(training_table(spark, sf), QUICK, md.MODELS[:2]).where("split = 'test'")
+    """Train, score and evaluate the three baselines on the test days."""
+    p = md.run_baselines(training_table(spark, sf)).where("split = 'test'")
     k = ["model_name"]
     return rnd(th.metrics_at(p, k, y="y").join(th.ranking_metrics(p, k, y="y").drop("n_pos", "n_neg"), k))
 
@@ -68,7 +63,7 @@ def _datasets(spark, sf):
 def transfer_scores(spark, sf):
     """Model, scaler and thresholds from TCP flows applied unchanged to UDP flows."""
     d = _datasets(spark, sf)
-    r = md.transfer(d.where("dataset = 'tcp_net'"), d.where("dataset = 'udp_net'"), "logistic_regression", cfg=QUICK)
+    r = md.transfer(d.where("dataset = 'tcp_net'"), d.where("dataset = 'udp_net'"), "logistic_regression")
     return r.select("dataset", "pcap_file", "flow_id", "y", "y_score", "pred_label_default", "pred_label_val_tuned",
                     "pred_label_fixed_fpr")
 
@@ -83,13 +78,13 @@ def multisource_training_set(spark, sf):
 def multisource_scores(spark, sf):
     d = _datasets(spark, sf)
     c = md.combine_sources({"tcp": d.where("dataset = 'tcp_net'"), "udp": d.where("dataset = 'udp_net'")})
-    m = md.fit(c.where("split = 'train'"), "logistic_regression", QUICK)
+    m = md.fit(c.where("split = 'train'"), "logistic_regression")
     return md.score(m, c.where("split = 'test'"), "multisource_lr").select("source", "flow_id", "y", "y_score")
 
 
 def prediction_sidecar(spark, sf):
     t = training_table(spark, sf).withColumn("global_flow_id", F.col("flow_id"))
-    s = md.score(md.fit(t.where("split = 'train'"), "logistic_regression", QUICK), t, "lr")
+    s = md.score(md.fit(t.where("split = 'train'"), "logistic_regression"), t, "lr")
     return md.prediction_sidecar(s, md.source_thresholds(s.where("split = 'val'")))
 
 

@@ -37,7 +37,7 @@ def bootstrap_ci(spark, sf):
 
 
 def bootstrap_area_ci(spark, sf):
-    reps = bs.bootstrap_areas(scores(spark, sf), ["method"], 200)
+    reps = bs.bootstrap_areas(scores(spark, sf), ["method"])
     return rnd(bs.interval(reps, ["method"], "roc_auc").join(bs.interval(reps, ["method"], "pr_auc"), ["method"]),
                ["roc_auc_lo", "roc_auc_hi", "pr_auc_lo", "pr_auc_hi"], 4)
 

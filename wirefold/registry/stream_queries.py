@@ -9,7 +9,7 @@ from wirefold.plans.fixtures import ACTIVE_S, IDLE_S, table, text
 from wirefold.registry import oracle as o
 from wirefold.registry.flow_queries import IDENT, TOTALS, flows_of
 from wirefold.registry.flow_queries import ORACLE as _FLOW_ORACLE
-from wirefold.registry.join_queries import ALERTS, FD, TOL_S, _cand
+from wirefold.registry.join_queries import ALERTS, FD, OFFSET_S, TOL_S, _cand
 from wirefold.session import scratch_path
 from wirefold.streaming import run as rn
 from wirefold.streaming import windows as sw
@@ -66,7 +66,7 @@ def stream_alert_join(spark, sf):
     """Flow and alert tables written once, then read back as two streams and joined."""
     fp, ap = scratch_path(spark, "flows"), scratch_path(spark, "alerts")
     f = flows_of(spark, sf).select(*IDENT, "end_us").withColumn("end_ts", F.timestamp_micros("end_us"))
-    a = al.correct_time(table(spark, sf, "alerts")).withColumn("alert_ts", F.timestamp_micros("t_us"))
+    a = al.correct_time(table(spark, sf, "alerts"), OFFSET_S).withColumn("alert_ts", F.timestamp_micros("t_us"))
     f.write.parquet(fp)
     a.write.parquet(ap)
     j = sw.live_alert_join(spark.readStream.schema(a.schema).parquet(ap), spark.readStream.schema(f.schema).parquet(fp),

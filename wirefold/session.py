@@ -24,6 +24,8 @@ def build_session(app: str = "wirefold", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
@@ -35,12 +37,15 @@ def build_session(app: str = "wirefold", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only when the session names none."""
+    """The cluster's checkpoint folder. Where the session names none, local mode takes a temporary one and a cluster is
+    refused: its executors would write to folders that the others do not see."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     active = sc._jsc.sc().getCheckpointDir()
     if active.isDefined():
         return configured or active.get()
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = configured or tempfile.mkdtemp(prefix="wirefold-ckpt-")
     sc.setCheckpointDir(path)
     return path

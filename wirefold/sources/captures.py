@@ -24,10 +24,11 @@ from wirefold.sources.tables import discover_captures
 
 # Fixed values of the two file formats.
 PCAP_MAGIC = {0xA1B2C3D4: 1_000_000, 0xA1B23C4D: 1_000_000_000}  # time units per second
-NG_SECTION, NG_INTERFACE, NG_SIMPLE, NG_ENHANCED = 0x0A0D0D0A, 1, 3, 6
+NG_SECTION, NG_INTERFACE, NG_PACKET, NG_SIMPLE, NG_ENHANCED = 0x0A0D0D0A, 1, 2, 3, 6
 NG_BYTE_ORDER = 0x1A2B3C4D
 LINK_ETHERNET, LINK_RAW, LINK_SLL = 1, 101, 113
-MAX_RECORD = 1 << 18
+LONGEST = 1 << 24  # bytes of a record where the file states no limit
+OPTIONS = 1 << 16  # bytes that a block may hold beside the frame
 RUN = 16
 BATCH = 16_384
 
@@ -49,6 +50,16 @@ class Head:
     body: int
     link: list
     per_s: list
+    limit: int = 0
+
+    def allow(self, snap: int) -> None:
+        """Longest frame that the file announces; 0 stands for no limit."""
+        self.limit = max(self.limit, snap if 0 < snap < LONGEST else LONGEST)
+
+    def add_interface(self, body: bytes) -> None:
+        self.link.append(st.unpack(self.order + "H", body[:2])[0])
+        self.allow(st.unpack(self.order + "I", body[4:8])[0])
+        self.per_s.append(_units(body[8:], self.order))
 
 
 def _open(path: str):
@@ -63,7 +74,9 @@ def read_head(f) -> Head:
     for order in "<>":
         m = st.unpack(order + "I", magic[:4])[0]
         if m in PCAP_MAGIC:
-            return Head(False, order, 24, [st.unpack(order + "I", magic[20:24])[0] & 0xFFFF], [PCAP_MAGIC[m]])
+            head = Head(False, order, 24, [st.unpack(order + "I", magic[20:24])[0] & 0xFFFF], [PCAP_MAGIC[m]])
+            head.allow(st.unpack(order + "I", magic[16:20])[0])
+            return head
     if st.unpack("<I", magic[:4])[0] != NG_SECTION:
         raise ValueError("not a capture file")
     order = "<" if st.unpack("<I", magic[8:12])[0] == NG_BYTE_ORDER else ">"
@@ -71,9 +84,7 @@ def read_head(f) -> Head:
     while True:
         kind, size = _block(f, head, at)
         if kind == NG_INTERFACE:
-            body = f.read_at(size - 12, at + 8)
-            head.link.append(st.unpack(order + "H", body[:2])[0])
-            head.per_s.append(_units(body[8:], order))
+            head.add_interface(f.read_at(size - 12, at + 8))
         elif kind != NG_SECTION or at > 0:
             break
         at += size
@@ -104,7 +115,7 @@ def _next(f, head: Head, at: int, size: int, prev: float | None) -> tuple[int, f
     """Offset after the record at `at` and its time, or None when the bytes there do not look like a record."""
     if head.ng:
         kind, n = _block(f, head, at)
-        if n < 12 or n % 4 or n > MAX_RECORD or at + n > size or kind > 0x80000000 or kind == 0:
+        if n < 12 or n % 4 or n > head.limit + OPTIONS or at + n > size or kind > 0x80000000 or kind == 0:
             return None
         tail = f.read_at(4, at + n - 4)
         return (at + n, None) if st.unpack(head.order + "I", tail)[0] == n else None
@@ -112,7 +123,7 @@ def _next(f, head: Head, at: int, size: int, prev: float | None) -> tuple[int, f
     if len(raw) < 16:
         return None
     sec, frac, incl, orig = st.unpack(head.order + "IIII", raw)
-    if frac >= head.per_s[0] or incl > MAX_RECORD or incl > orig or incl == 0 or at + 16 + incl > size:
+    if frac >= head.per_s[0] or incl > head.limit or incl > orig or incl == 0 or at + 16 + incl > size:
         return None
     if prev is not None and abs(sec - prev) > 86_400:
         return None
@@ -165,20 +176,40 @@ def _fields(link: int, data: bytes) -> tuple:
     return src, dst, sport, dport, proto, size, (l4[13] if proto == 6 and len(l4) > 13 else None)
 
 
-def records(f, head: Head, start: int, stop: int, size: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(offset, time in ns, link type, frame) of records beginning in [start, stop); last value is the end offset."""
+def records(f, head: Head, start: int, stop: int, size: int) -> Iterator[tuple[int, int | None, int, bytes]]:
+    """(offset, time in ns, link type, frame) of records beginning in [start, stop); last value is the end offset.
+
+    Simple packet blocks carry no time and belong to the first interface. Interfaces and sections that follow packets are
+    taken up on the way; a range that begins inside the file cannot number them and refuses.
+    """
+    inside = start != head.body
     at = start
     while at < min(stop, size):
         if head.ng:
             kind, n = _block(f, head, at)
             if n < 12 or at + n > size:
                 raise ValueError(f"damaged block at byte {at}")
-            if kind in (NG_SECTION, NG_INTERFACE):
-                raise ValueError("capture with several sections: read it with splitBytes=0 after splitting it by section")
-            if kind == NG_ENHANCED:
+            if kind in (NG_SECTION, NG_INTERFACE) and inside:
+                raise ValueError("interface or section after packets: read the capture with splitBytes=0")
+            if kind == NG_SECTION:
+                if stop < size:
+                    raise ValueError("capture with several sections: read it with splitBytes=0")
+                head.order = "<" if st.unpack("<I", f.read_at(4, at + 8))[0] == NG_BYTE_ORDER else ">"
+                head.link, head.per_s = [], []
+                n = _block(f, head, at)[1]
+            elif kind == NG_INTERFACE:
+                head.add_interface(f.read_at(n - 12, at + 8))
+            elif kind in (NG_ENHANCED, NG_PACKET):
                 raw = f.read_at(n - 12, at + 8)
                 itf, hi, lo, incl, _ = st.unpack(head.order + "IIIII", raw[:20])
+                if kind == NG_PACKET:  # the obsolete block holds a drop count beside the interface
+                    itf = st.unpack(head.order + "HH", raw[:4])[0]
+                if itf >= len(head.link):
+                    raise ValueError(f"interface {itf} is not described before byte {at}: read it with splitBytes=0")
                 yield at, ((hi << 32) | lo) * 1_000_000_000 // head.per_s[itf], head.link[itf], raw[20:20 + incl]
+            elif kind == NG_SIMPLE:
+                raw = f.read_at(n - 12, at + 8)
+                yield at, None, head.link[0], raw[4:4 + st.unpack(head.order + "I", raw[:4])[0]]
             at += n
         else:
             raw = f.read_at(16, at)
@@ -231,7 +262,8 @@ class CaptureReader(DataSourceReader):
                 end = at
                 if link < 0:
                     break
-                rows.append((name, at, ns // 1000, ns / 1e9, *_fields(link, frame)))
+                time = (None, None) if ns is None else (ns // 1000, ns / 1e9)
+                rows.append((name, at, *time, *_fields(link, frame)))
                 if len(rows) >= BATCH:
                     yield _batch(rows)
                     rows = []

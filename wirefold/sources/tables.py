@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,9 @@ def file_encoding(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     return {r["f"]: "UTF-8" if r["utf8"] else "ISO-8859-1" for r in g.collect()}
 
 
+OVER_LONG, LINE_ORDER = "_over_long", "_line_order"
+
+
 def detect_label_column(columns: list[str]) -> str | None:
     for c in columns:
         if c.strip().lower() in LABEL_COLUMNS:
@@ -78,7 +81,8 @@ def detect_label_column(columns: list[str]) -> str | None:
 
 
 def read_label_csv(spark: SparkSession, paths: str | list[str], nrows: int | None = None) -> DataFrame:
-    """Label files with header: per-file encoding, malformed lines skipped, names trimmed, files united by name."""
+    """Label files with header: per-file encoding, names trimmed, files united by name. A line with too few fields keeps
+    those it has, a line with too many is skipped; `nrows` limits each file to its first rows."""
     files = [paths] if isinstance(paths, str) else list(paths)
     by_enc: dict[str, list[str]] = {}
     for f, enc in file_encoding(spark, files).items():
@@ -86,17 +90,22 @@ def read_label_csv(spark: SparkSession, paths: str | list[str], nrows: int | Non
     out = None
     for enc in sorted(by_enc):
         for group in _same_header(spark, by_enc[enc], enc):
-            # Whole lines are parsed whatever the query needs, so that a bad line is dropped from every result.
+            # One field more than the header catches over-long lines; the others stay, short ones padded with NULL.
             head = spark.read.option("header", "true").option("encoding", enc).csv(group).columns
-            schema = T.StructType([T.StructField(c, T.StringType()) for c in head])
-            df = (spark.read.schema(schema).option("header", "true").option("mode", "DROPMALFORMED")
-                  .option("encoding", enc).option("columnPruning", "false").csv(group))
-            df = df.withColumn("pcap_file", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1))
+            schema = T.StructType([T.StructField(c, T.StringType()) for c in [*head, OVER_LONG]])
+            df = (spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
+                  .option("enforceSchema", "true").option("encoding", enc).option("columnPruning", "false").csv(group))
+            meta = F.col("_metadata.file_path"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+            df = df.withColumn("pcap_file", F.regexp_extract(meta[0], "([^/]+)$", 1)).withColumn(LINE_ORDER, meta[1])
+            df = df.where(F.col(OVER_LONG).isNull()).drop(OVER_LONG)
             df = df.toDF(*[c.strip() for c in df.columns])
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError("no label files given")
-    return out.limit(nrows) if nrows is not None else out
+    if nrows is not None:
+        w = Window.partitionBy("pcap_file").orderBy(LINE_ORDER)
+        out = out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= nrows).drop("_n")
+    return out.drop(LINE_ORDER)
 
 
 def _same_header(spark: SparkSession, files: list[str], enc: str) -> list[list[str]]:
@@ -163,8 +172,8 @@ def read_conn_log(spark: SparkSession, path: str) -> DataFrame:
     df = rows.select(*[field(k).alias(v) for k, v in have.items()])
     detail = [F.col(c) for c in ("detailed_label", "det_label") if c in df.columns]
     return df.withColumns({
-        "source_port": F.col("source_port").cast("int"), "destination_port": F.col("destination_port").cast("int"),
-        "protocol": proto_number("proto"), "ts": F.col("ts").cast("double"),
+        "source_port": F.expr("try_cast(source_port as int)"), "destination_port": F.expr("try_cast(destination_port as int)"),
+        "protocol": proto_number("proto"), "ts": F.expr("try_cast(ts as double)"),
         "detailed_label": F.coalesce(*detail) if detail else F.lit(None).cast("string")}).drop("det_label")
 
 

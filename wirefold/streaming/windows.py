@@ -14,9 +14,8 @@ from wirefold.operators.packets import accept, with_key
 
 
 def session_flows(packets: DataFrame, idle_s: float = 60.0, time_col: str = "ts", delay: str | None = None) -> DataFrame:
-    """Idle-only flows by session windows. Sessions merge inside every map task before the shuffle, so a hot key
-    sends its sessions and not its packets."""
-    packets.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Idle-only flows by session windows. With `spark.sql.sessionWindow.merge.sessions.in.local.partition`, which
+    `build_session` sets, sessions merge inside every map task, so a hot key sends its sessions and not its packets."""
     pk = with_key(accept(packets))
     if delay:
         pk = pk.withWatermark(time_col, delay)
@@ -51,5 +50,5 @@ def live_alert_join(alerts: DataFrame, flows: DataFrame, tolerance_s: float, act
          .select(*NKEY, F.struct(*FLOW_REF).alias("flow"), (F.col("start_us") - tol).alias("_lo"),
                  (F.col("end_us") + tol).alias("_hi"), "end_ts").withWatermark("end_ts", delay))
     j = points_in_intervals(a, f, NKEY, "t_us", "_lo", "_hi", round(active_s * US) + 2 * tol)
-    sec = f"interval {round(active_s + tolerance_s)} seconds"
-    return j.where(F.expr(f"alert_ts >= end_ts - {sec} and alert_ts <= end_ts + interval {round(tolerance_s)} seconds"))
+    back, ahead = (f"make_dt_interval(0, 0, 0, {us / US:.6f})" for us in (round(active_s * US) + tol, tol))
+    return j.where(F.expr(f"alert_ts >= end_ts - {back} and alert_ts <= end_ts + {ahead}"))
