@@ -66,6 +66,20 @@ def test_guards(rows):
         md.calibrate(rows.withColumn("y_score", F.lit(0.5)), rows, y="y", split_col="split")
 
 
+def test_transfer_refuses_any_shared_dataset(rows):
+    many = rows.withColumn("dataset", F.concat(F.lit("s"), F.col("global_flow_id") % 60))
+    target = rows.withColumn("dataset", F.when(F.col("global_flow_id") == 7, "s59").otherwise("t"))
+    with pytest.raises(ValueError, match="share a dataset"):
+        md.transfer(many, target, "logistic_regression", cfg=SMALL)
+
+
+def test_boosted_trees_weigh_attacks(rows):
+    train = rows.where("split = 'train'")
+    n = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
+    w = {r["y"]: r["w"] for r in md.with_class_weight(train, positive_only=True).select("y", "w").distinct().collect()}
+    assert w == {0: 1.0, 1: n[0] / n[1]}
+
+
 def test_transfer_and_sidecar(rows):
     t = md.transfer(rows.where("dataset = 'a'"), rows.where("dataset = 'b'"), "random_forest", cfg=SMALL)
     assert t.count() == 200 and "pred_label_fixed_fpr" in t.columns
@@ -103,4 +117,12 @@ def test_end_to_end(spark, sf, tmp_path):
                                 ["random_forest"])
     kinds = {r.threshold_type for r in rep.collect()}
     assert {"default", "best_f1", "fixed_fpr_0.01"} <= kinds
+    preds = spark.read.parquet(str(tmp_path / "r/predictions"))
+    assert preds.where("binary_label is null or binary_label not in ('attack', 'benign')").count() == 0
+    cut = {r.threshold_type: r.threshold for r in th.analyze(preds.where("split = 'val'"), ["model_name"]).collect()}
+    for r in rep.collect():
+        assert r.threshold == cut[r.threshold_type]
+        test = preds.where("split = 'test'")
+        assert r.tp == test.where((F.col("y_score") >= r.threshold) & (F.col("y_true") == 1)).count()
+    assert set(spark.read.parquet(str(tmp_path / "r/sidecar/random_forest")).columns) == set(PREDICTION_COLS)
     assert with_label_bit(feats).count() == extract_features(flows).count()

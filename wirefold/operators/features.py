@@ -11,8 +11,8 @@ from wirefold.operators.ordering import percentiles
 from wirefold.schemas import BANNED_FEATURES, FEATURES, META_COLS
 
 
-def extract_features(flows: DataFrame) -> DataFrame:
-    """Metadata columns present in `flows` followed by the 19 features; one narrow projection, no shuffle."""
+def extract_features(flows: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """Metadata columns present in `flows`, those in `carry`, then the 19 features; one narrow projection, no shuffle."""
     per = {
         "is_tcp": (F.col("protocol") == 6).cast("int"),
         "is_udp": (F.col("protocol") == 17).cast("int"),
@@ -26,7 +26,7 @@ def extract_features(flows: DataFrame) -> DataFrame:
         "fwd_byte_ratio": safe_divide("bytes_fwd", "bytes_total"),
         "bwd_byte_ratio": safe_divide("bytes_bwd", "bytes_total"),
     }
-    meta = [c for c in META_COLS if c in flows.columns]
+    meta = [*[c for c in META_COLS if c in flows.columns], *carry]
     return flows.select(*meta, *[per[c].alias(c) if c in per else F.col(c) for c in FEATURES])
 
 

@@ -144,6 +144,24 @@ def analyze(df: DataFrame, by: list[str], budgets: list[float] = BUDGETS, mode:
     return d.select(*cols).unionByName(b.select(*cols)).unionByName(f.select(*cols))
 
 
+def at_points(df: DataFrame, points: DataFrame, by: list[str], score: str = "y_score", y: str = "y_true") -> DataFrame:
+    """Metrics of df at thresholds found elsewhere: one row per row of `points` (by, threshold_type, threshold).
+
+    Scores are counted per distinct value before they meet the few points of their group.
+    """
+    cells = score_cells(df, by, score, y).join(points.select(*by, "threshold_type", "threshold"), by)
+    hit = F.col("score") >= F.col("threshold")
+    zero = F.lit(0).cast("bigint")
+
+    def total(c: str, on):
+        return F.coalesce(F.sum(F.when(on, F.col(c))), zero)
+
+    c = cells.groupBy(*by, "threshold_type", "threshold").agg(
+        total("pos", hit).alias("tp"), total("neg", hit).alias("fp"), total("pos", ~hit).alias("fn"),
+        total("neg", ~hit).alias("tn"))
+    return rates(c).select(*by, "threshold_type", "threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr")
+
+
 def ranking_metrics(df: DataFrame, by: list[str], score: str = "y_score", y: str = "y_true") -> DataFrame:
     """roc_auc (Mann-Whitney with half credit for ties) and pr_auc (average precision); NULL unless both classes occur."""
     cells = score_cells(df, by, score, y)

@@ -55,9 +55,7 @@ def flows_to_features(flows: DataFrame, label_ref: DataFrame, mapping: DataFrame
     sinks.write_once(lb.accounting(labelled), f"{target}/accounting")
     sinks.write_exclusions(lb.exclusion_log(labelled), f"{target}/exclusions")
     sinks.write_json_lines(lb.run_summary(labelled), "summary_json", f"{target}/summary")
-    feats = ft.repair(ft.extract_features(labelled))
-    ids = labelled.select("pcap_file", "flow_id", "global_flow_id")
-    feats = feats.join(ids, ["pcap_file", "flow_id"])
+    feats = ft.repair(ft.extract_features(labelled, ["global_flow_id"]))
     sinks.write_once(feats, f"{target}/features")
     feats = spark.read.parquet(f"{target}/features")
     split = sp.with_day_split(feats, plan)
@@ -68,14 +66,21 @@ def flows_to_features(flows: DataFrame, label_ref: DataFrame, mapping: DataFrame
 
 def features_to_report(features: DataFrame, split: DataFrame, target: str, cfg: md.Config | None = None,
                        models: list[str] = md.MODELS) -> DataFrame:
-    """Fits the baselines on train days, stores predictions, and returns operating points per model on the test days."""
+    """Fits the baselines on train days, stores predictions and, per model, the 12-column sidecar, and returns the test
+    metrics at operating points that the validation days set."""
     spark = features.sparkSession
     clean = ft.with_label_bit(ft.clean_labelled(sp.join_sidecar(features, split)))
     preds = md.run_baselines(clean, cfg, models).select(
-        "model_name", "global_flow_id", "pcap_file", "split", F.col("y").alias("y_true"), "y_score")
+        "model_name", "global_flow_id", "pcap_file", "day", "split", "binary_label", "coarse_family",
+        F.col("y").alias("y_true"), "y_score")
     sinks.write_flows(preds, f"{target}/predictions", partition_by=["model_name", "split"])
-    test = spark.read.parquet(f"{target}/predictions").where("split = 'test'")
-    report = th.analyze(test, ["model_name"]).join(
+    preds = spark.read.parquet(f"{target}/predictions")
+    val, test = preds.where("split = 'val'"), preds.where("split = 'test'")
+    for m in models:
+        cuts = md.source_thresholds(val.where(F.col("model_name") == m), y="y_true")
+        sinks.write_predictions(md.prediction_sidecar(preds.where(F.col("model_name") == m), cuts),
+                                f"{target}/sidecar/{m}")
+    report = th.at_points(test, th.analyze(val, ["model_name"]), ["model_name"]).join(
         th.ranking_metrics(test, ["model_name"]).select("model_name", "roc_auc", "pr_auc"), "model_name")
     sinks.write_once(report, f"{target}/report")
     return spark.read.parquet(f"{target}/report")
