@@ -60,27 +60,26 @@ def wasserstein(spark, sf):
     li = table(spark, sf, "lineitem")
     long = dr.unpivot(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_linestatus"])
     d = dr.distances(long, ["feature"], "value", F.col("l_linestatus") == "O")
-    return rnd(dr.top_drifted(d, [], 3).drop("severity"), ["ks"], 6).withColumn("w1", F.round("w1", 3))
+    return rnd(dr.top_drifted(d, [], 4).drop("severity"), ["ks"], 6).withColumn("w1", F.round("w1", 3))
 
 
 def feature_drift_summary(spark, sf):
     p = table(spark, sf, "scores")
     long = dr.unpivot(p, ["s_lr", "s_rf", "s_xgb", "bytes_total"], ["domain", "y_true"])
-    d = dr.distances(long.where("domain <> 'c'"), ["y_true", "feature"], "value", F.col("domain") == "a")
-    return rnd(dr.drift_summary(dr.top_drifted(d, ["y_true"], 2), ["y_true"]), ["mean_ks", "max_ks"])
+    d = dr.distances(long, ["y_true", "feature"], "value", F.col("domain") == "a")
+    return rnd(dr.drift_summary(dr.top_drifted(d, ["y_true"], 4), ["y_true"]), ["mean_ks", "max_ks"])
 
 
 def sequence_channel_drift(spark, sf):
-    """Mean per flow and channel over the first 8 packets, train against test."""
-    s = sq.to_sequences(_steps(spark, sf, 8), [*FLOW, "split"], 8)
-    means = sq.channel_means(s.where("split <> 'val'"), FLOW)
+    """Mean per flow and channel over the kept packets, train days against the others."""
+    means = sq.channel_means(sq.to_sequences(_steps(spark, sf), [*FLOW, "split"]), FLOW)
     d = dr.distances(means, ["channel"], "value", F.col("split") == "train")
     return rnd(d.select("channel", "n_source", "n_target", "ks"), ["ks"], 5)
 
 
 def embedding_channel_drift(spark, sf):
     e = table(spark, sf, "embeddings")
-    x = e.select("label", F.posexplode(F.slice("embedding", 1, 4)).alias("channel", "value"))
+    x = e.select("label", F.posexplode("embedding").alias("channel", "value"))
     return rnd(dr.distances(x, ["channel"], "value", F.col("label") < 5), ["ks", "w1"])
 
 
@@ -255,24 +254,23 @@ ORACLE = {
         severity from dist""", "acc as (select * from packets where protocol in (6, 17))",
                       dist_sql("pcap_file", "acc", "ip_len", "protocol = 6")),
     "wasserstein": o.sql([], """select feature, n_source, n_target, round(ks, 6) as ks, round(w1, 3) as w1,
-        row_number() over (order by ks desc, feature) as drift_rank from dist qualify drift_rank <= 3""",
+        row_number() over (order by ks desc, feature) as drift_rank from dist qualify drift_rank <= 4""",
                          _unp("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_linestatus"),
                          dist_sql("feature", "un", "value", "l_linestatus = 'O'")),
     "feature_drift_summary": o.sql(_SC, """select y_true, round(avg(ks), 6) as mean_ks, round(max(ks), 6) as max_ks
-        from (select *, row_number() over (partition by y_true order by ks desc, feature) as r from dist qualify r <= 2)
+        from (select *, row_number() over (partition by y_true order by ks desc, feature) as r from dist qualify r <= 4)
         group by 1""", _unp("scores", ["s_lr", "s_rf", "s_xgb", "bytes_total"], "domain, y_true"),
-                                   "un2 as (select * from un where domain <> 'c')",
-                                   dist_sql("y_true, feature", "un2", "value", "domain = 'a'")),
+                                   dist_sql("y_true, feature", "un", "value", "domain = 'a'")),
     "sequence_channel_drift": o.assigned("select channel, n_source, n_target, round(ks, 5) as ks from dist", STEPS,
                                          f"""cm as (select {', '.join(FLOW)}, split, avg(signed_len::float::double) as c0,
         avg(direction) as c1, sum(delta_t::float::double) / count(*) as c2, avg(protocol_id) as c3 from steps
-        where pos <= 8 and split <> 'val' group by all),
+        where pos <= {sq.K_MAX} group by all),
         cu as (select split, 0 as channel, c0 as value from cm union all select split, 1, c1 from cm
           union all select split, 2, c2 from cm union all select split, 3, c3 from cm)""",
                                          dist_sql("channel", "cu", "value", "split = 'train'")),
     "embedding_channel_drift": o.sql([], """select channel, n_source, n_target, round(ks, 6) as ks,
         round(w1, 6) as w1, severity from dist""", """emb as (select label, cast(i as int) - 1 as channel, embedding[i] as value
-        from embeddings, (select unnest([1, 2, 3, 4]) as i))""", dist_sql("channel", "emb", "value", "label < 5")),
+        from (select *, unnest(range(1, len(embedding) + 1)) as i from embeddings))""", dist_sql("channel", "emb", "value", "label < 5")),
     "calibration": o.sql(_LS, "select domain, method, round(ece, 6) as ece, round(brier, 6) as brier from cal", PROFILE),
     "subset_degradation": o.sql(_LS, """select domain, method, subset_type, 0.5::double as threshold,
         tp + fp + fn + tn as n_samples, tp + fn as n_attacks, round(precision, 6) as precision, round(recall, 6) as recall,
