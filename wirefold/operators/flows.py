@@ -27,7 +27,7 @@ from wirefold.functions.columns import micros_to_seconds
 from wirefold.operators.ordering import numbered
 from wirefold.operators.packets import accept, with_key
 from wirefold.schemas import I, L, S, struct
-from wirefold.session import broadcast_if_small, cut_lineage
+from wirefold.session import cut_lineage
 
 # Idle and active timeouts in seconds.
 IDLE_S, ACTIVE_S = 60.0, 120.0
@@ -243,8 +243,7 @@ def _chunk_plan(pk: DataFrame, hot_rows: int, bucket_us: int) -> DataFrame | Non
     if hot.isEmpty():
         return None
     hot = cut_lineage(hot)
-    n_hot = hot.count()
-    per = (pk.join(broadcast_if_small(hot, n_hot), KEY, "left_semi")
+    per = (pk.join(hot, KEY, "left_semi")
            .groupBy(*KEY, _bucket(bucket_us)).agg(F.count("*").alias("_n")))
     w = Window.partitionBy(*KEY).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(w), F.lit(0))
@@ -329,12 +328,11 @@ def _sorted_runs(packets: DataFrame, idle_s: float, active_s: float, hot_rows: i
     bucket_us = round((chunk_bucket_s or idle_s / 10) * US)
     plan = _chunk_plan(pk, hot_rows, bucket_us) if look else None
     if plan is not None:
-        n = plan.count()
         tagged = (pk.withColumn("_tb", _bucket(bucket_us))
-                  .join(broadcast_if_small(plan, n), [*KEY, "_tb"], "left").drop("_tb"))
+                  .join(plan, [*KEY, "_tb"], "left").drop("_tb"))
         carry = cut_lineage(_carry(tagged.where(F.col(CHUNK).isNotNull()), idle, active))
         pk = (tagged.withColumn(CHUNK, F.coalesce(CHUNK, F.lit(0).cast("bigint")))
-              .join(broadcast_if_small(carry, carry.count()), [*KEY, CHUNK], "left"))
+              .join(carry, [*KEY, CHUNK], "left"))
         keys = [*KEY, CHUNK]
     pk = pk.select(*cols, *[c for c in pk.columns if c not in cols])
     order = [*keys] if exact_sort else [HASH]

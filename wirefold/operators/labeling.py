@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from wirefold.functions import rules
 from wirefold.functions.columns import (
     blank_to_null, endpoint_high, endpoint_low, normalise_label, percent)
-from wirefold.session import broadcast_if_small
 
 LABEL_ENDPOINTS = ("source_ip", "source_port", "destination_ip", "destination_port")
 FLOW_ENDPOINTS = ("src_ip", "src_port", "dst_ip", "dst_port")
 NKEY = ["k_lo_ip", "k_lo_port", "k_hi_ip", "k_hi_port", "k_protocol"]
 # A mapping table has one row per label name; anything larger is not a mapping.
-MAPPING_ROWS = 100_000
 
 
 def with_canonical(df: DataFrame, endpoints=FLOW_ENDPOINTS, protocol: str = "protocol") -> DataFrame:
@@ -65,11 +63,6 @@ def mapping_for(mapping: DataFrame, dataset: str, order: str | None = None) -> D
                     (F.lower(F.trim("_m.keep_or_exclude")) != "exclude").alias("keep")))
 
 
-def _small(mapping: DataFrame) -> DataFrame:
-    """Checked before broadcast: one bounded count of the mapping rows."""
-    return broadcast_if_small(mapping, mapping.limit(MAPPING_ROWS + 1).count(), MAPPING_ROWS)
-
-
 def align_labels(flows: DataFrame, label_ref: DataFrame, mapping: DataFrame, dataset: str,
                  apply_keep: bool = True, compat_raw_conflict: bool = False) -> DataFrame:
     """Adds matched_flag, ambiguous_flag, label_match_method, original_label, binary_label, coarse_family,
@@ -78,7 +71,7 @@ def align_labels(flows: DataFrame, label_ref: DataFrame, mapping: DataFrame, dat
     The lookup is unique per key, so a hot flow key never multiplies rows; adaptive skew-join splits its partition.
     """
     lk = label_lookup(label_ref, compat_raw_conflict)
-    m = _small(mapping_for(mapping, dataset))
+    m = mapping_for(mapping, dataset)
     f = with_canonical(flows)
     j = (f.join(lk, NKEY, "left").withColumn("norm", normalise_label("label")).join(m, "norm", "left"))
     no_key = F.col("k_protocol").isNull()
@@ -155,7 +148,7 @@ def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
 
 def mapping_check(label_ref: DataFrame, mapping: DataFrame, dataset: str) -> DataFrame:
     """Per normalised label: rows, and whether the mapping knows it."""
-    m = _small(mapping_for(mapping, dataset))
+    m = mapping_for(mapping, dataset)
     g = (label_ref.where(F.col("label").isNotNull()).groupBy(normalise_label("label").alias("norm"))
          .agg(F.count("*").alias("n_rows"), F.countDistinct("label").alias("n_spellings")))
     return (g.join(m, "norm", "left")

@@ -1,4 +1,4 @@
-"""Session settings, checkpoint folder and guarded broadcast."""
+"""Session settings and the checkpoint folder."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when its counted rows stay below this bound (about 100 bytes a row).
-BROADCAST_ROWS = 1_000_000
-
 
 def build_session(app: str = "wirefold", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew-join handling and a UTC clock; `conf` keys use `_` for `.`."""
@@ -60,8 +55,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, and later branches all see one result."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the counted rows are within the limit; otherwise a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
