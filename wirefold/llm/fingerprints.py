@@ -30,6 +30,10 @@ SPLITS = 1024
 _LOW = 0xFFFFFFFF
 
 
+def _salted(salt: int):
+    return lambda h: F.xxhash64(h, F.lit(salt))
+
+
 def vector(text: Column, banks: int = BANKS) -> Column:
     """The fingerprint as array<long>: 8 lock lanes, the count, then the likeness lanes."""
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), lambda p: p != "")
@@ -45,8 +49,7 @@ def vector(text: Column, banks: int = BANKS) -> Column:
     def of(hashes: Column) -> Column:
         locks = [total(hashes, lambda h, i=i, s=s: F.shiftrightunsigned(F.xxhash64(h, F.lit(i)), s).bitwiseAND(
             F.lit(_LOW))).bitwiseAND(F.lit(_LOW)) for i in range(LOCKS) for s in (0, 32)]
-        banked = [lanes(h) for h in [hashes] + [F.transform(hashes, lambda x, b=b: F.xxhash64(x, F.lit(1000 + b)))
-                                                for b in range(1, banks)]]
+        banked = [lanes(hashes)] + [lanes(F.transform(hashes, _salted(1000 + b))) for b in range(1, banks)]
         return F.concat(F.array(*locks, F.size(hashes).cast("long")), *banked)
 
     # transform over a one-element array binds the hashes, so that they are computed once a text
@@ -100,14 +103,15 @@ def _range_of(key: Column, cuts: list[int]) -> Column:
         at * step + below(F.element_at(lists, F.least(at + 1, F.lit(len(fine))))))
 
 
-def with_next(docs: DataFrame, carry: list[str], splits: int = SPLITS) -> DataFrame:
+def with_next(docs: DataFrame, carry: list[str], splits: int | None = None) -> DataFrame:
     """Adds next_<c> for each c of `carry`: its value in the next row in descending doc_id (ties in descending text;
     null ids last); after the last row comes the first.
 
-    Rows go into at most `splits` ranges of ids by sampled quantiles; each range also gets a copy of the first row of the
+    Rows go into at most `splits` ranges of ids (twice the shuffle partitions, at least SPLITS) by quantiles; each range also gets a copy of the first row of the
     range below, so no window spans ranges. Two short lists of ids (one per range) pass through the driver.
     """
     low = -(2**63) + 1
+    splits = splits or max(SPLITS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(low)))
     found = d.agg(F.percentile_approx("__key", [i / splits for i in range(1, splits)], 20 * splits)).first()[0] or []
     cuts = sorted(set(found))
@@ -131,7 +135,7 @@ def with_next(docs: DataFrame, carry: list[str], splits: int = SPLITS) -> DataFr
     return d.filter(~F.col("__ghost")).drop("__key", "__range", "__ghost")
 
 
-def edited_fingerprints(docs: DataFrame, banks: int = BANKS, splits: int = SPLITS) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, banks: int = BANKS, splits: int | None = None) -> DataFrame:
     """Fingerprint of every text, of its edited text and of the next document, and the likeness to both.
 
     Edited: the last floor(n_chars / 2) code points are replaced by the first as many (or all) of the next document.
