@@ -96,13 +96,17 @@ def redact(docs: DataFrame, path: str | None = None, ratio: float = RATIO, mark:
                 at = b
         return t if t is None or not out else "".join(out) + t[at:]
 
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
     def rewrite(batches):
         for batch in batches:
-            text = pa.array([clean(t) for t in batch.column(where).to_pylist()], pa.string())
-            yield batch.set_column(where, batch.schema.field(where), text)
-
-    out = flat.mapInArrow(rewrite, flat.schema).toDF(*docs.columns)
-    if "n_chars" in docs.columns:
-        n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(n))
-    return out
+            texts = [clean(t) for t in batch.column(where).to_pylist()]
+            field = batch.schema.field(where)
+            batch = batch.set_column(where, field, pa.array(texts, field.type))
+            if counted is not None:
+                field = batch.schema.field(counted)
+                n = [old if t is None else len(t) for t, old in zip(texts, batch.column(counted).to_pylist())]
+                batch = batch.set_column(counted, field, pa.array(n, field.type))
+            yield batch
+
+    return flat.mapInArrow(rewrite, flat.schema).toDF(*docs.columns)
