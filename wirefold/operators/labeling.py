@@ -209,7 +209,8 @@ def shared_keys(flows: DataFrame, label_ref: DataFrame) -> DataFrame:
 
 
 def sample_times(label_ref: DataFrame, col: str = "ts_us", n: int = 5) -> DataFrame:
-    return label_ref.where(F.col(col).isNotNull()).select(col).limit(n)
+    """The n earliest label times."""
+    return label_ref.where(F.col(col).isNotNull()).select(col).orderBy(col).limit(n)
 
 
 def label_summary(label_ref: DataFrame, by: str = "pcap_file", n: int = 10) -> DataFrame:

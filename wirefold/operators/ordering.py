@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+ROWS_PER_BUCKET = 5_000_000
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -20,10 +21,20 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def depth_cuts(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Distinct inner cut points that split all rows of `df` into buckets of near-equal row count."""
+    """Distinct inner cut points that split all rows of `df` into buckets of near-equal row count.
+
+    Without `buckets`, the aggregate that makes the cuts also counts the rows, and is repeated with more buckets where
+    these would hold more than ROWS_PER_BUCKET rows.
+    """
+    def cut(n: int):
+        probs = [i / n for i in range(1, n)]
+        return df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 20 * n).alias("c"),
+                      F.count(F.lit(1)).alias("n")).first()
+
     n = buckets or bucket_count(df)
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 20 * n).alias("c")).first()
+    row = cut(n)
+    if buckets is None and row["n"] > n * ROWS_PER_BUCKET:
+        row = cut(-(-row["n"] // ROWS_PER_BUCKET))
     return sorted(set(row["c"] or []))
 
 

@@ -201,6 +201,7 @@ ORACLE = {
         count(*) filter (not matched_flag and not ambiguous_flag) as unmatched,
         count(*) filter (binary_label = 'benign') as benign, count(*) filter (binary_label = 'attack') as attack,
         round(100.0::double * count(*) filter (matched_flag) / count(*), 4) as match_rate from labelled"""),
+    "sample_label_times": o.sql(["label_ref"], "select ts_us from label_ref where ts_us is not null order by 1 limit 5"),
     "exclusion_log": with_labels(f"select {', '.join(lb.LOG_COLS)} from labelled where exclusion_reason is not null"),
     "ambiguous_log": with_labels("select " + ", ".join(c for c in lb.LOG_COLS if c != "original_label")
                                  + " from labelled where ambiguous_flag"),

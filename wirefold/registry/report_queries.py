@@ -12,7 +12,7 @@ from wirefold.plans.fixtures import table
 from wirefold.registry import oracle as o
 from wirefold.registry.threshold_queries import BY, conf, rates_sql, rnd, scores
 
-REPS = 25
+REPS = 1000
 
 
 def bootstrap_hashed(spark, sf):
