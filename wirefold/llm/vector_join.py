@@ -6,8 +6,9 @@ cell's own vectors: by the triangle inequality it must lie within the distance o
 its distance to every pivot must be within the distance of the range that the cell's vectors have. Cells then join
 independently, large ones in blocks, and give link counts and a forest of links, never all pairs.
 
-Equal vectors are one vector with a count. Pivots are a bounded, hashed sample of the vectors: they steer the work and
-not the result. Every test leaves a margin for rounding, and the cosine that decides is computed in double precision.
+Equal vectors are one vector with a count. Pivots are a bounded, hashed sample of the vectors, and their number is the
+one of least estimated cost on that sample (vectors sent and vectors compared): they steer the work and not the result.
+Vectors without any structure leave little to prune in many dimensions; then few pivots are best and most cells meet. Every test leaves a margin for rounding, and the cosine that decides is computed in double precision.
 
 Defined results: vectors that are null, zero, of another length than the most frequent one, or hold null or non-finite
 members link with nothing and are components of their own; rows with null vec_id likewise, with component null; rows that
@@ -28,8 +29,10 @@ from wirefold.llm.components import components
 from wirefold.session import cut_lineage
 
 MAX_PIVOTS = 1024
-LEFT_ROWS, RIGHT_ROWS = 2048, 8192
+BLOCK_NUMBERS = 1 << 19  # numbers in the left half of a block; the right half holds twice as many
+MOVE = 1000  # comparisons that cost as much as sending a vector
 MARGIN = 1e-9
+ROUNDING = 1e-4  # of cosines in single precision
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -73,11 +76,49 @@ def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0))
 
 
+def block_rows(dim: int) -> tuple[int, int]:
+    left = max(16, BLOCK_NUMBERS // max(dim, 1))
+    return left, 2 * left
+
+
+def meets_here(k: int) -> np.ndarray:
+    """[home, other]: whether a vector of `home` goes to `other` for the pair of cells, rather than the reverse; the
+    lower cell takes it where the numbers have the same parity, so that no cell takes all."""
+    i = np.arange(k)
+    same = (i[:, None] + i[None, :]) % 2 == 0
+    return np.where(same, i[None, :] < i[:, None], i[None, :] > i[:, None])
+
+
+def planes(d: np.ndarray, cell: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """Lower bound of the distance from each vector to the vectors of each other cell."""
+    near = d[np.arange(len(d)), cell]
+    return (np.square(d) - np.square(near)[:, None]) / (2.0 * between[cell])
+
+
+def choose_pivots(sample: np.ndarray, count: int, cosine: float, most: int) -> np.ndarray:
+    """The first rows of the sample, as many as have the least estimated cost per vector."""
+    eps = math.sqrt(2.0 - 2.0 * cosine) + MARGIN
+    left, _ = block_rows(sample.shape[1])
+    best, k = None, 4
+    while k <= min(most, len(sample), max(4, count // 8)):
+        p = sample[:k]
+        d = _to_pivots(sample, p)
+        cell = d.argmin(1)
+        between = np.maximum(_to_pivots(p, p), 1e-12)
+        copies = ((planes(d, cell, between) <= eps) & meets_here(k)[cell]).sum(1).mean()
+        cost = MOVE * copies * math.ceil(count / k / left) + count / k * (1 + copies)
+        if best is None or cost < best[0]:
+            best = cost, k
+        k *= 2
+    return sample[:best[1] if best else max(1, min(4, len(sample)))]
+
+
 def link_table(units: DataFrame, dim: int, cosine: float, pivots: np.ndarray) -> DataFrame:
     """(id, n_links, root) of units (id, n, unit), ids unique: weighted links, in parts, and links of a forest."""
     eps = math.sqrt(2.0 - 2.0 * cosine) + MARGIN
     k = len(pivots)
     between = np.maximum(_to_pivots(pivots, pivots), 1e-12)
+    here = meets_here(k)
 
     def home(batches):
         for batch in batches:
@@ -105,10 +146,8 @@ def link_table(units: DataFrame, dim: int, cosine: float, pivots: np.ndarray) ->
         low[r["cell"]], high[r["cell"]], own[r["cell"]] = r["low"], r["high"], r["n"]
 
     def reach(d: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of copies: only to cells of a lower number, so each pair of cells meets once."""
-        near = d[np.arange(len(d)), cell]
-        plane = (np.square(d) - np.square(near)[:, None]) / (2.0 * between[cell])
-        row, to = np.nonzero((plane <= eps) & (np.arange(k) < cell[:, None]) & (own > 0))
+        """(row, cell) of copies; each pair of cells meets once."""
+        row, to = np.nonzero((planes(d, cell, between) <= eps) & here[cell] & (own > 0))
         ok = np.zeros(len(row), bool)
         for a in range(0, len(row), 4096):
             r, t = row[a:a + 4096], to[a:a + 4096]
@@ -131,7 +170,8 @@ def link_table(units: DataFrame, dim: int, cosine: float, pivots: np.ndarray) ->
     copies = np.zeros(k, np.int64)
     for r in units.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         copies[r["cell"]] = r["n"]
-    left, right = -(-own // LEFT_ROWS), -(-(own + copies) // RIGHT_ROWS)
+    left_rows, right_rows = block_rows(dim)
+    left, right = -(-own // left_rows), -(-(own + copies) // right_rows)
 
     def deal(batches):
         """Own vectors as left and right rows, copies as right rows, over the blocks of their cells."""
@@ -166,14 +206,21 @@ def link_table(units: DataFrame, dim: int, cosine: float, pivots: np.ndarray) ->
                 a = root[a]
             return a
 
+        single = x.astype(np.float32)
+        right = single[ri].T
         for a in range(0, len(li), 256):
             rows = li[a:a + 256]
-            hit = x[rows] @ x[ri].T >= cosine
-            hit &= ids[rows][:, None] != ids[ri][None, :]
-            links[rows] += hit @ n[ri]
-            links[ri] += np.where(own_row[ri], 0, n[rows] @ hit)  # an own row counts where it stands on the left
-            i, j = np.nonzero(hit)
-            for p, q in np.unique(np.stack([ids[rows][i], ids[ri][j]], 1), axis=0).tolist() if len(i) else ():
+            i, j = np.nonzero(single[rows] @ right >= cosine - ROUNDING)  # single precision finds, double decides
+            i, j = rows[i], ri[j]
+            keep = ids[i] != ids[j]
+            i, j = i[keep], j[keep]
+            keep = np.concatenate([(x[i[b:b + 4096]] * x[j[b:b + 4096]]).sum(1) for b in range(0, len(i), 4096)] or [
+                np.zeros(0)]) >= cosine
+            i, j = i[keep], j[keep]
+            np.add.at(links, i, n[j])
+            copied = ~own_row[j]  # an own row counts where it stands on the left
+            np.add.at(links, j[copied], n[i[copied]])
+            for p, q in zip(ids[i].tolist(), ids[j].tolist()):
                 p, q = find(p), find(q)
                 if p != q:
                     root[max(p, q)] = min(p, q)
@@ -197,13 +244,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, max_pivots: int = M
     units = cut_lineage(rows.filter(usable).groupBy("key").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")))
     count = units.count()
-    k = min(max_pivots, max(16, math.isqrt(max(count, 1))))
     # a bounded sample of at most max_pivots vectors
-    pivots = np.array([r["unit"] for r in units.orderBy("key").limit(k).select("unit").collect()])
+    sample = np.array([r["unit"] for r in units.orderBy("key").limit(max_pivots).select("unit").collect()])
     if not count:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.col("vec_id").isNotNull().alias("kept"))
     # two different vectors can share their smallest vec_id only where vec_ids repeat: number them by key
+    pivots = choose_pivots(sample, count, cosine, max_pivots)
     numbered = units.withColumn("id", F.xxhash64("key"))
     found = cut_lineage(link_table(numbered.select("id", "n", "unit"), dim, cosine, pivots))
     total = found.groupBy("id").agg(F.sum("n_links").alias("others"))
