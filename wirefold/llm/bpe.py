@@ -5,7 +5,8 @@ The tokenizer's own pattern never joins what is on both sides of such a cut, so
 row. Documents go in chunks; a chunk sends its distinct words to the word table, dealt by the words' hashes, where each
 distinct word is encoded once, and keeps the position list of its documents' words. The words' ids come back to the
 chunk and are joined to the positions. Only packed distinct words, their ids and positions are shuffled, never rows per
-word. Texts in which a cut could be wrong (other white space than ASCII, a special token's string) count as one word.
+word. The documents are read twice, once for their words and once for the positions; a chunk's name holds a digest of
+its texts, so an input that changes in between fails the job and cannot give wrong ids (write such an input first). Texts in which a cut could be wrong (other white space than ASCII, a special token's string) count as one word.
 
 Decoding joins ids to the table of pieces, which is as large as the vocabulary, inside the tasks.
 
@@ -15,6 +16,7 @@ rejected by decode (null ids as a whole are none); repeated rows are kept; ids o
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import lru_cache
 
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from wirefold.llm import words
 from wirefold.llm.common import documents, load_tokenizer, pick, vocabulary_path
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 _BLANK = 32
 
 
@@ -97,26 +99,32 @@ def _hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return words.mix(out + (ends - starts).astype(np.uint64))
 
 
-def _chunk_rows(key: str, doc_ids: pa.Array, texts: pa.Array, buckets: int, special: list[bytes]) -> dict:
-    """The rows of one chunk: the word positions of its documents, and its distinct words by bucket."""
+def _chunk_rows(name: str, doc_ids: pa.Array, texts: pa.Array, buckets: int, special: list[bytes],
+                layout: bool) -> dict:
+    """The rows of one chunk: the word positions of its documents, or its distinct words by bucket."""
     data, offs = words.utf8(texts)
+    key = f"{name}:{hashlib.blake2b(data, digest_size=16).hexdigest()}:{len(texts)}"
     starts = word_starts(data, offs, uncut(data, offs, special))
     ends = np.append(starts[1:], len(data))
     distinct, first, at, count = np.unique(_hashes(data, starts), return_index=True, return_inverse=True,
                                            return_counts=True)
-    # Positions hold ranks by frequency, which pack well; the words go by bucket, `turn` leads from one to the other.
-    by_count = np.argsort(-count, kind="stable")
-    rank = np.empty(len(distinct), np.uint32)
-    rank[by_count] = np.arange(len(distinct), dtype=np.uint32)
     bucket = (distinct % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    turn = np.empty(len(distinct), np.uint32)
-    turn[rank[order]] = np.arange(len(distinct), dtype=np.uint32)
+    if layout:
+        # Positions hold ranks by frequency, the first 255 in one byte; the words go by bucket, `turn` leads from one
+        # to the other.
+        rank = np.empty(len(distinct), np.uint32)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(distinct), dtype=np.uint32)
+        turn = np.empty(len(distinct), np.uint32)
+        turn[rank[order]] = np.arange(len(distinct), dtype=np.uint32)
+        at = rank[at]
+        ids = np.array([-1 if x is None else x for x in doc_ids.to_pylist()], np.int64)
+        null = np.array([x is None for x in doc_ids.to_pylist()], np.uint8)
+        return {"target": [key], "chunk": [key], "bucket": [-1], "n": [len(texts)], "words": [_pack_all(
+            ids, null, np.searchsorted(starts, offs).astype(np.int64), np.minimum(at, 255).astype(np.uint8),
+            at[at >= 255] - np.uint32(255), turn)]}
     edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    ids = np.array([-1 if x is None else x for x in doc_ids.to_pylist()], np.int64)
-    null = np.array([x is None for x in doc_ids.to_pylist()], np.uint8)
-    rows = {"target": [key], "chunk": [key], "bucket": [-1], "n": [len(texts)], "words": [_pack_all(
-        ids, null, np.searchsorted(starts, offs).astype(np.int64), rank[at], turn)]}
+    rows: dict[str, list] = {"target": [], "chunk": [], "bucket": [], "n": [], "words": []}
     for b in range(buckets):
         chosen = order[edge[b]:edge[b + 1]]
         if len(chosen):
@@ -138,14 +146,18 @@ def _unpack_all(b: bytes, *kinds) -> list[np.ndarray]:
     return [_unpack(b[cut[i]:cut[i + 1]], k) for i, k in enumerate(kinds)]
 
 
-def _join_words(key: str, layout: bytes, found: list[tuple[int, int, bytes]]) -> pa.Table:
+def _join_words(key: str, layout: bytes, found: list[tuple[int, bytes]]) -> pa.Table:
     """Documents of a chunk with their ids: positions joined to the ids of the chunk's words."""
-    ids, null, n_words, rank, turn = _unpack_all(layout, np.int64, np.uint8, np.int64, np.uint32, np.uint32)
-    got = [_unpack_all(b, np.uint16, np.uint32) for _, _, b in sorted(found, key=lambda x: x[0])]
+    ids, null, n_words, short, more, turn = _unpack_all(layout, np.int64, np.uint8, np.int64, np.uint8, np.uint32,
+                                                        np.uint32)
+    rank = short.astype(np.uint32)
+    rank[short == 255] += more
+    got = [_unpack_all(b, np.uint16, np.uint32) for _, b in sorted(found)]
     size = np.concatenate([g[0] for g in got] or [np.zeros(0, np.uint16)]).astype(np.int64)
     flat = np.concatenate([g[1] for g in got] or [np.zeros(0, np.uint32)]).astype(np.int32)
     if len(size) != len(turn):
-        raise RuntimeError(f"chunk {key}: {len(size)} of {len(turn)} words came back")
+        raise RuntimeError(f"chunk {key}: {len(size)} of {len(turn)} words came back; the documents changed between two "
+                           "readings, write them to a table first")
     first = np.append(0, np.cumsum(size))
     word = turn[rank]
     step, out, ends = 1 << 18, [], [np.zeros(1, np.int64)]
@@ -172,7 +184,7 @@ def encode(docs: DataFrame, path: str | None = None, buckets: int | None = None,
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def split(batches):
+    def split(batches, layout):
         from pyspark import TaskContext
 
         special = special_strings(path)
@@ -182,13 +194,11 @@ def encode(docs: DataFrame, path: str | None = None, buckets: int | None = None,
             a = 0
             while a < len(batch):
                 b = max(a + 1, int(np.searchsorted(offs, offs[a] + chunk_bytes, "right")) - 1)
-                rows = _chunk_rows(f"c{part}:{n}", batch["doc_id"][a:b], batch["text"][a:b], buckets, special)
+                rows = _chunk_rows(f"c{part}:{n}", batch["doc_id"][a:b], batch["text"][a:b], buckets, special, layout)
                 yield pa.RecordBatch.from_pydict(rows, schema=_ROWS)
                 a, n = b, n + 1
 
     def encode_words(key, group):
-        if not key[0].as_py().startswith("b"):
-            return group.select(["chunk", "bucket", "n", "words"])
         known: dict[bytes, np.ndarray] = {}
         out = []
         for packed in group["words"].to_pylist():
@@ -205,15 +215,18 @@ def encode(docs: DataFrame, path: str | None = None, buckets: int | None = None,
         return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "n": group["n"], "words": pa.array(
             out, pa.binary())})
 
-    def join(key, group):
-        bucket, packed = group["bucket"].to_pylist(), group["words"].to_pylist()
-        layout = [w for b, w in zip(bucket, packed) if b < 0]
-        return _join_words(key[0].as_py(), layout[0], [(b, 0, w) for b, w in zip(bucket, packed) if b >= 0])
-
-    rows = documents(docs).select("doc_id", "text").mapInArrow(
-        split, "target string, chunk string, bucket int, n int, words binary")
-    coded = rows.groupBy("target").applyInArrow(encode_words, "chunk string, bucket int, n int, words binary")
-    return coded.groupBy("chunk").applyInArrow(join, "doc_id long, ids array<int>")
+    def join(key, found, layouts):
+        if len(layouts) != 1:
+            raise RuntimeError(f"chunk {key[0]}: the documents changed between two readings, write them to a table first")
+        return _join_words(key[0].as_py(), layouts["words"][0].as_py(), list(zip(
+            found["bucket"].to_pylist(), found["words"].to_pylist())))
+
+    rows = "target string, chunk string, bucket int, n int, words binary"
+    both = documents(docs).select("doc_id", "text")
+    coded = both.mapInArrow(lambda batches: split(batches, False), rows).groupBy("target").applyInArrow(
+        encode_words, "chunk string, bucket int, n int, words binary")
+    layouts = both.mapInArrow(lambda batches: split(batches, True), rows).drop("target")
+    return coded.groupBy("chunk").cogroup(layouts.groupBy("chunk")).applyInArrow(join, "doc_id long, ids array<int>")
 
 
 _ROWS = pa.schema([("target", pa.string()), ("chunk", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()),
