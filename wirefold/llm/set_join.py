@@ -12,8 +12,8 @@ one-deletion neighbourhoods: the contents of each segment less one member, which
 member, and so counts for two segments in the pigeonhole. Small sets use segments of single shingles.
 
 Equal sets are one set throughout. Candidates are not all pairs of a group: every set is first compared with one
-representative of the groups it is in, then with the components it is not yet part of, and last with all members of
-other components in its groups. Each comparison intersects the whole sets.
+representative of the groups it is in, then with a few drawn from them, and last with all members of other components
+in its groups. Each comparison intersects the whole sets.
 
 Defined results: null and empty texts have an empty set and link with nothing; texts with fewer words than a shingle
 have one shingle; repeated rows have equal sets; rows without doc_id get no links and component null.
@@ -24,9 +24,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.llm import words
@@ -35,6 +34,8 @@ from wirefold.llm.components import components
 from wirefold.llm.lengths import slices
 from wirefold.session import cut_lineage
 
+ROUNDS = (1, 3, 3)  # comparisons of a set with group representatives, by round
+
 
 @dataclass(frozen=True)
 class Bands:
@@ -80,13 +81,21 @@ def segment_of(members: np.ndarray, scheme: int, m: int) -> np.ndarray:
 def signatures(members: np.ndarray, scheme: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signature and size of each non-empty segment, and the members in order of segment."""
     seg = segment_of(members, scheme, m)
-    order = np.argsort(seg, kind="stable")
+    order = np.argsort(seg.astype(np.uint16) if 0 < m < 1 << 16 else seg, kind="stable")
     seg, members = seg[order], members[order]
     lead = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
     total = np.add.reduceat(words.mix(members), lead)
     return _sign(seg[lead], total, scheme), np.diff(np.append(lead, len(seg))), members
 
 
+def segment_sizes(members: np.ndarray, scheme: int, m: int) -> np.ndarray:
+    """Sizes of the non-empty segments, in any order."""
+    if not m:
+        return np.ones(len(members), np.int64)
+    n = np.bincount(segment_of(members, scheme, m).astype(np.int64), minlength=m)
+    return n[n > 0]
+
+
 def _sign(seg: np.ndarray, total: np.ndarray, scheme: int) -> np.ndarray:
     return words.mix(words.mix(seg ^ words.mix(np.array([scheme + 1000], np.uint64))) ^ total)
 
@@ -127,8 +136,27 @@ def parts(batch: pa.RecordBatch, most: int = 4 << 20):
         yield batch.slice(a, b - a)
 
 
-def document_sets(docs: DataFrame, shingle: int = 5, with_members: bool = False) -> DataFrame:
-    """doc_id, n_shingles, set_id and, if asked for, the sorted members of each document's set."""
+FACTS = "array<struct<role: int, scheme: int, errors: long, total: long, short: int>>"
+_FACTS = pa.list_(pa.struct([("role", pa.int32()), ("scheme", pa.int32()), ("errors", pa.int64()), ("total", pa.int64()),
+                             ("short", pa.int32())]))
+
+
+def facts_of(members: np.ndarray, bands: Bands, edges: list[int]) -> list[dict]:
+    """Per role of a set: how many signatures it has, how many segments may differ, and whether one-deletion
+    neighbourhoods are needed (1) or, beyond them, empty segments (2)."""
+    out = []
+    for role, (scheme, m, errors) in enumerate(bands.schemes(len(members), edges) if len(members) else ()):
+        size = segment_sizes(members, scheme, m)
+        able = 2 * int((size > 1).sum()) + int((size == 1).sum())
+        out.append({"role": role, "scheme": scheme, "errors": errors, "total": len(size),
+                    "short": 0 if len(size) > errors else 1 if able > errors else 2})
+    return out
+
+
+def document_facts(docs: DataFrame, bands: Bands, most: int, shingle: int = 5) -> DataFrame:
+    """doc_id, n_shingles, set_id and the facts of each document's set."""
+    edges = bands.edges(most)
+
     def run(batches):
         for batch in batches:
             for part in parts(batch):
@@ -136,11 +164,47 @@ def document_sets(docs: DataFrame, shingle: int = 5, with_members: bool = False)
                 yield pa.RecordBatch.from_arrays([
                     part["doc_id"], pa.array([len(s) for s in got], pa.int64()),
                     pa.array([set_id(s) for s in got], pa.int64()),
-                    *([pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))] if with_members else [])],
-                    ["doc_id", "n_shingles", "set_id", *(["members"] if with_members else [])])
+                    pa.array([facts_of(s, bands, edges) for s in got], _FACTS)],
+                    ["doc_id", "n_shingles", "set_id", "facts"])
 
     return documents(docs).select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_id long" + (", members array<long>" if with_members else ""))
+        run, f"doc_id long, n_shingles long, set_id long, facts {FACTS}")
+
+
+def _bitmap(ids: DataFrame, most_bits: int = 27) -> np.ndarray:
+    """A set of ids as bits at their hashes, about 32 bits an id and 16 MB at most, whatever the number of ids."""
+    bits = max(16, min(most_bits, int(ids.count() * 32).bit_length()))
+    at = F.shiftrightunsigned(F.xxhash64("doc"), 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))
+    cells = ids.select(F.shiftright(at, 5).alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[cells["w"].to_numpy(np.int64)] = cells["b"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def sets_of(docs: DataFrame, live: DataFrame, shingle: int) -> DataFrame:
+    """doc, set_id and sorted members of the documents whose ids are in `live` (doc). A bitmap of the ids leaves most
+    other texts out before the join that decides."""
+    marks = _bitmap(live)
+    bits = len(marks).bit_length() + 4
+
+    def kept(batches):
+        for batch in batches:
+            at = batch["at"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            hit = marks[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch):
+                got = list(shingle_sets(part["text"], shingle))
+                yield pa.RecordBatch.from_arrays([
+                    part["doc_id"], pa.array([set_id(s) for s in got], pa.int64()),
+                    pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["doc", "set_id", "members"])
+
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("at")).mapInArrow(kept, "doc_id long, text string")
+    texts = texts.join(live, texts["doc_id"] == live["doc"], "left_semi")
+    return texts.mapInArrow(run, "doc long, set_id long, members array<long>")
 
 
 def rare_signatures(docs: DataFrame, bands: Bands, most: int, shingle: int, buckets: int) -> DataFrame:
@@ -213,30 +277,6 @@ def rare_signatures(docs: DataFrame, bands: Bands, most: int, shingle: int, buck
     return packed.groupBy("bucket").applyInArrow(count, "set_id long, role int, sig long, n long")
 
 
-def set_table(docs: DataFrame, bands: Bands, most: int, shingle: int) -> DataFrame:
-    """Per set and role: how many signatures it has, how many segments may differ, and whether one-deletion
-    neighbourhoods are needed (1) or, beyond them, empty segments (2)."""
-    edges = bands.edges(most)
-
-    def run(batches):
-        for batch in batches:
-            for part in parts(batch):
-                rows = []
-                for s in shingle_sets(part["text"], shingle):
-                    for role, (scheme, m, errors) in enumerate(bands.schemes(len(s), edges) if len(s) else ()):
-                        _, size, _ = signatures(s, scheme, m)
-                        able = int((size > 1).sum()) * 2 + int((size == 1).sum())
-                        rows.append((set_id(s), role, scheme, errors, len(size),
-                                     0 if len(size) > errors else 1 if able > errors else 2))
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["set_id", "role", "scheme", "errors",
-                                                                             "total", "short"]).astype(
-                    {"set_id": "int64", "role": "int32", "scheme": "int32", "errors": "int64", "total": "int64",
-                     "short": "int32"}), preserve_index=False)
-
-    return documents(docs).select("doc_id", "text").mapInArrow(
-        run, "set_id long, role int, scheme int, errors long, total long, short int").distinct()
-
-
 def _deletions(docs: DataFrame, bands: Bands, most: int, shingle: int, schemes: dict[int, int]) -> DataFrame:
     """Keys by one-deletion neighbourhoods for the schemes in which a set needs them."""
     edges = bands.edges(most)
@@ -254,13 +294,14 @@ def _deletions(docs: DataFrame, bands: Bands, most: int, shingle: int, schemes:
     return documents(docs).select("doc_id", "text").mapInArrow(run, "set_id long, sig long").distinct()
 
 
-def candidate_keys(docs: DataFrame, bands: Bands = Bands(), shingle: int = 5, buckets: int | None = None) -> DataFrame:
-    """(sig, set_id): sets that may be similar share a sig."""
-    spark = docs.sparkSession
-    buckets = min(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
-    # No set has more members than its text has bytes.
-    most = int(documents(docs).agg(F.max(F.octet_length("text"))).first()[0] or 1)
-    facts = cut_lineage(set_table(docs, bands, most, shingle))
+def largest(docs: DataFrame) -> int:
+    """No set has more members than its text has bytes."""
+    return int(docs.agg(F.max(F.octet_length("text"))).first()[0] or 1)
+
+
+def candidate_keys(docs: DataFrame, base: DataFrame, bands: Bands, most: int, shingle: int, buckets: int) -> DataFrame:
+    """(sig, set_id): sets that may be similar share a sig. `base` holds the documents' facts."""
+    facts = base.select("set_id", F.explode("facts").alias("f")).select("set_id", "f.*").distinct()
     shared = rare_signatures(docs, bands, most, shingle, buckets)
     mine = shared.groupBy("set_id", "role").agg(F.collect_list(F.struct("n", "sig")).alias("sigs"))
     need = F.col("errors") + 1 - (F.col("total") - F.size("sigs"))
@@ -285,47 +326,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return got.filter(F.col("both") * bands.den >= (F.col("sum") - F.col("both")) * bands.num).select("a", "b", "both")
 
 
+def _mixed(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """The keys with the component of each set so far, of groups that hold more than one component."""
+    comp = components(links).select(F.col("node").alias("doc"), "component")
+    now = keys.join(comp, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = now.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    return now.join(mixed.select("sig"), "sig")
+
+
 def similar_components(docs: DataFrame, bands: Bands = Bands(), shingle: int = 5,
                        buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, set_id and component_id (smallest doc_id reachable by links) of every document."""
     docs = documents(docs)
-    base = cut_lineage(document_sets(docs, shingle))
+    buckets = min(buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    most = largest(docs)
+    base = cut_lineage(document_facts(docs, bands, most, shingle))
     distinct = base.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
-    keys = candidate_keys(docs, bands, shingle, buckets).join(distinct, "set_id").select("sig", "doc", "n")
+    keys = candidate_keys(docs, base, bands, most, shingle, buckets).join(distinct, "set_id").select(
+        "sig", "doc", "set_id", "n")
     keys = cut_lineage(keys)
     # Whole sets of the sets that have candidates: their texts alone are read into sets again.
-    live = keys.select(F.col("doc").alias("live")).distinct()
-    texts = docs.join(live, docs["doc_id"] == live["live"], "left_semi")
-    # equal doc_ids with several texts: the set that the keys speak of
-    sets = document_sets(texts, shingle, True).withColumnRenamed("doc_id", "doc").join(
-        distinct.select("set_id", "doc"), ["set_id", "doc"]).dropDuplicates(["doc"]).select("doc", "members")
-    sets = cut_lineage(sets)
-
-    # 1. each set against the representative that most of its groups have
-    group = keys.groupBy("sig").agg(F.min("doc").alias("rep"))
-    votes = keys.join(group, "sig").filter("doc != rep").groupBy("doc", "rep").count()
-    first = votes.groupBy("doc").agg(F.max_by("rep", F.struct("count", -F.col("rep"))).alias("rep"))
-    links = cut_lineage(_verified(first.select(F.col("doc").alias("a"), F.col("rep").alias("b")), sets, bands))
-    # 2. each set against the best-placed set of every other component in its groups; 3. against all of them
-    for last in (False, True):
-        comp = components(links).select(F.col("node").alias("doc"), "component")
-        now = cut_lineage(keys.join(comp, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
-        mixed = now.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                       F.count(F.lit(1)).alias("size")).filter("low != high")
-        now = now.join(mixed.select("sig"), "sig")
-        share = now.groupBy("sig", "component").count()
-        big = share.groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("big"))
-        # one side leaves out each group's largest component, so members of one component never meet
-        outer = now.join(big, "sig").filter("component != big").select(
-            "sig", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "big")
-        inner = now.select("sig", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        fits = (F.least("na", "nb") * bands.den >= F.greatest("na", "nb") * bands.num) & (F.col("ca") != F.col("cb"))
-        once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
-        pairs = outer.join(inner, "sig").filter(fits & once).groupBy("a", "b", "ca", "cb").count()
-        if not last:
-            pairs = pairs.groupBy("a", "cb").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-        links = cut_lineage(links.union(_verified(pairs.select("a", "b"), sets, bands)))
+    live = cut_lineage(keys.select("doc", "set_id").distinct())
+    # one doc_id may stand at several texts: the set that the keys speak of counts
+    sets = cut_lineage(sets_of(docs, live.select("doc").distinct(), shingle).join(live, ["doc", "set_id"]).dropDuplicates(
+        ["doc"]).select("doc", "members"))
+
+    # 1. Each set against representatives of its groups, in a few rounds: first the smallest document of a group, then
+    # members drawn by hash, the `tries` that most of the set's groups have drawn. A round has a row per set and group.
+    links = None
+    for turn, tries in enumerate(ROUNDS):
+        if links is None:
+            now = keys.withColumn("component", F.col("doc"))
+        else:
+            now = _mixed(keys, links)
+        drawn = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
+        group = now.groupBy("sig").agg(F.min_by(F.struct("doc", "component"), drawn).alias("rep"))
+        votes = now.join(group, "sig").filter("component != rep.component").groupBy(
+            "doc", F.col("rep.doc").alias("rep")).count()
+        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "rep"))), 1, tries)
+        tried = votes.groupBy("doc").agg(best.alias("reps")).select(F.col("doc").alias("a"), F.explode("reps.rep").alias("b"))
+        found = _verified(tried, sets, bands)
+        links = cut_lineage(found if links is None else links.union(found))
+    # 2. What remains: all pairs of different components in a group. One side leaves out each group's largest component,
+    # so its members never meet.
+    now = cut_lineage(_mixed(keys, links))
+    share = now.groupBy("sig", "component").count()
+    big = share.groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("big"))
+    outer = now.join(big, "sig").filter("component != big").select(
+        "sig", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "big")
+    inner = now.select("sig", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    fits = (F.least("na", "nb") * bands.den >= F.greatest("na", "nb") * bands.num) & (F.col("ca") != F.col("cb"))
+    once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
+    pairs = outer.join(inner, "sig").filter(fits & once).select("a", "b").distinct()
+    links = cut_lineage(links.union(_verified(pairs, sets, bands)))
     comp = components(links).select(F.col("node").alias("doc"), "component")
     by_set = distinct.join(comp, "doc", "left").select("set_id", F.coalesce("component", "doc").alias("component"))
     linked = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
