@@ -96,13 +96,13 @@ def planes(d: np.ndarray, cell: np.ndarray, between: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(sample: np.ndarray, count: int, cosine: float, most: int) -> np.ndarray:
-    """The first rows of the sample, as many as have the least estimated cost per vector."""
+    """The first rows of the sample, as many as have the least estimated cost per vector of its other half."""
     eps = math.sqrt(2.0 - 2.0 * cosine) + MARGIN
     left, _ = block_rows(sample.shape[1])
-    best, k = None, 4
-    while k <= min(most, len(sample), max(4, count // 8)):
+    rest, best, k = sample[len(sample) // 2:], None, 4
+    while k <= min(most, len(sample) // 2, max(4, count // 8)):
         p = sample[:k]
-        d = _to_pivots(sample, p)
+        d = _to_pivots(rest, p)
         cell = d.argmin(1)
         between = np.maximum(_to_pivots(p, p), 1e-12)
         copies = ((planes(d, cell, between) <= eps) & meets_here(k)[cell]).sum(1).mean()
@@ -244,8 +244,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, max_pivots: int = M
     units = cut_lineage(rows.filter(usable).groupBy("key").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")))
     count = units.count()
-    # a bounded sample of at most max_pivots vectors
-    sample = np.array([r["unit"] for r in units.orderBy("key").limit(max_pivots).select("unit").collect()])
+    # a bounded sample: pivots from its first half, their number judged on the other
+    sample = np.array([r["unit"] for r in units.orderBy("key").limit(2 * max_pivots).select("unit").collect()])
     if not count:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.col("vec_id").isNotNull().alias("kept"))
