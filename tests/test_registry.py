@@ -1,6 +1,7 @@
 """Registered queries: contract, plans, and equality with their SQL twins on the small data."""
 
 import os
+import re
 import sys
 
 import pytest
@@ -31,11 +32,13 @@ def test_matches_sql(spark, con, sf, name):
 def test_contract():
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 110
-    # Checked by rows and property tests only: fitted models, random redraws, hashes of files and rows, a free sample.
-    assert set(q) - set(o) == {
+    # Checked by rows and property tests only: fitted models, random redraws, hashes of files and rows. The optional
+    # operators are covered by their own tests.
+    own = {n for n in q if not re.match(r"op\d+_|pipeline$", n)}
+    assert own - set(o) == {
         "bootstrap_ci", "bootstrap_area_ci", "paired_bootstrap", "lr_scores", "rf_scores", "gbt_scores",
         "baseline_metrics", "transfer_scores", "multisource_scores", "prediction_sidecar", "calibrated_isotonic",
-        "calibrated_platt", "file_manifest", "table_fingerprint", "sample_label_times"}
+        "calibrated_platt", "file_manifest", "table_fingerprint"}
 
 
 def plan(df):
