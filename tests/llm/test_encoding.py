@@ -1,4 +1,6 @@
 import hashlib
+import random
+import string
 import zlib
 from collections import Counter
 
@@ -25,6 +27,16 @@ def test_encode_is_the_tokenizers(docs, rows, tok):
     assert got == Counter((r[0], tuple(ids_of(tok, r[1]))) for r in rows)
 
 
+def test_words_of_more_than_65535_ids(spark, tok):
+    r = random.Random(5)
+    blob = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(110_000))
+    prose = " ".join(f"w{r.randrange(10**6)}" for _ in range(30_000))
+    texts = [blob, "\u00a0" + prose, prose, "short"]
+    assert min(len(ids_of(tok, t)) for t in texts[:3]) > 65_535
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: ids_of(tok, t) for i, t in enumerate(texts)}
+
+
 def test_decode_round_trip(docs, rows, tok):
     got = Counter(map(tuple, bpe.decode(bpe.encode(docs)).collect()))
     assert got == Counter((r[0], r[1] or "") for r in rows)

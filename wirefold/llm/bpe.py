@@ -152,8 +152,8 @@ def _join_words(key: str, layout: bytes, found: list[tuple[int, bytes]]) -> pa.T
                                                         np.uint32)
     rank = short.astype(np.uint32)
     rank[short == 255] += more
-    got = [_unpack_all(b, np.uint16, np.uint32) for _, b in sorted(found)]
-    size = np.concatenate([g[0] for g in got] or [np.zeros(0, np.uint16)]).astype(np.int64)
+    got = [_unpack_all(b, np.uint32, np.uint32) for _, b in sorted(found)]
+    size = np.concatenate([g[0] for g in got] or [np.zeros(0, np.uint32)]).astype(np.int64)
     flat = np.concatenate([g[1] for g in got] or [np.zeros(0, np.uint32)]).astype(np.int32)
     if len(size) != len(turn):
         raise RuntimeError(f"chunk {key}: {len(size)} of {len(turn)} words came back; the documents changed between two "
@@ -177,8 +177,7 @@ def encode(docs: DataFrame, path: str | None = None, buckets: int | None = None,
     """doc_id and ids (array<int>) of every text, as the tokenizer file gives them without added special tokens.
 
     `buckets` deals the word table (default: the session's shuffle partitions); `chunk_bytes` bounds the text that a task
-    joins at once (a longer text is a chunk of its own). Word ids must stay below 2^32, a word's ids below 2^16 or the
-    text is taken in longer form by the tokenizer.
+    joins at once (a longer text is a chunk of its own). Ids must stay below 2^31; a word may have any number of them.
     """
     path = vocabulary_path(path)
     spark = docs.sparkSession
@@ -209,9 +208,7 @@ def encode(docs: DataFrame, path: str | None = None, buckets: int | None = None,
             known.update(zip(new, encode_texts([w.decode() for w in new], path)))
             got = [known[w] for w in mine]
             n = np.fromiter(map(len, got), np.int64, len(got))
-            if n.max(initial=0) >= 1 << 16:
-                raise ValueError("a word of more than 65535 ids; pass a smaller cut")
-            out.append(_pack_all(n.astype(np.uint16), np.concatenate(got) if got else np.zeros(0, np.uint32)))
+            out.append(_pack_all(n.astype(np.uint32), np.concatenate(got) if got else np.zeros(0, np.uint32)))
         return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "n": group["n"], "words": pa.array(
             out, pa.binary())})
 
