@@ -1,4 +1,6 @@
+import random
 import re
+import string
 from collections import Counter
 
 from wirefold.llm import secret_scan as ss
@@ -36,6 +38,21 @@ def test_random_strings_only():
         assert ss.random_spans(f"see {c} ok", path) == [], c
 
 
+def test_random_strings_of_any_shape_and_place():
+    path, r = vocabulary_path(None), random.Random(7)
+    make = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        keys = [make(letters, 32) for _ in range(200)]
+        assert sum(ss.random_spans(f"see {k} ok", path) == [(4, 3, 36)] for k in keys) > 180
+    for before, after in (("static/javascript/", ""), ("configuration=", ""), ("", "-production_environment")):
+        keys = [make(string.ascii_letters + string.digits, 24) for _ in range(200)]
+        found = [ss.random_spans(before + k + after, path) for k in keys]
+        assert all(any(a <= len(before) and b >= len(before) + 24 for a, _, b in f) for f in found)
+    for clean in ("static/javascript/application-settings", "the/550e8400-e29b-41d4-a716-446655440000/documentation/index",
+                  "information/2024-05-17-12-30-59-00/internationalization"):
+        assert ss.random_spans(clean, path) == [], clean
+
+
 def test_scan_and_redact(spark, docs, rows, none, clashing):
     frame = spark.createDataFrame([(i, c, "s", len(c)) for i, c in enumerate(CASES)] + [(99, None, "s", 5)],
                                   "doc_id long, text string, source string, n_chars int")

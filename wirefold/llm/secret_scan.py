@@ -2,9 +2,9 @@
 
 Three patterns are always reported: assignments to a secret-like name, access keys and long hexadecimal strings. On top
 of these, runs of key-like characters are taken apart by a public vocabulary: written language needs one token for four
-or more characters, random strings one for less than `ratio`. Known harmless forms are left out first: plain digests and
-numbers (hexadecimal of a usual digest length, decimal), UUIDs, identifiers built from words, and runs of one repeated
-pattern. Spans carry code point offsets, end exclusive.
+or more characters, random strings one for less than `ratio`. Only fixed forms are left out first: plain digests and
+numbers (hexadecimal of a usual digest length, decimal groups), UUIDs, and runs of one repeated pattern; identifiers built
+from words score above the ratio. A run that does is also tested between its separators. Spans carry code point offsets, end exclusive.
 
 Defined results: null text is empty; empty text has no span; equal rows give equal spans; texts of any length are scanned
 whole.
@@ -29,11 +29,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # AKIA[A-Z0-9]+ of 20 or more: a run
 HEX = re.compile(r"[0-9a-f]{24,}")  # likewise for [0-9a-f]+
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
+LEAST = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}", re.ASCII)
+SEPARATOR = re.compile(r"[/=_-]")
+PART = re.compile(r"[^/=_-]+")
 DIGESTS = (32, 40, 48, 56, 64, 96, 128)
-HARMLESS = re.compile(r"[0-9]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(.{1,8}?)\2{2,}.{0,8}")
+UUID = re.compile(r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])")
+HARMLESS = re.compile(rf"[0-9+/_=-]+|{UUID.pattern}|(.{{1,8}}?)\1{{2,}}.{{0,8}}")
 HEXES = re.compile(r"[0-9a-fA-F]+")
-WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}")
 RATIO = 2.0
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 
@@ -47,19 +50,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def harmless(s: str) -> bool:
-    """Digests, numbers, UUIDs, repetitions, and identifiers that are words set together."""
-    if HARMLESS.fullmatch(s) or (len(s) in DIGESTS and HEXES.fullmatch(s)):
-        return True
-    left = len(s) - sum(map(len, WORDS.findall(s))) - sum(s.count(c) for c in "+/_=-")
-    mixed = sum(bool(re.search(p, s)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    return left <= 0.1 * len(s) and mixed < 3 and not re.search(r"[0-9][A-Za-z]+[0-9]", s)
+    """The fixed forms: digests, numbers, UUIDs and repetitions."""
+    return bool(HARMLESS.fullmatch(s) or (len(s) in DIGESTS and HEXES.fullmatch(s)))
+
+
+def random_parts(s: str, path: str, ratio: float) -> list[tuple[int, int]]:
+    """Stretches of LEAST or more characters, from part to part between separators, whose tokens outweigh their
+    characters most: no stretch within or around them weighs more."""
+    fixed = [m.span() for m in UUID.finditer(s)]
+    parts = [m.span() for m in PART.finditer(s)]
+    counts = [len(e) for e in encode_texts([s[a:b] for a, b in parts], path)]
+    found: list[list] = []  # candidates: sum before, sum after, start, end (Ruzzo and Tompa's maximal sums)
+    done: list[list] = []
+    total = 0.0
+    for (a, b), n in zip(parts, counts):
+        if harmless(s[a:b]) or any(x <= a and b <= y for x, y in fixed):
+            done, found, total = done + found, [], 0.0  # no stretch goes across a fixed form
+            continue
+        before, total = total, total + ratio * n - (b - a)
+        if total <= before:
+            continue
+        new = [before, total, a, b]
+        while True:
+            j = next((j for j in range(len(found) - 1, -1, -1) if found[j][0] < new[0]), None)
+            if j is None or found[j][1] >= new[1]:
+                break
+            new = [found[j][0], new[1], found[j][2], new[3]]
+            del found[j:]
+        found.append(new)
+    return [(a, b) for _, _, a, b in done + found if b - a >= LEAST]
 
 
 def random_spans(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """Runs whose characters per token lie below the ratio."""
+    """Runs whose characters per token lie below the ratio; of other runs, the stretches of parts that do."""
     runs = [m for m in RUN.finditer(text) if not harmless(m.group())]
     counts = [len(e) for e in encode_texts([m.group() for m in runs], path)]
-    return [(m.start(), 3, m.end()) for m, n in zip(runs, counts) if m.end() - m.start() < ratio * n]
+    out = []
+    for m, n in zip(runs, counts):
+        if m.end() - m.start() < ratio * n:
+            out.append((m.start(), 3, m.end()))
+        elif SEPARATOR.search(m.group()):
+            out += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m.group(), path, ratio)]
+    return out
 
 
 def scan(docs: DataFrame, path: str | None = None, ratio: float = RATIO, keep: list[str] | None = None) -> DataFrame:
