@@ -51,6 +51,17 @@ def test_likeness_follows_common_paragraphs(spark):
     assert 0.3 < half < 0.7 and nothing < 0.3 and same == 1.0
 
 
+def test_likeness_of_very_long_texts(spark):
+    texts = [" ".join(f"{w} {i}." for i in range(n)) for w, n in (("one", 70_000), ("two", 70_050))]
+    got = fp.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    a, b = (list(r["fingerprint"]) for r in sorted(got))
+    assert max(b[9:]) > 32_767
+    v = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+    r = v.select(fp.likeness(F.col("a"), F.col("b")).alias("like"), fp.combine(fp.combine(
+        F.col("a"), F.col("b")), F.col("b"), -1).alias("back"), fp.text_form(F.col("a")).alias("digits")).first()
+    assert r["like"] < 0.3 and r["back"] == a and len(r["digits"]) == 8 * (9 + 128)
+
+
 def edited(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
     for r, n in zip(order, order[1:] + order[:1]):

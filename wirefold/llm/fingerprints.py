@@ -6,7 +6,7 @@ paragraphs does not matter, and adding or removing a paragraph adds or subtracts
 
 * lock: 8 lanes modulo 2^32 (256 bits) for equality;
 * count: number of paragraphs, modulo 2^32;
-* likeness: 64 * `banks` lanes modulo 2^16, lane j counts paragraphs whose hash has bit j set. Twice the lane less the
+* likeness: 64 * `banks` lanes modulo 2^32, lane j counts paragraphs whose hash has bit j set. Twice the lane less the
   count is a random signed sum, so the mean square of the difference of two fingerprints estimates how many paragraphs
   (with multiplicity, squared) they do not share.
 
@@ -43,8 +43,8 @@ def vector(text: Column, banks: int = BANKS) -> Column:
         """Two lanes of 32 bits in each long: bit j and bit j + 32 of the hashes."""
         packed = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: total(
             hashes, lambda h: F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(0x100000001))))
-        return F.concat(F.transform(packed, lambda v: v.bitwiseAND(F.lit(0xFFFF))),
-                        F.transform(packed, lambda v: F.shiftrightunsigned(v, 32).bitwiseAND(F.lit(0xFFFF))))
+        return F.concat(F.transform(packed, lambda v: v.bitwiseAND(F.lit(_LOW))),
+                        F.transform(packed, lambda v: F.shiftrightunsigned(v, 32)))
 
     def of(hashes: Column) -> Column:
         locks = [total(hashes, lambda h, i=i, s=s: F.shiftrightunsigned(F.xxhash64(h, F.lit(i)), s).bitwiseAND(
@@ -57,21 +57,19 @@ def vector(text: Column, banks: int = BANKS) -> Column:
 
 
 def text_form(v: Column) -> Column:
-    """Lower-case hex, 8 digits a lock lane and the count, 4 a likeness lane."""
-    pad = lambda xs, n: F.array_join(F.transform(xs, lambda x: F.lower(F.lpad(F.hex(x), n, "0"))), "")
-    return F.concat(pad(F.slice(v, 1, 9), 8), pad(F.slice(v, 10, 1 << 20), 4))
+    """Lower-case hex, 8 digits a lane."""
+    return F.array_join(F.transform(v, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint of the multiset sum (sign 1) or difference (sign -1) of two fingerprints."""
-    return F.transform(F.zip_with(a, b, lambda x, y: x + F.lit(sign) * y), lambda x, i: x.bitwiseAND(
-        F.when(i < 9, F.lit(_LOW)).otherwise(F.lit(0xFFFF))))
+    return F.zip_with(a, b, lambda x, y: (x + F.lit(sign) * y).bitwiseAND(F.lit(_LOW)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of paragraphs in common, 0 to 1; exactly 1 for equal fingerprints."""
     size = lambda v: F.element_at(v, 9)
-    signed = lambda x: F.pmod(x + F.lit(32768), F.lit(65536)) - F.lit(32768)
+    signed = lambda x: F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
 
     def square(xs: Column, n: Column) -> Column:
         return F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.pow((signed(x) * 2 - n).cast("double"), F.lit(2.0)))
