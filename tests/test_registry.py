@@ -29,6 +29,19 @@ def test_matches_sql(spark, con, sf, name):
     assert check.compare(got, con.execute(e.oracle_sql()[name]).df()).startswith("ok")
 
 
+@pytest.mark.parametrize("name", ["packet_sequences_all", "packet_sequences_scaled_all", "sequence_set_a_all",
+                                  "conversation_sequences_all", "alarm_rate_hourly_all", "alarm_rate_sliding_all",
+                                  "stream_alarm_rate_all"])
+def test_whole_job_matches_sql(spark, con, sf, name):
+    got = e.queries()[name](spark, sf).toPandas()
+    assert check.compare(got, con.execute(e.oracle_sql()[name]).df()).startswith("ok")
+
+
+@pytest.mark.parametrize("name", ["calibrated_isotonic", "calibrated_platt"])
+def test_every_method_is_calibrated(spark, sf, name):
+    assert {r["method"] for r in e.queries()[name](spark, sf).select("method").distinct().collect()} == {"lr", "rf", "xgb"}
+
+
 def test_contract():
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 110

@@ -16,6 +16,7 @@ from wirefold.streaming import windows as sw
 from wirefold.streaming.flows import stream_flows as build
 
 DELAY_S = 10
+METHODS = ("lr", "rf", "xgb")
 
 
 def _stream(spark, sf, name):
@@ -62,6 +63,31 @@ def stream_alarm_rate(spark, sf):
     return out.withColumn("alarm_share", F.round("alarm_share", 6))
 
 
+def _by_method(scores):
+    """One row per method and score; a narrow step, on streams too."""
+    return scores.withColumn("m", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"s_{m}").alias("y_score"))
+                                                      for m in METHODS]))).select("ts", "domain", "m.*")
+
+
+def _shares(r):
+    return r.withColumn("alarm_share", F.round("alarm_share", 6))
+
+
+def alarm_rate_hourly_all(spark, sf):
+    """The hourly rate of every method."""
+    return _shares(sw.alarm_rate(_by_method(_timed_scores(spark, sf)), ["domain", "method"]))
+
+
+def alarm_rate_sliding_all(spark, sf):
+    return _shares(sw.alarm_rate(_by_method(_timed_scores(spark, sf)), ["domain", "method"], width="6 hours",
+                                 slide="2 hours"))
+
+
+def stream_alarm_rate_all(spark, sf):
+    r = sw.alarm_rate(_by_method(_stream(spark, sf, "scores")), ["domain", "method"], delay=f"{DELAY_S} seconds")
+    return _shares(rn.drain(r, "stream-alarms-all")[0])
+
+
 def stream_alert_join(spark, sf):
     """Flow and alert tables written once, then read back as two streams and joined."""
     fp, ap = scratch_path(spark, "flows"), scratch_path(spark, "alerts")
@@ -76,7 +102,8 @@ def stream_alert_join(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_flows, session_window_flows, alarm_rate_hourly, alarm_rate_sliding, stream_alarm_rate, stream_alert_join)}
+    stream_flows, session_window_flows, alarm_rate_hourly, alarm_rate_sliding, stream_alarm_rate, stream_alert_join,
+    alarm_rate_hourly_all, alarm_rate_sliding_all, stream_alarm_rate_all)}
 
 _WM = f"wm as (select (max(epoch_us(ts)) // 1000 - {DELAY_S * 1000}) * 1000 as w from events)"
 _ID = ", ".join(IDENT)
@@ -104,3 +131,22 @@ ORACLE = {
 
 
 ORACLE["session_window_flows"] = _FLOW_ORACLE["flows_idle"]
+
+
+def _rates(width: int, slide: int) -> str:
+    """The rate of every method, as `rate`."""
+    each = " union all ".join(f"select event_id, domain, '{m}' as method, s_{m} as y_score from scores" for m in METHODS)
+    return f"""rate as (select ws as window_start_us, ws + {width} as window_end_us, domain, method, count(*) as n_flows,
+      count(*) filter (y_score >= 0.5) as n_alerts,
+      round(count(*) filter (y_score >= 0.5)::double / count(*), 6) as alarm_share
+      from (select s.*, (p.ts_us // {slide} - i) * {slide} as ws from ({each}) s join packets p using (event_id),
+        (select range as i from range(0, {width // slide}))) group by all)"""
+
+
+_MCOLS = _COLS.replace("domain", "domain, method")
+ORACLE |= {
+    "alarm_rate_hourly_all": o.sql(["scores", "packets"], f"select {_MCOLS} from rate", _rates(H, H)),
+    "alarm_rate_sliding_all": o.sql(["scores", "packets"], f"select {_MCOLS} from rate", _rates(6 * H, 2 * H)),
+    "stream_alarm_rate_all": o.sql(["scores", "packets"], f"select {_MCOLS} from rate, wm where window_end_us <= w",
+                                   _rates(H, H), _WM),
+}
