@@ -31,7 +31,7 @@ def test_matches_sql(spark, con, sf, name):
 
 @pytest.mark.parametrize("name", ["packet_sequences_all", "packet_sequences_scaled_all", "sequence_set_a_all",
                                   "conversation_sequences_all", "alarm_rate_hourly_all", "alarm_rate_sliding_all",
-                                  "stream_alarm_rate_all"])
+                                  "stream_alarm_rate_all", "stream_flows_all"])
 def test_whole_job_matches_sql(spark, con, sf, name):
     got = e.queries()[name](spark, sf).toPandas()
     assert check.compare(got, con.execute(e.oracle_sql()[name]).df()).startswith("ok")

@@ -13,6 +13,7 @@ from wirefold.registry.join_queries import ALERTS, FD, OFFSET_S, TOL_S, _cand
 from wirefold.session import scratch_path
 from wirefold.streaming import run as rn
 from wirefold.streaming import windows as sw
+from wirefold.streaming.flows import open_flows
 from wirefold.streaming.flows import stream_flows as build
 
 DELAY_S = 10
@@ -36,6 +37,14 @@ def stream_flows(spark, sf):
     return out.select(*IDENT, "end_us", *TOTALS)
 
 
+def stream_flows_all(spark, sf):
+    """Flows closed by the final watermark, and those that the end of the input leaves open in state."""
+    rn.use_rocksdb(spark)
+    path = scratch_path(spark, "stream-flows-all")
+    out, _ = rn.drain_to(build(_stream(spark, sf, "packets"), IDLE_S, ACTIVE_S, f"{DELAY_S} seconds"), path)
+    return out.unionByName(open_flows(spark, f"{path}/state", IDLE_S, ACTIVE_S)).select(*IDENT, "end_us", *TOTALS)
+
+
 def session_window_flows(spark, sf):
     p = table(spark, sf, "packets").withColumn("ts", F.timestamp_micros("ts_us"))
     s = sw.session_flows(p, IDLE_S)
@@ -103,7 +112,7 @@ def stream_alert_join(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     stream_flows, session_window_flows, alarm_rate_hourly, alarm_rate_sliding, stream_alarm_rate, stream_alert_join,
-    alarm_rate_hourly_all, alarm_rate_sliding_all, stream_alarm_rate_all)}
+    alarm_rate_hourly_all, alarm_rate_sliding_all, stream_alarm_rate_all, stream_flows_all)}
 
 _WM = f"wm as (select (max(epoch_us(ts)) // 1000 - {DELAY_S * 1000}) * 1000 as w from events)"
 _ID = ", ".join(IDENT)
@@ -150,3 +159,4 @@ ORACLE |= {
     "stream_alarm_rate_all": o.sql(["scores", "packets"], f"select {_MCOLS} from rate, wm where window_end_us <= w",
                                    _rates(H, H), _WM),
 }
+ORACLE["stream_flows_all"] = o.flows(f"select {_ID}, end_us, {', '.join(TOTALS)} from flows")

@@ -4,7 +4,7 @@ State per key: the totals of the open flow and the packets that the watermark ha
 in event-time order once the watermark is past them, so the result equals the batch result for every packet that is
 not later than the allowed delay; later ones are dropped by the watermark and show up in the progress counters. An
 idle flow closes by timer, which keeps state to keys that are really active; flows still open when the input ends stay
-in state until a later event moves the watermark on.
+in state until a later event moves the watermark on, or until `open_flows` reads them from there.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -46,6 +46,15 @@ def _fold(open_flow: tuple | None, ts: np.ndarray, size: np.ndarray, fwd: np.nda
     return closed, open_flow
 
 
+def _rows(key, closed: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(closed, columns=OPEN_FIELDS)
+    for i, k in enumerate(KEY):
+        out[k] = key[i]
+    out["packet_count_bwd"] = out["packet_count_total"] - out["packet_count_fwd"]
+    out["bytes_bwd"] = out["bytes_total"] - out["bytes_fwd"]
+    return out[OUT.names]
+
+
 class FlowProcessor(StatefulProcessor):
     def __init__(self, idle: int, active: int):
         self.idle, self.active = idle, active
@@ -87,12 +96,7 @@ class FlowProcessor(StatefulProcessor):
         else:
             self.open.update(tuple(int(v) for v in state))
             self.handle.registerTimer((state[1] + self.idle) // 1000 + 1)
-        out = pd.DataFrame(closed, columns=OPEN_FIELDS)
-        for i, k in enumerate(KEY):
-            out[k] = key[i]
-        out["packet_count_bwd"] = out["packet_count_total"] - out["packet_count_fwd"]
-        out["bytes_bwd"] = out["bytes_total"] - out["bytes_fwd"]
-        yield out[OUT.names]
+        yield _rows(key, closed)
 
     def close(self) -> None:
         pass
@@ -115,5 +119,30 @@ def stream_flows(packets: DataFrame, idle_s: float = IDLE_S, active_s: float = A
     flows = pk.groupBy(*KEY).transformWithStateInPandas(
         statefulProcessor=FlowProcessor(round(idle_s * US), round(active_s * US)), outputStructType=OUT,
         outputMode="Append", timeMode="EventTime")
-    return flows.withColumnsRenamed({"lo_ip": "src_ip", "lo_port": "src_port", "hi_ip": "dst_ip",
-                                     "hi_port": "dst_port"})
+    return flows.withColumnsRenamed(_NAMES)
+
+
+_NAMES = {"lo_ip": "src_ip", "lo_port": "src_port", "hi_ip": "dst_ip", "hi_port": "dst_port"}
+
+
+def open_flows(spark: SparkSession, checkpoint: str, idle_s: float = IDLE_S, active_s: float = ACTIVE_S) -> DataFrame:
+    """The end-of-input flush: the open flows and pending packets that a finished `stream_flows` query left in its
+    state, folded into flows."""
+    idle, active = round(idle_s * US), round(active_s * US)
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name)
+    left = state("open_flow").load(checkpoint).select("key.*", F.col("value").alias("open_flow"), F.lit(None).cast(
+        PENDING).alias("packet"))
+    more = state("pending").option("flattenCollectionTypes", True).load(checkpoint).select(
+        "key.*", F.lit(None).cast(OPEN).alias("open_flow"), F.col("list_element").alias("packet"))
+    rows = left.toDF(*KEY, "open_flow", "packet").unionByName(more.toDF(*KEY, "open_flow", "packet"))
+    rows = rows.select(*KEY, "packet.*", *[F.col(f"open_flow.{f}").alias(f"open_{f}") for f in OPEN_FIELDS])
+
+    def fold(key, pdf):
+        opened = pdf.loc[pdf["open_start_us"].notna(), [f"open_{f}" for f in OPEN_FIELDS]].astype("int64")
+        pending = pdf.loc[pdf["ts_us"].notna(), ["ts_us", "ip_len", "fwd"]].astype("int64").sort_values(
+            "ts_us", kind="stable").to_numpy()
+        start = tuple(int(v) for v in opened.iloc[0]) if len(opened) else None
+        closed, last = _fold(start, pending[:, 0], pending[:, 1], pending[:, 2], idle, active)
+        return _rows(key, closed + ([last] if last is not None else []))
+
+    return rows.groupBy(*KEY).applyInPandas(fold, OUT).withColumnsRenamed(_NAMES)

@@ -17,9 +17,13 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 def drain(df: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery]:
     """Processes everything available now into a parquet table in the shared folder and returns the table."""
+    return drain_to(df, scratch_path(df.sparkSession, name))
+
+
+def drain_to(df: DataFrame, path: str) -> tuple[DataFrame, StreamingQuery]:
+    """As `drain`, with the table in `path`/data and the state in `path`/state."""
     spark = df.sparkSession
     use_rocksdb(spark)
-    path = scratch_path(spark, name)
     q = (df.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
