@@ -80,6 +80,21 @@ def test_best_path_is_the_best():
         assert got == pytest.approx(max(value(x) for x in product(range(3), repeat=len(s))))
 
 
+def test_a_path_of_two_other_languages_beats_the_best_single_one():
+    half = [[0.0, -6.0, -2.0]] * 5
+    s = np.array(half + [[b, a, c] for a, b, c in half])
+    assert language.best_path(s, 12.0).tolist() == [0] * 5 + [1] * 5
+    rng = np.random.default_rng(3)
+    for _ in range(2000):  # against the plain programme, with scores near the penalty
+        s = -np.abs(rng.normal(0, 2, (int(rng.integers(2, 16)), 3)))
+        p, value = float(rng.uniform(2, 12)), np.zeros(3)
+        for row in s:
+            value = np.maximum(value, value.max() - p) + row
+        path = language.best_path(s, p)
+        got = s[np.arange(len(s)), path].sum() - p * (path[1:] != path[:-1]).sum()
+        assert got == pytest.approx(value.max())
+
+
 def test_mixed_spans_and_scripts(spark):
     de, en, ru = "der schnelle fuchs springt über zäune ", "the quick brown fox jumps over fences ", "быстрая лиса прыгает "
     docs = spark.createDataFrame([(1, de * 9, "de"), (2, en * 9, "en"), (3, ru * 9, "ru"), (4, de * 6 + en * 9, None),

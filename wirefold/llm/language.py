@@ -3,8 +3,9 @@
 Training counts letter trigrams of words (on UTF-8 bytes, hashed) and the scripts of words per language. A word's
 candidates are the languages that use its script; their scores are the trigram log-likelihoods, cut off at a distance
 from the best. The best path through a text's words, where every change of language costs a penalty, gives the spans; the
-language with most letters is the prediction, its share of the letters the score. Where no other language gains more than
-the penalty over any stretch, the path is the one-language path, and the dynamic programme need not run.
+language with most letters is the prediction, its share of the letters the score. Where no language gains more than the
+penalty on the best one over any stretch, nor over a first and a last stretch together, the path is the one-language path,
+and the dynamic programme need not run.
 
 Defined results: `und` with score 0 for null and empty texts and texts without a letter; `und` for all texts when nothing
 could be learned; letters in scripts that no language uses are scored alike for all; rows repeat as they come.
@@ -128,7 +129,10 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     top = int(scores.sum(0).argmax())
     total = np.cumsum(scores - scores[:, top:top + 1], 0)
     low = np.minimum(np.minimum.accumulate(np.vstack([np.zeros(scores.shape[1]), total[:-1]]), 0), 0)
-    if (total - low).max() <= penalty:
+    # A path of k changes has a first stretch, a last one and k - 1 between; their gains over the best single language
+    # cannot pay k penalties if first and last together gain at most one and no stretch gains more than one.
+    last = np.minimum(low[-1], total[-1])
+    if (total - low).max() <= penalty and max(total.max(), 0) + (total[-1] - last).max() <= penalty:
         return np.full(len(scores), top)
     value, back = [0.0] * scores.shape[1], []
     for row in scores.tolist():
