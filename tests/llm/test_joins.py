@@ -165,6 +165,14 @@ def test_vector_links_match_all_pairs(spark, monkeypatch, cosine, blocks, seed):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got.collect()} == vector_brute(rows, cosine)
 
 
+def test_vectors_of_every_length_are_joined(spark):
+    rows = vectors(6, 60) + [(100 + i, v[:7]) for i, v in vectors(7, 50)] + [(200, [1.0, 2.0]), (201, [2.0, 4.0])]
+    want = vector_brute(rows, 0.9)
+    assert all(any(want[i][0] for i in ids) for ids in (range(60), range(100, 150), (200, 201)))
+    got = vector_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got.collect()} == want
+
+
 def test_vector_edges(spark):
     schema = "vec_id long, embedding array<float>, Key string, `unit` int, label int"
     assert vector_join.near_duplicates(spark.createDataFrame([], schema)).count() == 0

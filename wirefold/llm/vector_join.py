@@ -10,8 +10,8 @@ Equal vectors are one vector with a count. Pivots are a bounded, hashed sample o
 one of least estimated cost on that sample (vectors sent and vectors compared): they steer the work and not the result.
 Vectors without any structure leave little to prune in many dimensions; then few pivots are best and most cells meet. Every test leaves a margin for rounding, and the cosine that decides is computed in double precision.
 
-Defined results: vectors that are null, zero, of another length than the most frequent one, or hold null or non-finite
-members link with nothing and are components of their own; rows with null vec_id likewise, with component null; rows that
+Defined results: vectors link with vectors of their own length only, each length is joined on its own (the plan grows with
+the number of lengths); vectors that are null, zero, or hold null or non-finite members link with nothing and are components of their own; rows with null vec_id likewise, with component null; rows that
 repeat a vec_id count as vectors of their own, with one result each; an empty table gives no rows.
 """
 
@@ -235,20 +235,29 @@ def link_table(units: DataFrame, dim: int, cosine: float, pivots: np.ndarray) ->
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     rows = cut_lineage(prepared(vectors))
-    sizes = rows.filter("size is not null").groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
+    able = F.col("size").isNotNull() & F.col("vec_id").isNotNull()
+    sizes = [r["size"] for r in rows.filter(able).groupBy("size").count().orderBy("size").collect()]
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.col("vec_id").isNotNull().alias("kept"))
-    dim = int(sizes["size"])
-    usable = (F.col("size") == dim) & F.col("vec_id").isNotNull()
-    units = cut_lineage(rows.filter(usable).groupBy("key").agg(
+    by_key = None
+    for dim in sizes:  # vectors of different lengths have no cosine: each length is a join of its own
+        part = _by_key(rows.filter(able & (F.col("size") == dim)), int(dim), cosine, max_pivots)
+        by_key = part if by_key is None else by_key.unionByName(part)
+    ok = rows.withColumn("key", F.when(able, F.concat_ws(":", "size", "key")))
+    got = ok.join(by_key, "key", "left")
+    return got.select("vec_id", F.coalesce(F.col("others") + F.col("n") - 1, F.lit(0)).alias("n_links"),
+                      F.coalesce("component_id", "vec_id").alias("component_id"),
+                      F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
+
+
+def _by_key(rows: DataFrame, dim: int, cosine: float, max_pivots: int) -> DataFrame:
+    """key (with the length before it), n, others and component_id of the different vectors of one length."""
+    units = cut_lineage(rows.groupBy("key").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")))
     count = units.count()
     # a bounded sample: pivots from its first half, their number judged on the other
     sample = np.array([r["unit"] for r in units.orderBy("key").limit(2 * max_pivots).select("unit").collect()])
-    if not count:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-                           F.col("vec_id").isNotNull().alias("kept"))
     # two different vectors can share their smallest vec_id only where vec_ids repeat: number them by key
     pivots = choose_pivots(sample, count, cosine, max_pivots)
     numbered = units.withColumn("id", F.xxhash64("key"))
@@ -260,9 +269,5 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, max_pivots: int = M
         "key", "n", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "id").alias("component"))
     by_key = by_key.join(units.select("key", F.col("id").alias("least")), "key")
     named = by_key.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_key = cut_lineage(by_key.join(named, "component").select("key", "n", "others", "component_id"))
-    ok = rows.withColumn("key", F.when(usable, F.col("key")))
-    got = ok.join(by_key, "key", "left")
-    return got.select("vec_id", F.coalesce(F.col("others") + F.col("n") - 1, F.lit(0)).alias("n_links"),
-                      F.coalesce("component_id", "vec_id").alias("component_id"),
-                      F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
+    return cut_lineage(by_key.join(named, "component").select(
+        F.concat_ws(":", F.lit(dim), "key").alias("key"), "n", "others", "component_id"))
