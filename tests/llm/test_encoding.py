@@ -77,6 +77,12 @@ def test_context_report(docs, rows, tok):
         assert lengths.quantile(report, q).first()[0] == want
 
 
+def test_packed_sequences_hold_their_ids(docs, rows, tok):
+    got = packing.pack(packing.pieces(docs, sequence=64, with_ids=True), 64).collect()
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in got)
+    assert sum(len(r["ids"]) for r in got) == sum(len(ids_of(tok, r[1])) + 1 for r in rows)
+
+
 @pytest.mark.parametrize("sequence", [64, 1024])
 def test_packing(docs, rows, tok, sequence):
     got = packing.pack(packing.pieces(docs, sequence=sequence), sequence).collect()

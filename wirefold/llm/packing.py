@@ -107,7 +107,11 @@ def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, in
 
 
 def pack(cut: DataFrame, sequence: int = SEQUENCE, bits: int = 6) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece, start, length and ids_crc32."""
+    """Adds sequence_id and offset to rows with doc_id, piece, start, length and ids_crc32; further columns, such as ids,
+    are carried."""
+    more = [c for c in cut.columns if c not in PIECES.replace(",", "").split()[::2]]
+    if taken := {"bucket", "rank", "runs", "run", "sequence_id", "offset"} & {c.lower() for c in more}:
+        raise ValueError(f"columns with names of pack's own: {sorted(taken)}")
     cut = cut_lineage(cut.withColumn("bucket", F.shiftright(F.xxhash64("doc_id", "piece", "ids_crc32"), 64 - bits)))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `sequence` rows
     runs: dict[int, list] = {}
@@ -119,5 +123,5 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, bits: int = 6) -> DataFrame:
     # The plan has one row per length, whatever the input, so it is broadcast.
     run = F.element_at(F.filter("runs", lambda r: r["rank"] <= F.col("rank")), -1)
     return ranked.join(F.broadcast(planned), "length").withColumn("run", run).select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
+        "doc_id", "piece", "start", "length", "ids_crc32", *more,
         (F.col("run.first") + F.col("rank") - F.col("run.rank")).alias("sequence_id"), F.col("run.offset").alias("offset"))
