@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import bpe, fingerprints, language, lengths, packing, quality, secret_scan, set_join, shards, vector_join
+from wirefold.llm import (bpe, fingerprints, language, lengths, packing, quality, secret_scan, set_join, shards, spelling,
+                          topk_search, vector_join, whitening)
 from wirefold.llm.common import documents, id_remainder, table
 
 
@@ -116,7 +117,34 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_language, op5_fingerprints, op6_secrets, op7_set_join, op8_vector_join,
-                                  op9_token_counts,
-                                  op10_packing)}
-ORACLE: dict[str, str] = {"op7_set_join": OP7_SQL, "op8_vector_join": OP8_SQL}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every vector whose id 50 divides."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256)
+
+
+OP11_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)) as x from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda e: e is null or not isfinite(e::double))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 50 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score
+from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of all texts with each word's near words, form and root."""
+    got = spelling.variants(table(spark, sf_dir, "documents"))
+    return got.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector, fitted to all vectors."""
+    return whitening.whitened_table(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_language, op5_fingerprints, op6_secrets,
+                                   op7_set_join, op8_vector_join, op9_token_counts, op10_packing, op11_topk,
+                                   op12_spelling, op13_whitening)}
+ORACLE: dict[str, str] = {"op7_set_join": OP7_SQL, "op8_vector_join": OP8_SQL, "op11_topk": OP11_SQL}
