@@ -32,6 +32,7 @@ BLOCK = 32
 NUMBERS = 1 << 20  # numbers in a segment
 PIVOTS = 64
 QUERIES = 512  # queries scored together
+STEP = 64  # blocks taken at once, at most
 EXACT = 2.0 ** 53
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 INDEX = ("kind int, segment int, dim int, ids array<long>, cells array<double>, high array<double>, "
@@ -75,26 +76,54 @@ class Segment:
         order = np.argsort(-bounds, axis=1, kind="stable")
         bounds = np.take_along_axis(bounds, order, 1)
         score, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), MOST)
-        live = np.arange(len(q))
-        for j in range(order.shape[1]):
-            live = live[bounds[live, j] >= np.maximum(score[live, -1], floor[live])]
+        live, at, step = np.arange(len(q)), 0, 1
+        while at < order.shape[1]:  # one block first, then twice as many each time
+            least = np.maximum(score[live, -1], floor[live])
+            keep = bounds[live, at] >= least
+            live, least = live[keep], least[keep]
             if not len(live):
                 break
-            block = order[live, j]
-            by = np.argsort(block, kind="stable")
-            for group in np.split(live[by], np.flatnonzero(np.diff(block[by])) + 1):
-                a, b = self.starts[order[group[0], j]:][:2]
-                found = q[group] @ self.x[a:b].T
-                found[own[group][:, None] == np.arange(a, b)] = -np.inf
-                better = (found >= np.maximum(score[group, -1], floor[group])[:, None]).any(1)
-                group, found = group[better], found[better]
-                both = np.concatenate([score[group], found], 1)
-                names = np.concatenate([ids[group], np.broadcast_to(self.ids[a:b], found.shape)], 1)
-                names[both == -np.inf] = MOST
-                first = np.lexsort((names, -both))[:, :k]
-                score[group], ids[group] = np.take_along_axis(both, first, 1), np.take_along_axis(names, first, 1)
+            some = slice(at, at + step)
+            row, place, found = self._scored(q[live], own[live], order[live, some], bounds[live, some] >= least[:, None], k)
+            self._merge(score, ids, live, row, place, found)
+            at, step = at + step, min(2 * step, STEP)
         return score, ids
 
+    def _scored(self, q, own, blocks, wanted, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, score) of the documents of the wanted blocks that are among the k best of these."""
+        widest = int(np.diff(self.starts).max())
+        out = np.full((*blocks.shape, widest), -np.inf)
+        row, col = np.nonzero(wanted)
+        block = blocks[row, col]
+        by = np.argsort(block, kind="stable")
+        row, col, block = row[by], col[by], block[by]
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        for i, j in zip(cuts, np.r_[cuts[1:], len(block)]):
+            a, b = self.starts[block[i]:][:2]
+            r, c = row[i:j], col[i:j]
+            found = q[r] @ self.x[a:b].T
+            self_here = np.flatnonzero((own[r] >= a) & (own[r] < b))
+            found[self_here, own[r][self_here] - a] = -np.inf
+            out[r, c, :b - a] = found
+        flat = out.reshape(len(q), -1)
+        least = np.full(len(q), -np.inf)
+        if flat.shape[1] > k:
+            least = np.partition(flat, flat.shape[1] - k, axis=1)[:, flat.shape[1] - k]
+        r, e = np.nonzero((flat >= least[:, None]) & (flat > -np.inf))
+        return r, self.starts[blocks[r, e // widest]] + e % widest, flat[r, e]
+
+    def _merge(self, score, ids, live, row, place, found) -> None:
+        """Puts the scored documents among the best so far."""
+        k = score.shape[1]
+        row = np.r_[np.repeat(np.arange(len(live)), k), row]
+        found = np.r_[score[live].ravel(), found]
+        names = np.r_[ids[live].ravel(), self.ids[place]]
+        by = np.lexsort((names, -found, row))
+        row, found, names = row[by], found[by], names[by]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        top = rank < k
+        score[live[row[top]], rank[top]], ids[live[row[top]], rank[top]] = found[top], names[top]
+
     def best_wide(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """As `best` where double precision would round: sums of whole numbers of any size, block by block."""
         whole = np.frompyfunc(int, 1, 1)
