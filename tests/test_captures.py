@@ -6,7 +6,7 @@ import pytest
 
 from wirefold.operators import packets as pk
 from wirefold.sources import tables as tb
-from wirefold.sources.captures import read_captures
+from wirefold.sources.captures import CaptureReader, read_captures
 
 
 def ipv4(proto, src, dst, sport, dport, size, flags=0x12):
@@ -105,3 +105,32 @@ def test_other_packet_blocks_and_late_interfaces(spark, tmp_path):
     assert rows[2].src_ip == "10.0.0.2" and rows[4].ip_len == 20000
     got = {r.outcome: r.n_packets for r in pk.reject_counts(read_captures(spark, str(tmp_path), 0)).collect()}
     assert got == {"accepted": 4, "skipped_no_time": 1}
+
+
+def test_planning_opens_no_file():
+    """Ten thousand small captures share tasks, a large one is cut; none of the paths exists."""
+    files = [(f"/nowhere/{i:05}.pcap", 2000 + i) for i in range(10_000)] + [("/nowhere/z.pcap", 1 << 30)]
+    parts = CaptureReader(files, 128 << 20).partitions()
+    ranges = [r for p in parts for r in p.parts]
+    assert len(parts) < 120 and sum(r.stop - r.start for r in ranges) == sum(s for _, s in files)
+    assert sum(r.path.endswith("z.pcap") for r in ranges) == 8 and all(r.last == (r.stop == dict(files)[r.path]) for r in ranges)
+    assert len(CaptureReader(files[:5], 0).partitions()) == 1
+    assert [r.stop for p in CaptureReader([("/nowhere/a.pcap", None)] * 3, 1 << 20).partitions() for r in p.parts] == [None] * 3
+
+
+def test_many_small_captures(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i:03}.pcap").write_bytes(classic(frames(3 + i % 4)))
+    df = read_captures(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 1
+    got = {r.pcap_file: r["count"] for r in df.groupBy("pcap_file").count().collect()}
+    assert got == {f"{i:03}.pcap": 3 + i % 4 for i in range(60)}
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_pauses_of_days_at_every_split(spark, tmp_path, order):
+    """Packets that lie two days, or a year, apart: every split still finds its first record."""
+    fs = [(us + (i // 5) * 2 * 86_400_000_000 + (i // 90) * 366 * 86_400_000_000, f) for i, (us, f) in enumerate(frames(200))]
+    (tmp_path / "a.pcap").write_bytes(classic(fs, order))
+    df = read_captures(spark, str(tmp_path), 1500)
+    assert [r.ts_us for r in df.orderBy("packet_no").collect()] == [us for us, _ in fs]

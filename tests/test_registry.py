@@ -29,9 +29,12 @@ def test_matches_sql(spark, con, sf, name):
     assert check.compare(got, con.execute(e.oracle_sql()[name]).df()).startswith("ok")
 
 
-@pytest.mark.parametrize("name", ["packet_sequences_all", "packet_sequences_scaled_all", "sequence_set_a_all",
-                                  "conversation_sequences_all", "alarm_rate_hourly_all", "alarm_rate_sliding_all",
-                                  "stream_alarm_rate_all", "stream_flows_all"])
+@pytest.mark.parametrize("name", [
+    "packet_sequences_scaled", "sequence_set_a", "conversation_sequences", "alarm_rate_hourly", "alarm_rate_sliding",
+    "stream_alarm_rate", "stream_flows", "stream_late_packets", "stream_on_time", "stream_alert_status", "stream_progress",
+    "label_csv_records", "label_file_columns", "conn_log_headers", "alert_log_match", "packet_file_scan",
+    "packet_file_cap", "mapping_order", "feature_audit_tables", "all_missing_log", "unscored_rows", "scenario_split",
+    "calibrated_isotonic", "score_profile", "subset_degradation", "model_thresholds", "time_label_join"])
 def test_whole_job_matches_sql(spark, con, sf, name):
     got = e.queries()[name](spark, sf).toPandas()
     assert check.compare(got, con.execute(e.oracle_sql()[name]).df()).startswith("ok")
@@ -50,8 +53,7 @@ def test_contract():
     own = {n for n in q if not re.match(r"op\d+_|pipeline$", n)}
     assert own - set(o) == {
         "bootstrap_ci", "bootstrap_area_ci", "paired_bootstrap", "lr_scores", "rf_scores", "gbt_scores",
-        "baseline_metrics", "transfer_scores", "multisource_scores", "prediction_sidecar", "calibrated_isotonic",
-        "calibrated_platt", "file_manifest", "table_fingerprint"}
+        "baseline_metrics", "transfer_scores", "multisource_scores", "prediction_sidecar", "calibrated_platt", "file_manifest", "table_fingerprint"}
 
 
 def plan(df):
@@ -64,6 +66,12 @@ def test_plans(spark, sf):
     assert p.count("WindowGroupLimit") == 2
     p = plan(q["packet_rejects"](spark, sf))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,props:string" not in p
+    for name in ("threshold_analysis_plan", "score_profile"):
+        p = plan((q["model_thresholds"] if name.startswith("thr") else q[name])(spark, sf))
+        assert "FileScan" not in p  # everything reads the score cells, which were made in one pass
+    for name in ("fusion", "overlap"):
+        p = plan(q[name](spark, sf))
+        assert p.index("Generate") < p.index("HashAggregate(keys=[domain") or p.count("FileScan") == 1
     for name in ("label_align", "alert_flow_match", "time_label_join", "packet_assign", "score_drift", "overlap"):
         p = plan(q[name](spark, sf))
         assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name

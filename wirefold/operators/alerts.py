@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirefold.functions.columns import percent, proto_number
+from wirefold.functions.columns import epoch_micros, percent, proto_number, report_round
 from wirefold.operators.flows import US
 from wirefold.operators.intervals import points_in_intervals
 from wirefold.operators.labeling import NKEY, with_canonical
@@ -22,7 +22,7 @@ def correct_time(alerts: DataFrame, offset_s: float = 0.0, col: str = "alert_ts_
 def from_log(alerts: DataFrame) -> DataFrame:
     """Adds `alert_id` and `alert_ts_us` to flattened log events, which carry a text time and no id: the id is a hash
     of the event and, among equal events, of their number."""
-    t = F.unix_micros(F.try_to_timestamp("timestamp"))
+    t = epoch_micros(F.try_to_timestamp("timestamp"))
     same = Window.partitionBy("_h").orderBy("_h")
     a = alerts.withColumns({"alert_ts_us": t, "_h": F.xxhash64(*alerts.columns)})
     return a.withColumn("alert_id", F.xxhash64("_h", F.row_number().over(same))).drop("_h")
@@ -50,10 +50,14 @@ def match_status(alerts: DataFrame, cand: DataFrame) -> DataFrame:
     n = cand.groupBy("alert_id").agg(F.count("*").alias("n_candidates"), F.min("flow").alias("_flow"))
     j = alerts.join(n, "alert_id", "left").withColumn(
         "n_candidates", F.coalesce("n_candidates", F.lit(0).cast("bigint")))
+    return with_status(j, F.col("_flow")).drop("_flow")
+
+
+def with_status(counted: DataFrame, flow: Column) -> DataFrame:
+    """Adds the status that follows from `n_candidates`, and the flow where it is the only one."""
     status = (F.when(F.col("n_candidates") == 0, "alert_unmatched")
               .when(F.col("n_candidates") == 1, "matched_unique").otherwise("matched_ambiguous"))
-    return j.withColumn("match_status", status).withColumn(
-        "flow", F.when(F.col("n_candidates") == 1, F.col("_flow"))).drop("_flow")
+    return counted.withColumn("match_status", status).withColumn("flow", F.when(F.col("n_candidates") == 1, flow))
 
 
 def status_rates(matched: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def status_rates(matched: DataFrame) -> DataFrame:
         F.count("*").alias("n_alerts"), F.count_if(F.col("match_status") == "matched_unique").alias("n_unique"),
         F.count_if(F.col("match_status") == "matched_ambiguous").alias("n_ambiguous"),
         F.count_if(F.col("match_status") == "alert_unmatched").alias("n_unmatched")).withColumn(
-        "match_rate", F.round(percent(F.col("n_unique") + F.col("n_ambiguous"), "n_alerts"), 4))
+        "match_rate", report_round(percent(F.col("n_unique") + F.col("n_ambiguous"), "n_alerts")))
 
 
 def flow_verdicts(flows: DataFrame, alerts: DataFrame, cand: DataFrame) -> DataFrame:

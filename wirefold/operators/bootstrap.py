@@ -3,7 +3,8 @@
 No replicate ever touches rows. F1, recall and FPR depend on four confusion counts, so a multinomial redraw of the
 counts is exactly the row bootstrap; a paired delta needs eight joint counts. ROC and precision-recall areas work on
 score cells: each depth bucket is one sorted stream whose cells get Poisson weights for all replicates at once, and
-only per-bucket sums leave it. The hashed variant redraws rows with weights that any SQL engine can reproduce.
+only per-bucket sums leave it. Those weights, and the hashed redraw of counts, come from `redraw`: any SQL engine can
+repeat them.
 """
 
 from __future__ import annotations
@@ -18,41 +19,42 @@ from pyspark.sql import types as T
 
 from wirefold.functions import rules
 from wirefold.functions.columns import safe_divide
+from wirefold.operators import redraw
 from wirefold.operators.ordering import BUCKET, depth_cuts, percentiles, with_bucket
-from wirefold.operators.thresholds import confusion, predicted, rates, score_cells
+from wirefold.operators.thresholds import confusion, predicted, rates, roc_points, score_cells
 from wirefold.session import cut_lineage
 
 REPLICATES = 1000
 SEED = 42
 # Cells drawn per numpy call inside a task.
 STEP = 256
-# Cumulative Poisson(1) probabilities e^-1 * sum 1/k!, k = 0..8; nine draws at most matter at 32 bits.
-POISSON_CDF = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974021]
 
 
-def hashed_weight(replicate, row_id) -> Column:
-    """Poisson(1) weight from 8 hex digits of md5('replicate:id'), the same in every engine."""
-    text = F.concat(replicate.cast("string"), F.lit(":"), row_id.cast("string"))
-    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    out = F.lit(len(POISSON_CDF))
-    for k in range(len(POISSON_CDF) - 1, -1, -1):
-        out = F.when(u < POISSON_CDF[k], k).otherwise(out)
-    return out
-
-
-def hashed_counts(df: DataFrame, by: list[str], row_id: str, cells: dict[str, Column], replicates: int) -> DataFrame:
-    """Weighted counts of each cell per replicate; the exploded rows combine map-side and are never shuffled."""
-    x = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    x = x.withColumn("_w", hashed_weight(F.col("replicate"), F.col(row_id)))
-    return x.groupBy(*by, "replicate").agg(*[F.sum(F.when(c, F.col("_w")).otherwise(0)).cast("bigint").alias(n)
-                                             for n, c in cells.items()])
+def hashed_counts(counts: DataFrame, by: list[str], names: list[str], replicates: int = REPLICATES,
+                  block: int = 250) -> DataFrame:
+    """The count columns redrawn as Poisson weights per replicate; what is multiplied is a row of counts per group."""
+    keys = [*by]
+    x = counts.select(*keys, *names, redraw.group_number(by).alias("_g"),
+                      F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))).alias("_block"))
+    schema = T.StructType([counts.schema[k] for k in keys] + [T.StructField("replicate", T.LongType())]
+                          + [T.StructField(n, T.LongType()) for n in names])
 
+    def run(batches):
+        for pdf in batches:
+            parts = []
+            for r in pdf.to_dict("records"):
+                reps = np.arange(block) + int(r["_block"]) * block
+                n = np.array([r[c] for c in names], np.int64)
+                drawn = redraw.weights(int(r["_g"]), 2 * np.arange(1, len(names) + 1), n, reps).astype(np.int64)
+                part = pd.DataFrame(drawn.T, columns=names)
+                for k in keys:
+                    part[k] = r[k]
+                part["replicate"] = reps
+                parts.append(part)
+            if parts:
+                yield pd.concat(parts)[[*keys, "replicate", *names]]
 
-def confusion_cells(pred: Column, y: str = "y_true") -> dict[str, Column]:
-    p, t = pred.cast("boolean"), F.col(y) == 1
-    return {"tp": p & t, "fp": p & ~t, "fn": ~p & t, "tn": ~p & ~t}
+    return x.repartition(*keys, "_block").mapInPandas(run, schema).where(F.col("replicate") < replicates)
 
 
 def interval(reps: DataFrame, by: list[str], metric: str, level: float = 0.95) -> DataFrame:
@@ -104,13 +106,15 @@ def bootstrap_f1(df: DataFrame, by: list[str], threshold: float = 0.5, replicate
 
 # --- areas under curves ------------------------------------------------------------------------------------------
 
-def _streams(keys: list[str], seed: int, reps: int, kind: str):
+def _streams(keys: list[str], reps: int, kind: str):
     """Sorted cells (top score first) to one row per bucket.
 
     kind 'roc': positive and negative weight and concordance inside the bucket. kind 'pr': each bucket's stream opens
     with a row holding the weights above it, and yields its share of average precision.
     """
 
+    replicates = np.arange(reps)
+
     def run(batches):
         key, st = None, None
 
@@ -123,7 +127,7 @@ def _streams(keys: list[str], seed: int, reps: int, kind: str):
             rows = []
             ident = list(zip(*[pdf[k] for k in keys]))
             cuts = [0] + [i for i in range(1, len(ident)) if ident[i] != ident[i - 1]] + [len(ident)]
-            pos, neg = pdf["pos"].to_numpy(), pdf["neg"].to_numpy()
+            pos, neg, cell, group = (pdf[c].to_numpy() for c in ("pos", "neg", "cell", "group_no"))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
                     continue
@@ -131,19 +135,18 @@ def _streams(keys: list[str], seed: int, reps: int, kind: str):
                     if key is not None:
                         rows.append(close())
                     key = ident[a]
-                    tag = zlib.crc32("|".join(map(str, key)).encode())
-                    st = {"rng": np.random.default_rng([seed, tag]), "p": np.zeros(reps), "n": np.zeros(reps),
-                          "u": np.zeros(reps), "p0": np.zeros(reps), "n0": np.zeros(reps)}
+                    st = {c: np.zeros(reps) for c in ("p", "n", "u", "p0", "n0")}
                     if kind == "pr" and pos[a] < 0:
                         st["p0"], st["n0"] = np.array(pdf["p0"].iloc[a]), np.array(pdf["n0"].iloc[a])
                         a += 1
                 for i in range(a, b, STEP):
-                    lam = np.stack([pos[i:min(i + STEP, b)], neg[i:min(i + STEP, b)]], axis=1)[:, :, None]
-                    w = st["rng"].poisson(lam, size=(len(lam), 2, reps)).astype(float)
-                    wp, cp, cn = w[:, 0], st["p"] + np.cumsum(w[:, 0], axis=0), st["n"] + np.cumsum(w[:, 1], axis=0)
+                    j = min(i + STEP, b)
+                    wp, wn = (redraw.weights(int(group[a]), 2 * cell[i:j] + c, n[i:j], replicates)
+                              for c, n in ((0, pos), (1, neg)))
+                    cp, cn = st["p"] + np.cumsum(wp, axis=0), st["n"] + np.cumsum(wn, axis=0)
                     if kind == "roc":
                         # Negatives of this bucket ranked above these positives, and half of the tied ones.
-                        st["u"] += (wp * (cn - w[:, 1] / 2)).sum(axis=0)
+                        st["u"] += (wp * (cn - wn / 2)).sum(axis=0)
                     else:
                         tp, fp = st["p0"] + cp, st["n0"] + cn
                         st["u"] += (wp * np.divide(tp, tp + fp, out=np.zeros_like(tp), where=(tp + fp) > 0)).sum(axis=0)
@@ -156,19 +159,23 @@ def _streams(keys: list[str], seed: int, reps: int, kind: str):
     return run
 
 
-def bootstrap_areas(df: DataFrame, by: list[str], replicates: int = REPLICATES, seed: int = SEED,
+def bootstrap_areas(df: DataFrame, by: list[str], replicates: int = REPLICATES,
                     score: str = "y_score", y: str = "y_true") -> DataFrame:
     """roc_auc and pr_auc of every replicate: (by, replicate, roc_auc, pr_auc). All rows count, none is subsampled.
 
-    Prevalence stays that of the data. Weights of a bucket depend on its key and seed only, so the second pass
-    redraws the same ones.
+    Prevalence stays that of the data. A cell is known by the number of rows at or above its score, and its weights
+    follow from that, so they do not depend on buckets and the second pass redraws the same ones.
     """
-    cells = cut_lineage(with_bucket(score_cells(df, by, score, y), "score", depth_cuts(df, score)))
+    cuts = depth_cuts(df, score)
+    points = roc_points(score_cells(df, by, score, y), by, cuts).select(
+        *by, "score", "pos", "neg", (F.col("tp") + F.col("fp")).alias("cell"), redraw.group_number(by).alias("group_no"))
+    cells = cut_lineage(with_bucket(points, "score", cuts))
     keys = [*by, BUCKET]
     arr = T.ArrayType(T.DoubleType())
     out = T.StructType([cells.schema[k] for k in keys] + [T.StructField(c, arr) for c in ("p", "n", "u")])
-    srt = cells.select(*keys, "score", "pos", "neg").repartition(*keys).sortWithinPartitions(*keys, F.desc("score"))
-    roc = cut_lineage(srt.mapInPandas(_streams(keys, seed, replicates, "roc"), out))  # draws are dear
+    drawn = ["pos", "neg", "cell", "group_no"]
+    srt = cells.select(*keys, "score", *drawn).repartition(*keys).sortWithinPartitions(*keys, F.desc("score"))
+    roc = cut_lineage(srt.mapInPandas(_streams(keys, replicates, "roc"), out))  # draws are dear
     long = roc.select(*keys, F.posexplode(F.arrays_zip("p", "n", "u")).alias("replicate", "_z")).select(
         *keys, "replicate", "_z.p", "_z.n", "_z.u")
     w = Window.partitionBy(*by, "replicate").orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
@@ -179,11 +186,12 @@ def bootstrap_areas(df: DataFrame, by: list[str], replicates: int = REPLICATES,
     auc = auc.select(*by, "replicate", (1 - F.try_divide(F.col("lost"), F.col("P") * F.col("N"))).alias("roc_auc"), "P")
     heads = off.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("replicate", "p0", "n0"))).alias("_o")).select(
         *keys, F.lit(float("inf")).alias("score"), F.lit(-1).cast("bigint").alias("pos"),
-        F.lit(-1).cast("bigint").alias("neg"), F.col("_o.p0").alias("p0"), F.col("_o.n0").alias("n0"))
-    body = cells.select(*keys, "score", "pos", "neg").withColumns({"p0": F.lit(None).cast(arr),
+        F.lit(-1).cast("bigint").alias("neg"), F.lit(0).cast("bigint").alias("cell"), F.lit(0).cast("bigint").alias("group_no"),
+        F.col("_o.p0").alias("p0"), F.col("_o.n0").alias("n0"))
+    body = cells.select(*keys, "score", *drawn).withColumns({"p0": F.lit(None).cast(arr),
                                                                     "n0": F.lit(None).cast(arr)})
     second = (body.unionByName(heads).repartition(*keys).sortWithinPartitions(*keys, F.desc("score"))
-              .mapInPandas(_streams(keys, seed, replicates, "pr"), out))
+              .mapInPandas(_streams(keys, replicates, "pr"), out))
     ap = (second.select(*keys, F.posexplode("u").alias("replicate", "u")).groupBy(*by, "replicate")
           .agg(F.sum("u").alias("ap")))
     return cut_lineage(auc.join(ap, [*by, "replicate"]).select(*by, "replicate", "roc_auc",

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from wirefold.functions import rules
 from wirefold.functions.columns import safe_divide
-from wirefold.operators.ordering import depth_cuts, percentiles, running_totals
-from wirefold.operators.thresholds import metrics_at, ranking_metrics
+from wirefold.operators.ordering import depth_cuts, running_totals
+from wirefold.operators.thresholds import area_sums, areas, curve, has_score, score_cells
+from wirefold.session import cut_lineage
 
 
 def unpivot(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -47,6 +48,7 @@ def drift_summary(top: DataFrame, block: list[str]) -> DataFrame:
 
 def calibration(df: DataFrame, by: list[str], score: str = "y_score", y: str = "y_true", bins: int = 10) -> DataFrame:
     """Expected calibration error on equal-width bins, and Brier score."""
+    df = df.where(has_score(score))
     b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).alias("_bin")
     sq = (F.col(score) - F.col(y)) * (F.col(score) - F.col(y))
     g = df.groupBy(*by, b).agg(F.count("*").alias("n"), F.sum(score).alias("s"), F.sum(y).alias("p"),
@@ -56,17 +58,38 @@ def calibration(df: DataFrame, by: list[str], score: str = "y_score", y: str = "
 
 
 def score_profile(df: DataFrame, by: list[str], threshold: float = 0.5, score: str = "y_score",
-                  y: str = "y_true") -> DataFrame:
-    """Per group: mean and exact 90th percentile by class, ROC and PR area, calibration, F1 and positives above t."""
-    pos, neg = F.col(y) == 1, F.col(y) == 0
-    m = df.groupBy(*by).agg(F.avg(F.when(pos, F.col(score))).alias("pos_mean"),
-                            F.avg(F.when(neg, F.col(score))).alias("neg_mean"),
-                            safe_divide(F.count_if(pos & (F.col(score) >= threshold)), F.count_if(pos)).alias("pos_above"))
-    p = percentiles(df, [*by, y], score, {"p90": 0.9}).groupBy(*by).agg(
-        F.max(F.when(pos, F.col("p90"))).alias("pos_p90"), F.max(F.when(neg, F.col("p90"))).alias("neg_p90"))
-    r = ranking_metrics(df, by, score, y).select(*by, "roc_auc", "pr_auc")
-    f = metrics_at(df, by, threshold, score, y).select(*by, "f1")
-    return m.join(p, by).join(r, by).join(calibration(df, by, score, y), by).join(f, by)
+                  y: str = "y_true", bins: int = 10) -> DataFrame:
+    """Per group: mean and exact 90th percentile by class, ROC and PR area, calibration, F1 and positives above t.
+
+    The scores are read once, into score cells. Their running counts give areas and percentiles, their sums the rest.
+    """
+    cells = cut_lineage(score_cells(df, by, score, y))
+    s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    b = F.least(F.floor(s * bins), F.lit(bins - 1)).alias("_bin")
+    per_bin = cells.groupBy(*by, b).agg(F.sum(pos + neg).alias("n"), F.sum(s * (pos + neg)).alias("s"), F.sum(pos).alias("p"),
+                                        F.sum(pos * (s - 1) * (s - 1) + neg * s * s).alias("q"))
+    cal = per_bin.groupBy(*by).agg((F.sum(F.abs(F.col("s") - F.col("p"))) / F.sum("n")).alias("ece"),
+                                   (F.sum("q") / F.sum("n")).alias("brier"))
+    pts = curve(cells, by).withColumnsRenamed({"n_pos": "_np", "n_neg": "_nn"})
+    hit = s >= threshold
+    sums = [*area_sums(), F.sum(s * pos).alias("_sp"), F.sum(s * neg).alias("_sn"), F.sum(F.when(hit, pos).otherwise(0)).alias("tp"),
+            F.sum(F.when(hit, neg).otherwise(0)).alias("fp")]
+    for k, n, above, own in (("pos", "_np", "tp", pos), ("neg", "_nn", "fp", neg)):
+        upto, rank = F.col(n) - F.col(above) + own, 0.9 * (F.col(n) - 1)  # rows of the class at or below the score
+        for end, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            sums.append(F.min(F.when((own > 0) & (upto >= at + 1), s)).alias(f"_{k}_{end}"))
+    g = pts.groupBy(*by).agg(*sums)
+
+    def p90(k, n):
+        rank = F.lit(0.9) * (F.col(n) - 1)
+        return F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * (rank - F.floor(rank))
+
+    g = g.select(
+        *by, F.try_divide("_sp", "n_pos").alias("pos_mean"), F.try_divide("_sn", "n_neg").alias("neg_mean"),
+        safe_divide("tp", "n_pos").alias("pos_above"), p90("pos", "n_pos").alias("pos_p90"),
+        p90("neg", "n_neg").alias("neg_p90"), *areas(),
+        safe_divide(F.col("tp") * 2, F.col("tp") + F.col("fp") + F.col("n_pos")).alias("f1"))
+    return g.join(cal, by)
 
 
 def score_drift(profile: DataFrame, method: str = "method", domain: str = "domain",

@@ -46,10 +46,6 @@ def guard_features(cols: list[str]) -> None:
         raise ValueError(f"columns that leak identity or labels used as features: {bad}")
 
 
-def _numeric(df: DataFrame, cols: list[str]) -> list[str]:
-    return [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
-
-
 def _is_nan(df: DataFrame, c: str):
     col = F.col(c)
     if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
@@ -160,3 +156,13 @@ def missing_meta(df: DataFrame) -> list[str]:
 def schemas_agree(frames: list[DataFrame]) -> bool:
     """Same feature columns in the same order in every table."""
     return len({tuple(c for c in f.columns if c not in META_COLS) for f in frames}) <= 1
+
+
+def audit_tables(frames: dict[str, DataFrame], by: str = "pcap_file") -> DataFrame:
+    """The audit of several feature tables, each also compared with the first: `schema_agrees` where it has the same
+    feature columns in the same order."""
+    first, out = next(iter(frames.values())), None
+    for name, df in frames.items():
+        part = audit(df, by).withColumns({"table_name": F.lit(name), "schema_agrees": F.lit(schemas_agree([first, df]))})
+        out = part if out is None else out.unionByName(part)
+    return out

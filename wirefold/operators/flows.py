@@ -441,11 +441,6 @@ def number_flows(flows: DataFrame) -> DataFrame:
     return numbered(per_file, [], "start_us", ["pcap_file", *FLOW_ORDER], "global_flow_id")
 
 
-def stable_flow_key(flows: DataFrame) -> DataFrame:
-    """Order-free identity for use where a dense number is not needed."""
-    return flows.withColumn("flow_key", F.sha2(F.concat_ws("|", "pcap_file", *FLOW_ORDER, "start_us"), 256))
-
-
 def idle_sessions(packets: DataFrame, idle_s: float = IDLE_S, chunk_s: float | None = None) -> DataFrame:
     """Sessions split on idle gaps only, in SQL: pieces inside (key, time chunk), then pieces linked over chunks.
 

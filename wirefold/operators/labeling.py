@@ -51,7 +51,9 @@ def label_sets(label_ref: DataFrame) -> DataFrame:
 
 
 def mapping_for(mapping: DataFrame, dataset: str, order: str | None = None) -> DataFrame:
-    """Entries of one dataset keyed by normalised label; the last entry of a repeated label wins."""
+    """Entries of one dataset keyed by normalised label; the last entry of a repeated label wins, by `order` or by the
+    `row_order` that `read_mapping` gives."""
+    order = order or ("row_order" if "row_order" in mapping.columns else None)
     m = mapping.where(F.col("dataset_name") == dataset).withColumn("norm", normalise_label("original_label"))
     m = m.withColumn("_row", F.col(order) if order else F.monotonically_increasing_id())
     row = F.struct("binary_label", blank_to_null("coarse_family").alias("coarse_family"),
@@ -63,6 +65,14 @@ def mapping_for(mapping: DataFrame, dataset: str, order: str | None = None) -> D
                     (F.lower(F.trim("_m.keep_or_exclude")) != "exclude").alias("keep")))
 
 
+def _look_up(keyed: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Flows with their key's lookup row, if there is one. Flows without a key match nothing; a hash of the row takes
+    part in their join key, so that they spread over tasks instead of meeting on one NULL."""
+    spread = F.when(F.col("k_protocol").isNull(), F.xxhash64(*[c for c in keyed.columns])).otherwise(F.lit(0).cast("bigint"))
+    return keyed.withColumn("_spread", spread).join(
+        lookup.withColumn("_spread", F.lit(0).cast("bigint")), [*NKEY, "_spread"], "left").drop("_spread")
+
+
 def align_labels(flows: DataFrame, label_ref: DataFrame, mapping: DataFrame, dataset: str,
                  apply_keep: bool = True, compat_raw_conflict: bool = False) -> DataFrame:
     """Adds matched_flag, ambiguous_flag, label_match_method, original_label, binary_label, coarse_family,
@@ -72,8 +82,7 @@ def align_labels(flows: DataFrame, label_ref: DataFrame, mapping: DataFrame, dat
     """
     lk = label_lookup(label_ref, compat_raw_conflict)
     m = mapping_for(mapping, dataset)
-    f = with_canonical(flows)
-    j = (f.join(lk, NKEY, "left").withColumn("norm", normalise_label("label")).join(m, "norm", "left"))
+    j = _look_up(with_canonical(flows), lk).withColumn("norm", normalise_label("label")).join(m, "norm", "left")
     no_key = F.col("k_protocol").isNull()
     method = (F.when(no_key, "no_key").when(F.col("ambiguous"), "ambiguous_canonical_5tuple")
               .when(F.col("ambiguous").isNull(), "unmatched").otherwise("canonical_5tuple"))
@@ -213,8 +222,16 @@ def sample_times(label_ref: DataFrame, col: str = "ts_us", n: int = 5) -> DataFr
     return label_ref.where(F.col(col).isNotNull()).select(col).orderBy(col).limit(n)
 
 
-def label_summary(label_ref: DataFrame, by: str = "pcap_file", n: int = 10) -> DataFrame:
-    """Rows, distinct labels and top labels per label file."""
+def label_summary(label_ref: DataFrame, by: str = "pcap_file", n: int = 10, heads: DataFrame | None = None) -> DataFrame:
+    """Rows, distinct labels and top labels per label file. With the `heads` that `label_files` gives, also the number of
+    columns and the label column of each file, which is then where the label is read from."""
+    if heads is not None:
+        named = [r[0] for r in heads.select("label_column").where("label_column is not null").distinct().collect()]
+        have = {c.lower(): c for c in label_ref.columns}
+        chosen = F.coalesce(*[F.when(F.col("label_column") == c, F.col(f"`{have[c.lower()]}`")) for c in named],
+                            F.lit(None).cast("string"))
+        s = label_summary(label_ref.join(heads, by).select(by, chosen.alias("label")), by, n)
+        return s.join(heads.select(by, "columns_count", "label_column"), by)
     c = label_ref.groupBy(by, "label").agg(F.count("*").alias("n"))
     w = Window.partitionBy(by).orderBy(F.desc("n"), F.asc("label"))
     top = c.withColumn("label_rank", F.row_number().over(w)).where(F.col("label_rank") <= n)
@@ -233,7 +250,7 @@ def time_label_join(flows: DataFrame, label_ref: DataFrame, tolerance_us: int, s
     """
     lk = label_lookup(label_ref)
     f = with_canonical(flows).withColumn("_fid", F.struct("pcap_file", *FLOW_ENDPOINTS, "protocol", start))
-    base = f.join(lk, NKEY, "left")
+    base = _look_up(f, lk)
     # Strict |start - t| < tolerance; a bucket as wide as the window makes at most two neighbours reachable.
     width = max(2 * tolerance_us, 1)
     lab = (with_canonical(label_ref, LABEL_ENDPOINTS).where(F.col("k_protocol").isNotNull())

@@ -13,11 +13,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import ElementwiseProduct, MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.operators.features import guard_features
+from wirefold.operators.isotonic import interpolate, isotonic_blocks
 from wirefold.operators.thresholds import best_f1, fixed_fpr, label_tiers, score_cells, sweep
 from wirefold.schemas import FEATURES, PREDICTION_COLS
 from wirefold.session import cut_lineage
@@ -170,23 +170,33 @@ def calibrate(val: DataFrame, df: DataFrame, method: str = "isotonic", score_col
               split_col: str | None = None) -> DataFrame:
     """`calibrated` score fitted on source validation rows: isotonic or Platt.
 
-    Both fit on score cells weighted by their counts, so equal scores enter once.
+    Both fit on score cells weighted by their counts, so equal scores enter once. Rows without a score, or with NaN, are
+    not fitted; isotonic regression gives them NULL.
     """
     if split_col:
         require_only(val, split_col, ["val"], "calibration")
-    cells = score_cells(val, [], score_col, y)
+    cells = score_cells(val.where(F.col(score_col).isNotNull() & ~F.isnan(score_col)), [], score_col, y)
+    if method == "isotonic":
+        return interpolate(df, isotonic_blocks(cells), score_col, "calibrated")
+    if method != "platt":
+        raise ValueError(f"unknown calibration: {method}")
     long = cells.select("score", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("pos").cast("double").alias("w")),
         F.struct(F.lit(0.0).alias("label"), F.col("neg").cast("double").alias("w")))).alias("_e")).select("score", "_e.*")
-    long = long.where("w > 0")
     asm = VectorAssembler(inputCols=["_score"], outputCol="_x")
-    src = asm.transform(long.withColumn("_score", F.col("score")))
+    src = asm.transform(long.where("w > 0").withColumn("_score", F.col("score")))
     out = asm.transform(df.withColumn("_score", F.col(score_col)))
-    if method == "isotonic":
-        m = IsotonicRegression(featuresCol="_x", labelCol="label", weightCol="w", predictionCol="calibrated").fit(src)
-        return m.transform(out).drop("_x", "_score")
-    if method == "platt":
-        m = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="w", maxIter=200).fit(src)
-        return m.transform(out).withColumn("calibrated", vector_to_array("probability")[1]).drop(
-            "_x", "_score", "rawPrediction", "probability", "prediction")
-    raise ValueError(f"unknown calibration: {method}")
+    m = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="w", maxIter=200).fit(src)
+    return m.transform(out).withColumn("calibrated", vector_to_array("probability")[1]).drop(
+        "_x", "_score", "rawPrediction", "probability", "prediction")
+
+
+def pooled_tiers(parts: dict[str, DataFrame], kind: str, cfg: Config | None = None, budget: float = 0.01) -> DataFrame:
+    """Several sources trained as one: the model is fitted on the pooled train rows, the default, best-F1 and fixed-FPR
+    thresholds come from the pooled validation rows, and every row gets its score and its label under each of them."""
+    pooled = cut_lineage(combine_sources(parts))
+    model = fit(pooled.where(F.col("split") == "train"), kind, cfg)
+    scored = cut_lineage(score(model, pooled, f"multisource_{kind}"))
+    t = source_thresholds(scored.where(F.col("split") == "val"), budget)
+    tiers = label_tiers(scored, t["default"], t["val_tuned"], t["fixed_fpr"], "y_score")
+    return tiers.withColumns({f"threshold_{k}": F.lit(float(v)) for k, v in t.items()})

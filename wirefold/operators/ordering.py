@@ -8,6 +8,8 @@ group - carry the running amount across buckets. A value repeated many times col
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,11 +23,18 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def depth_cuts(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Distinct inner cut points that split all rows of `df` into buckets of near-equal row count.
+    """Distinct inner cut points that split all rows of `df` into buckets of near-equal row count."""
+    return sorted(set(depth_points(df, value, buckets)))
+
+
+def depth_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """The inner cut points, in order; a value that holds the rows of several buckets comes several times.
 
     Without `buckets`, the aggregate that makes the cuts also counts the rows, and is repeated with more buckets where
     these would hold more than ROWS_PER_BUCKET rows.
     """
+    df = df.where(~F.isnan(F.col(value).cast("double")) | F.col(value).isNull())
+
     def cut(n: int):
         probs = [i / n for i in range(1, n)]
         return df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 20 * n).alias("c"),
@@ -35,7 +44,7 @@ def depth_cuts(df: DataFrame, value: str, buckets: int | None = None) -> list[fl
     row = cut(n)
     if buckets is None and row["n"] > n * ROWS_PER_BUCKET:
         row = cut(-(-row["n"] // ROWS_PER_BUCKET))
-    return sorted(set(row["c"] or []))
+    return list(row["c"] or [])
 
 
 def with_bucket(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
@@ -79,16 +88,48 @@ def running_totals(cells: DataFrame, groups: list[str], value: str, sums: list[s
                       *nxt)
 
 
-def numbered(df: DataFrame, groups: list[str], first: str, ties: list, out: str,
+def numbered(df: DataFrame, groups: list[str], first: str, ties: list[str], out: str,
              buckets: int | None = None) -> DataFrame:
-    """1-based position within `groups` by (`first`, *ties); exact and bounded per task."""
-    b = with_bucket(df, first, depth_cuts(df, first, buckets)).withColumn("_one", F.lit(1).cast("bigint"))
+    """1-based position within `groups` by (`first`, *ties); exact and bounded per task.
+
+    A value of `first` that fills several buckets is cut further by the tie columns, so that rows of one time spread
+    over tasks too.
+    """
+    points = depth_points(df, first, buckets)
+    b = with_bucket(df, first, sorted(set(points)))
+    heavy = {v: n for v, n in Counter(points).items() if n > 1} if ties else {}
+    if heavy:
+        parts = max(heavy.values()) + 1
+        inside = _tie_bucket(df, first, ties, heavy)
+        b = b.withColumn(BUCKET, F.col(BUCKET) * parts + F.coalesce(inside, F.lit(parts - 1)))
+    b = b.withColumn("_one", F.lit(1).cast("bigint"))
     w = Window.partitionBy(*groups, BUCKET).orderBy(first, *ties)
     local = b.withColumn("_rn", F.row_number().over(w))
     return (local.join(_offsets(b, groups, ["_one"], False), [*groups, BUCKET])
             .withColumn(out, F.col("_rn") + F.col("_off__one")).drop("_rn", "_one", "_off__one", BUCKET))
 
 
+TIE_SAMPLE = 20  # rows sampled per cut
+
+
+def _tie_bucket(df: DataFrame, first: str, ties: list[str], heavy: dict[float, int]):
+    """For rows whose `first` is a heavy value: how many of its cuts in the tie columns are at or before the row; NULL for
+    others. Cuts come from a hashed sample of at most TIE_SAMPLE rows per cut, so they steer the spread and not the
+    numbers."""
+    rows = df.where(F.col(first).cast("double").isin(list(heavy))).select(first, *ties)
+    some = rows.orderBy(F.xxhash64(*ties)).limit(TIE_SAMPLE * sum(heavy.values())).orderBy(first, *ties).collect()
+    kinds = {t: df.schema[t].dataType for t in ties}
+    out = F.lit(None).cast("int")
+    for value, n in heavy.items():
+        found = [r for r in some if float(r[first]) == value]
+        picked = [found[len(found) * i // (n + 1)] for i in range(1, n + 1)] if found else []
+        if picked:
+            cuts = F.array(*[F.struct(*[F.lit(r[t]).cast(kinds[t]).alias(t) for t in ties]) for r in picked])
+            at = F.size(F.filter(cuts, lambda c: c <= F.struct(*[F.col(t).alias(t) for t in ties])))
+            out = F.when(F.col(first).cast("double") == value, at).otherwise(out)
+    return out
+
+
 def percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated percentiles per group, one column per name in `probs`.
 

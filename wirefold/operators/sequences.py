@@ -65,12 +65,6 @@ def packet_channels(assigned: DataFrame, ip_only: bool = True) -> DataFrame:
         "protocol_id": proto_id("protocol").cast("double")}).where(F.col("protocol_id").isNotNull())
 
 
-def delta_by_lag(df: DataFrame, flow: list[str], order: list[str], t: str = "ts_us") -> DataFrame:
-    """Seconds since the previous row of the flow, 0 for its first."""
-    w = Window.partitionBy(*flow).orderBy(*order)
-    return df.withColumn("delta_t", F.coalesce((F.col(t) - F.lag(t).over(w)) / F.lit(float(US)), F.lit(0.0)))
-
-
 def scaler_stats(steps: DataFrame, split: str = "train") -> DataFrame:
     """Mean and population deviation of signed length and log1p(delta_t) over train steps; padding never enters."""
     t = steps.where(F.col("split") == split)
@@ -80,9 +74,10 @@ def scaler_stats(steps: DataFrame, split: str = "train") -> DataFrame:
                  F.stddev_pop(ld).alias("dt_std"))
 
 
-def to_sequences(steps: DataFrame, flow: list[str], k: int = K_MAX, scaler: dict | None = None,
+def to_sequences(steps: DataFrame, flow: list[str], k: int | None = K_MAX, scaler: dict | None = None,
                  channels: list[str] = CHANNELS) -> DataFrame:
-    """One row per flow: `sequence` array<array<float>> of length k, zero-padded on the right, and `n_packets`.
+    """One row per flow: `sequence` array<array<float>> of length k, zero-padded on the right, and `n_packets`; `k=None`
+    keeps every step and pads nothing.
 
     With `scaler` (a row of `scaler_stats`) the first and third channel are standardised; padding stays zero.
     """
@@ -95,6 +90,8 @@ def to_sequences(steps: DataFrame, flow: list[str], k: int = K_MAX, scaler: dict
     step = F.array(*[ch[c].cast("float") for c in channels])
     g = steps.groupBy(*flow).agg(F.sort_array(F.collect_list(F.struct("pos", step.alias("v")))).alias("_s"))
     zero = F.array(*[F.lit(0.0).cast("float") for _ in channels])
+    if k is None:
+        return g.select(*flow, F.transform("_s", lambda x: x["v"]).alias("sequence"), F.size("_s").alias("n_packets"))
     body = F.slice(F.transform("_s", lambda x: x["v"]), 1, k)
     n = F.least(F.size("_s"), F.lit(k))
     return g.select(*flow, F.concat(body, F.array_repeat(zero, k - n)).alias("sequence"), n.alias("n_packets"))

@@ -25,10 +25,6 @@ def with_day_split(df: DataFrame, plan: dict[str, str] | None = None) -> DataFra
     return df.withColumn("day", capture_day()).withColumn("split", role_of(F.col("day"), plan))
 
 
-def split_by_substring(df: DataFrame, test_parts: list[str]) -> DataFrame:
-    return df.withColumn("split", F.when(contains_any("pcap_file", test_parts), "test").otherwise("train"))
-
-
 def file_order_split(df: DataFrame, n_train: int, n_val: int, time: str = "start_us") -> DataFrame:
     """Files in capture order: the first `n_train` to train, the next `n_val` to val, the rest to test.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wirefold.functions.columns import _c, safe_divide
 from wirefold.operators.ordering import depth_cuts, running_totals
+from wirefold.session import cut_lineage
 
 DEFAULT_THRESHOLD = 0.5
 SWEEP_STEPS = 200
@@ -30,6 +31,14 @@ def label_tiers(scores: DataFrame, default: float, val_tuned: float, fixed_fpr:
                                "pred_label_fixed_fpr": predicted(score, F.lit(fixed_fpr))})
 
 
+def has_score(score) -> Column:
+    return _c(score).isNotNull() & ~F.isnan(_c(score))
+
+
+def unscored_counts(df: DataFrame, by: list[str], score: str = "y_score") -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_if(~has_score(score)).alias("n_unscored"))
+
+
 def confusion(df: DataFrame, by: list[str], pred: Column, y: str = "y_true") -> DataFrame:
     p, t = pred.cast("boolean"), F.col(y) == 1
     return df.groupBy(*by).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"),
@@ -56,30 +65,43 @@ def extended_rates(df: DataFrame) -> DataFrame:
 
 def metrics_at(df: DataFrame, by: list[str], threshold: float = DEFAULT_THRESHOLD, score: str = "y_score",
                y: str = "y_true") -> DataFrame:
-    return rates(confusion(df, by, predicted(score, F.lit(threshold)), y)).withColumn("threshold", F.lit(threshold))
+    c = confusion(df.where(has_score(score)), by, predicted(score, F.lit(threshold)), y)
+    return rates(c).withColumn("threshold", F.lit(threshold))
 
 
 def score_cells(df: DataFrame, by: list[str], score: str = "y_score", y: str = "y_true") -> DataFrame:
     t = F.col(y) == 1
-    return df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(t).alias("pos"), F.count_if(~t).alias("neg"))
+    return df.where(has_score(score)).groupBy(*by, F.col(score).alias("score")).agg(
+        F.count_if(t).alias("pos"), F.count_if(~t).alias("neg"))
 
 
 def _grid(i, steps: int) -> Column:
     return _c(i).cast("double") * F.lit(1.0 / steps)
 
 
+def _step(s: Column, steps: int) -> Column:
+    """Grid cell of the largest threshold not above the score, corrected by one where floating-point rounding puts it
+    next door; -1 below the grid."""
+    i = F.least(F.greatest(F.floor(s * steps), F.lit(-1)), F.lit(steps)).cast("int")
+    return F.when((i < steps) & (_grid(i + 1, steps) <= s), i + 1).when((i >= 0) & (_grid(i, steps) > s), i - 1).otherwise(i)
+
+
 def sweep(df: DataFrame, by: list[str], steps: int = SWEEP_STEPS, score: str = "y_score",
           y: str = "y_true") -> DataFrame:
-    """Metrics at steps+1 equally spaced thresholds in [0, 1].
-
-    Each score falls into the grid cell of the largest threshold not above it, corrected by one where floating-point
-    rounding puts it next door; counts per cell are then summed from the top.
-    """
-    s = F.col(score)
-    i = F.least(F.greatest(F.floor(s * steps), F.lit(-1)), F.lit(steps)).cast("int")
-    i = F.when((i < steps) & (_grid(i + 1, steps) <= s), i + 1).when((i >= 0) & (_grid(i, steps) > s), i - 1).otherwise(i)
+    """Metrics at steps+1 equally spaced thresholds in [0, 1]: counts per grid cell, summed from the top."""
     t = F.col(y) == 1
-    cells = df.groupBy(*by, i.alias("step")).agg(F.count_if(t).alias("pos"), F.count_if(~t).alias("neg"))
+    cells = df.where(has_score(score)).groupBy(*by, _step(F.col(score), steps).alias("step")).agg(
+        F.count_if(t).alias("pos"), F.count_if(~t).alias("neg"))
+    return _swept(cells, by, steps)
+
+
+def sweep_cells(cells: DataFrame, by: list[str], steps: int = SWEEP_STEPS) -> DataFrame:
+    """`sweep` of score cells."""
+    return _swept(cells.groupBy(*by, _step(F.col("score"), steps).alias("step")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), by, steps)
+
+
+def _swept(cells: DataFrame, by: list[str], steps: int) -> DataFrame:
     tot = cells.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     grid = tot.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     w = Window.partitionBy(*by).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
@@ -114,20 +136,30 @@ def fixed_fpr(df: DataFrame, by: list[str], budgets: list[float] = BUDGETS, mode
     `lowest` keeps the most recall; `highest` is the first hit when scanning from the top score. When even the top
     score exceeds the budget the threshold is placed just above it and noted. Groups without negatives give no row.
     """
+    cells = score_cells(df, by, score, y)
+    return fixed_fpr_cells(curve(cells, by, depth_cuts(df, score)), by, budgets, mode)
+
+
+def curve(cells: DataFrame, by: list[str], cuts: list[float] | None = None) -> DataFrame:
+    """Score cells with tp and fp at their score and the totals of their group."""
+    return roc_points(cells, by, cuts).join(class_totals(cells, by), by)
+
+
+def fixed_fpr_cells(points: DataFrame, by: list[str], budgets: list[float] = BUDGETS, mode: str = "lowest") -> DataFrame:
+    """`fixed_fpr` of a curve: one aggregate that picks a cell per budget."""
     if mode not in ("lowest", "highest"):
         raise ValueError(f"unknown mode: {mode}")
-    cells = score_cells(df, by, score, y)
-    tot = class_totals(cells, by).where("n_neg > 0")
-    pts = roc_points(cells, by, depth_cuts(df, score)).join(tot, by).withColumn(
-        "target_fpr", F.explode(F.array(*[F.lit(float(b)) for b in budgets])))
-    ok = F.col("fp") / F.col("n_neg") <= F.col("target_fpr")
     key = -F.col("score") if mode == "lowest" else F.col("score")
-    pick = F.max_by(F.struct("score", "tp", "fp"), F.when(ok, key))
-    g = pts.groupBy(*by, "n_pos", "n_neg", "max_score", "target_fpr").agg(pick.alias("_p"))
-    found = F.col("_p").isNotNull()
-    g = g.select(*by, "target_fpr",
-                 F.when(found, F.col("_p.score")).otherwise(F.col("max_score") + 1e-9).alias("threshold"),
-                 F.coalesce("_p.tp", F.lit(0)).alias("tp"), F.coalesce("_p.fp", F.lit(0)).alias("fp"),
+    share = F.col("fp") / F.col("n_neg")
+    picks = [F.max_by(F.struct("score", "tp", "fp"), F.when(share <= float(b), key)).alias(f"_p{i}")
+             for i, b in enumerate(budgets)]
+    g = points.where("n_neg > 0").groupBy(*by, "n_pos", "n_neg", "max_score").agg(*picks)
+    g = g.select(*by, "n_pos", "n_neg", "max_score", F.explode(F.array(*[
+        F.struct(F.lit(float(b)).alias("target_fpr"), F.col(f"_p{i}").alias("p")) for i, b in enumerate(budgets)])).alias("_e"))
+    found = F.col("_e.p").isNotNull()
+    g = g.select(*by, "_e.target_fpr",
+                 F.when(found, F.col("_e.p.score")).otherwise(F.col("max_score") + 1e-9).alias("threshold"),
+                 F.coalesce("_e.p.tp", F.lit(0)).alias("tp"), F.coalesce("_e.p.fp", F.lit(0)).alias("fp"),
                  "n_pos", "n_neg", F.when(~found, "budget not reachable; threshold set above the top score").alias("note"))
     g = g.withColumns({"fn": F.col("n_pos") - F.col("tp"), "tn": F.col("n_neg") - F.col("fp")}).drop("n_pos", "n_neg")
     return rates(g)
@@ -135,15 +167,26 @@ def fixed_fpr(df: DataFrame, by: list[str], budgets: list[float] = BUDGETS, mode
 
 def analyze(df: DataFrame, by: list[str], budgets: list[float] = BUDGETS, mode: str = "lowest",
             score: str = "y_score", y: str = "y_true") -> DataFrame:
-    """Default, best-F1 and fixed-FPR operating points of every group in one table."""
+    """Default, best-F1 and fixed-FPR operating points of every group in one table.
+
+    The scores are read once, into score cells; every operating point comes from these.
+    """
+    cells = cut_lineage(score_cells(df, by, score, y))
     cols = [*by, "threshold_type", "threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr"]
-    d = metrics_at(df, by, DEFAULT_THRESHOLD, score, y).withColumn("threshold_type", F.lit("default"))
-    b = best_f1(sweep(df, by, score=score, y=y), by).withColumn("threshold_type", F.lit("best_f1"))
-    f = fixed_fpr(df, by, budgets, mode, score, y).withColumn(
+    at = F.col("score") >= DEFAULT_THRESHOLD
+    d = rates(cells.groupBy(*by).agg(*[_count(c, on).alias(n) for n, c, on in (
+        ("tp", "pos", at), ("fp", "neg", at), ("fn", "pos", ~at), ("tn", "neg", ~at))]))
+    d = d.withColumns({"threshold": F.lit(DEFAULT_THRESHOLD), "threshold_type": F.lit("default")})
+    b = best_f1(sweep_cells(cells, by), by).withColumn("threshold_type", F.lit("best_f1"))
+    f = fixed_fpr_cells(curve(cells, by), by, budgets, mode).withColumn(
         "threshold_type", F.concat(F.lit("fixed_fpr_"), F.col("target_fpr").cast("string")))
     return d.select(*cols).unionByName(b.select(*cols)).unionByName(f.select(*cols))
 
 
+def _count(c: str, on: Column) -> Column:
+    return F.coalesce(F.sum(F.when(on, F.col(c))), F.lit(0).cast("bigint"))
+
+
 def at_points(df: DataFrame, points: DataFrame, by: list[str], score: str = "y_score", y: str = "y_true") -> DataFrame:
     """Metrics of df at thresholds found elsewhere: one row per row of `points` (by, threshold_type, threshold).
 
@@ -151,31 +194,30 @@ def at_points(df: DataFrame, points: DataFrame, by: list[str], score: str = "y_s
     """
     cells = score_cells(df, by, score, y).join(points.select(*by, "threshold_type", "threshold"), by)
     hit = F.col("score") >= F.col("threshold")
-    zero = F.lit(0).cast("bigint")
-
-    def total(c: str, on):
-        return F.coalesce(F.sum(F.when(on, F.col(c))), zero)
-
     c = cells.groupBy(*by, "threshold_type", "threshold").agg(
-        total("pos", hit).alias("tp"), total("neg", hit).alias("fp"), total("pos", ~hit).alias("fn"),
-        total("neg", ~hit).alias("tn"))
+        _count("pos", hit).alias("tp"), _count("neg", hit).alias("fp"), _count("pos", ~hit).alias("fn"),
+        _count("neg", ~hit).alias("tn"))
     return rates(c).select(*by, "threshold_type", "threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr")
 
 
 def ranking_metrics(df: DataFrame, by: list[str], score: str = "y_score", y: str = "y_true") -> DataFrame:
     """roc_auc (Mann-Whitney with half credit for ties) and pr_auc (average precision); NULL unless both classes occur."""
-    cells = score_cells(df, by, score, y)
-    pts = roc_points(cells, by, depth_cuts(df, score))
+    g = roc_points(score_cells(df, by, score, y), by, depth_cuts(df, score)).groupBy(*by).agg(*area_sums())
+    return g.select(*by, "n_pos", "n_neg", *areas())
+
+
+def area_sums() -> list[Column]:
+    """Aggregates over a curve from which `areas` reads both areas."""
     # Pairs won by each positive: negatives strictly below, i.e. all negatives minus those at or above.
-    g = pts.groupBy(*by).agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
-        F.sum(F.col("pos").cast("double") * (F.col("fp") - F.col("neg") / 2)).alias("_lost"),
-        F.sum(F.col("pos") * safe_divide("tp", F.col("tp") + F.col("fp"))).alias("_ap"))
+    return [F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+            F.sum(F.col("pos").cast("double") * (F.col("fp") - F.col("neg") / 2)).alias("_lost"),
+            F.sum(F.col("pos") * safe_divide("tp", F.col("tp") + F.col("fp"))).alias("_ap")]
+
+
+def areas() -> list[Column]:
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    return g.select(*by, "n_pos", "n_neg",
-                    F.when(both, 1 - F.try_divide(F.col("_lost"), F.col("n_pos").cast("double") * F.col("n_neg")))
-                    .alias("roc_auc"),
-                    F.when(both, F.try_divide(F.col("_ap"), F.col("n_pos"))).alias("pr_auc"))
+    return [F.when(both, 1 - F.try_divide(F.col("_lost"), F.col("n_pos").cast("double") * F.col("n_neg"))).alias("roc_auc"),
+            F.when(both, F.try_divide(F.col("_ap"), F.col("n_pos"))).alias("pr_auc")]
 
 
 def recall_at_fpr(df: DataFrame, by: list[str], budget: float = 0.01, **kw) -> DataFrame:
@@ -185,7 +227,7 @@ def recall_at_fpr(df: DataFrame, by: list[str], budget: float = 0.01, **kw) -> D
 def group_breakdown(df: DataFrame, by: list[str], group: str, threshold: float = DEFAULT_THRESHOLD,
                     score: str = "y_score", y: str = "y_true") -> DataFrame:
     """n_flows, n_attacks, recall and precision per target group; the benign group stays in."""
-    c = confusion(df, [*by, group], predicted(score, F.lit(threshold)), y)
+    c = confusion(df.where(has_score(score)), [*by, group], predicted(score, F.lit(threshold)), y)
     return c.select(*by, group, (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_flows"),
                     (F.col("tp") + F.col("fn")).alias("n_attacks"),
                     safe_divide("tp", F.col("tp") + F.col("fn")).alias("recall"),

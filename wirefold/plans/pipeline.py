@@ -18,6 +18,7 @@ from wirefold.operators import models as md
 from wirefold.operators import packets as pk
 from wirefold.operators import splits as sp
 from wirefold.operators import thresholds as th
+from wirefold.schemas import FEATURES
 from wirefold.sources import captures, sinks, tables
 
 
@@ -35,7 +36,7 @@ def packets_to_flows(spark: SparkSession, source: str | DataFrame, target: str,
     """Capture files (or a packet table) to a numbered flow table at `target`; returns the stored table."""
     s = settings or FlowSettings()
     packets = captures.read_captures(spark, source) if isinstance(source, str) else source
-    tie = "packet_no" if "packet_no" in packets.columns else "event_id"
+    tie = next((c for c in ("packet_no", "event_id") if c in packets.columns), "ts_us")
     if s.skip_packets or s.max_packets is not None:
         packets = pk.skip_and_cap(packets, s.skip_packets, s.max_packets, order=tie)
     flows = fl.build_flows(packets, s.idle_s, s.active_s)
@@ -55,7 +56,9 @@ def flows_to_features(flows: DataFrame, label_ref: DataFrame, mapping: DataFrame
     sinks.write_once(lb.accounting(labelled), f"{target}/accounting")
     sinks.write_exclusions(lb.exclusion_log(labelled), f"{target}/exclusions")
     sinks.write_json_lines(lb.run_summary(labelled), "summary_json", f"{target}/summary")
-    feats = ft.repair(ft.extract_features(labelled, ["global_flow_id"]))
+    feats = ft.extract_features(labelled, ["global_flow_id"])
+    sinks.write_once(ft.all_missing_rows(feats, FEATURES).select("global_flow_id"), f"{target}/all_missing")
+    feats = ft.repair(feats)
     sinks.write_once(feats, f"{target}/features")
     feats = spark.read.parquet(f"{target}/features")
     split = sp.with_day_split(feats, plan)

@@ -92,8 +92,7 @@ def _rated(spark, sf):
 
 
 def subset_degradation(spark, sf):
-    t = ss.with_subsets(_rated(spark, sf), BY, rate="pps")
-    d = ss.subset_degradation(t, BY)
+    d = ss.subset_degradation(_rated(spark, sf), BY, rate="pps")
     return rnd(d, ["precision", "recall", "f1", "fpr", "roc_auc", "delta_f1_vs_full", "delta_recall_vs_full"])
 
 
@@ -142,17 +141,23 @@ _JAC = ", ".join(f"round({k}_shared::double / nullif({k}_shared + {k}_a_only + {
                  f"round({k}_shared::double / nullif({k}_a, 0), 6) as {k}_overlap_ratio_a, "
                  f"round({k}_shared::double / nullif({k}_b, 0), 6) as {k}_overlap_ratio_b" for k in ("tp", "fp"))
 _P = {m: f"(s_{m} >= 0.5)" for m in M}
-_RULES = {f"single({m})": _P[m] for m in M}
+_RULES = {f"single({m})": f"p_{m}" for m in M}
 for _g in (("lr", "rf"), ("lr", "xgb"), ("rf", "xgb"), tuple(M)):
-    _RULES[f"or({'+'.join(_g)})"] = " or ".join(_P[m] for m in _g)
-    _RULES[f"and({'+'.join(_g)})"] = " and ".join(_P[m] for m in _g)
-_RULES["majority_vote(lr+rf+xgb)"] = " + ".join(f"{_P[m]}::int" for m in M) + " >= 2"
-_RULES["score_average(lr+rf+xgb)"] = "(s_lr + s_rf + s_xgb) / 3 >= 0.5"
-FUSE = "fu as (" + " union all ".join(
-    f"select domain, '{k}' as fusion, {conf('(' + v + ')')} from scores group by 1" for k, v in _RULES.items()) + f"""),
+    _RULES[f"or({'+'.join(_g)})"] = " or ".join(f"p_{m}" for m in _g)
+    _RULES[f"and({'+'.join(_g)})"] = " and ".join(f"p_{m}" for m in _g)
+_RULES["majority_vote(lr+rf+xgb)"] = " + ".join(f"p_{m}::int" for m in M) + " >= 2"
+_RULES["score_average(lr+rf+xgb)"] = "p_mean"
+# The verdicts of all rules are a list per combination of verdicts; each is counted over the few combinations.
+FUSE = f"""jc as (select domain, y_true, {', '.join(f'{v} as p_{m}' for m, v in _P.items())},
+  (s_lr + s_rf + s_xgb) / 3 >= 0.5 as p_mean, count(*) as n from scores group by all),
+fu as (select domain, fusion, coalesce(sum(n) filter (v and y_true = 1), 0)::bigint as tp,
+  coalesce(sum(n) filter (v and y_true = 0), 0)::bigint as fp, coalesce(sum(n) filter (not v and y_true = 1), 0)::bigint as fn,
+  coalesce(sum(n) filter (not v and y_true = 0), 0)::bigint as tn from (select domain, y_true, n,
+    unnest([{', '.join(repr(k) for k in _RULES)}]) as fusion, unnest([{', '.join(f'({v})' for v in _RULES.values())}]) as v from jc)
+  group by 1, 2),
 fr as (select *, {rates_sql(15)} from fu),
-fb as (select domain, fusion as best_single, f1 as bf, recall as br, fpr as bp from fr where fusion like 'single(%'
-  qualify row_number() over (partition by domain order by f1 desc, fusion desc) = 1),
+fb as (select domain, fusion as best_single, f1 as bf, recall as br, fpr as bp from (select *, row_number() over (
+  partition by domain order by f1 desc, fusion desc) as best from fr where fusion like 'single(%') where best = 1),
 fd as (select fr.*, best_single, f1 - bf as d1, recall - br as d2, fpr - bp as d3 from fr join fb using (domain)
   where fusion not like 'single(%')"""
 PROFILE = f"""cells as (select domain, method, y_score as score, count(*) filter (y_true = 1) as pos,

@@ -13,6 +13,7 @@ from wirefold.registry.flow_queries import flows_of
 from wirefold.registry.label_queries import labelled, with_labels
 from wirefold.schemas import FEATURES, META_COLS
 from wirefold.session import cut_lineage
+from wirefold.sources import tables as tb
 
 REAL = [c for c in FEATURES if c not in ("packet_count_total", "bytes_total", "packet_count_fwd", "packet_count_bwd",
                                          "bytes_fwd", "bytes_bwd", "protocol", "is_tcp", "is_udp")]
@@ -115,6 +116,20 @@ def feature_audit(spark, sf):
     return ft.audit(ft.extract_features(lab))
 
 
+def feature_audit_tables(spark, sf):
+    """Three feature tables: one whole, one with a column moved, one without a column."""
+    f = ft.extract_features(labelled(spark, sf).withColumn("flow_id", F.col("start_us")))
+    moved = f.select(*[c for c in f.columns if c != "bytes_fwd"], "bytes_fwd")
+    a = ft.audit_tables({"whole": f, "moved": moved, "shorter": f.drop("is_udp")})
+    return a.select("pcap_file", "table_name", "schema_agrees", "n_rows", "total_columns", "feature_columns")
+
+
+def all_missing_log(spark, sf):
+    """Rows in which every one of the two damaged features is missing."""
+    d = _damaged(spark, sf).select("flow_id", "duration_s", "bytes_per_packet")
+    return ft.all_missing_rows(d, ["duration_s", "bytes_per_packet"]).select("flow_id")
+
+
 def split_leakage(spark, sf):
     """Units found in two splits: none by file; by source address, since hosts recur over days."""
     s = _split(spark, sf)
@@ -140,12 +155,11 @@ def file_order_split(spark, sf):
 
 
 def scenario_split(spark, sf):
-    """Source host as scenario, planned from the flow table itself: every third host is a test scenario."""
+    """Source host as scenario, by a plan of three hosts; the fourth is in no plan."""
     f = flows_of(spark, sf).withColumn("scenario", F.col("src_ip"))
-    plan = (f.select("scenario").distinct().where("scenario <> '10.0.0.3'")
-            .withColumn("split", F.when(F.col("scenario") == "10.0.0.0", "test")
-                        .when(F.col("scenario") == "10.0.0.1", "val").otherwise("train")))
-    return sp.scenario_split(f, plan).groupBy("scenario", "split").agg(F.count("*").alias("n"))
+    plan = tb.scenario_plan(spark, [("10.0.0.0", "test", "dos_ddos", "attack"), ("10.0.0.1", "val", "web_attack", "attack"),
+                                    ("10.0.0.2", "train", "brute_force", "attack")])
+    return sp.scenario_split(f, plan).groupBy("scenario", "split", "family").agg(F.count("*").alias("n"))
 
 
 def split_sidecar(spark, sf):
@@ -183,7 +197,8 @@ def endpoint_recovery(spark, sf):
 QUERIES = {f.__name__: f for f in (
     flow_features, feature_repair, repaired_totals, missing_strategies, clean_filter, label_encode, capture_days,
     test_mask, day_stats, split_rollup, split_day_totals, attack_types_by_day, class_balance,
-    document_quality_balance, feature_audit, split_leakage, split_health, family_disjoint, unseen_families,
+    document_quality_balance, feature_audit, feature_audit_tables,
+    all_missing_log, split_leakage, split_health, family_disjoint, unseen_families,
     file_order_split, scenario_split, split_sidecar, sidecar_join, sidecar_mismatch, endpoint_recovery)}
 
 
@@ -298,8 +313,15 @@ ORACLE = {
         when file_index <= 3 then 'val' else 'test' end as split, n from (select pcap_file, count(*) as n,
         row_number() over (order by min(start_us), pcap_file) as file_index from flows group by 1)"""),
     "scenario_split": o.flows("""select src_ip as scenario, case src_ip when '10.0.0.0' then 'test'
-        when '10.0.0.1' then 'val' when '10.0.0.3' then 'unassigned' else 'train' end as split, count(*) as n
-        from flows group by 1, 2"""),
+        when '10.0.0.1' then 'val' when '10.0.0.2' then 'train' else 'unassigned' end as split, case src_ip
+        when '10.0.0.0' then 'dos_ddos' when '10.0.0.1' then 'web_attack' when '10.0.0.2' then 'brute_force' end as family,
+        count(*) as n from flows group by 1, 2, 3"""),
+    "all_missing_log": o.flows("select flow_id from d where isnan(duration_s) and bytes_per_packet is null", DAMAGED),
+    "feature_audit_tables": with_labels("""select pcap_file, table_name, schema_agrees, count(*) as n_rows,
+        case table_name when 'shorter' then 28 else 29 end as total_columns,
+        case table_name when 'shorter' then 18 else 19 end as feature_columns
+        from labelled, (values ('whole', true), ('moved', false), ('shorter', false)) t(table_name, schema_agrees)
+        group by 1, 2, 3"""),
     "split_sidecar": o.flows("select global_flow_id, day, split from s", NUMBERED, _split_cte("nf")),
     "sidecar_join": o.flows("""select day, split, count(*) as n, cast(sum(bytes_total) as bigint) as bytes from s
         group by 1, 2""", _split_cte("flows")),

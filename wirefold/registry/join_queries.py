@@ -94,32 +94,12 @@ def sequence_scaler(spark, sf):
 
 
 def packet_sequences(spark, sf):
-    s = sq.to_sequences(_steps(spark, sf), FLOW, 4)
-    return s.select(*FLOW, "n_packets", _flat(F.col("sequence")).alias("steps"))
-
-
-def packet_sequences_scaled(spark, sf):
-    steps = _steps(spark, sf)
-    scaler = sq.scaler_stats(steps).first().asDict()
-    s = sq.to_sequences(steps, FLOW, 8, scaler)
-    first = F.element_at("sequence", 1)
-    return s.select(*FLOW, "n_packets", *[F.round(F.element_at(first, i + 1), 2).cast("double").alias(c)
-                                          for i, c in enumerate(sq.CHANNELS)],
-                    F.size("sequence").alias("len"))
-
-
-def sequence_set_a(spark, sf):
-    s = sq.slice_features(sq.to_sequences(_steps(spark, sf), FLOW, 8), "A", 4)
-    return s.select(*FLOW, _flat(F.col("sequence")).alias("steps"))
-
-
-def packet_sequences_all(spark, sf):
     """All K_MAX steps of every flow."""
     s = sq.to_sequences(_steps(spark, sf), FLOW, sq.K_MAX)
     return s.select(*FLOW, "n_packets", _flat(F.col("sequence")).alias("steps"))
 
 
-def packet_sequences_scaled_all(spark, sf):
+def packet_sequences_scaled(spark, sf):
     """Every scaled step of every flow, one row a step."""
     steps = _steps(spark, sf)
     scaler = sq.scaler_stats(steps).first().asDict()
@@ -129,7 +109,7 @@ def packet_sequences_scaled_all(spark, sf):
         F.round(F.element_at("step", i + 1), 2).cast("double").alias(c) for i, c in enumerate(sq.CHANNELS)])
 
 
-def sequence_set_a_all(spark, sf):
+def sequence_set_a(spark, sf):
     s = sq.slice_features(sq.to_sequences(_steps(spark, sf), FLOW, sq.K_MAX), "A", sq.K_MAX)
     return s.select(*FLOW, _flat(F.col("sequence")).alias("steps"))
 
@@ -140,30 +120,19 @@ def _flat(seq):
 
 
 def conversation_sequences(spark, sf):
-    """A conversation read as a flow: turn order, text length as size, user turns as forward."""
-    return _conversations(table(spark, sf, "conversations"), 6)
-
-
-def conversation_sequences_all(spark, sf):
-    """All turns of every conversation, padded to the longest."""
-    c = table(spark, sf, "conversations")
-    return _conversations(c, c.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1)
-
-
-def _conversations(c, k):
+    """A conversation read as a flow: turn order, text length as size, user turns as forward. All turns, not padded."""
     size = F.length("text")
-    c = c.withColumns({"signed_len": F.when(F.col("role") == "user", size).otherwise(-size).cast("double"),
-                       "direction": (F.col("role") == "user").cast("double")})
-    s = sq.first_packets(c, ["conv_id"], ["turn"], k)
-    s = sq.to_sequences(s, ["conv_id"], k, channels=["signed_len", "direction"])
+    c = table(spark, sf, "conversations").withColumns({
+        "signed_len": F.when(F.col("role") == "user", size).otherwise(-size).cast("double"),
+        "direction": (F.col("role") == "user").cast("double")})
+    s = sq.to_sequences(c.withColumn("pos", F.col("turn")), ["conv_id"], None, channels=["signed_len", "direction"])
     return s.select("conv_id", "n_packets", _flat(F.col("sequence")).alias("steps"))
 
 
 QUERIES = {f.__name__: f for f in (
     alert_offset, alert_flow_match, alert_match_rates, alert_flow_match_same_day, alert_verdict, packet_assign,
     packet_coverage, first_packets, last_packets, sequence_scaler, packet_sequences, packet_sequences_scaled,
-    sequence_set_a, conversation_sequences, packet_sequences_all, packet_sequences_scaled_all, sequence_set_a_all,
-    conversation_sequences_all)}
+    sequence_set_a, conversation_sequences)}
 
 TOL_US = int(TOL_S * 1e6)
 ALERTS = """al as (select *, alert_ts_us - 7200000000 as t_us,
@@ -236,38 +205,21 @@ ORACLE = {
         from steps where rpos <= 3""", STEPS),
     "sequence_scaler": o.assigned("""select n_steps, round(len_mean, 6) as len_mean, round(len_std, 6) as len_std,
         round(dt_mean, 6) as dt_mean, round(dt_std, 6) as dt_std from sc""", STEPS, _SC),
-    "packet_sequences": o.assigned(f"""select {_FL}, count(*) as n_packets,
-        {_flat_sql(['signed_len', 'direction', 'delta_t', 'protocol_id'], 4)} as steps
-        from steps where pos <= 4 group by {_FL}""", STEPS),
-    "packet_sequences_scaled": o.assigned(f"""select {_FL}, n_packets,
-        round(((signed_len - len_mean) / len_std)::float, 2)::double as signed_len, direction,
-        round(((ln(1 + delta_t) - dt_mean) / dt_std)::float, 2)::double as delta_t, protocol_id, 8 as len
-        from (select *, least(count(*) over (partition by {_FL}), 8) as n_packets from steps), sc where pos = 1""",
-                                          STEPS, _SC),
-    "sequence_set_a": o.assigned(f"""select {_FL}, {_flat_sql(['direction', 'protocol_id'], 4)} as steps
-        from steps where pos <= 4 group by {_FL}""", STEPS),
-    "conversation_sequences": f"""select conv_id, count(*) as n_packets,
-        {_flat_sql(['signed_len', 'direction'], 6)} as steps from (select *,
-          (case when role = 'user' then length(text) else -length(text) end)::double as signed_len,
-          (role = 'user')::int::double as direction,
-          row_number() over (partition by conv_id order by turn) as pos from conversations) where pos <= 6
-        group by conv_id""",
 }
 
-_LONGEST = "(select max(n) from (select count(*) as n from conversations group by conv_id))"
 ORACLE |= {
-    "packet_sequences_all": o.assigned(f"""select {_FL}, count(*) as n_packets,
+    "packet_sequences": o.assigned(f"""select {_FL}, count(*) as n_packets,
         {_flat_sql(['signed_len', 'direction', 'delta_t', 'protocol_id'], sq.K_MAX)} as steps
         from steps where pos <= {sq.K_MAX} group by {_FL}""", STEPS),
-    "packet_sequences_scaled_all": o.assigned(f"""select {_FL}, n_packets, pos,
+    "packet_sequences_scaled": o.assigned(f"""select {_FL}, n_packets, pos,
         round(((signed_len - len_mean) / len_std)::float, 2)::double as signed_len, direction,
         round(((ln(1 + delta_t) - dt_mean) / dt_std)::float, 2)::double as delta_t, protocol_id
         from (select *, least(count(*) over (partition by {_FL}), {sq.K_MAX}) as n_packets from steps), sc
         where pos <= {sq.K_MAX}""", STEPS, _SC),
-    "sequence_set_a_all": o.assigned(f"""select {_FL}, {_flat_sql(['direction', 'protocol_id'], sq.K_MAX)} as steps
+    "sequence_set_a": o.assigned(f"""select {_FL}, {_flat_sql(['direction', 'protocol_id'], sq.K_MAX)} as steps
         from steps where pos <= {sq.K_MAX} group by {_FL}""", STEPS),
-    "conversation_sequences_all": f"""select conv_id, count(*) as n_packets,
-        {_flat_sql(['signed_len', 'direction'], _LONGEST)} as steps from (select *,
+    "conversation_sequences": f"""select conv_id, count(*) as n_packets,
+        {_flat_sql(['signed_len', 'direction'], 0)} as steps from (select *,
           (case when role = 'user' then length(text) else -length(text) end)::double as signed_len,
           (role = 'user')::int::double as direction,
           row_number() over (partition by conv_id order by turn) as pos from conversations)

@@ -47,6 +47,15 @@ def label_align_raw_conflict(spark, sf):
     return labelled(spark, sf, compat_raw_conflict=True, apply_keep=False).select(*LABEL_COLS)
 
 
+def mapping_order(spark, sf):
+    """Every label mapped twice, by rows whose order says that the second entry counts; the table itself is reversed."""
+    m = table(spark, sf, "label_mapping")
+    first = m.withColumns({"binary_label": F.lit("benign"), "keep_or_exclude": F.lit("keep"), "row_order": F.lit(1)})
+    both = first.unionByName(m.withColumn("row_order", F.lit(2))).orderBy(F.desc("row_order"))
+    lab = lb.align_labels(flows_with_gaps(spark, sf), table(spark, sf, "label_ref"), both, "demo")
+    return lab.groupBy("label_match_method", "original_label", "binary_label", "exclusion_reason").agg(F.count("*").alias("n"))
+
+
 def accounting(spark, sf):
     return lb.accounting(labelled(spark, sf))
 
@@ -113,7 +122,8 @@ def time_label_join(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    label_lookup, label_lookup_raw_conflict, ambiguous_label_sets, label_align, label_align_raw_conflict, accounting,
+    label_lookup, label_lookup_raw_conflict, ambiguous_label_sets, label_align, label_align_raw_conflict, mapping_order,
+    accounting,
     align_report, exclusion_log, ambiguous_log, run_summary, label_top_values, document_top_sources,
     label_mapping_check, label_mapping_report, unmapped_labels, join_check, shared_keys, sample_label_times,
     label_file_summary, time_label_join)}
@@ -195,6 +205,8 @@ ORACLE = {
                                   LABEL_KEYED),
     "label_align": with_labels(f"select {_COLS} from labelled"),
     "label_align_raw_conflict": with_labels(f"select {_COLS} from labelled", raw=True, keep=False),
+    "mapping_order": with_labels("""select label_match_method, original_label, binary_label, exclusion_reason, count(*) as n
+        from labelled group by all"""),
     "accounting": with_labels(f"select pcap_file, count(*) as total, {_CNT}, true as balanced from labelled group by 1"),
     "align_report": with_labels("""select count(*) as flow_rows, count(*) filter (matched_flag) as matched,
         count(*) filter (ambiguous_flag) as ambiguous,

@@ -75,11 +75,17 @@ def multisource_training_set(spark, sf):
     return c.groupBy("source", "split").agg(F.count("*").alias("n"), F.sum("y").alias("n_attack"))
 
 
-def multisource_scores(spark, sf):
+def _pooled(spark, sf):
     d = _datasets(spark, sf)
-    c = md.combine_sources({"tcp": d.where("dataset = 'tcp_net'"), "udp": d.where("dataset = 'udp_net'")})
-    m = md.fit(c.where("split = 'train'"), "logistic_regression")
-    return md.score(m, c.where("split = 'test'"), "multisource_lr").select("source", "flow_id", "y", "y_score")
+    return md.pooled_tiers({"tcp": d.where("dataset = 'tcp_net'"), "udp": d.where("dataset = 'udp_net'")},
+                           "logistic_regression")
+
+
+def multisource_scores(spark, sf):
+    """Test rows under the model of both sources and its three thresholds from the pooled validation rows."""
+    return _pooled(spark, sf).where("split = 'test'").select(
+        "source", "pcap_file", "flow_id", "y", "y_score", "pred_label_default", "pred_label_val_tuned", "pred_label_fixed_fpr",
+        "threshold_val_tuned", "threshold_fixed_fpr")
 
 
 def prediction_sidecar(spark, sf):
@@ -120,12 +126,29 @@ QUERIES = {f.__name__: f for f in (
 _TR = "tr as (select " + ", ".join(f"({_EXPR.get(c, c)})::double as {c}" for c in FEATURES) \
       + ", * exclude (" + ", ".join(c for c in FEATURES if c not in _EXPR) + ") from clean where split = 'train')"
 
+# Pooled means by the max-min formula: a cell's value is the largest, over cells at or before it, of the smallest mean of
+# any run from there to a cell at or after it. Scores between two cells lie on a line between their values.
+_ISO = """val as (select method, y_score as x, count(*) as n, sum(y_true) as pos from long_scores where file_no = 3 group by 1, 2),
+cum as (select method, x, row_number() over w as i, sum(n) over w as cn, sum(pos) over w as cp, n, pos from val
+  window w as (partition by method order by x rows between unbounded preceding and current row)),
+runs as (select a.method, a.i as a, b.i as b, (b.cp - a.cp + a.pos)::double / (b.cn - a.cn + a.n) as mean
+  from cum a join cum b on a.method = b.method and b.i >= a.i),
+least as (select method, a, b as k, min(mean) over (partition by method, a order by b desc) as m from runs),
+fitted as (select method, x, v from (select method, k, max(m) as v from least group by 1, 2) f
+  join cum using (method) where cum.i = f.k),
+asked as (select * from long_scores where file_no >= 4),
+sides as (select s.*, l.x as lx, l.v as lv from asked s asof left join fitted l on s.method = l.method and s.y_score >= l.x),
+both_sides as (select s.*, h.x as hx, h.v as hv from sides s asof left join fitted h on s.method = h.method and s.y_score <= h.x)"""
+
 ORACLE = {
     "scaler_stats": with_labels(" union all ".join(
         f"select '{c}' as feature, round(avg({c}), 4) as mean, round(stddev_pop({c}), 4) as std, "
         f"round(min({c}), 4) as min, round(max({c}), 4) as max from tr" for c in FEATURES), SPLIT, CLEAN, _TR),
     "multisource_training_set": with_labels("""select case protocol when 6 then 'tcp' else 'udp' end as source, split,
         count(*) as n, count(*) filter (binary_label = 'attack') as n_attack from clean group by 1, 2""", SPLIT, CLEAN),
+    "calibrated_isotonic": o.sql(["long_scores"], """select method, event_id, y_true, y_score, round(case when lx is null then hv
+        when hx is null or lx = hx then lv else lv + (hv - lv) * (y_score - lx) / (hx - lx) end, 6) as calibrated
+        from both_sides""", _ISO),
     "method_union": o.sql(["long_scores"], """select method, y_true, count(*) as n, round(sum(y_score), 4) as score_sum
         from long_scores group by 1, 2"""),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wirefold.functions import rules
 from wirefold.operators import bootstrap as bs
+from wirefold.operators import redraw as rd
 from wirefold.operators import reports as rp
 from wirefold.operators import thresholds as th
 from wirefold.plans.fixtures import table
@@ -16,19 +17,17 @@ REPS = 1000
 
 
 def bootstrap_hashed(spark, sf):
-    """Replicates drawn by row hash: every weight can be recomputed in SQL."""
-    s = scores(spark, sf)
-    cells = bs.confusion_cells(th.predicted("y_score", F.lit(0.5)))
-    reps = th.rates(bs.hashed_counts(s, ["method"], "event_id", cells, REPS))
+    """Confusion counts redrawn by arithmetic that SQL repeats."""
+    c = th.confusion(scores(spark, sf), ["method"], th.predicted("y_score", F.lit(0.5)))
+    reps = th.rates(bs.hashed_counts(c, ["method"], ["tp", "fp", "fn", "tn"], REPS))
     return rnd(bs.interval(reps, ["method"], "f1"), ["f1_lo", "f1_hi"])
 
 
 def paired_bootstrap_hashed(spark, sf):
     w = table(spark, sf, "scores")
-    a, b = th.predicted("s_lr", F.lit(0.5)), th.predicted("s_rf", F.lit(0.5))
-    reps = bs.f1_delta(bs.hashed_counts(w, ["domain"], "event_id", bs.joint_cells(a, b), REPS))
-    point = bs.f1_delta(bs.joint_counts(w, ["domain"], a, b))
-    return rnd(bs.summarise_delta(point, reps, ["domain"]), ["point_delta", "delta_lo", "delta_hi", "p_value_raw"])
+    joint = bs.joint_counts(w, ["domain"], th.predicted("s_lr", F.lit(0.5)), th.predicted("s_rf", F.lit(0.5)))
+    reps = bs.f1_delta(bs.hashed_counts(joint, ["domain"], bs.JOINT, REPS))
+    return rnd(bs.summarise_delta(bs.f1_delta(joint), reps, ["domain"]), ["point_delta", "delta_lo", "delta_hi", "p_value_raw"])
 
 
 def bootstrap_ci(spark, sf):
@@ -147,13 +146,38 @@ QUERIES = {f.__name__: f for f in (
     threshold_portability, multisource_gain, source_share, ci_lookup)}
 
 _LS, _SC = ["long_scores"], ["scores"]
-_CDF = " ".join(f"when u < {v!r}::double then {k}" for k, v in enumerate(bs.POISSON_CDF))
 
 
-def _weights(src: str, keep: str) -> str:
-    return f"""wt as (select {keep}, replicate, case {_CDF} else {len(bs.POISSON_CDF)} end as w from (select {keep}, replicate,
-      ('0x' || substr(md5(replicate || ':' || event_id), 1, 8))::bigint / 4294967296.0::double as u
-      from {src}, (select range as replicate from range(0, {REPS}))))"""
+def _horner(coefficients, x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r}))"
+    return out
+
+
+def draws_sql(src: str, keep: str) -> str:
+    """Weights `w` of the rows (group_no, cell_no, n) of `src` for every replicate, as `wt`: the arithmetic of `redraw`."""
+    steps = str(rd.POLYNOMIAL[0])
+    for c in rd.POLYNOMIAL[1:]:
+        steps = f"(({steps} * z + {c}) % {rd.PRIME})"
+    tail = "sqrt(-2 * ln(least(u, 1 - u)))"
+    outer = f"{_horner(rd.QUANTILE_C, 't')} / {_horner((*rd.QUANTILE_D, 1.0), 't')}"
+    inner = f"{_horner(rd.QUANTILE_A, 'q')} * (u - 0.5) / {_horner((*rd.QUANTILE_B, 1.0), 'q')}"
+    return f"""pois as (select n, 0 as k, exp(-n::double) as p, exp(-n::double) as c from (select range::bigint as n from range(1, {rd.EXACT_N + 1}))
+  union all select n, k + 1, p * n / (k + 1), c + p * n / (k + 1) from pois where k < floor(n + 7 * sqrt(n::double) + 12)),
+tables as (select n, list(c order by k) as cs from pois group by n),
+zs as (select {keep}, n, replicate, (group_no + (cell_no % {rd.PRIME}) * {rd.CELL_STEP} + replicate * {rd.REPLICATE_STEP}) % {rd.PRIME} as z
+  from {src}, (select range as replicate from range(0, {REPS})) where n > 0),
+us as (select {keep}, n, replicate, ({steps} + 0.5::double) / {rd.PRIME}::double as u from zs),
+qs as (select *, {tail} as t, (u - 0.5) * (u - 0.5) as q from us),
+ns as (select {keep}, n, replicate, u, case when n > {rd.EXACT_N} then case when u < {rd.TAIL} then {outer}
+  when u > {1 - rd.TAIL!r} then -({outer}) else {inner} end end as x from qs),
+wt as (select {keep}, replicate, case when ns.n <= {rd.EXACT_N} then len(list_filter(cs, lambda c: c <= u))::double
+  else greatest(floor(ns.n + sqrt(ns.n::double) * x + (x * x - 1) / 6 + 0.5), 0) end as w from ns left join tables on tables.n = ns.n)"""
+
+
+def _group_no(key: str) -> str:
+    return f"('0x' || substr(md5({key}), 1, 7))::bigint"
 
 
 _RES = f"""src as (select *, case when file_no < 2 then 'a' when file_no < 4 then 'b' else 'c' end as source, domain as target
@@ -173,10 +197,13 @@ _PIV = ", ".join(f"round(max({{c}}) filter (target = '{t}'), 6) as {t}" for t in
 ORACLE = {
     "bootstrap_hashed": o.sql(_LS, """select method, round(quantile_cont(f1, 0.025), 6) as f1_lo,
         round(quantile_cont(f1, 0.975), 6) as f1_hi from (select method, replicate,
-          coalesce(2.0::double * sum(case when p and y_true = 1 then w end) / nullif(sum(case when p then w else 0 end)
-            + sum(case when y_true = 1 then w else 0 end), 0), 0) as f1 from wt group by 1, 2) group by 1""",
-                              "ls as (select *, y_score >= 0.5 as p from long_scores)",
-                              _weights("ls", "method, p, y_true")),
+          coalesce(2.0::double * sum(w) filter (name = 'tp') / nullif(2 * sum(case when name = 'tp' then w else 0 end)
+            + sum(case when name in ('fp', 'fn') then w else 0 end), 0), 0) as f1 from wt group by 1, 2) group by 1""",
+                              f"cnt as (select method, {conf('y_score >= 0.5')} from long_scores group by 1)",
+                              f"""src as (select method, {_group_no('method')} as group_no, name, 2 * i as cell_no, n from (
+          select method, 'tp' as name, 1 as i, tp as n from cnt union all select method, 'fp', 2, fp from cnt
+          union all select method, 'fn', 3, fn from cnt union all select method, 'tn', 4, tn from cnt))""",
+                              draws_sql("src", "method, name")),
     "paired_bootstrap_hashed": o.sql(_SC, """select domain, round(pd, 6) as point_delta, round(lo, 6) as delta_lo,
         round(hi, 6) as delta_hi, round(least(2 * least(below, above), 1), 6) as p_value_raw, lo > 0 or hi < 0 as significant,
         pd >= lo and pd <= hi as delta_in_interval from (select domain, quantile_cont(d, 0.025) as lo,
@@ -184,11 +211,27 @@ ORACLE = {
         join (select domain, 2.0::double * count(*) filter (a and y_true = 1) / (count(*) filter (a) + count(*) filter (y_true = 1))
           - 2.0::double * count(*) filter (b and y_true = 1) / (count(*) filter (b) + count(*) filter (y_true = 1)) as pd
           from ws group by 1) using (domain)""", "ws as (select *, s_lr >= 0.5 as a, s_rf >= 0.5 as b from scores)",
-                                     _weights("ws", "domain, a, b, y_true"),
+                                     f"""src as (select domain, a, b, y_true, {_group_no('domain')} as group_no,
+          2 * (1 + y_true * 4 + a::int * 2 + b::int) as cell_no, count(*) as n from ws group by all)""",
+                                     draws_sql("src", "domain, a, b, y_true"),
                                      """rp as (select domain, replicate,
           coalesce(2.0::double * sum(w) filter (a and y_true = 1) / (sum(case when a then w else 0 end) + sum(case when y_true = 1 then w else 0 end)), 0)
           - coalesce(2.0::double * sum(w) filter (b and y_true = 1) / (sum(case when b then w else 0 end) + sum(case when y_true = 1 then w else 0 end)), 0) as d
           from wt group by 1, 2)"""),
+    "bootstrap_area_ci": o.sql(_LS, """select method, round(quantile_cont(roc, 0.025), 4) as roc_auc_lo,
+        round(quantile_cont(roc, 0.975), 4) as roc_auc_hi, round(quantile_cont(pr, 0.025), 4) as pr_auc_lo,
+        round(quantile_cont(pr, 0.975), 4) as pr_auc_hi from (
+          select method, replicate, 1 - sum(wp * (fp - wn / 2)) / (sum(wp) * sum(wn)) as roc,
+            sum(wp * tp / nullif(tp + fp, 0)) / sum(wp) as pr from (
+            select *, sum(wp) over v as tp, sum(wn) over v as fp from (
+              select method, replicate, cell, coalesce(sum(w) filter (cls = 0), 0) as wp,
+                coalesce(sum(w) filter (cls = 1), 0) as wn from wt group by 1, 2, 3)
+            window v as (partition by method, replicate order by cell)) group by 1, 2) group by 1""",
+                               """cl as (select method, y_score, count(*) filter (y_true = 1) as pos, count(*) filter (y_true = 0) as neg
+          from long_scores group by 1, 2)""", """cs as (select *, cast(sum(pos + neg) over (partition by method
+          order by y_score desc) as bigint) as cell from cl)""", f"""src as (select method, cell, 0 as cls, 2 * cell as cell_no, pos as n,
+          {_group_no('method')} as group_no from cs union all select method, cell, 1, 2 * cell + 1, neg, {_group_no('method')} from cs)""",
+                               draws_sql("src", "method, cell, cls")),
     "holm": o.sql(_LS, """select method, file_no, domain, round(p, 6) as p_value_raw,
         round(least(max(p * (m - r + 1)) over (partition by method order by r), 1), 6) as p_value_adj from (select *,
           count(*) over (partition by method) as m, row_number() over (partition by method order by p, file_no, domain) as r

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from wirefold.operators import alerts as al
@@ -9,40 +11,86 @@ from wirefold.plans.fixtures import ACTIVE_S, IDLE_S, table, text
 from wirefold.registry import oracle as o
 from wirefold.registry.flow_queries import IDENT, TOTALS, flows_of
 from wirefold.registry.flow_queries import ORACLE as _FLOW_ORACLE
-from wirefold.registry.join_queries import ALERTS, FD, OFFSET_S, TOL_S, _cand
-from wirefold.session import scratch_path
+from wirefold.registry.join_queries import OFFSET_S, TOL_S
+from wirefold.registry.join_queries import ORACLE as _JOIN_ORACLE
+from wirefold.session import cut_lineage, scratch_path
+from wirefold.streaming import flows as st
 from wirefold.streaming import run as rn
 from wirefold.streaming import windows as sw
-from wirefold.streaming.flows import open_flows
-from wirefold.streaming.flows import stream_flows as build
 
 DELAY_S = 10
 METHODS = ("lr", "rf", "xgb")
+RATE_BY = ["domain", "method"]
+START_US, SLICE_US = 1_704_067_200_000_000, 432_000_000_000  # arrival files: slices of five days
+
+
+def _typed(base, name):
+    """The named stand-in over an events frame, with its event time `ts`."""
+    sql = text(name, "spark").replace("from events", "from {events}")
+    return base.sparkSession.sql(sql.replace("select event_id", "select cast(ts as timestamp) as ts, event_id", 1), events=base)
 
 
 def _stream(spark, sf, name):
-    """The named stand-in over a streaming scan of the events table, with its event time `ts`."""
+    """The named stand-in over a streaming scan of the events table."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    base = "packets" if name == "packets" else "scores"
-    sql = text(base, "spark").replace("from events", "from {events}").replace("select event_id", "select cast(ts as timestamp) as ts, event_id", 1)
-    return spark.sql(sql, events=events)
+    return _typed(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf), name)
+
+
+def _pieces(spark, sf):
+    path = scratch_path(spark, "stream-flows")
+    out, progress = rn.drain_to(st.stream_pieces(_stream(spark, sf, "packets"), IDLE_S, ACTIVE_S, f"{DELAY_S} seconds"),
+                                path, ["kind"])
+    return out, progress, f"{path}/state"
 
 
 def stream_flows(spark, sf):
-    """Flows closed by the final watermark; the rest stay open in state."""
-    rn.use_rocksdb(spark)
-    out, _ = rn.drain(build(_stream(spark, sf, "packets"), IDLE_S, ACTIVE_S, f"{DELAY_S} seconds"), "stream-flows")
-    return out.select(*IDENT, "end_us", *TOTALS)
+    """Flows closed by the watermark, and those that the end of the input leaves open in state."""
+    out, _, state = _pieces(spark, sf)
+    return st.closed_flows(out).unionByName(st.open_flows(spark, state, IDLE_S, ACTIVE_S)).select(*IDENT, "end_us", *TOTALS)
+
+
+def stream_progress(spark, sf):
+    """What the progress of the flow stream adds up to: rows read, and rows that the engine dropped."""
+    _, progress, _ = _pieces(spark, sf)
+    c = progress.counters()
+    return spark.createDataFrame([(c["input_rows"], c["late_rows"])], "input_rows long, dropped_rows long")
+
+
+def _arrivals(spark, sf):
+    """The events in files by arrival: every slice of time one file, every 50th event two files late."""
+    path = scratch_path(spark, "arrivals")
+    ev = table(spark, sf, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    at = F.floor((us - START_US) / SLICE_US) + F.when(F.col("event_id") % 50 == 7, 2).otherwise(0)
+    ev = cut_lineage(ev.withColumn("arrival", at))
+    for i in [r[0] for r in ev.select("arrival").distinct().orderBy("arrival").collect()]:
+        ev.where(F.col("arrival") == i).drop("arrival").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)  # the file source takes files in the order of their times
+    return spark.readStream.schema(ev.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
 
+def _late_run(spark, sf):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    path = scratch_path(spark, "stream-late")
+    out, _ = rn.drain_to(st.stream_pieces(_typed(_arrivals(spark, sf), "packets"), IDLE_S, ACTIVE_S, f"{DELAY_S} seconds"),
+                         path, ["kind"])
+    return out, f"{path}/state"
+
+
+def stream_late_packets(spark, sf):
+    """Packets that arrive behind the watermark, kept as they were sent."""
+    return st.late_packets(_late_run(spark, sf)[0])
 
-def stream_flows_all(spark, sf):
-    """Flows closed by the final watermark, and those that the end of the input leaves open in state."""
-    rn.use_rocksdb(spark)
-    path = scratch_path(spark, "stream-flows-all")
-    out, _ = rn.drain_to(build(_stream(spark, sf, "packets"), IDLE_S, ACTIVE_S, f"{DELAY_S} seconds"), path)
-    return out.unionByName(open_flows(spark, f"{path}/state", IDLE_S, ACTIVE_S)).select(*IDENT, "end_us", *TOTALS)
+
+def stream_on_time(spark, sf):
+    """What the flows of the same run hold, with the late packets beside them: together the whole input."""
+    out, state = _late_run(spark, sf)
+    flows = st.closed_flows(out).unionByName(st.open_flows(spark, state, IDLE_S, ACTIVE_S))
+    n = flows.agg(F.sum("packet_count_total").alias("n"), F.sum("bytes_total").alias("bytes")).withColumn(
+        "side", F.lit("on_time"))
+    return n.unionByName(st.late_packets(out).agg(F.count("*").alias("n"), F.coalesce(F.sum("ip_len"), F.lit(0)).alias(
+        "bytes")).withColumn("side", F.lit("late")))
 
 
 def session_window_flows(spark, sf):
@@ -56,22 +104,6 @@ def _timed_scores(spark, sf):
     return table(spark, sf, "scores").join(ev, "event_id")
 
 
-def alarm_rate_hourly(spark, sf):
-    r = sw.alarm_rate(_timed_scores(spark, sf), ["domain"], score="s_lr")
-    return r.withColumn("alarm_share", F.round("alarm_share", 6))
-
-
-def alarm_rate_sliding(spark, sf):
-    r = sw.alarm_rate(_timed_scores(spark, sf), ["domain"], score="s_lr", width="6 hours", slide="2 hours")
-    return r.withColumn("alarm_share", F.round("alarm_share", 6))
-
-
-def stream_alarm_rate(spark, sf):
-    r = sw.alarm_rate(_stream(spark, sf, "scores"), ["domain"], score="s_lr", delay=f"{DELAY_S} seconds")
-    out, _ = rn.drain(r, "stream-alarms")
-    return out.withColumn("alarm_share", F.round("alarm_share", 6))
-
-
 def _by_method(scores):
     """One row per method and score; a narrow step, on streams too."""
     return scores.withColumn("m", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"s_{m}").alias("y_score"))
@@ -82,64 +114,49 @@ def _shares(r):
     return r.withColumn("alarm_share", F.round("alarm_share", 6))
 
 
-def alarm_rate_hourly_all(spark, sf):
+def alarm_rate_hourly(spark, sf):
     """The hourly rate of every method."""
-    return _shares(sw.alarm_rate(_by_method(_timed_scores(spark, sf)), ["domain", "method"]))
+    return _shares(sw.alarm_rate(_by_method(_timed_scores(spark, sf)), RATE_BY))
 
 
-def alarm_rate_sliding_all(spark, sf):
-    return _shares(sw.alarm_rate(_by_method(_timed_scores(spark, sf)), ["domain", "method"], width="6 hours",
-                                 slide="2 hours"))
+def alarm_rate_sliding(spark, sf):
+    return _shares(sw.alarm_rate(_by_method(_timed_scores(spark, sf)), RATE_BY, width="6 hours", slide="2 hours"))
 
 
-def stream_alarm_rate_all(spark, sf):
-    r = sw.alarm_rate(_by_method(_stream(spark, sf, "scores")), ["domain", "method"], delay=f"{DELAY_S} seconds")
-    return _shares(rn.drain(r, "stream-alarms-all")[0])
+def stream_alarm_rate(spark, sf):
+    """Windows that the watermark has closed, and those that the end of the input leaves open."""
+    path = scratch_path(spark, "stream-alarms")
+    counts = sw.alarm_counts(_by_method(_stream(spark, sf, "scores")), RATE_BY, delay=f"{DELAY_S} seconds")
+    out, _ = rn.drain_to(counts, path)
+    still = sw.open_alarm_counts(spark, f"{path}/state", RATE_BY)
+    return _shares(sw.rates(out.unionByName(still), RATE_BY))
 
 
-def stream_alert_join(spark, sf):
-    """Flow and alert tables written once, then read back as two streams and joined."""
+def _live_alerts(spark, sf):
+    """Flow and alert tables written once and read back as streams; the run's statuses and both tables."""
     fp, ap = scratch_path(spark, "flows"), scratch_path(spark, "alerts")
     f = flows_of(spark, sf).select(*IDENT, "end_us").withColumn("end_ts", F.timestamp_micros("end_us"))
     a = al.correct_time(table(spark, sf, "alerts"), OFFSET_S).withColumn("alert_ts", F.timestamp_micros("t_us"))
     f.write.parquet(fp)
     a.write.parquet(ap)
-    j = sw.live_alert_join(spark.readStream.schema(a.schema).parquet(ap), spark.readStream.schema(f.schema).parquet(fp),
-                           TOL_S, ACTIVE_S)
-    out, _ = rn.drain(j.select("alert_id", "flow.*"), "stream-alert-join")
-    return out
-
-
-QUERIES = {f.__name__: f for f in (
-    stream_flows, session_window_flows, alarm_rate_hourly, alarm_rate_sliding, stream_alarm_rate, stream_alert_join,
-    alarm_rate_hourly_all, alarm_rate_sliding_all, stream_alarm_rate_all, stream_flows_all)}
+    live = sw.live_alert_status(spark.readStream.schema(a.schema).parquet(ap),
+                                spark.readStream.schema(f.schema).parquet(fp), TOL_S, ACTIVE_S)
+    return rn.drain(live, "stream-alerts")[0], spark.read.parquet(ap), spark.read.parquet(fp)
 
-_WM = f"wm as (select (max(epoch_us(ts)) // 1000 - {DELAY_S * 1000}) * 1000 as w from events)"
-_ID = ", ".join(IDENT)
 
+def stream_alert_status(spark, sf):
+    """Every alert with its status: put out by the stream, or by the flush at the end of the input."""
+    m = sw.settle_alerts(*_live_alerts(spark, sf), TOL_S, ACTIVE_S)
+    return m.select("alert_id", "n_candidates", "match_status", F.col("flow.start_us").alias("flow_start_us"))
 
-def _rate(width: int, slide: int) -> str:
-    return f"""rate as (select ws as window_start_us, ws + {width} as window_end_us, domain, count(*) as n_flows,
-      count(*) filter (s_lr >= 0.5) as n_alerts, round(count(*) filter (s_lr >= 0.5)::double / count(*), 6) as alarm_share
-      from (select s.*, (p.ts_us // {slide} - i) * {slide} as ws from scores s join packets p using (event_id),
-        (select range as i from range(0, {width // slide}))) group by all)"""
 
+QUERIES = {f.__name__: f for f in (
+    stream_flows, stream_progress, stream_late_packets, stream_on_time, session_window_flows, alarm_rate_hourly,
+    alarm_rate_sliding, stream_alarm_rate, stream_alert_status)}
 
+_ID = ", ".join(IDENT)
 H = 3_600_000_000
-_COLS = "window_start_us, window_end_us, domain, n_flows, n_alerts, alarm_share"
-ORACLE = {
-    "stream_flows": o.flows(f"""select {_ID}, end_us, {', '.join(TOTALS)} from (select *, lead(start_us) over (partition by
-        pcap_file, src_ip, src_port, dst_ip, dst_port, protocol order by start_us) as nxt from flows), wm
-        where end_us + {o.IDLE_US} < w or nxt < w""", _WM),
-    "alarm_rate_hourly": o.sql(["scores", "packets"], f"select {_COLS} from rate", _rate(H, H)),
-    "alarm_rate_sliding": o.sql(["scores", "packets"], f"select {_COLS} from rate", _rate(6 * H, 2 * H)),
-    "stream_alarm_rate": o.sql(["scores", "packets"], f"select {_COLS} from rate, wm where window_end_us <= w",
-                               _rate(H, H), _WM),
-    "stream_alert_join": o.flows(f"select alert_id, {_ID} from cand", ALERTS, FD, _cand(), extra=["alerts"]),
-}
-
-
-ORACLE["session_window_flows"] = _FLOW_ORACLE["flows_idle"]
+_RATE = "window_start_us, window_end_us, domain, method, n_flows, n_alerts, alarm_share"
 
 
 def _rates(width: int, slide: int) -> str:
@@ -152,11 +169,22 @@ def _rates(width: int, slide: int) -> str:
         (select range as i from range(0, {width // slide}))) group by all)"""
 
 
-_MCOLS = _COLS.replace("domain", "domain, method")
-ORACLE |= {
-    "alarm_rate_hourly_all": o.sql(["scores", "packets"], f"select {_MCOLS} from rate", _rates(H, H)),
-    "alarm_rate_sliding_all": o.sql(["scores", "packets"], f"select {_MCOLS} from rate", _rates(6 * H, 2 * H)),
-    "stream_alarm_rate_all": o.sql(["scores", "packets"], f"select {_MCOLS} from rate, wm where window_end_us <= w",
-                                   _rates(H, H), _WM),
+# Arrival by file; the watermark of a file is the latest time of the files before it, in milliseconds, less the delay.
+_ARRIVALS = [f"""arrived as (select k.*, (ts_us - {START_US}) // {SLICE_US} + case when event_id % 50 = 7 then 2 else 0 end
+    as arrival from keyed k)""", f"""seen as (select arrival, max(top) over (order by arrival rows between unbounded
+    preceding and 1 preceding) // 1000 * 1000 - {DELAY_S * 1_000_000} as wm from (select (ts_us - {START_US}) // {SLICE_US}
+    + case when event_id % 50 = 7 then 2 else 0 end as arrival, max(ts_us) as top from keyed group by 1))""",
+             "judged as (select a.*, coalesce(ts_us < wm, false) as late from arrived a join seen using (arrival))"]
+ORACLE = {
+    "stream_flows": o.flows(f"select {_ID}, end_us, {', '.join(TOTALS)} from flows"),
+    "stream_progress": "select count(*) as input_rows, 0::bigint as dropped_rows from events",
+    "stream_late_packets": o.keyed("""select pcap_file, src_ip, src_port, dst_ip, dst_port, protocol, ts_us, ip_len
+        from judged where late""", *_ARRIVALS),
+    "stream_on_time": o.keyed("""select case when late then 'late' else 'on_time' end as side, count(*) as n,
+        sum(ip_len)::bigint as bytes from judged group by 1""", *_ARRIVALS),
+    "session_window_flows": _FLOW_ORACLE["flows_idle"],
+    "alarm_rate_hourly": o.sql(["scores", "packets"], f"select {_RATE} from rate", _rates(H, H)),
+    "alarm_rate_sliding": o.sql(["scores", "packets"], f"select {_RATE} from rate", _rates(6 * H, 2 * H)),
+    "stream_alarm_rate": o.sql(["scores", "packets"], f"select {_RATE} from rate", _rates(H, H)),
+    "stream_alert_status": _JOIN_ORACLE["alert_flow_match"],
 }
-ORACLE["stream_flows_all"] = o.flows(f"select {_ID}, end_us, {', '.join(TOTALS)} from flows")

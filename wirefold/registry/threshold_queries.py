@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wirefold.functions import rules
+from wirefold.functions.columns import report_round
 from wirefold.operators import thresholds as th
 from wirefold.plans.fixtures import table
 from wirefold.registry import oracle as o
@@ -18,7 +19,7 @@ def scores(spark, sf):
 
 
 def rnd(df, cols=RATES, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in cols if c in df.columns})
+    return df.withColumns({c: report_round(c, digits) for c in cols if c in df.columns})
 
 
 def confusion(spark, sf):
@@ -81,6 +82,21 @@ def threshold_class(spark, sf):
                            rules.false_alarm_note("threshold").alias("note")))
 
 
+def _gappy(spark, sf):
+    """Scores of which every 7th is missing and every 11th is no number."""
+    gap = F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("double")).when(F.col("event_id") % 11 == 0, float("nan"))
+    return scores(spark, sf).withColumn("y_score", gap.otherwise(F.col("y_score")))
+
+
+def unscored_rows(spark, sf):
+    """Rows without a score are counted apart and take part in no metric, whichever way it is computed."""
+    s = _gappy(spark, sf)
+    at = th.metrics_at(s, BY).select(*BY, "tp", "fp", "fn", "tn")
+    swept = th.sweep(s, BY).where("step = 100").select(*BY, *[F.col(c).alias(f"sweep_{c}") for c in ("tp", "fp", "fn", "tn")])
+    areas = th.ranking_metrics(s, BY).select(*BY, "n_pos", "n_neg")
+    return th.unscored_counts(s, BY).join(at, BY).join(swept, BY).join(areas, BY)
+
+
 def running_confusion(spark, sf):
     cells = th.score_cells(scores(spark, sf), BY)
     return th.roc_points(cells, BY).select(*BY, F.round("score", 9).alias("score"), "tp", "fp")
@@ -88,7 +104,8 @@ def running_confusion(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     confusion, label_tiers, extended_metrics, sweep, best_f1, fixed_fpr_lowest, fixed_fpr_highest, model_thresholds,
-    roc_pr_auc, recall_at_fpr, family_recall, threshold_class, running_confusion)}
+    roc_pr_auc, recall_at_fpr, family_recall, threshold_class, unscored_rows,
+    running_confusion)}
 
 
 def rates_sql(digits: int = 6) -> str:
@@ -189,5 +206,9 @@ ORACLE = {
         from (select domain, method, threshold, {rates_sql()} from (select domain, method, threshold,
         {conf('y_score >= threshold')} from long_scores, (select unnest([0.5, 0.95, 0.99]::double[]) as threshold)
         group by 1, 2, 3)))"""),
+    "unscored_rows": o.sql(_LS, f"""select *, tp as sweep_tp, fp as sweep_fp, fn as sweep_fn, tn as sweep_tn, tp + fn as n_pos,
+        fp + tn as n_neg from (select domain, method, count(*) as n_rows,
+        count(*) filter (gap) as n_unscored, {conf('y_score >= 0.5').replace("filter (", "filter (not gap and ")}
+        from (select *, event_id % 7 = 0 or event_id % 11 = 0 as gap from long_scores) group by 1, 2)"""),
     "running_confusion": o.sql(_LS, "select domain, method, round(score, 9) as score, tp, fp from pts", PTS),
 }

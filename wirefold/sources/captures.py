@@ -3,7 +3,8 @@
 A capture is read in byte ranges, one task each, so one very large file spreads over the cluster. A range that starts
 inside a file finds its first record by looking for a run of consistent record headers; when a range ends, its task
 checks that the place where it stopped is the place where the next range will start, and fails the job if not, so no
-packet is lost or read twice unnoticed. `splitBytes=0` reads every file in one piece.
+packet is lost or read twice unnoticed. `splitBytes=0` reads every file in one piece. The driver plans from the sizes
+that the directory listing gives and opens no file; headers are read by tasks, and small captures share tasks.
 
 Only the header fields of IPv4 TCP and UDP packets are kept; everything else is a row with NULL addresses or another
 protocol, which the packet filter counts.
@@ -31,16 +32,26 @@ LONGEST = 1 << 24  # bytes of a record where the file states no limit
 OPTIONS = 1 << 16  # bytes that a block may hold beside the frame
 RUN = 16
 BATCH = 16_384
+SPLIT = 128 << 20
+OPEN_COST = 1 << 20  # bytes that opening a file counts as
+BACK_S, AHEAD_S = 86_400, 20 * 366 * 86_400  # how far a record's time may lie before and after the one before it
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
+    """Bytes of a file; `stop` is None where its size was not known to the planner."""
+
     path: str
     start: int
-    stop: int
+    stop: int | None
     last: bool
 
 
+@dataclass
+class Ranges(InputPartition):
+    parts: list[Range]
+
+
 @dataclass
 class Head:
     """What a reader must know from the start of the file."""
@@ -125,7 +136,7 @@ def _next(f, head: Head, at: int, size: int, prev: float | None) -> tuple[int, f
     sec, frac, incl, orig = st.unpack(head.order + "IIII", raw)
     if frac >= head.per_s[0] or incl > head.limit or incl > orig or incl == 0 or at + 16 + incl > size:
         return None
-    if prev is not None and abs(sec - prev) > 86_400:
+    if prev is not None and not -BACK_S <= sec - prev <= AHEAD_S:  # captures may pause for days
         return None
     return at + 16 + incl, float(sec)
 
@@ -237,28 +248,39 @@ class _Buffered:
 
 
 class CaptureReader(DataSourceReader):
-    def __init__(self, files: list[str], split_bytes: int):
+    def __init__(self, files: list[tuple[str, int | None]], split_bytes: int):
         self.files, self.split = files, split_bytes
 
-    def partitions(self) -> list[Range]:
-        out = []
-        for p in self.files:
-            with _open(p) as f:
-                size = f.size()
-            step = self.split or max(size, 1)
-            starts = list(range(0, max(size, 1), step))
-            out += [Range(p, s, min(s + step, size), s == starts[-1]) for s in starts]
-        return out
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Ranges]:
+        """Large files in ranges of their own, small ones together up to the size of a range."""
+        out, held, cost = [], [], 0
+        for path, size in self.files:
+            step = self.split or max(size or 1, 1)
+            starts = list(range(0, max(size or 1, 1), step))
+            for s in starts:
+                part = Range(path, s, None if size is None else min(s + step, size), s == starts[-1])
+                weight = OPEN_COST + (0 if size is None else part.stop - s)
+                if held and (cost + weight > (self.split or SPLIT) or size is None):
+                    out.append(Ranges(held))
+                    held, cost = [], 0
+                held.append(part)
+                cost += weight
+        return [*out, Ranges(held)] if held else out
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from self._read(part)
+
+    def _read(self, part: Range) -> Iterator[pa.RecordBatch]:
         with _open(part.path) as raw:
             size = raw.size()
+            stop = size if part.stop is None else part.stop
             f = _Buffered(raw)
             head = read_head(f)
             start = head.body if part.start == 0 else find_record(f, head, part.start, size)
             name = part.path.rstrip("/").rsplit("/", 1)[-1]
             rows, end = [], start
-            for at, ns, link, frame in records(f, head, start, part.stop, size):
+            for at, ns, link, frame in records(f, head, start, stop, size):
                 end = at
                 if link < 0:
                     break
@@ -269,8 +291,8 @@ class CaptureReader(DataSourceReader):
                     rows = []
             if rows:
                 yield _batch(rows)
-            if not part.last and find_record(f, head, part.stop, size) != max(end, start):
-                raise ValueError(f"{part.path}: no safe split near byte {part.stop}; read it with splitBytes=0")
+            if not part.last and find_record(f, head, stop, size) != max(end, start):
+                raise ValueError(f"{part.path}: no safe split near byte {stop}; read it with splitBytes=0")
 
 
 # `packet_no` is the byte offset of the record: it orders packets within a file and is stable over any split.
@@ -287,7 +309,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class CaptureSource(DataSource):
-    """`spark.read.format("capture").option("files", <newline-separated paths>)`."""
+    """`spark.read.format("capture").option("files", <lines of size, tab, path>)`; a line may be a path alone."""
 
     @classmethod
     def name(cls) -> str:
@@ -297,11 +319,13 @@ class CaptureSource(DataSource):
         return CAPTURE_PACKET
 
     def reader(self, schema) -> CaptureReader:
-        return CaptureReader(self.options["files"].split("\n"), int(self.options.get("splitbytes", 128 << 20)))
+        files = [line.rpartition("\t")[::2] for line in self.options["files"].split("\n")]
+        files = [(path, int(size) if size else None) for size, path in files]
+        return CaptureReader(files, int(self.options.get("splitbytes", SPLIT)))
 
 
-def read_captures(spark, path: str, split_bytes: int = 128 << 20):
+def read_captures(spark, path: str, split_bytes: int = SPLIT):
     """Packets of one capture or of all captures of a directory."""
     spark.dataSource.register(CaptureSource)
-    files = "\n".join(discover_captures(spark, path))
+    files = "\n".join(f"{size}\t{p}" for p, size in discover_captures(spark, path, sizes=True))
     return spark.read.format("capture").option("files", files).option("splitBytes", str(split_bytes)).load()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirefold.functions.columns import proto_number
+from wirefold.sources import records as rec
 from wirefold.schemas import ALERT_EVENT, MAPPING, PACKET, SCENARIO_PLAN
 
 # Label column names, matched without regard to case.
@@ -17,39 +19,45 @@ FIVE_TUPLE = {"Source IP": "source_ip", "Source Port": "source_port", "Destinati
               "Timestamp": "timestamp"}
 
 
-def list_files(spark: SparkSession, path: str, patterns: list[str]) -> list[str]:
-    """Matching files, each pattern's sorted in turn; a file stands for itself. Raises when nothing is there."""
+def list_files(spark: SparkSession, path: str, patterns: list[str]) -> list[tuple[str, int]]:
+    """Matching files with their sizes, each pattern's sorted in turn; a file stands for itself. Raises when nothing is
+    there. Nothing is opened: the listing holds the sizes."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         raise FileNotFoundError(f"no such path: {path}")
-    if fs.getFileStatus(p).isFile():
-        return [path]
-    out: list[str] = []
+    status = fs.getFileStatus(p)
+    if status.isFile():
+        return [(path, status.getLen())]
+    out: list[tuple[str, int]] = []
     for pat in patterns:
         found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(p, pat)) or []
-        out += sorted(s.getPath().toString() for s in found if s.isFile())
+        out += sorted((s.getPath().toString(), s.getLen()) for s in found if s.isFile())
     return out
 
 
-def discover_captures(spark: SparkSession, path: str) -> list[str]:
+def discover_captures(spark: SparkSession, path: str, sizes: bool = False) -> list:
+    """Paths of the captures, or (path, size) pairs."""
     files = list_files(spark, path, ["*.pcap", "*.pcapng"])
     if not files:
         raise FileNotFoundError(f"no capture files in {path}")
-    return files
+    return files if sizes else [f for f, _ in files]
 
 
 def discover_csvs(spark: SparkSession, path: str) -> list[str]:
     """Sorted CSV files; an empty directory gives an empty list."""
-    return list_files(spark, path, ["*.csv"])
+    return [f for f, _ in list_files(spark, path, ["*.csv"])]
 
 
 def read_packets(spark: SparkSession, path: str | list[str], fmt: str = "parquet", **options: str) -> DataFrame:
-    """Packet table with the seven-field schema, plus microseconds and the file name."""
+    """Packet table with the seven-field schema, plus microseconds, the file name and `packet_no`, the place of the row in
+    its file (the row number in Parquet; elsewhere a number that grows with it)."""
     df = spark.read.schema(PACKET).options(**options).format(fmt).load(path)
+    place = F.col("_metadata.row_index") if fmt == "parquet" else (
+        F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     return df.withColumns({"ts_us": F.round(F.col("timestamp") * 1_000_000).cast("bigint"),
-                           "pcap_file": F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)})
+                           "pcap_file": _file_name(F.col("_metadata.file_path")), "packet_no": place})
 
 
 def read_features(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -59,20 +67,6 @@ def read_features(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.col("_metadata.file_path"), r"([^/]+?)(?:\.parquet)?(?:/part-[^/]*)?$", 1))
 
 
-def file_encoding(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """UTF-8 where every line of a file decodes, else ISO-8859-1.
-
-    Lines are read as bytes by a splittable text scan, so a large file is probed by many tasks; only one row per file
-    comes back.
-    """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("f"), "value")
-    g = lines.groupBy("f").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-    return {r["f"]: "UTF-8" if r["utf8"] else "ISO-8859-1" for r in g.collect()}
-
-
-OVER_LONG, LINE_ORDER = "_over_long", "_line_order"
-
-
 def detect_label_column(columns: list[str]) -> str | None:
     for c in columns:
         if c.strip().lower() in LABEL_COLUMNS:
@@ -81,44 +75,78 @@ def detect_label_column(columns: list[str]) -> str | None:
 
 
 def read_label_csv(spark: SparkSession, paths: str | list[str], nrows: int | None = None) -> DataFrame:
-    """Label files with header: per-file encoding, names trimmed, files united by name. A line with too few fields keeps
-    those it has, a line with too many is skipped; `nrows` limits each file to its first rows."""
+    """The rows of `label_files`."""
+    return label_files(spark, paths, nrows)[0]
+
+
+def label_files(spark: SparkSession, paths: str | list[str], nrows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of label files with header, and one row per file: its columns, their number and its label column.
+
+    Per file its encoding (UTF-8 where every line decodes, else ISO-8859-1) and its header; names are trimmed, files
+    united by name. Quoted fields may run over line ends. A record with too few fields keeps those it has, one with too
+    many is skipped, as are blank lines; empty fields are NULL. `nrows` limits each file to its first rows. A quote
+    that is open at the end of a file is an error.
+    """
     files = [paths] if isinstance(paths, str) else list(paths)
-    by_enc: dict[str, list[str]] = {}
-    for f, enc in file_encoding(spark, files).items():
-        by_enc.setdefault(enc, []).append(f)
-    out = None
-    for enc in sorted(by_enc):
-        for group in _same_header(spark, by_enc[enc], enc):
-            # One field more than the header catches over-long lines; the others stay, short ones padded with NULL.
-            head = spark.read.option("header", "true").option("encoding", enc).csv(group).columns
-            schema = T.StructType([T.StructField(c, T.StringType()) for c in [*head, OVER_LONG]])
-            df = (spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
-                  .option("enforceSchema", "true").option("encoding", enc).option("columnPruning", "false").csv(group))
-            meta = F.col("_metadata.file_path"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-            df = df.withColumn("pcap_file", F.regexp_extract(meta[0], "([^/]+)$", 1)).withColumn(LINE_ORDER, meta[1])
-            df = df.where(F.col(OVER_LONG).isNull()).drop(OVER_LONG)
-            df = df.toDF(*[c.strip() for c in df.columns])
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    if not files:
         raise FileNotFoundError("no label files given")
+    facts = rec.csv_facts(spark, files)
+    spelled: dict[str, str] = {}
+    for file in sorted(facts):
+        for c in facts[file].columns:
+            spelled.setdefault(c.lower(), c)
+    place = {k: i for i, k in enumerate(spelled)}
+    known = {f: (x.encoding, [place[c.lower()] for c in x.columns]) for f, x in facts.items()}
+    shared = spark.sparkContext.broadcast(known)  # one entry per file, as in the scan's own listing
+    broken = {f: x.head_block for f, x in facts.items() if x.breaks}
+    records = rec.plain_records(rec.lines(spark, files), {f: x.head_block for f, x in facts.items() if not x.breaks})
+    if broken:
+        records = records.unionByName(rec.broken_records(spark, files, broken))
+    out = _parsed(records, shared, len(spelled))
     if nrows is not None:
-        w = Window.partitionBy("pcap_file").orderBy(LINE_ORDER)
-        out = out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= nrows).drop("_n")
-    return out.drop(LINE_ORDER)
+        w = Window.partitionBy("file").orderBy("block", "place")
+        out = out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= nrows).drop("n")
+    rows = out.drop("block", "place").withColumn("file", _file_name("file")).toDF("pcap_file", *spelled.values())
+    heads = [(f, len(x.columns), x.columns, detect_label_column(x.columns)) for f, x in facts.items()]
+    heads = spark.createDataFrame(heads, "pcap_file string, columns_count int, columns array<string>, label_column string")
+    return rows.select(*[F.col(f"`{c}`") for c in spelled.values()], "pcap_file"), heads.withColumn("pcap_file", _file_name("pcap_file"))
+
+
+def _file_name(path) -> Column:
+    return F.regexp_extract(path, "([^/]+)$", 1)
+
+
+def _parsed(records: DataFrame, shared, width: int) -> DataFrame:
+    """file, block, place and a text column c0, c1, ... per name, from records without headers. Records with more
+    fields than the header and blank ones go."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * width]
+    names = ["file", "block", "place", *[f"c{i}" for i in range(width)]]
 
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for file, block, place, record in zip(*[batch[c].to_pylist() for c in ("file", "block", "place", "record")]):
+                encoding, at = shared.value[file]
+                found = rec.fields(record.decode(encoding)) if record.strip() else []
+                if found and len(found) <= len(at):
+                    row = [file, block, place] + [None] * width
+                    for i, v in zip(at, found):
+                        row[3 + i] = v or None
+                    rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(
+                zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
 
-def _same_header(spark: SparkSession, files: list[str], enc: str) -> list[list[str]]:
-    groups: dict[tuple, list[str]] = {}
-    for f in files:
-        head = tuple(spark.read.option("header", "true").option("encoding", enc).csv(f).columns)
-        groups.setdefault(head, []).append(f)
-    return list(groups.values())
+    return records.mapInArrow(run, "file string, block long, place long" + "".join(f", c{i} string" for i in range(width)))
 
 
 def five_tuple_labels(raw: DataFrame) -> DataFrame:
-    """Label rows with canonical column names and integer ports; an unreadable number becomes NULL (no key)."""
-    have = {k: v for k, v in FIVE_TUPLE.items() if k in raw.columns}
+    """Label rows with canonical column names and integer ports; an unreadable number becomes NULL (no key). The label
+    is the column that `detect_label_column` finds."""
+    named = {**FIVE_TUPLE}
+    found = detect_label_column(raw.columns)
+    if found is not None and "Label" not in raw.columns:
+        named[found] = "label"
+    have = {k: v for k, v in named.items() if k in raw.columns}
     ints = {"source_port", "destination_port", "protocol"}
     cols = [(F.expr(f"try_cast(`{k}` as int)") if v in ints else F.col(f"`{k}`")).alias(v) for k, v in have.items()]
     extra = [F.col("pcap_file")] if "pcap_file" in raw.columns else []
@@ -151,24 +179,23 @@ CONN_FIELDS = {"ts": "ts", "id.orig_h": "source_ip", "id.orig_p": "source_port",
                "detailed-label": "detailed_label", "det_label": "det_label"}
 
 
-def read_conn_log(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated connection log with labels; names come from the `#fields` line, `-` means missing.
+def read_conn_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Tab-separated connection logs with labels; names come from each file's `#fields` line, `-` means missing.
 
-    Some writers separate the last two label fields by blanks instead of tabs; both are split.
+    Every line is read by the header that stands before it in its file, so files may have different fields, and a file
+    may change them on the way. Some writers separate the last two label fields by blanks instead of tabs; both are
+    split. A field that a header lacks is NULL.
     """
-    text = spark.read.text(path)
-    head = text.where(F.col("value").startswith("#fields")).limit(1).collect()
-    if not head:
-        raise ValueError(f"no #fields line in {path}")
-    names = head[0][0].split()[1:]
-    parts = F.split("value", r"\t|\s{2,}")
-    rows = text.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(parts.alias("_p"))
+    text, names, fields = rec.headed_lines(spark, path, "#fields")
+    parts = F.split("line", r"\t|\s{2,}")
+    rows = text.where(~F.col("line").startswith("#") & (F.trim("line") != "")).select("head", parts.alias("_p"))
+    rows = rows.join(names, "head")
 
     def field(name):
-        x = F.get("_p", F.lit(names.index(name)))
+        x = F.get("_p", F.array_position("names", name).cast("int") - 1)
         return F.when(~x.isin("-", "(empty)"), x)
 
-    have = {k: v for k, v in CONN_FIELDS.items() if k in names}
+    have = {k: v for k, v in CONN_FIELDS.items() if k in fields}
     df = rows.select(*[field(k).alias(v) for k, v in have.items()])
     detail = [F.col(c) for c in ("detailed_label", "det_label") if c in df.columns]
     return df.withColumns({

@@ -1,63 +1,84 @@
-"""Running streams to completion and reading their progress."""
+"""Running streams to completion and following their progress."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from wirefold.session import scratch_path
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State lives on local disk with changelogs in the checkpoint folder; needed by stateful processors."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
-def drain(df: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery]:
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State on local disk with changelogs in the checkpoint folder, which stateful processors need, for the queries
+    started inside. A query takes its settings along when it starts; the session keeps its own."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+class Progress:
+    """One line per micro-batch: rows read, rows that the engine dropped as too late, rows held in state. Lines are
+    gathered while the query runs, since the query itself keeps the last ones only."""
+
+    def __init__(self, query: StreamingQuery):
+        self.query, self.lines = query, {}
+
+    def gather(self) -> None:
+        for p in self.query.recentProgress:
+            ops = p["stateOperators"]
+            line = {"batch": p["batchId"], "rows": int(p["numInputRows"]),
+                    "late": sum(int(s["numRowsDroppedByWatermark"]) for s in ops),
+                    "state": sum(int(s["numRowsTotal"]) for s in ops)}
+            if line["batch"] not in self.lines or line["rows"] >= self.lines[line["batch"]]["rows"]:
+                self.lines[line["batch"]] = line
+
+    def follow(self, every_s: float = 1.0) -> None:
+        """Until the query ends."""
+        while not self.query.awaitTermination(every_s):
+            self.gather()
+        self.gather()
+
+    def counters(self) -> dict[str, int]:
+        lines = [self.lines[b] for b in sorted(self.lines)]
+        return {"input_rows": sum(p["rows"] for p in lines), "late_rows": sum(p["late"] for p in lines),
+                "state_rows": lines[-1]["state"] if lines else 0, "batches": len(lines)}
+
+
+def drain(df: DataFrame, name: str, by: list[str] | None = None) -> tuple[DataFrame, Progress]:
     """Processes everything available now into a parquet table in the shared folder and returns the table."""
-    return drain_to(df, scratch_path(df.sparkSession, name))
+    return drain_to(df, scratch_path(df.sparkSession, name), by)
 
 
-def drain_to(df: DataFrame, path: str) -> tuple[DataFrame, StreamingQuery]:
-    """As `drain`, with the table in `path`/data and the state in `path`/state."""
+def drain_to(df: DataFrame, path: str, by: list[str] | None = None) -> tuple[DataFrame, Progress]:
+    """As `drain`, with the table in `path`/data, partitioned by `by`, and the state in `path`/state."""
     spark = df.sparkSession
-    use_rocksdb(spark)
-    q = (df.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/data"), q
-
-
-def counters(q: StreamingQuery) -> dict[str, int]:
-    """Rows read, rows dropped as too late, and rows held in state, over the progress kept by the query."""
-    out = {"input_rows": 0, "late_rows": 0, "state_rows": 0}
-    for p in q.recentProgress:
-        out["input_rows"] += int(p["numInputRows"])
-        for s in p["stateOperators"]:
-            out["late_rows"] += int(s["numRowsDroppedByWatermark"])
-            out["state_rows"] = int(s["numRowsTotal"])
-    return out
-
-
-class ProgressLog(StreamingQueryListener):
-    """Collects one line per micro-batch: rows, late rows, rows in state."""
-
-    def __init__(self):
-        self.lines: list[dict] = []
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        p = event.progress
-        self.lines.append({"batch": p.batchId, "rows": p.numInputRows,
-                           "late": sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
-                           "state": sum(s.numRowsTotal for s in p.stateOperators)})
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass
+    w = df.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state")
+    with rocksdb(spark):
+        q = (w.partitionBy(*by) if by else w).outputMode("append").trigger(availableNow=True).start()
+    progress = Progress(q)
+    progress.follow()
+    return spark.read.schema(df.schema).parquet(f"{path}/data"), progress
+
+
+def open_groups(spark: SparkSession, checkpoint: str, keys: list[str], values: list[str]) -> DataFrame:
+    """The groups that a finished streaming aggregate has not put out, as their keys and running values in order."""
+    s = spark.read.format("statestore").load(checkpoint).select("key", "value")
+    # by place: two counts have one name in the state
+    named = [F.col(side).cast(T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, s.schema[side].dataType.fields)]))
+             .alias(side) for side, names in (("key", keys), ("value", values))]
+    return s.select(*named).select("key.*", "value.*")
