@@ -166,7 +166,7 @@ def draws_sql(src: str, keep: str) -> str:
     return f"""pois as (select n, 0 as k, exp(-n::double) as p, exp(-n::double) as c from (select range::bigint as n from range(1, {rd.EXACT_N + 1}))
   union all select n, k + 1, p * n / (k + 1), c + p * n / (k + 1) from pois where k < floor(n + 7 * sqrt(n::double) + 12)),
 tables as (select n, list(c order by k) as cs from pois group by n),
-zs as (select {keep}, n, replicate, (group_no + (cell_no % {rd.PRIME}) * {rd.CELL_STEP} + replicate * {rd.REPLICATE_STEP}) % {rd.PRIME} as z
+zs as (select {keep}, n, replicate, (group_no + (cell_no::bigint % {rd.PRIME}) * {rd.CELL_STEP}::bigint + replicate * {rd.REPLICATE_STEP}) % {rd.PRIME} as z
   from {src}, (select range as replicate from range(0, {REPS})) where n > 0),
 us as (select {keep}, n, replicate, ({steps} + 0.5::double) / {rd.PRIME}::double as u from zs),
 qs as (select *, {tail} as t, (u - 0.5) * (u - 0.5) as q from us),

@@ -50,7 +50,7 @@ def _quoted_label_files(spark, sf):
     back = [c for c in reversed(_TUPLE) if c != "label"]
     latin = ref.where("event_id % 2 = 1").select(F.regexp_replace("label", "–", "\u0096").alias("attack_cat"), *back)
     latin.withColumnsRenamed({k: f" {v} " for k, v in names.items()}).write.option("header", "true").option(
-        "encoding", "ISO-8859-1").csv(f"{root}/latin")
+        "encoding", "ISO-8859-1").option("ignoreTrailingWhiteSpace", "false").csv(f"{root}/latin")
     files = [f for d, p in (("utf8", "*.txt"), ("latin", "*.csv")) for f, _ in tb.list_files(spark, f"{root}/{d}", [p])]
     return tb.label_files(spark, files)
 
@@ -96,8 +96,9 @@ def conn_log_scan(spark, sf):
                        F.when(F.col("label") == "BENIGN", "Benign").otherwise("Malicious"),
                        F.when(F.col("label") == "BENIGN", "-").otherwise(F.trim("label")))
     head = F.lit("#fields\tts\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tlabel\tdetailed-label")
-    first = ref.agg(F.count("*")).select(head.alias("value"))
-    first.unionByName(ref.select(line.alias("value"))).write.text(path)
+    rows = ref.select((F.col("event_id") % 4).alias("part"), F.lit(1).alias("k"), line.alias("value"))
+    heads = spark.range(4).select(F.col("id").alias("part"), F.lit(0).alias("k"), head.alias("value"))
+    rows.unionByName(heads).repartition(4, "part").sortWithinPartitions("part", "k").select("value").write.text(path)
     c = tb.read_conn_log(spark, path)
     return (c.groupBy("source_ip", "source_port", "destination_ip", "destination_port", "protocol", "label",
                       "detailed_label").agg(F.count("*").alias("n"), F.round(F.sum("ts"), 2).alias("ts_sum")))
@@ -160,7 +161,7 @@ def packet_file_scan(spark, sf):
 
 def packet_file_cap(spark, sf):
     """The first ten packets of every file left out, the next hundred kept, by their place in the file."""
-    k = pk.skip_and_cap(_packet_files(spark, sf), 10, 100, order="packet_no")
+    k = pk.skip_and_cap(_packet_files(spark, sf), 10, 100, "capture", "packet_no")
     return k.groupBy("capture").agg(F.count("*").alias("n"), F.sum(F.col("ip_len").cast("bigint")).alias("bytes"),
                                     F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 

@@ -195,13 +195,11 @@ def read_conn_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
         x = F.get("_p", F.array_position("names", name).cast("int") - 1)
         return F.when(~x.isin("-", "(empty)"), x)
 
-    have = {k: v for k, v in CONN_FIELDS.items() if k in fields}
-    df = rows.select(*[field(k).alias(v) for k, v in have.items()])
-    detail = [F.col(c) for c in ("detailed_label", "det_label") if c in df.columns]
+    df = rows.select(*[(field(k) if k in fields else F.lit(None).cast("string")).alias(v) for k, v in CONN_FIELDS.items()])
     return df.withColumns({
         "source_port": F.expr("try_cast(source_port as int)"), "destination_port": F.expr("try_cast(destination_port as int)"),
         "protocol": proto_number("proto"), "ts": F.expr("try_cast(ts as double)"),
-        "detailed_label": F.coalesce(*detail) if detail else F.lit(None).cast("string")}).drop("det_label")
+        "detailed_label": F.coalesce("detailed_label", "det_label")}).drop("det_label")
 
 
 def read_alert_log(spark: SparkSession, path: str) -> DataFrame:
