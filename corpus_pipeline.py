@@ -8,7 +8,6 @@ unharmed: a null text is scored as empty and goes with the language stage, a row
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wirefold.llm import language, packing, quality, secret_scan, set_join
 from wirefold.llm.common import table
@@ -41,18 +40,10 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that with the smallest doc_id. Of repeated rows of one doc_id one
-    stays; documents without words or without doc_id stay."""
+    """One text of each component of near copies: that with the smallest doc_id. Equal rows of one doc_id stay once,
+    different texts of one doc_id are judged each on its own; documents without words or without doc_id stay."""
     ship(spark)
-    n = len(docs.columns)
-    at = docs.columns.index("doc_id")
-    groups = set_join.similar_components(docs).filter("doc_id is not null").groupBy("doc_id").agg(
-        F.min("component_id").alias("component"))
-    flat = docs.toDF(*[f"c{i}" for i in range(n)])
-    dropped = groups.filter("component < doc_id").select("doc_id")
-    rest = flat.join(dropped, flat[f"c{at}"] == dropped["doc_id"], "left_anti")
-    named = rest.filter(f"c{at} is not null").dropDuplicates([f"c{at}"])
-    return named.unionByName(rest.filter(f"c{at} is null")).toDF(*docs.columns)
+    return set_join.one_of_each(docs, set_join.similar_components(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

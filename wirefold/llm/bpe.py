@@ -87,16 +87,41 @@ def uncut(data: np.ndarray, offs: np.ndarray, special: list[bytes]) -> np.ndarra
     return flags
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each word."""
-    ends, out = np.append(starts[1:], len(data)), np.zeros(len(starts), np.uint64)
-    step = 1 << 15
-    for a in range(0, len(starts), step):
-        s, e = starts[a:a + step], ends[a:a + step]
-        part, lead = data[s[0]:e[-1]], s - s[0]
-        place = np.arange(len(part), dtype=np.int64) - np.repeat(lead, e - s)
-        out[a:a + step] = np.add.reduceat(_BYTES[part] * words._powers_to(int((e - s).max()))[place], lead)
-    return words.mix(out + (ends - starts).astype(np.uint64))
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First place, hash, number (per place) and count of the distinct words of a chunk.
+
+    Words of one hash are compared byte by byte with the first of them; one that differs gets an entry of its own, so
+    the hash decides nothing.
+    """
+    h = np.zeros(len(starts), np.uint64)
+    for a, b in _steps(len(starts)):
+        h[a:b] = words.place_hashes(data[starts[a]:ends[b - 1]], starts[a:b] - starts[a], words.PLAIN)
+    named, first, at = np.unique(h, return_index=True, return_inverse=True)
+    size, odd = ends - starts, []
+    for a, b in _steps(len(starts)):
+        mine = np.arange(a, b)
+        rep = first[at[a:b]]
+        short = size[rep] != size[mine]
+        odd += mine[short].tolist()
+        mine, rep = mine[~short & (rep != mine)], rep[~short & (rep != mine)]
+        if len(mine):
+            n = size[mine]
+            other = data[words.spread(starts[mine], n)] != data[words.spread(starts[rep], n)]
+            odd += mine[np.logical_or.reduceat(other, np.cumsum(n) - n)].tolist()
+    own: dict[bytes, int] = {}
+    more = []
+    for i in sorted(odd):
+        word = data[starts[i]:ends[i]].tobytes()
+        if word not in own:
+            own[word] = len(named) + len(own)
+            more.append(i)
+        at[i] = own[word]
+    first = np.append(first, np.array(more, np.int64)).astype(np.int64)
+    return first, h[first], at, np.bincount(at, minlength=len(first))
+
+
+def _steps(n: int, step: int = 1 << 15):
+    return [(a, min(a + step, n)) for a in range(0, n, step)]
 
 
 def _chunk_rows(name: str, doc_ids: pa.Array, texts: pa.Array, buckets: int, special: list[bytes],
@@ -106,8 +131,7 @@ def _chunk_rows(name: str, doc_ids: pa.Array, texts: pa.Array, buckets: int, spe
     key = f"{name}:{hashlib.blake2b(data, digest_size=16).hexdigest()}:{len(texts)}"
     starts = word_starts(data, offs, uncut(data, offs, special))
     ends = np.append(starts[1:], len(data))
-    distinct, first, at, count = np.unique(_hashes(data, starts), return_index=True, return_inverse=True,
-                                           return_counts=True)
+    first, distinct, at, count = distinct_words(data, starts, ends)
     bucket = (distinct % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     if layout:
@@ -228,7 +252,6 @@ def encode(docs: DataFrame, path: str | None = None, buckets: int | None = None,
 
 _ROWS = pa.schema([("target", pa.string()), ("chunk", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()),
                    ("words", pa.binary())])
-_BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @lru_cache(maxsize=4)

@@ -15,17 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns alone under the given names. An exact spelling wins over one in another case, the first of
-    several equal names wins, and all other columns go, so names that clash with the operators' own cannot matter."""
-    names, flat = df.columns, df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    at = {}
-    for new, old in columns.items():
+def pick_places(df: DataFrame, *columns: str) -> dict[str, int]:
+    """Where the named columns stand. An exact spelling wins over one in another case, the first of several equal names
+    wins."""
+    names, at = df.columns, {}
+    for old in columns:
         found = [i for i, n in enumerate(names) if n == old] or [
             i for i, n in enumerate(names) if n.lower() == old.lower()]
         if not found:
             raise ValueError(f"column {old} is missing; there are {names}")
-        at[new] = found[0]
+        at[old] = found[0]
+    return at
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """The named columns alone under the given names (found as by `pick_places`); all other columns go, so names that
+    clash with the operators' own cannot matter."""
+    places, flat = pick_places(df, *columns.values()), df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    at = {new: places[old] for new, old in columns.items()}
     return flat.select(*[F.col(f"c{i}").alias(new) for new, i in at.items()])
 
 

@@ -33,9 +33,6 @@ _CLASS[97:123] = _CLASS[128:] = ord("a")
 _CLASS[65:91] = ord("A")
 _CLASS[48:58] = ord("0")
 _CLASS[words._SPACE] = 32
-_RNG = np.random.default_rng(5)
-_SHAPE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHAPE[32] = 0
 _SAME = np.uint64(0x5A5A5A5A5A5A5A5B)
 
 
@@ -58,10 +55,7 @@ def shapes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         turn = np.append(True, c[1:] != c[:-1])
         turn[s] = True
         at = np.flatnonzero(turn & (c != 32))
-        lead = np.searchsorted(at, s)
-        size = np.diff(np.append(lead, len(at)))
-        place = np.arange(len(at)) - np.repeat(lead, size)
-        found.append(words.mix(np.add.reduceat(_SHAPE[c[at]] * words._powers_to(int(size.max()))[place], lead)))
+        found.append(words.place_hashes(c[at], np.searchsorted(at, s), words.PLAIN))
         starts.append(s + a)
     if not found:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)

@@ -70,15 +70,15 @@ def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
 sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end as s from words),
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words),
 kinds as (select min(doc_id) as rep, s, len(s) as n from (select doc_id, list_sort(s) as s from sets) group by s),
 members as (select rep, n, unnest(s) as g from kinds where n > 0),
-shared as (select a.rep as a, b.rep as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as both
+shared as (select a.rep as a, b.rep as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common
   from members a join members b on a.g = b.g and a.rep < b.rep group by a.rep, b.rep),
-links as (select a, b from shared where 100 * both >= 75 * (na + nb - both)),
+links as (select a, b from shared where 100 * common >= 75 * (na + nb - common)),
 edges as (select a, b from links union select b, a from links),
 reach(node, seen) as (select rep, rep from kinds where n > 0
   union select r.node, e.b from reach r join edges e on r.seen = e.a),
@@ -95,7 +95,7 @@ def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 with recursive v as (select vec_id, embedding::double[] as e from embeddings),
-ok as (select vec_id, e from v where e is not null and len(list_filter(e, x -> x is null or not isfinite(x))) = 0
+ok as (select vec_id, e from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
   and list_dot_product(e, e) > 0),
 links as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id
   where list_cosine_similarity(a.e, b.e) >= 0.9),

@@ -11,12 +11,16 @@ own has no partner and leaves. Where hashing left a set fewer than H + 1 non-emp
 one-deletion neighbourhoods: the contents of each segment less one member, which finds a segment that differs by one
 member, and so counts for two segments in the pigeonhole. Small sets use segments of single shingles.
 
-Equal sets are one set throughout. Candidates are not all pairs of a group: every set is first compared with one
-representative of the groups it is in, then with a few drawn from them, and last with all members of other components
-in its groups. Each comparison intersects the whole sets.
+Equal sets are one set throughout, known by a hash of all members, and of groups with the same members one is kept.
+Candidates are not all pairs of a group: every set is first compared with one representative of the groups it is in,
+then with a few drawn from them, and last with the members of other components in its groups. That last step runs inside
+tasks, block against block: pairs whose sizes rule them out go, then those whose counts of members by hash bucket do (the
+smaller counts add up to an upper bound of the intersection), and a pair that several groups hold leaves a task once.
+Each comparison that decides intersects the whole sets.
 
 Defined results: null and empty texts have an empty set and link with nothing; texts with fewer words than a shingle
-have one shingle; repeated rows have equal sets; rows without doc_id get no links and component null.
+have one shingle; repeated rows have equal sets; a doc_id that stands at several texts belongs to all their components,
+and each of its rows has its own; rows without doc_id get no links and component null.
 """
 
 from __future__ import annotations
@@ -27,14 +31,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirefold.llm import words
-from wirefold.llm.common import documents
+from wirefold.llm.common import documents, pick_places
 from wirefold.llm.components import components
 from wirefold.llm.lengths import slices
 from wirefold.session import cut_lineage
 
 ROUNDS = (1, 3, 3)  # comparisons of a set with group representatives, by round
+BLOCK = 512  # members of a group that meet as many others in one cell
+ROUTE_ROWS = 1 << 16  # rows of groups with one smallest member that share a task
+SEEN = 1 << 20  # pairs that a task remembers
 
 
 @dataclass(frozen=True)
@@ -182,10 +190,17 @@ def _bitmap(ids: DataFrame, most_bits: int = 27) -> np.ndarray:
     return out
 
 
+def sketch(members: np.ndarray) -> bytes | None:
+    """Numbers of members by hash bucket, one byte each; about two members a bucket. None where a byte is too small."""
+    k = 1 << int(np.clip(int(len(members)).bit_length() - 1, 4, 12))
+    n = np.bincount((members & np.uint64(k - 1)).astype(np.int64), minlength=k)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else None
+
+
 def sets_of(docs: DataFrame, live: DataFrame, shingle: int) -> DataFrame:
-    """doc, set_id and sorted members of the documents whose ids are in `live` (doc). A bitmap of the ids leaves most
-    other texts out before the join that decides."""
-    marks = _bitmap(live)
+    """set_id, n, sorted members and sketch of the sets in `live` (set_id, doc). A bitmap of the ids leaves most other
+    texts out before the join that decides; a doc_id that stands at several texts brings all of them, and its own decide."""
+    marks = _bitmap(live.select("doc").distinct())
     bits = len(marks).bit_length() + 4
 
     def kept(batches):
@@ -199,12 +214,14 @@ def sets_of(docs: DataFrame, live: DataFrame, shingle: int) -> DataFrame:
             for part in parts(batch):
                 got = list(shingle_sets(part["text"], shingle))
                 yield pa.RecordBatch.from_arrays([
-                    part["doc_id"], pa.array([set_id(s) for s in got], pa.int64()),
-                    pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["doc", "set_id", "members"])
+                    pa.array([set_id(s) for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int64()),
+                    pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64())),
+                    pa.array([sketch(s) for s in got], pa.binary())], ["set_id", "n", "members", "sketch"])
 
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("at")).mapInArrow(kept, "doc_id long, text string")
-    texts = texts.join(live, texts["doc_id"] == live["doc"], "left_semi")
-    return texts.mapInArrow(run, "doc long, set_id long, members array<long>")
+    texts = texts.join(live.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi")
+    got = texts.mapInArrow(run, "set_id long, n long, members array<long>, sketch binary")
+    return got.join(live.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def rare_signatures(docs: DataFrame, bands: Bands, most: int, shingle: int, buckets: int) -> DataFrame:
@@ -316,72 +333,207 @@ def candidate_keys(docs: DataFrame, base: DataFrame, bands: Bands, most: int, sh
     return keys.distinct()
 
 
+def one_of_equal_groups(keys: DataFrame) -> DataFrame:
+    """The keys of one signature of all that have the same members; groups of one member go."""
+    names = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    groups = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *names).filter("size > 1")
+    return keys.join(groups.groupBy("size", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) of documents whose whole sets reach the similarity, with the size of the intersection."""
-    left = sets.select(F.col("doc").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("doc").alias("b"), F.col("members").alias("mb"))
+    """Pairs (a, b) of sets that reach the similarity, by whole sets."""
+    left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("ma"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("members").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb")).cast("long")
     got = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (
         F.size("ma") + F.size("mb")).cast("long").alias("sum"))
-    return got.filter(F.col("both") * bands.den >= (F.col("sum") - F.col("both")) * bands.num).select("a", "b", "both")
+    return got.filter(F.col("both") * bands.den >= (F.col("sum") - F.col("both")) * bands.num).select("a", "b")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (set_id, component) after further links: only components that a link touches are worked on."""
+    label = lambda side: labels.select(F.col("set_id").alias(side), F.col("component").alias(f"c{side}"))
+    edges = links.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    moved = components(edges).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return cut_lineage(labels.join(moved, "component", "left").select("set_id", F.coalesce("to", "component").alias(
+        "component")))
 
 
-def _mixed(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """The keys with the component of each set so far, of groups that hold more than one component."""
-    comp = components(links).select(F.col("node").alias("doc"), "component")
-    now = keys.join(comp, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """The keys, with the component of each set so far, of groups that hold more than one component."""
+    now = keys.join(labels, "set_id")
     mixed = now.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
     return now.join(mixed.select("sig"), "sig")
 
 
+def _tried(now: DataFrame, turn: int, tries: int) -> DataFrame:
+    """Pairs (a, b): each set with the `tries` representatives that most of its groups have, of other components. The
+    first round takes the smallest member of a group, later ones a member drawn by hash."""
+    drawn = F.xxhash64("set_id", F.lit(turn)) if turn else F.col("set_id")
+    group = now.groupBy("sig").agg(F.min_by(F.struct("set_id", "component"), drawn).alias("rep"))
+    votes = now.join(group, "sig").filter("component != rep.component").groupBy(
+        "set_id", F.col("rep.set_id").alias("rep")).count()
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "rep"))), 1, tries)
+    return votes.groupBy("set_id").agg(best.alias("reps")).select(F.col("set_id").alias("a"), F.explode("reps.rep").alias("b"))
+
+
+class Cell:
+    """Members of one group that may pair: id, size, component, block and sketch."""
+
+    def __init__(self, rows: list[tuple], cross: bool, bands: Bands):
+        rows.sort(key=lambda r: r[1])
+        self.ids = [r[0] for r in rows]
+        self.n, self.comp, self.block = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        self.sketches, self.cross, self.bands = [r[4] for r in rows], cross, bands
+        self.width = np.array([len(s) if s else 0 for s in self.sketches])
+        self.folded: dict[int, np.ndarray] = {}
+
+    def counts(self, k: int) -> np.ndarray:
+        """The sketches of all members with k buckets or more, as k buckets."""
+        if k not in self.folded:
+            out = np.zeros((len(self.ids), k), np.uint16)
+            for i, s in enumerate(self.sketches):
+                if s and len(s) >= k:
+                    out[i] = np.frombuffer(s, np.uint8).reshape(-1, k).sum(0, dtype=np.uint16)
+            self.folded[k] = out
+        return self.folded[k]
+
+    def pairs(self, seen: set):
+        """Pairs of different components that sizes and sketches do not rule out, leaving out those seen before."""
+        num, den = self.bands.num, self.bands.den
+        last = np.searchsorted(self.n, self.n * den // num, "right")
+        for i in range(len(self.ids)):
+            js = np.arange(i + 1, last[i])
+            js = js[self.comp[js] != self.comp[i]]
+            if self.cross:
+                js = js[self.block[js] != self.block[i]]
+            a = self.ids[i]
+            new = [j for j in js.tolist() if ((a, self.ids[j]) if a < self.ids[j] else (self.ids[j], a)) not in seen]
+            if not new:
+                continue
+            js = np.array(new)
+            names = [(a, self.ids[j]) if a < self.ids[j] else (self.ids[j], a) for j in new]
+            seen.update(names)
+            k = int(self.width[i])
+            if k:
+                c = self.counts(k)
+                most = np.minimum(c[js], c[i]).sum(1, dtype=np.int64)
+                able = (most * den >= (self.n[js] + self.n[i] - most) * num) | (self.width[js] < k)
+                names = [p for p, ok in zip(names, able) if ok]
+            yield from names
+
+
+def pairs_in_groups(now: DataFrame, sets: DataFrame, bands: Bands, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of sets of different components that share a group and may be similar.
+
+    Groups go to tasks by their smallest member, so that groups of the same members meet and a pair is looked at once;
+    groups of more than `block` members go as pairs of blocks.
+    """
+    groups = now.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("set_id").alias("route"))
+    routes = groups.groupBy("route").agg(F.sum("size").alias("rows"))
+    groups = groups.join(routes, "route").select("sig", "size", "route", F.pmod(
+        F.xxhash64("sig"), F.expr(f"(rows - 1) div {ROUTE_ROWS} + 1")).alias("part"))
+    rows = now.join(groups, "sig").join(sets.select("set_id", "sketch"), "set_id")
+    rows = rows.withColumn("blocks", F.expr(f"cast((size - 1) div {block} + 1 as int)"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("route", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig",
+                       "set_id", "n", "component", "own", "sketch")
+
+    def meet(batches):
+        route, sig, held, seen, out = None, None, [], set(), []
+
+        def flush():
+            if len(held) > 1:
+                out.extend(Cell(held, route[2] != route[3], bands).pairs(seen))
+
+        for batch in batches:
+            for *key, s, set_, n, comp, own, sk in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != route or s != sig:
+                    flush()
+                    if key != route or len(seen) > SEEN:
+                        seen = set()
+                    route, sig, held = key, s, []
+                held.append((set_, n, comp, own, sk))
+            yield _pairs(out)
+            out = []
+        flush()
+        yield _pairs(out)
+
+    order = ["route", "part", "i", "j"]
+    return rows.repartition(*order).sortWithinPartitions(*order, "sig").mapInArrow(meet, "a long, b long").distinct()
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    a, b = zip(*rows) if rows else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(list(a), pa.int64()), pa.array(list(b), pa.int64())], ["a", "b"])
+
+
 def similar_components(docs: DataFrame, bands: Bands = Bands(), shingle: int = 5,
                        buckets: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, set_id and component_id (smallest doc_id reachable by links) of every document."""
+    """doc_id, n_shingles, set_id, component_id (smallest doc_id reachable by links) and set_component (the component by
+    links between texts alone) of every document."""
     docs = documents(docs)
     buckets = min(buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     most = largest(docs)
     base = cut_lineage(document_facts(docs, bands, most, shingle))
     distinct = base.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
-    keys = candidate_keys(docs, base, bands, most, shingle, buckets).join(distinct, "set_id").select(
-        "sig", "doc", "set_id", "n")
-    keys = cut_lineage(keys)
+    keys = candidate_keys(docs, base, bands, most, shingle, buckets).join(distinct.select("set_id", "n"), "set_id")
+    keys = cut_lineage(one_of_equal_groups(cut_lineage(keys)))
     # Whole sets of the sets that have candidates: their texts alone are read into sets again.
-    live = cut_lineage(keys.select("doc", "set_id").distinct())
-    # one doc_id may stand at several texts: the set that the keys speak of counts
-    sets = cut_lineage(sets_of(docs, live.select("doc").distinct(), shingle).join(live, ["doc", "set_id"]).dropDuplicates(
-        ["doc"]).select("doc", "members"))
-
-    # 1. Each set against representatives of its groups, in a few rounds: first the smallest document of a group, then
-    # members drawn by hash, the `tries` that most of the set's groups have drawn. A round has a row per set and group.
-    links = None
+    live = cut_lineage(keys.select("set_id").distinct().join(distinct.select("set_id", "doc"), "set_id"))
+    sets = cut_lineage(sets_of(docs, live, shingle))
+    labels = cut_lineage(live.select("set_id", F.col("set_id").alias("component")))
     for turn, tries in enumerate(ROUNDS):
-        if links is None:
-            now = keys.withColumn("component", F.col("doc"))
-        else:
-            now = _mixed(keys, links)
-        drawn = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
-        group = now.groupBy("sig").agg(F.min_by(F.struct("doc", "component"), drawn).alias("rep"))
-        votes = now.join(group, "sig").filter("component != rep.component").groupBy(
-            "doc", F.col("rep.doc").alias("rep")).count()
-        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "rep"))), 1, tries)
-        tried = votes.groupBy("doc").agg(best.alias("reps")).select(F.col("doc").alias("a"), F.explode("reps.rep").alias("b"))
-        found = _verified(tried, sets, bands)
-        links = cut_lineage(found if links is None else links.union(found))
-    # 2. What remains: all pairs of different components in a group. One side leaves out each group's largest component,
-    # so its members never meet.
-    now = cut_lineage(_mixed(keys, links))
-    share = now.groupBy("sig", "component").count()
-    big = share.groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("big"))
-    outer = now.join(big, "sig").filter("component != big").select(
-        "sig", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "big")
-    inner = now.select("sig", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    fits = (F.least("na", "nb") * bands.den >= F.greatest("na", "nb") * bands.num) & (F.col("ca") != F.col("cb"))
-    once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
-    pairs = outer.join(inner, "sig").filter(fits & once).select("a", "b").distinct()
-    links = cut_lineage(links.union(_verified(pairs, sets, bands)))
-    comp = components(links).select(F.col("node").alias("doc"), "component")
-    by_set = distinct.join(comp, "doc", "left").select("set_id", F.coalesce("component", "doc").alias("component"))
-    linked = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+        labels = _joined(labels, _verified(_tried(_mixed(keys, labels), turn, tries), sets, bands))
+    pairs = cut_lineage(pairs_in_groups(cut_lineage(_mixed(keys, labels)), sets, bands))
+    labels = _joined(labels, _verified(pairs, sets, bands))
+    own = base.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "set_id").distinct().join(
+        labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    own = cut_lineage(own)
+    # A doc_id that stands at several texts joins their components.
+    low = own.groupBy("doc_id").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    through = components(own.join(low, "doc_id").select(F.col("component").alias("a"), F.col("low").alias("b")))
+    whole = own.join(through.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    whole = whole.select("doc_id", "set_id", "component", F.coalesce("to", "component").alias("to"))
+    names = whole.groupBy("to").agg(F.min("doc_id").alias("least"))
+    by_set = whole.join(names, "to").select("set_id", F.col("component").alias("set_component"), "least").distinct()
+    linked = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return base.join(by_set, "set_id", "left").select(
-        "doc_id", "n_shingles", "set_id", F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"))
+        "doc_id", "n_shingles", "set_id", F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"),
+        F.coalesce("set_component", "set_id").alias("set_component"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, bands: Bands = Bands(), shingle: int = 5) -> DataFrame:
+    """The rows of docs that are left when of each component of near copies one text stays, that of the smallest doc_id;
+    `found` is what `similar_components` says of docs.
+
+    Different texts under one doc_id are judged each on its own, equal rows of one doc_id stay once, and so do rows
+    without words; rows without doc_id stay all. Columns are handled by place.
+    """
+    some = found.filter("doc_id is not null")
+    first = some.filter("n_shingles > 0").groupBy("set_component").agg(F.min(F.struct("doc_id", "set_id")).alias("first"))
+    kept = (F.col("n_shingles") == 0) | (F.struct("doc_id", "set_id") == F.col("first"))
+    flags = cut_lineage(some.join(first, "set_component", "left").groupBy("doc_id", "set_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_or(kept).alias("kept")))
+    per_doc = cut_lineage(flags.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.bool_or("kept").alias("kept")).filter(
+        "rows > 1 or not kept").select(F.col("doc_id").alias("at"), "rows"))
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    places = pick_places(docs, "doc_id", "text")
+    at = F.col(f"c{places['doc_id']}").cast("long")
+    plain = flat.join(per_doc.select("at"), at == F.col("at"), "left_anti")
+    # Few rows as a rule: doc_ids that repeat. Their sets are made again to tell their texts apart.
+    several = flat.join(per_doc.filter("rows > 1").select("at"), at == F.col("at"), "left_semi")
+    kinds, text = several.schema, places["text"]
+
+    def run(batches):
+        for batch in batches:
+            ids = [set_id(s) for s in shingle_sets(batch.column(text).cast(pa.string()), shingle)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "s"])
+
+    several = several.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("s", T.LongType())]))
+    stay = flags.filter("kept").select(F.col("doc_id").alias("at"), F.col("set_id").alias("stays"))
+    several = several.join(stay, (at == F.col("at")) & (F.col("s") == F.col("stays")), "left_semi").dropDuplicates(
+        [f"c{places['doc_id']}", "s"]).drop("s")
+    return plain.unionByName(several).toDF(*docs.columns)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from wirefold.llm.common import pick_places
 from wirefold.llm.lengths import SLICE_BYTES, slices
 from wirefold.llm.words import utf8
 
@@ -18,7 +19,7 @@ def append_columns(docs: DataFrame, make: Callable[[pa.Array], list[pa.Array]],
 
     Columns are handled by place, so names that clash do no harm; the new columns come last.
     """
-    where = next(i for i, n in enumerate(docs.columns) if n == text)
+    where = pick_places(docs, text)[text]
     flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     added = [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)]
 

@@ -2,6 +2,10 @@
 
 A word is a run of bytes other than space and 0x09-0x0D; A-Z count as a-z. The bytes of a batch are worked on in
 chunks that end between words, so memory is a small multiple of the text besides one number per word.
+
+A word's hash is the sum of random numbers drawn for (place, byte). Two different words differ in such a number at some
+place, so they collide with odds of 2^-64 whatever letters they are made of; a polynomial modulo 2^64 would not do, its
+collisions are made of letters alone.
 """
 
 from __future__ import annotations
@@ -13,12 +17,12 @@ CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]
-_BYTE[_SPACE] = 0
-_BASE = np.uint64(int(_RNG.integers(1, 2**62)) * 2 + 1)
+PLACES = 64  # places with a table of their own; later ones mix the numbers of place and byte
+PLAIN = _RNG.integers(0, 2**64, (PLACES + 1, 256), dtype=np.uint64)
+FOLDED = PLAIN.copy()
+FOLDED[:, 65:91] = FOLDED[:, 97:123]
+FOLDED[:, _SPACE] = 0
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = np.cumprod(np.full(256, _BASE, np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,11 +48,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
-    if n > len(_powers):
-        _powers = np.cumprod(np.full(max(n, 2 * len(_powers)), _BASE, np.uint64))
-    return _powers
+def place_hashes(part: np.ndarray, lead: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes from one start in `lead` to the next; bytes whose numbers are 0 in the table count as
+    not there."""
+    size = np.diff(np.append(lead, len(part)))
+    place = np.arange(len(part), dtype=np.int64) - np.repeat(lead, size)
+    numbers = table.reshape(-1)[(np.minimum(place, PLACES) << 8) | part]
+    if len(size) and size.max() > PLACES:
+        far = np.flatnonzero(place >= PLACES)
+        there = numbers[far] != 0
+        numbers[far] = mix(numbers[far] + place[far].astype(np.uint64) * _PLACE[0]) * there
+    return mix(np.add.reduceat(numbers, lead)) if len(lead) else np.zeros(0, np.uint64)
 
 
 def chunks(data: np.ndarray, offs: np.ndarray):
@@ -76,11 +86,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for a, part, _, s in chunks(data, offs):
         if not len(s):
             continue
-        part, lead = part[s[0]:], s - s[0]
-        size = np.diff(np.append(lead, len(part)))
-        place = np.arange(len(part), dtype=np.int32) - np.repeat(lead.astype(np.int32), size)
-        h = np.add.reduceat(_BYTE[part] * _powers_to(int(size.max()))[place], lead)
-        hashes.append(mix(h))
+        hashes.append(place_hashes(part[s[0]:], s - s[0], FOLDED))
         starts.append(s + a)
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
