@@ -10,6 +10,7 @@ from wirefold.plans.fixtures import ACTIVE_S, IDLE_S, table
 from wirefold.schemas import FEATURES, PREDICTION_COLS
 from wirefold.operators import thresholds as th
 from wirefold.operators.features import with_label_bit, extract_features
+from wirefold.sources import tables as tb
 
 SMALL = md.Config(lr={"C": 1.0, "max_iter": 50}, rf={"trees": 5, "depth": 4, "min_leaf": 1},
                   gbt={"rounds": 3, "depth": 3, "step": 0.1, "rows": 0.8, "cols": "0.8"})
@@ -126,3 +127,29 @@ def test_end_to_end(spark, sf, tmp_path):
         assert r.tp == test.where((F.col("y_score") >= r.threshold) & (F.col("y_true") == 1)).count()
     assert set(spark.read.parquet(str(tmp_path / "r/sidecar/random_forest")).columns) == set(PREDICTION_COLS)
     assert with_label_bit(feats).count() == extract_features(flows).count()
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_flows_from_packet_files_with_a_cap(spark, tmp_path, fmt):
+    """The pipeline on the packet reader: packets are skipped and capped by their place in each file."""
+    for name in ("a", "b"):
+        rows = [(10.0 + i if name == "a" else 900.0 - i, "10.0.0.1", "10.0.0.2", 5 + i % 3, 80, 6, 100 + i) for i in range(60)]
+        df = spark.createDataFrame(rows, "timestamp double, src_ip string, dst_ip string, src_port int, dst_port int, "
+                                         "protocol int, ip_len int")
+        df.coalesce(1).write.format(fmt).save(str(tmp_path / name))
+    packets = tb.read_packets(spark, [str(tmp_path / "a"), str(tmp_path / "b")], fmt)
+    flows = pl.packets_to_flows(spark, packets, str(tmp_path / "f"), pl.FlowSettings(max_packets=20, skip_packets=5))
+    got = flows.agg(F.sum("packet_count_total"), F.sum("bytes_total"), F.countDistinct("pcap_file")).first()
+    assert tuple(got) == (40, 2 * sum(range(105, 125)), 2)
+
+
+def test_pooled_tiers(rows):
+    """Thresholds come from the validation rows of both sources, and every test row has a label under each."""
+    parts = {"x": rows.where("global_flow_id % 2 = 0"), "y": rows.where("global_flow_id % 2 = 1")}
+    got = md.pooled_tiers(parts, "logistic_regression", SMALL).cache()
+    assert got.count() == rows.count() and {r[0] for r in got.select("source").distinct().collect()} == {"x", "y"}
+    want = md.source_thresholds(got.where("split = 'val'"))
+    one = got.select("threshold_default", "threshold_val_tuned", "threshold_fixed_fpr").distinct().collect()
+    assert len(one) == 1 and tuple(one[0]) == (want["default"], want["val_tuned"], want["fixed_fpr"])
+    for tier, t in (("val_tuned", want["val_tuned"]), ("fixed_fpr", want["fixed_fpr"])):
+        assert got.where(F.col(f"pred_label_{tier}") != (F.col("y_score") >= t).cast("int")).count() == 0
