@@ -181,3 +181,22 @@ def test_vector_edges(spark):
     assert [tuple(r) for r in got] == [(None, 0, None, False), (1, 2, 1, True), (1, 2, 1, True), (3, 2, 1, False)]
     nothing = vector_join.near_duplicates(spark.createDataFrame([(1, [0.0]), (2, None)], "vec_id long, embedding array<float>"))
     assert sorted(map(tuple, nothing.collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+@pytest.mark.parametrize("block,route", [(512, 1 << 22), (7, 1 << 22), (5, 300)])
+def test_blocks_and_routes_lose_no_link(spark, monkeypatch, block, route):
+    """A family of near misses and links around the threshold, met in small blocks and over several tasks."""
+    monkeypatch.setattr(set_join, "ROUTE_MEMBERS", route)
+    monkeypatch.setattr(set_join.links_in_groups, "__defaults__", (block,))
+    monkeypatch.setattr(set_join, "ROUNDS", (1,))
+    r = random.Random(11)
+    base, rows = ["w%d" % r.randrange(2000) for _ in range(100)], []
+    for i in range(90):
+        t = list(base)
+        for k in r.sample(range(100), r.randrange(1, 4)):
+            t[k] = "x%d" % r.randrange(2000)
+        rows.append((i, " ".join(t)))
+    got = set_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    want = brute(rows)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
+    assert 3 < len({c for _, c in want.values()}) < 80

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.llm.bpe import encode_texts
-from wirefold.llm.common import bucket_ranks, documents, vocabulary_path
+from wirefold.llm.common import bucket_ranks, documents, pick_places, vocabulary_path
 from wirefold.llm.lengths import texts_by_slice
 from wirefold.session import cut_lineage
 
@@ -106,14 +106,23 @@ def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, in
     return runs
 
 
-def pack(cut: DataFrame, sequence: int = SEQUENCE, bits: int = 6) -> DataFrame:
+BUCKET_ROWS = 1 << 16  # pieces of one length that are ranked together, about
+
+
+def pack(cut: DataFrame, sequence: int = SEQUENCE, bits: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece, start, length and ids_crc32; further columns, such as ids,
-    are carried."""
-    more = [c for c in cut.columns if c not in PIECES.replace(",", "").split()[::2]]
-    if taken := {"bucket", "rank", "runs", "run", "sequence_id", "offset"} & {c.lower() for c in more}:
-        raise ValueError(f"columns with names of pack's own: {sorted(taken)}")
-    cut = cut_lineage(cut.withColumn("bucket", F.shiftright(F.xxhash64("doc_id", "piece", "ids_crc32"), 64 - bits)))
+    are carried by place. One that has the name of a column of the result, in any case, gets a `_` after it.
+
+    Pieces of a length are ranked in 2^bits buckets; by default there are as many as the most frequent length needs.
+    """
+    names, columns = PIECES.replace(",", "").split()[::2], cut.columns
+    places = pick_places(cut, *names)
+    more = [i for i in range(len(cut.columns)) if i not in places.values()]
+    flat = cut.toDF(*[f"c{i}" for i in range(len(cut.columns))])
+    cut = cut_lineage(flat.select(*[F.col(f"c{i}").alias(n) for n, i in places.items()], *[F.col(f"c{i}") for i in more]))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `sequence` rows
+    bits = max(6, (max(counts.values(), default=0) // BUCKET_ROWS).bit_length()) if bits is None else bits
+    cut = cut.withColumn("bucket", F.shiftright(F.xxhash64("doc_id", "piece", "ids_crc32"), 64 - bits))
     runs: dict[int, list] = {}
     for length, rank, _, first, offset in plan(counts, sequence):
         runs.setdefault(length, []).append((rank, first, offset))
@@ -122,6 +131,14 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, bits: int = 6) -> DataFrame:
     ranked = bucket_ranks(cut, ["length"], "bucket", ["doc_id", "piece", "ids_crc32"], "rank")
     # The plan has one row per length, whatever the input, so it is broadcast.
     run = F.element_at(F.filter("runs", lambda r: r["rank"] <= F.col("rank")), -1)
-    return ranked.join(F.broadcast(planned), "length").withColumn("run", run).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", *more,
+    out = ranked.join(F.broadcast(planned), "length").withColumn("run", run).select(
+        *names, *[f"c{i}" for i in more],
         (F.col("run.first") + F.col("rank") - F.col("run.rank")).alias("sequence_id"), F.col("run.offset").alias("offset"))
+    taken, kept = {*names, "sequence_id", "offset"}, []
+    for i in more:
+        name = columns[i]
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        kept.append(name)
+    return out.toDF(*names, *kept, "sequence_id", "offset")

@@ -1,12 +1,13 @@
 """Quality classifier: Naive Bayes features for a support vector machine.
 
-Features are indicators of n-grams (1 to 3 words) over word shapes: a word's runs of letters, capitals, digits and single
-symbols, or a mark where the word repeats the one before; each n-gram is also marked with the binary order of its share
-of the text. Indicators are scaled by the log-count ratio of the two classes, and a linear hinge-loss model is fitted by
+Features are indicators of n-grams of words (1 to 2) and of n-grams (1 to 3 words) over word shapes: a word's runs of
+letters, capitals, digits and single symbols, or a mark where the word repeats the one before; each n-gram of shapes is
+also marked with the binary order of its share of the text. Indicators are scaled by the log-count ratio of the two classes, and a linear hinge-loss model is fitted by
 dual coordinate descent; a logistic curve, fitted on rows that the model has not seen, turns margins into scores.
 
-At most `rows` labelled rows, chosen by a hash of their ids, are used for fitting; scoring reads every whole text in
-Arrow batches. Defined results: null text counts as empty; an empty text has no n-gram and gets the score of margin
+At most `rows` labelled ids, chosen by a hash, are used for fitting, one text each (the one whose features are smallest
+where an id has several), and of these as many, in order of the hash, as hold `FEATURES` features together; scoring
+reads every whole text in Arrow batches. Defined results: null text counts as empty; an empty text has no n-gram and gets the score of margin
 `bias`; labels other than 0 and 1, or two different labels for one id, are not used; with one class only, or none, all
 scores are that class's share (1 without labels).
 """
@@ -17,23 +18,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirefold.llm import words
 from wirefold.llm.common import pick
 from wirefold.llm.text_map import append_columns
+from wirefold.session import cut_lineage
 
 BITS = 18
-ROWS = 12_000
+ROWS, FEATURES = 12_000, 32_000_000
 THRESHOLD = 0.7
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = ord("a")
 _CLASS[65:91] = ord("A")
 _CLASS[48:58] = ord("0")
 _CLASS[words._SPACE] = 32
-_SAME = np.uint64(0x5A5A5A5A5A5A5A5B)
+_SAME, _WORD = np.uint64(0x5A5A5A5A5A5A5A5B), np.uint64(0x3C3C3C3C3C3C3C3D)
 
 
 @dataclass
@@ -44,8 +46,8 @@ class Model:
     shift: float
 
 
-def shapes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word's shape, or the repeat mark, and where each text's words start."""
+def shapes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word's shape, or the repeat mark, of each word itself, and where each text's words start."""
     data, offs = words.utf8(column)
     found, starts = [], []
     for a, part, _, s in words.chunks(data, offs):
@@ -58,25 +60,23 @@ def shapes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found.append(words.place_hashes(c[at], np.searchsorted(at, s), words.PLAIN))
         starts.append(s + a)
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
     shape = np.concatenate(found)
     own, at = words.word_hashes(column)
     same = np.append(False, own[1:] == own[:-1])
     same[at[:-1][at[:-1] < len(own)]] = False
-    return np.where(same, _SAME, shape), np.searchsorted(np.concatenate(starts), offs)
+    return np.where(same, _SAME, shape), own, np.searchsorted(np.concatenate(starts), offs)
 
 
-def features(shape: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Sorted distinct feature numbers of one text."""
-    out = []
+def features(shape: np.ndarray, own: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Sorted distinct feature numbers of one text, from its words' shapes and its words."""
+    out = [words.mix(words.grams(own, n) ^ _WORD) for n in (1, 2)]
     for n in (1, 2, 3):
         g = words.grams(shape, n)
         if len(g):
             u, c = np.unique(g, return_counts=True)
             level = np.floor(np.log2(c / len(g) * 64)).astype(np.int64)
             out += [u, words.mix(u[level >= 0] + (level[level >= 0] + 1).astype(np.uint64))]
-    if not out:
-        return np.zeros(0, np.int32)
     return np.unique((np.concatenate(out) >> np.uint64(64 - bits)).astype(np.int32))
 
 
@@ -95,12 +95,15 @@ def fit_rows(docs: DataFrame, sample: DataFrame) -> list[tuple[np.ndarray, int]]
     marked = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(sample), "doc_id")
 
     def make(column):
-        shape, at = shapes(column)
-        got = [features(shape[a:b]) for a, b in zip(at, at[1:])]
+        shape, own, at = shapes(column)
+        got = [features(shape[a:b], own[a:b]) for a, b in zip(at, at[1:])]
         return [pa.array(got, pa.list_(pa.int32()))]
 
     got = append_columns(marked, make, [T.StructField("f", T.ArrayType(T.IntegerType()))])
-    rows = got.select("doc_id", "quality", "f").collect()
+    one = cut_lineage(got.groupBy("doc_id", "quality").agg(F.min("f").alias("f")))
+    upto = F.sum(F.size("f")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # `rows` rows at most
+    rows = one.join(one.select("doc_id", upto.alias("upto")), "doc_id").filter(F.col("upto") <= FEATURES).select(
+        "doc_id", "quality", "f").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["f"]))
     return [(np.array(r["f"], np.int32), r["quality"]) for r in rows]
 
@@ -168,8 +171,8 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs and a column `score`, 0 to 1, of every whole text."""
     def make(column):
-        shape, at = shapes(column)
-        m = np.array([model.weights[features(shape[a:b])].sum() + model.bias for a, b in zip(at, at[1:])], float)
+        shape, own, at = shapes(column)
+        m = np.array([model.weights[features(shape[a:b], own[a:b])].sum() + model.bias for a, b in zip(at, at[1:])], float)
         return [pa.array(1 / (1 + np.exp(-np.clip(model.slope * m + model.shift, -40, 40))))]
 
     return append_columns(docs, make, [T.StructField("score", T.DoubleType())])

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.llm.bpe import encode_texts
-from wirefold.llm.common import documents, vocabulary_path
-from wirefold.llm.lengths import texts_by_slice
+from wirefold.llm.common import documents, pick_places, vocabulary_path
+from wirefold.llm.lengths import SLICE_BYTES, slices, texts_by_slice
+from wirefold.llm.words import utf8
 
 # Fixed patterns of the base scan.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -117,7 +118,7 @@ def redact(docs: DataFrame, path: str | None = None, ratio: float = RATIO, mark:
     """All rows and columns of docs (which needs a text column), each secret replaced by the mark and n_chars, where
     there is one, counted anew. Null texts stay null."""
     path = vocabulary_path(path)
-    where = [i for i, n in enumerate(docs.columns) if n == "text"][0]
+    where = pick_places(docs, "text")["text"]
     flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def clean(t: str | None) -> str | None:
@@ -131,14 +132,17 @@ def redact(docs: DataFrame, path: str | None = None, ratio: float = RATIO, mark:
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def rewrite(batches):
-        for batch in batches:
-            texts = [clean(t) for t in batch.column(where).to_pylist()]
-            field = batch.schema.field(where)
-            batch = batch.set_column(where, field, pa.array(texts, field.type))
-            if counted is not None:
-                field = batch.schema.field(counted)
-                n = [old if t is None else len(t) for t, old in zip(texts, batch.column(counted).to_pylist())]
-                batch = batch.set_column(counted, field, pa.array(n, field.type))
-            yield batch
+        for whole in batches:
+            _, offs = utf8(whole.column(where))
+            for a, b in slices(offs, SLICE_BYTES):
+                batch = whole.slice(a, b - a)
+                texts = [clean(t) for t in batch.column(where).to_pylist()]
+                field = batch.schema.field(where)
+                batch = batch.set_column(where, field, pa.array(texts, field.type))
+                if counted is not None:
+                    field = batch.schema.field(counted)
+                    n = [old if t is None else len(t) for t, old in zip(texts, batch.column(counted).to_pylist())]
+                    batch = batch.set_column(counted, field, pa.array(n, field.type))
+                yield batch
 
     return flat.mapInArrow(rewrite, flat.schema).toDF(*docs.columns)

@@ -14,9 +14,9 @@ member, and so counts for two segments in the pigeonhole. Small sets use segment
 Equal sets are one set throughout, known by a hash of all members, and of groups with the same members one is kept.
 Candidates are not all pairs of a group: every set is first compared with one representative of the groups it is in,
 then with a few drawn from them, and last with the members of other components in its groups. That last step runs inside
-tasks, block against block: pairs whose sizes rule them out go, then those whose counts of members by hash bucket do (the
-smaller counts add up to an upper bound of the intersection), and a pair that several groups hold leaves a task once.
-Each comparison that decides intersects the whole sets.
+tasks, block against block: a task gets each set once, looks at a pair once however many groups hold it, leaves out pairs
+that links found before have joined, and returns a forest of links, never pairs. Each comparison that decides intersects
+the whole sets.
 
 Defined results: null and empty texts have an empty set and link with nothing; texts with fewer words than a shingle
 have one shingle; repeated rows have equal sets; a doc_id that stands at several texts belongs to all their components,
@@ -39,9 +39,9 @@ from wirefold.llm.components import components
 from wirefold.llm.lengths import slices
 from wirefold.session import cut_lineage
 
-ROUNDS = (1, 3, 3)  # comparisons of a set with group representatives, by round
+ROUNDS = (1, 3)  # comparisons of a set with group representatives, by round
 BLOCK = 512  # members of a group that meet as many others in one cell
-ROUTE_ROWS = 1 << 16  # rows of groups with one smallest member that share a task
+ROUTE_MEMBERS = 1 << 22  # shingles in groups with one smallest set that share a task, about
 SEEN = 1 << 20  # pairs that a task remembers
 
 
@@ -190,15 +190,8 @@ def _bitmap(ids: DataFrame, most_bits: int = 27) -> np.ndarray:
     return out
 
 
-def sketch(members: np.ndarray) -> bytes | None:
-    """Numbers of members by hash bucket, one byte each; about two members a bucket. None where a byte is too small."""
-    k = 1 << int(np.clip(int(len(members)).bit_length() - 1, 4, 12))
-    n = np.bincount((members & np.uint64(k - 1)).astype(np.int64), minlength=k)
-    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else None
-
-
 def sets_of(docs: DataFrame, live: DataFrame, shingle: int) -> DataFrame:
-    """set_id, n, sorted members and sketch of the sets in `live` (set_id, doc). A bitmap of the ids leaves most other
+    """set_id and sorted members of the sets in `live` (set_id, doc). A bitmap of the ids leaves most other
     texts out before the join that decides; a doc_id that stands at several texts brings all of them, and its own decide."""
     marks = _bitmap(live.select("doc").distinct())
     bits = len(marks).bit_length() + 4
@@ -214,13 +207,12 @@ def sets_of(docs: DataFrame, live: DataFrame, shingle: int) -> DataFrame:
             for part in parts(batch):
                 got = list(shingle_sets(part["text"], shingle))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([set_id(s) for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int64()),
-                    pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64())),
-                    pa.array([sketch(s) for s in got], pa.binary())], ["set_id", "n", "members", "sketch"])
+                    pa.array([set_id(s) for s in got], pa.int64()),
+                    pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["set_id", "members"])
 
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("at")).mapInArrow(kept, "doc_id long, text string")
     texts = texts.join(live.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi")
-    got = texts.mapInArrow(run, "set_id long, n long, members array<long>, sketch binary")
+    got = texts.mapInArrow(run, "set_id long, members array<long>")
     return got.join(live.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
@@ -377,91 +369,112 @@ def _tried(now: DataFrame, turn: int, tries: int) -> DataFrame:
     return votes.groupBy("set_id").agg(best.alias("reps")).select(F.col("set_id").alias("a"), F.explode("reps.rep").alias("b"))
 
 
-class Cell:
-    """Members of one group that may pair: id, size, component, block and sketch."""
-
-    def __init__(self, rows: list[tuple], cross: bool, bands: Bands):
-        rows.sort(key=lambda r: r[1])
-        self.ids = [r[0] for r in rows]
-        self.n, self.comp, self.block = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        self.sketches, self.cross, self.bands = [r[4] for r in rows], cross, bands
-        self.width = np.array([len(s) if s else 0 for s in self.sketches])
-        self.folded: dict[int, np.ndarray] = {}
-
-    def counts(self, k: int) -> np.ndarray:
-        """The sketches of all members with k buckets or more, as k buckets."""
-        if k not in self.folded:
-            out = np.zeros((len(self.ids), k), np.uint16)
-            for i, s in enumerate(self.sketches):
-                if s and len(s) >= k:
-                    out[i] = np.frombuffer(s, np.uint8).reshape(-1, k).sum(0, dtype=np.uint16)
-            self.folded[k] = out
-        return self.folded[k]
-
-    def pairs(self, seen: set):
-        """Pairs of different components that sizes and sketches do not rule out, leaving out those seen before."""
+class Meeting:
+    """The sets of a task's groups. Components that a link joins stay joined for the groups that follow."""
+
+    def __init__(self, ids: list[int], members: list[np.ndarray], bands: Bands):
+        self.bands, self.at = bands, {i: k for k, i in enumerate(ids)}
+        self.size = np.array([len(m) for m in members], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        names, self.codes = np.unique(np.concatenate(members), return_inverse=True)
+        self.here, self.seen, self.root = np.zeros(len(names), bool), set(), {}
+
+    def find(self, c: int) -> int:
+        while (up := self.root.get(c, c)) != c:
+            self.root[c] = c = self.root.get(up, up)
+        return c
+
+    def common(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set i with the sets js."""
+        mine = self.codes[self.start[i]:self.start[i] + self.size[i]]
+        self.here[mine] = True
+        found = self.here[self.codes[words.spread(self.start[js], self.size[js])]]
+        self.here[mine] = False
+        return np.add.reduceat(found, np.cumsum(self.size[js]) - self.size[js], dtype=np.int64)
+
+    def links(self, rows: list[tuple[int, int, int]], cross: bool):
+        """Links (a, b) that join the components of a group's rows (set, component, block); `cross` asks for different
+        blocks."""
         num, den = self.bands.num, self.bands.den
-        last = np.searchsorted(self.n, self.n * den // num, "right")
-        for i in range(len(self.ids)):
+        at = np.array([self.at[r[0]] for r in rows])
+        by = np.argsort(self.size[at], kind="stable")
+        at, ids, block = at[by], [rows[k][0] for k in by], np.array([r[2] for r in rows])[by]
+        root = np.array([self.find(rows[k][1]) for k in by])
+        n = self.size[at]
+        last = np.searchsorted(n, n * den // num, "right")
+        for i in range(len(at)):
             js = np.arange(i + 1, last[i])
-            js = js[self.comp[js] != self.comp[i]]
-            if self.cross:
-                js = js[self.block[js] != self.block[i]]
-            a = self.ids[i]
-            new = [j for j in js.tolist() if ((a, self.ids[j]) if a < self.ids[j] else (self.ids[j], a)) not in seen]
+            js = js[root[js] != root[i]]
+            if cross:
+                js = js[block[js] != block[i]]
+            new = [j for j in js.tolist() if (at[i], at[j]) not in self.seen and (at[j], at[i]) not in self.seen]
             if not new:
                 continue
+            self.seen.update((at[i], at[j]) for j in new)
             js = np.array(new)
-            names = [(a, self.ids[j]) if a < self.ids[j] else (self.ids[j], a) for j in new]
-            seen.update(names)
-            k = int(self.width[i])
-            if k:
-                c = self.counts(k)
-                most = np.minimum(c[js], c[i]).sum(1, dtype=np.int64)
-                able = (most * den >= (self.n[js] + self.n[i] - most) * num) | (self.width[js] < k)
-                names = [p for p, ok in zip(names, able) if ok]
-            yield from names
-
-
-def pairs_in_groups(now: DataFrame, sets: DataFrame, bands: Bands, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a, b) of sets of different components that share a group and may be similar.
-
-    Groups go to tasks by their smallest member, so that groups of the same members meet and a pair is looked at once;
-    groups of more than `block` members go as pairs of blocks.
+            both = self.common(int(at[i]), at[js])
+            for j in js[both * den >= (n[js] + n[i] - both) * num].tolist():
+                if root[j] != root[i]:
+                    yield ids[i], ids[j]
+                    low, high = sorted((int(root[i]), int(root[j])))
+                    self.root[high] = low
+                    root[root == high] = low
+
+
+def links_in_groups(now: DataFrame, sets: DataFrame, bands: Bands, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the components of sets that share a group and are similar.
+
+    Groups go to tasks by their smallest member, so that groups of the same sets meet; where such groups hold many
+    shingles they are dealt over several tasks. Groups of more than `block` members go as pairs of blocks.
     """
-    groups = now.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("set_id").alias("route"))
-    routes = groups.groupBy("route").agg(F.sum("size").alias("rows"))
+    groups = now.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"), F.min("set_id").alias("route"))
+    routes = groups.groupBy("route").agg(F.sum("n").alias("all"))
     groups = groups.join(routes, "route").select("sig", "size", "route", F.pmod(
-        F.xxhash64("sig"), F.expr(f"(rows - 1) div {ROUTE_ROWS} + 1")).alias("part"))
-    rows = now.join(groups, "sig").join(sets.select("set_id", "sketch"), "set_id")
-    rows = rows.withColumn("blocks", F.expr(f"cast((size - 1) div {block} + 1 as int)"))
+        F.xxhash64("sig"), F.expr(f"all div {ROUTE_MEMBERS} + 1")).alias("part"))
+    rows = now.join(groups, "sig").withColumn("blocks", F.expr(f"cast((size - 1) div {block} + 1 as int)"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["route", "part", "i", "j"]
     rows = rows.select("route", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig",
-                       "set_id", "n", "component", "own", "sketch")
+                       "set_id", "component", "own")
+    whole = rows.select(*cell, "set_id").distinct().join(sets, "set_id")
+    both = rows.withColumn("members", F.lit(None).cast("array<long>")).unionByName(whole.select(
+        *cell, F.lit(None).cast("long").alias("sig"), "set_id", F.lit(0).cast("long").alias("component"),
+        F.lit(0).alias("own"), "members"))
 
     def meet(batches):
-        route, sig, held, seen, out = None, None, [], set(), []
+        key, sig, held, ids, members, here, out = None, None, [], [], [], None, []
 
         def flush():
             if len(held) > 1:
-                out.extend(Cell(held, route[2] != route[3], bands).pairs(seen))
+                out.extend(here.links(held, key[2] != key[3]))
+                if len(here.seen) > SEEN:
+                    here.seen.clear()
 
         for batch in batches:
-            for *key, s, set_, n, comp, own, sk in zip(*[c.to_pylist() for c in batch.columns]):
-                if key != route or s != sig:
+            column = batch.column(batch.schema.get_field_index("members"))
+            offs, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            names = [batch.column(c).to_pylist() for c in ("route", "part", "i", "j", "sig", "set_id", "component", "own")]
+            for k, (*at, s, set_, comp, own) in enumerate(zip(*names)):
+                if at != key or s != sig:
                     flush()
-                    if key != route or len(seen) > SEEN:
-                        seen = set()
-                    route, sig, held = key, s, []
-                held.append((set_, n, comp, own, sk))
+                    held = []
+                    if at != key:
+                        key, ids, members, here = at, [], [], None
+                    sig = s
+                if s is None:
+                    ids.append(set_)
+                    members.append(flat[offs[k]:offs[k + 1]])
+                    continue
+                if here is None:
+                    here, members = Meeting(ids, members, bands), []
+                held.append((set_, comp, own))
             yield _pairs(out)
             out = []
         flush()
         yield _pairs(out)
 
-    order = ["route", "part", "i", "j"]
-    return rows.repartition(*order).sortWithinPartitions(*order, "sig").mapInArrow(meet, "a long, b long").distinct()
+    return both.repartition(*cell).sortWithinPartitions(*cell, F.asc_nulls_first("sig")).mapInArrow(meet, "a long, b long")
 
 
 def _pairs(rows: list[tuple]) -> pa.RecordBatch:
@@ -487,8 +500,7 @@ def similar_components(docs: DataFrame, bands: Bands = Bands(), shingle: int = 5
     labels = cut_lineage(live.select("set_id", F.col("set_id").alias("component")))
     for turn, tries in enumerate(ROUNDS):
         labels = _joined(labels, _verified(_tried(_mixed(keys, labels), turn, tries), sets, bands))
-    pairs = cut_lineage(pairs_in_groups(cut_lineage(_mixed(keys, labels)), sets, bands))
-    labels = _joined(labels, _verified(pairs, sets, bands))
+    labels = _joined(labels, cut_lineage(links_in_groups(cut_lineage(_mixed(keys, labels)), sets, bands)))
     own = base.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "set_id").distinct().join(
         labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     own = cut_lineage(own)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from wirefold.llm.common import bucket_ranks, pick, utf8_bytes
 from wirefold.session import cut_lineage
 
-BITS = 12
+BITS = 12  # at least 2^BITS buckets per ranking
+BUCKET_ROWS = 1 << 18  # rows that are ranked together, about
 
 
 def _unit(h: Column) -> Column:
@@ -26,15 +27,17 @@ def _unit(h: Column) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 7, bits: int = BITS) -> DataFrame:
-    """doc_id, source, size, text_crc32, shard and slot of every row. `bits` sets 2^bits buckets per ranking; raise it
-    so that rows / 2^bits fit a task."""
+def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 7, bits: int | None = None) -> DataFrame:
+    """doc_id, source, size, text_crc32, shard and slot of every row. Rankings go in 2^bits buckets; by default there
+    are as many as the row count needs."""
     base = pick(docs, doc_id="doc_id", text="text", source="source").select(
         "doc_id", F.col("source").cast("string").alias("source"), (utf8_bytes(F.col("text")) + 1).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     base = base.withColumn("stratum", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).withColumn(
         "shuffled", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"))
-    base = cut_lineage(base.withColumn("bucket", F.shiftright("shuffled", 64 - bits)))
+    base = cut_lineage(base)
+    bits = max(BITS, (base.count() // BUCKET_ROWS).bit_length()) if bits is None else bits
+    base = base.withColumn("bucket", F.shiftright("shuffled", 64 - bits))
     placed = bucket_ranks(base, ["stratum"], "bucket", ["shuffled", "doc_id", "size", "text_crc32"], "rank", "n")
     placed = placed.withColumn("place", (F.col("rank") + _unit(F.xxhash64(F.lit(seed + 1), "stratum"))) / F.col("n"))
     placed = cut_lineage(placed.drop("bucket", "rank", "n").withColumn(
@@ -50,9 +53,12 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 7, bits: int =
     return ranked.select("doc_id", "source", "size", "text_crc32", "shard", (F.col("rank") - first).alias("slot"))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Writes whole rows as one folder per shard, in slot order; doc_id must be unique."""
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, parts: int | None = None) -> None:
+    """Writes whole rows as one folder per shard, in slot order; doc_id must be unique. Ranges of (shard, slot) are
+    written by `parts` tasks (default: the session's shuffle partitions), so a shard is several files, in slot order by
+    name."""
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = assigned.select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
     rows = docs.join(at, docs["doc_id"].cast("long") == at["__id"]).drop("__id")
-    rows.repartition("__shard").sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").mode(
-        "overwrite").parquet(path)
+    rows.repartitionByRange(parts, "__shard", "__slot").sortWithinPartitions("__shard", "__slot").write.partitionBy(
+        "__shard").mode("overwrite").parquet(path)
