@@ -157,9 +157,9 @@ def test_session_keeps_its_settings(spark, tmp_path):
     before = spark.conf.get(rn.PROVIDER)
     spark.conf.set(rn.PROVIDER, "other")
     try:
-        with rn.rocksdb(spark):
-            assert spark.conf.get(rn.PROVIDER) == rn.ROCKSDB
-        assert spark.conf.get(rn.PROVIDER) == "other"
+        with rn.settings(spark, {**rn.state_settings(spark), "spark.wirefold.none": "x"}):
+            assert spark.conf.get(rn.PROVIDER) == rn.ROCKSDB and spark.conf.get("spark.wirefold.none") == "x"
+        assert spark.conf.get(rn.PROVIDER) == "other" and spark.conf.get("spark.wirefold.none", None) is None
     finally:
         spark.conf.set(rn.PROVIDER, before)
 

@@ -244,9 +244,10 @@ def time_label_join(flows: DataFrame, label_ref: DataFrame, tolerance_us: int, s
     """Labels by key and start time: a key with one label needs no time; a key with several keeps the label rows
     within the tolerance, and is matched when those agree (nearest row's time reported).
 
-    Only conflicting keys join on time. Both sides carry a time bucket of twice the tolerance and the label side is
-    copied to the neighbouring bucket, so a hot key spreads over its buckets and candidates stay close in time.
-    Label rows equal in (key, bucket, label, time) collapse first.
+    Only conflicting keys join on time: their flows go through the candidates' aggregate with all their columns, one row
+    per (file, key, start), and the table of flows is never joined to itself. Both sides carry a time bucket of twice the
+    tolerance and the label side is copied to the neighbouring bucket, so a hot key spreads over its buckets and
+    candidates stay close in time. Label rows equal in (key, bucket, label, time) collapse first.
     """
     lk = label_lookup(label_ref)
     f = with_canonical(flows).withColumn("_fid", F.struct("pcap_file", *FLOW_ENDPOINTS, "protocol", start))
@@ -259,12 +260,19 @@ def time_label_join(flows: DataFrame, label_ref: DataFrame, tolerance_us: int, s
     lo = F.floor((F.col("t") - tolerance_us) / width)
     hi = F.floor((F.col("t") + tolerance_us) / width)
     lab = lab.withColumn("_b", F.explode(F.array_distinct(F.array(lo, hi))))
-    amb = base.where("ambiguous").withColumn("_b", F.floor(F.col(start) / width))
-    cand = amb.join(lab, [*NKEY, "_b"]).where(F.abs(F.col(start) - F.col("t")) < tolerance_us)
-    picked = cand.groupBy("_fid").agg(
-        F.min("cand").alias("_c1"), F.max("cand").alias("_c2"), F.count("*").alias("n_candidates"),
-        F.min(F.struct(F.abs(F.col(start) - F.col("t")).alias("d"), F.col("t").alias("t"))).alias("_near"))
-    j = base.join(picked, "_fid", "left")
+    amb = base.where("ambiguous").withColumn("_fb", F.floor(F.col(start) / width))
+    on = (F.col("_fb") == F.col("_b")) & (F.abs(F.col(start) - F.col("t")) < tolerance_us)
+    for k in NKEY:
+        on = on & (F.col(k) == F.col(f"_l_{k}"))
+    near = F.when(F.col("t").isNotNull(), F.struct(F.abs(F.col(start) - F.col("t")).alias("d"), F.col("t").alias("t")))
+    decided = amb.join(lab.withColumnsRenamed({k: f"_l_{k}" for k in NKEY}), on, "left").groupBy("_fid").agg(
+        F.first(F.struct(*base.columns)).alias("_flow"), F.min("cand").alias("_c1"), F.max("cand").alias("_c2"),
+        F.count("cand").alias("n_candidates"), F.min(near).alias("_near"))
+    decided = decided.select("_flow.*", "_c1", "_c2", "n_candidates", "_near")
+    plain = base.where(~F.coalesce("ambiguous", F.lit(False)))
+    for c in ("_c1", "_c2", "n_candidates", "_near"):
+        plain = plain.withColumn(c, F.lit(None).cast(decided.schema[c].dataType))
+    j = plain.unionByName(decided)
     method = (F.when(F.col("k_protocol").isNull(), "no_key").when(F.col("ambiguous").isNull(), "unmatched")
               .when(~F.col("ambiguous"), "canonical_5tuple").when(F.col("_c1").isNull(), "no_label_in_window")
               .when(F.col("_c1") == F.col("_c2"), "time_disambiguated").otherwise("ambiguous_in_window"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirefold.functions import rules
@@ -97,9 +97,9 @@ def fusion(wide: DataFrame, by: list[str], methods: list[str], threshold: float
 
     m = rates(x.groupBy(*by, "fusion").agg(rows(hit & attack).alias("tp"), rows(hit & ~attack).alias("fp"),
                                            rows(~hit & attack).alias("fn"), rows(~hit & ~attack).alias("tn")))
-    single = m.where(F.col("fusion").startswith("single("))
-    best = single.groupBy(*by).agg(F.max_by(F.struct("fusion", "f1", "recall", "fpr"), F.struct("f1", "fusion")).alias("_b"))
-    j = m.where(~F.col("fusion").startswith("single(")).join(best, by)
+    single = F.col("fusion").startswith("single(")
+    best = F.max_by(F.struct("fusion", "f1", "recall", "fpr"), F.when(single, F.struct("f1", "fusion")))
+    j = m.withColumn("_b", best.over(Window.partitionBy(*by))).where(~single)  # a row per rule in each group
     d = {c: F.col(c) - F.col(f"_b.{c}") for c in ("f1", "recall", "fpr")}
     return j.withColumns({"best_single": F.col("_b.fusion"), "delta_f1": d["f1"], "delta_recall": d["recall"],
                           "delta_fpr": d["fpr"],

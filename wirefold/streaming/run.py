@@ -12,23 +12,31 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wirefold.session import scratch_path
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PROVIDER, PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """State on local disk with changelogs in the checkpoint folder, which stateful processors need, for the queries
-    started inside. A query takes its settings along when it starts; the session keeps its own."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings for the queries started inside. A query takes them along when it starts; the session keeps its own."""
+    before = {k: spark.conf.get(k, None) for k in conf}
     try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def state_settings(spark: SparkSession) -> dict[str, str]:
+    """State on local disk with changelogs in the checkpoint folder, which stateful processors need, and no more state
+    partitions than twice the cores: each costs a store, and a Python worker, in every micro-batch of a drain."""
+    most = 2 * spark.sparkContext.defaultParallelism
+    return {PROVIDER: ROCKSDB, PARTITIONS: str(min(int(spark.conf.get(PARTITIONS)), most))}
 
 
 class Progress:
@@ -68,7 +76,7 @@ def drain_to(df: DataFrame, path: str, by: list[str] | None = None) -> tuple[Dat
     """As `drain`, with the table in `path`/data, partitioned by `by`, and the state in `path`/state."""
     spark = df.sparkSession
     w = df.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state")
-    with rocksdb(spark):
+    with settings(spark, state_settings(spark)):
         q = (w.partitionBy(*by) if by else w).outputMode("append").trigger(availableNow=True).start()
     progress = Progress(q)
     progress.follow()
