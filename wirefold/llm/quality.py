@@ -28,7 +28,7 @@ from wirefold.llm.text_map import append_columns
 from wirefold.session import cut_lineage
 
 BITS = 18
-ROWS, FEATURES = 12_000, 32_000_000
+ROWS, FEATURES = 12_000, 16_000_000
 THRESHOLD = 0.7
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = ord("a")
@@ -96,16 +96,16 @@ def fit_rows(docs: DataFrame, sample: DataFrame) -> list[tuple[np.ndarray, int]]
 
     def make(column):
         shape, own, at = shapes(column)
-        got = [features(shape[a:b], own[a:b]) for a, b in zip(at, at[1:])]
-        return [pa.array(got, pa.list_(pa.int32()))]
+        got = [features(shape[a:b], own[a:b]).astype(np.int32).tobytes() for a, b in zip(at, at[1:])]
+        return [pa.array(got, pa.binary())]
 
-    got = append_columns(marked, make, [T.StructField("f", T.ArrayType(T.IntegerType()))])
+    got = append_columns(marked, make, [T.StructField("f", T.BinaryType())])  # four bytes a feature on the driver
     one = cut_lineage(got.groupBy("doc_id", "quality").agg(F.min("f").alias("f")))
-    upto = F.sum(F.size("f")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # `rows` rows at most
+    upto = F.sum(F.octet_length("f") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # `rows` rows at most
     rows = one.join(one.select("doc_id", upto.alias("upto")), "doc_id").filter(F.col("upto") <= FEATURES).select(
         "doc_id", "quality", "f").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["f"]))
-    return [(np.array(r["f"], np.int32), r["quality"]) for r in rows]
+    rows.sort(key=lambda r: r["doc_id"])
+    return [(np.frombuffer(r["f"], np.int32), r["quality"]) for r in rows]
 
 
 def descend(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, c: float = 0.1, epochs: int = 20,
