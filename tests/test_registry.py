@@ -52,7 +52,7 @@ def test_contract():
     # operators are covered by their own tests.
     own = {n for n in q if not re.match(r"op\d+_|pipeline$", n)}
     assert own - set(o) == {
-        "bootstrap_ci", "bootstrap_area_ci", "paired_bootstrap", "lr_scores", "rf_scores", "gbt_scores",
+        "bootstrap_ci", "paired_bootstrap", "lr_scores", "rf_scores", "gbt_scores",
         "baseline_metrics", "transfer_scores", "multisource_scores", "prediction_sidecar", "calibrated_platt", "file_manifest", "table_fingerprint"}
 
 
