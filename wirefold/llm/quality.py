@@ -28,7 +28,7 @@ from wirefold.llm.text_map import append_columns
 from wirefold.session import cut_lineage
 
 BITS = 18
-ROWS, FEATURES = 12_000, 16_000_000
+ROWS, FEATURES = 12_000, 4_000_000
 THRESHOLD = 0.7
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = ord("a")
@@ -101,9 +101,9 @@ def fit_rows(docs: DataFrame, sample: DataFrame) -> list[tuple[np.ndarray, int]]
 
     got = append_columns(marked, make, [T.StructField("f", T.BinaryType())])  # four bytes a feature on the driver
     one = cut_lineage(got.groupBy("doc_id", "quality").agg(F.min("f").alias("f")))
-    upto = F.sum(F.octet_length("f") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # `rows` rows at most
-    rows = one.join(one.select("doc_id", upto.alias("upto")), "doc_id").filter(F.col("upto") <= FEATURES).select(
-        "doc_id", "quality", "f").collect()
+    upto = F.sum(F.octet_length("f") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # `rows` ids at most
+    chosen = one.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= FEATURES).select("doc_id")
+    rows = one.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "f").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [(np.frombuffer(r["f"], np.int32), r["quality"]) for r in rows]
 
