@@ -1,5 +1,7 @@
 """Thresholds, curves, distances and ordering helpers against direct definitions."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from wirefold.operators import bootstrap as bs
 from wirefold.operators import drift as dr
 from wirefold.operators import ordering as od
+from wirefold.operators import redraw as rd
 from wirefold.operators import thresholds as th
 
 
@@ -148,3 +151,27 @@ def test_seed_stability_uses_sample_deviation(spark):
     t = spark.createDataFrame([("m", 0.684), ("m", 0.444), ("m", 0.805)], "method string, f1 double")
     r = bs.seed_stability(t, ["method"], ["f1"]).first()
     assert round(r.std_f1, 4) == 0.1837 and r.stability == "not_citable"
+
+
+def test_hashed_redraw_weighs_every_row(spark):
+    """Each row has its own weight in each replicate: the md5 of 'replicate:id', row by row."""
+    rows = [(None if i % 7 == 0 else "ab"[i % 2], [i * 37, 10 ** 12 + i, -i, 5, None][i % 5], i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, id long, hit boolean")
+    cells = {"hit": F.col("hit"), "miss": ~F.col("hit"), "none": F.lit(None).cast("boolean")}
+
+    def weight(replicate, i):
+        if i is None:
+            return len(rd.POISSON_CDF)
+        u = int(hashlib.md5(f"{replicate}:{i}".encode()).hexdigest()[:8], 16) / 2 ** 32
+        return sum(u >= v for v in rd.POISSON_CDF)
+
+    want = {}
+    for g, i, hit in rows:
+        for k in range(120):
+            pair = want.setdefault((g, k), [0, 0])
+            pair[0 if hit else 1] += weight(k, i)
+    got = bs.hashed_counts(df, ["g"], "id", cells, 120).collect()
+    assert {(r.g, r.replicate): [r.hit, r.miss] for r in got} == want
+    assert all(r.none == 0 for r in got) and len(got) == len(want)
+    total = bs.hashed_counts(df, [], "id", cells, 120).agg(F.sum("hit"), F.sum("miss")).first()
+    assert list(total) == [sum(p[j] for p in want.values()) for j in (0, 1)]

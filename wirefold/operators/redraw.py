@@ -1,7 +1,11 @@
-"""Poisson weights for bootstraps, drawn from (group, cell, replicate) by arithmetic that any SQL engine can repeat.
+"""Poisson weights for bootstraps, drawn by arithmetic that any SQL engine can repeat.
 
-A cell of n equal rows gets the weight that n rows would get together, a Poisson(n) number, from one draw. The draw is a
-cubic polynomial modulo a prime, so it needs no state: every task, and every engine, draws the same weights.
+By cell: a cell of n equal rows gets the weight that n rows would get together, a Poisson(n) number, from one draw of
+(group, cell, replicate). The draw is a cubic polynomial modulo a prime, so it needs no state: every task, and every engine,
+draws the same weights.
+
+By row: every row gets a Poisson(1) weight of its own from the md5 of 'replicate:row'. The digests of a batch of rows are
+taken at once, as the steps of RFC 1321 on arrays.
 """
 
 from __future__ import annotations
@@ -92,3 +96,85 @@ def poisson(n: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 def weights(group: int, cells: np.ndarray, n: np.ndarray, replicates: np.ndarray) -> np.ndarray:
     return poisson(n, uniforms(group, cells.astype(np.int64), replicates.astype(np.int64)))
+
+
+# Cumulative Poisson(1) probabilities e^-1 * sum 1/k!, k = 0..8; nine draws at most matter at 32 bits.
+POISSON_CDF = [
+    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974021]
+_CUTS = [np.uint32(np.ceil(v * 2.0 ** 32)) for v in POISSON_CDF]
+# RFC 1321.
+_MD5_START = (0x67452301, 0xefcdab89, 0x98badcfe, 0x10325476)
+_MD5_ADD = [int(abs(np.sin(i + 1.0)) * 2.0 ** 32) for i in range(64)]
+_MD5_TURN = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_MD5_WORD = (lambda i: i, lambda i: (5 * i + 1) % 16, lambda i: (3 * i + 5) % 16, lambda i: 7 * i % 16)
+
+
+def md5_heads(words: list) -> np.ndarray:
+    """The first 8 hex digits, as numbers, of the md5 of one-block messages, given as 16 words: each an array, with one entry
+    a message, or a number that all messages share. The steps after the 61st do not touch these digits."""
+    shape = next(w.shape for w in words if isinstance(w, np.ndarray))
+    a, b, c, d = (np.full(shape, v, np.uint32) for v in _MD5_START)
+    f = np.empty(shape, np.uint32)
+    for i in range(61):
+        turn, word = _MD5_TURN[i // 16][i % 4], words[_MD5_WORD[i // 16](i)]
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        a += f
+        if isinstance(word, np.ndarray):
+            a += word
+            a += np.uint32(_MD5_ADD[i])
+        else:
+            a += np.uint32((_MD5_ADD[i] + word) % 2 ** 32)
+        np.left_shift(a, np.uint32(turn), out=f)
+        a >>= np.uint32(32 - turn)
+        a |= f
+        a += b
+        a, b, c, d = d, a, b, c
+    b += np.uint32(_MD5_START[0])
+    return b.byteswap()
+
+
+AT_ONCE = 1 << 14  # digests per call: arrays that stay in a core's cache
+
+
+def row_weights(rows: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights, one line a replicate and one column a row number, from the md5 of 'replicate:row'."""
+    out = np.empty((len(replicates), len(rows)), np.float32)
+    text = np.asarray(rows, np.int64).astype("S20")
+    digits, size = text.view(np.uint8).reshape(len(rows), -1), np.char.str_len(text)
+    heads = np.char.add(np.asarray(replicates, np.int64).astype("S20"), b":")
+    front = np.zeros((len(heads), 64), np.uint8)
+    front[:, :heads.itemsize] = heads.view(np.uint8).reshape(len(heads), -1)
+    front, before = front.view("<u4"), np.char.str_len(heads)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        for m in np.unique(before):
+            block = np.zeros((len(at), 64), np.uint8)
+            block[:, m:m + n] = digits[at, :n]
+            block[:, m + n] = 0x80
+            block[:, 56:] = np.frombuffer(int(8 * (m + n)).to_bytes(8, "little"), np.uint8)
+            block, same = block.view("<u4"), np.flatnonzero(before == m)
+            step = max(AT_ONCE // len(at), 1)
+            for a in range(0, len(same), step):
+                reps = same[a:a + step]
+                words = [front[reps, i][:, None] | block[:, i] if i * 4 < m + n + 1 else int(block[0, i]) for i in range(16)]
+                drawn = md5_heads(words)
+                w = np.zeros(drawn.shape, np.uint8)
+                for cut in _CUTS:
+                    w += drawn >= cut
+                out[np.ix_(reps, at)] = w
+    return out

@@ -12,22 +12,32 @@ from wirefold.operators import thresholds as th
 from wirefold.plans.fixtures import table
 from wirefold.registry import oracle as o
 from wirefold.registry.threshold_queries import BY, conf, rates_sql, rnd, scores
+from wirefold.session import cut_lineage
 
 REPS = 1000
 
 
+METHODS = ("lr", "rf", "xgb")
+
+
 def bootstrap_hashed(spark, sf):
-    """Confusion counts redrawn by arithmetic that SQL repeats."""
-    c = th.confusion(scores(spark, sf), ["method"], th.predicted("y_score", F.lit(0.5)))
-    reps = th.rates(bs.hashed_counts(c, ["method"], ["tp", "fp", "fn", "tn"], REPS))
-    return rnd(bs.interval(reps, ["method"], "f1"), ["f1_lo", "f1_hi"])
+    """Replicates drawn by row hash: every weight can be recomputed in SQL. A row's weights serve all methods."""
+    cells = {(m, n): c for m in METHODS for n, c in bs.confusion_cells(th.predicted(f"s_{m}", F.lit(0.5))).items()}
+    wide = bs.hashed_counts(table(spark, sf, "scores"), [], "event_id", {f"{m}_{n}": c for (m, n), c in cells.items()}, REPS)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), *[F.col(f"{m}_{n}").alias(n) for k, n in cells if k == m])
+                               for m in METHODS])).alias("_m")
+    reps = th.rates(wide.select("replicate", each).select("replicate", "_m.*"))
+    # Cuts, cells and sizes of the percentiles all read the replicates, and a replicate reads every row.
+    return rnd(bs.interval(cut_lineage(reps), ["method"], "f1"), ["f1_lo", "f1_hi"])
 
 
 def paired_bootstrap_hashed(spark, sf):
+    """Paired delta by the row hash of `bootstrap_hashed`: both methods get the same rows in a replicate."""
     w = table(spark, sf, "scores")
-    joint = bs.joint_counts(w, ["domain"], th.predicted("s_lr", F.lit(0.5)), th.predicted("s_rf", F.lit(0.5)))
-    reps = bs.f1_delta(bs.hashed_counts(joint, ["domain"], bs.JOINT, REPS))
-    return rnd(bs.summarise_delta(bs.f1_delta(joint), reps, ["domain"]), ["point_delta", "delta_lo", "delta_hi", "p_value_raw"])
+    a, b = th.predicted("s_lr", F.lit(0.5)), th.predicted("s_rf", F.lit(0.5))
+    reps = cut_lineage(bs.f1_delta(bs.hashed_counts(w, ["domain"], "event_id", bs.joint_cells(a, b), REPS)))
+    point = bs.f1_delta(bs.joint_counts(w, ["domain"], a, b))
+    return rnd(bs.summarise_delta(point, reps, ["domain"]), ["point_delta", "delta_lo", "delta_hi", "p_value_raw"])
 
 
 def bootstrap_ci(spark, sf):
@@ -146,6 +156,14 @@ QUERIES = {f.__name__: f for f in (
     threshold_portability, multisource_gain, source_share, ci_lookup)}
 
 _LS, _SC = ["long_scores"], ["scores"]
+_CDF = " ".join(f"when u < {v!r}::double then {k}" for k, v in enumerate(rd.POISSON_CDF))
+
+
+def _weights(src: str, keep: str) -> str:
+    """A weight `w` for every row of `src` in every replicate, as `wt`."""
+    return f"""wt as (select {keep}, replicate, case {_CDF} else {len(rd.POISSON_CDF)} end as w from (select {keep}, replicate,
+      ('0x' || substr(md5(replicate || ':' || event_id), 1, 8))::bigint / 4294967296.0::double as u
+      from {src}, (select range as replicate from range(0, {REPS}))))"""
 
 
 def _horner(coefficients, x: str) -> str:
@@ -197,13 +215,10 @@ _PIV = ", ".join(f"round(max({{c}}) filter (target = '{t}'), 6) as {t}" for t in
 ORACLE = {
     "bootstrap_hashed": o.sql(_LS, """select method, round(quantile_cont(f1, 0.025), 6) as f1_lo,
         round(quantile_cont(f1, 0.975), 6) as f1_hi from (select method, replicate,
-          coalesce(2.0::double * sum(w) filter (name = 'tp') / nullif(2 * sum(case when name = 'tp' then w else 0 end)
-            + sum(case when name in ('fp', 'fn') then w else 0 end), 0), 0) as f1 from wt group by 1, 2) group by 1""",
-                              f"cnt as (select method, {conf('y_score >= 0.5')} from long_scores group by 1)",
-                              f"""src as (select method, {_group_no('method')} as group_no, name, 2 * i as cell_no, n from (
-          select method, 'tp' as name, 1 as i, tp as n from cnt union all select method, 'fp', 2, fp from cnt
-          union all select method, 'fn', 3, fn from cnt union all select method, 'tn', 4, tn from cnt))""",
-                              draws_sql("src", "method, name")),
+          coalesce(2.0::double * sum(w) filter (p and y_true = 1) / nullif(2 * sum(case when p and y_true = 1 then w else 0 end)
+            + sum(case when p and y_true = 0 or not p and y_true = 1 then w else 0 end), 0), 0) as f1 from wt group by 1, 2) group by 1""",
+                              "ls as (select *, y_score >= 0.5 as p from long_scores)",
+                              _weights("ls", "method, p, y_true")),
     "paired_bootstrap_hashed": o.sql(_SC, """select domain, round(pd, 6) as point_delta, round(lo, 6) as delta_lo,
         round(hi, 6) as delta_hi, round(least(2 * least(below, above), 1), 6) as p_value_raw, lo > 0 or hi < 0 as significant,
         pd >= lo and pd <= hi as delta_in_interval from (select domain, quantile_cont(d, 0.025) as lo,
@@ -211,9 +226,7 @@ ORACLE = {
         join (select domain, 2.0::double * count(*) filter (a and y_true = 1) / (count(*) filter (a) + count(*) filter (y_true = 1))
           - 2.0::double * count(*) filter (b and y_true = 1) / (count(*) filter (b) + count(*) filter (y_true = 1)) as pd
           from ws group by 1) using (domain)""", "ws as (select *, s_lr >= 0.5 as a, s_rf >= 0.5 as b from scores)",
-                                     f"""src as (select domain, a, b, y_true, {_group_no('domain')} as group_no,
-          2 * (1 + y_true * 4 + a::int * 2 + b::int) as cell_no, count(*) as n from ws group by all)""",
-                                     draws_sql("src", "domain, a, b, y_true"),
+                                     _weights("(select * from ws where a is not null and b is not null)", "domain, a, b, y_true"),
                                      """rp as (select domain, replicate,
           coalesce(2.0::double * sum(w) filter (a and y_true = 1) / (sum(case when a then w else 0 end) + sum(case when y_true = 1 then w else 0 end)), 0)
           - coalesce(2.0::double * sum(w) filter (b and y_true = 1) / (sum(case when b then w else 0 end) + sum(case when y_true = 1 then w else 0 end)), 0) as d
