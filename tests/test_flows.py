@@ -121,3 +121,20 @@ def test_swap_direction_keeps_keys(spark, sf):
     k = ["pcap_file", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "start_us", "packet_count_total"]
     a, b = (fl.build_flows(x, IDLE_S, ACTIVE_S).select(*k) for x in (p, q))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_maps_of_short_chunks_stay_within_the_packets(spark, monkeypatch):
+    """Chunks much shorter than the active timeout: maps held at one level have no more edges than there are packets."""
+    rng, edges, cut = random.Random(7), [], fl.cut_lineage
+
+    def watched(df):
+        out = cut(df)
+        if "edge" in out.columns:
+            edges.append(out.agg(F.sum(F.size("edge"))).first()[0])
+        return out
+
+    df = one_key(spark, sorted(rng.uniform(0, 600) for _ in range(3000))).cache()
+    want = starts(fl.build_flows(df, hot_rows=None))
+    monkeypatch.setattr(fl, "cut_lineage", watched)
+    assert starts(fl.build_flows(df, hot_rows=20)) == want
+    assert edges and max(edges) <= 3000

@@ -8,7 +8,7 @@ sorting, totals - stays in Spark SQL, and flow totals are a partial-then-final a
 
 Hot keys. A key with more than `hot_rows` packets is cut into chunks of about `hot_rows` packets in time order. What
 a chunk needs from the past is one number, the start of the flow still open at its left edge. Each chunk publishes
-how it maps that number to the one at its right edge; the maps are combined pairwise in log2(chunks) joins; then all
+how it maps that number to the one at its right edge; the maps combine in a tree, down which the numbers come; then all
 chunks fold in parallel. Parts of a flow that crosses chunks share its start and meet in the final aggregate.
 """
 
@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wirefold.functions.columns import micros_to_seconds
 from wirefold.operators.ordering import numbered
@@ -254,61 +255,92 @@ def _bucket(bucket_us: int):
     return F.floor(F.col("ts_us") / bucket_us).cast("bigint").alias("_tb")
 
 
+FAN = 8  # maps combined per task call
+
+
+def _rows(table: pa.Table) -> Iterator[tuple]:
+    """(last_ts, fixed, out, edge, val) of neighbouring maps in time order."""
+    table = table.combine_chunks()
+    last, fixed, out = (table.column(c).to_pylist() for c in ("last_ts", "fixed", "out"))
+    edge, val = table.column("edge"), table.column("val")
+    for i in range(table.num_rows):
+        yield last[i], fixed[i], out[i], edge[i].values.to_numpy(), val[i].values.to_numpy()
+
+
+def _through(row: tuple, start: int, active: int) -> int:
+    """The start at a map's right edge, for the start of the flow open at its left edge."""
+    last, fixed, out, edge, val = row
+    return out if fixed else int(_apply_map(np.array([start]), active, last, edge, val)[0])
+
+
+def _combine(active: int, schema: pa.Schema):
+    """Maps of neighbours to the one map of them all."""
+
+    def run(key, table):
+        table = table.sort_by("_i")
+        fixed, out, first, last = False, 0, table.column("first_ts")[0].as_py(), 0
+        edge = val = np.array([], np.int64)
+        for row in _rows(table):
+            last, _, _, ea, va = row
+            if fixed or row[1]:
+                fixed, out = True, _through(row, out, active)
+                continue
+            e = np.concatenate((edge, ea))
+            v = np.concatenate((_apply_map(val, active, last, ea, va), va))
+            m = int(np.searchsorted(e, first + active, side="right")) + 1
+            edge, val = _squeeze(e[:m], v[:m])
+        if fixed:
+            edge = val = np.array([], np.int64)
+        return pa.table([[x] for x in (*(k.as_py() for k in key), first, last, fixed, out, edge, val)], schema=schema)
+
+    return run
+
+
+def _spread(active: int, schema: pa.Schema):
+    """Neighbours, with the start at the left edge of the first, to the start at the left edge of each."""
+
+    def run(key, table):
+        table = table.sort_by("_i")
+        at = [table.column("carry_start")[0].as_py()]
+        for row in _rows(table.slice(0, table.num_rows - 1)):
+            at.append(_through(row, at[-1], active))
+        return pa.table([*(table.column(c) for c in (*KEY, "_i")), pa.array(at, pa.int64())], schema=schema)
+
+    return run
+
+
 def _carry(hot_packets: DataFrame, idle: int, active: int) -> DataFrame:
-    """Per chunk of a hot key: start of the flow open at its left edge and the time of the packet before it."""
+    """Per chunk of a hot key: start of the flow open at its left edge and the time of the packet before it.
+
+    Maps combine upwards in a tree of FAN branches, and the starts come down it. A map has at most one edge per packet time
+    of one active timeout, and a level at most as many edges as there are packets, so neither a task call nor a level
+    holds more however short the chunks are.
+    """
     cols = [*KEY, CHUNK]
-    maps = (hot_packets.select(*cols, "ts_us").repartition(*cols).sortWithinPartitions(*cols, "ts_us")
-            .mapInArrow(_map_chunks(idle, active), MAP_SCHEMA))
+    maps = cut_lineage(hot_packets.select(*cols, "ts_us").repartition(*cols).sortWithinPartitions(*cols, "ts_us")
+                       .mapInArrow(_map_chunks(idle, active), MAP_SCHEMA))
     w = Window.partitionBy(*KEY).orderBy(CHUNK)
-    prev_last = F.lag("last_ts").over(w)
-    cur = (maps.withColumn("_i", F.row_number().over(w)).withColumn("_prev_last", prev_last)
-           .withColumn("_joined", F.coalesce(F.col("first_ts") - F.col("_prev_last") <= idle, F.lit(False)))
-           .withColumn("const_out", F.when(F.col("_joined"), F.col("const_out"))
-                       .otherwise(F.coalesce("const_out", "fresh_out"))))
-    cur = cut_lineage(cur)
-
-    def combine(batches):
-        # One row per pending chunk: its own map applied after the map (or fixed value) of the chunks before it.
-        for pdf in batches:
-            const, edges, vals, firsts = [], [], [], []
-            for r in pdf.itertuples(index=False):
-                ea, va = np.asarray(r.edge, dtype=np.int64), np.asarray(r.val, dtype=np.int64)
-                if r.b_is_const:
-                    one = _apply_map(np.array([r.b_const], dtype=np.int64), active, r.last_ts, ea, va)
-                    const.append(int(one[0]))
-                    edges.append([])
-                    vals.append([])
-                else:
-                    eb, vb = np.asarray(r.b_edge, dtype=np.int64), np.asarray(r.b_val, dtype=np.int64)
-                    e = np.concatenate((eb, ea))
-                    v = np.concatenate((_apply_map(vb, active, r.last_ts, ea, va), va))
-                    m = int(np.searchsorted(e, r.b_first + active, side="right")) + 1
-                    e, v = _squeeze(e[:m], v[:m])
-                    const.append(None)
-                    edges.append(e.tolist())
-                    vals.append(v.tolist())
-                firsts.append(r.b_first)
-            out = pdf[[*KEY, CHUNK, "_i", "last_ts"]].copy()
-            out["first_ts"] = firsts
-            out["const_out"] = const
-            out["const_out"] = out["const_out"].astype("Int64")
-            out["edge"], out["val"] = edges, vals
-            yield out
-
-    step_cols = [*KEY, CHUNK, "_i", "last_ts", "first_ts", "const_out", "edge", "val"]
-    step_schema = T.StructType([cur.schema[c] for c in step_cols])
-    state, k = cur.select(*step_cols), 1
-    while state.where("const_out is null").limit(1).count():
-        b = state.select(*KEY, (F.col("_i") + k).alias("_i"), F.col("const_out").isNotNull().alias("b_is_const"),
-                         F.coalesce("const_out", F.lit(0)).alias("b_const"), F.col("first_ts").alias("b_first"),
-                         F.col("edge").alias("b_edge"), F.col("val").alias("b_val"))
-        pend = state.where("const_out is null").join(b, [*KEY, "_i"])
-        state = cut_lineage(state.where("const_out is not null").unionByName(
-            pend.mapInPandas(combine, step_schema)))
-        k *= 2
-    prior = state.select(*KEY, (F.col("_i") + 1).alias("_i"), F.col("const_out").alias("carry_start"))
-    return (cur.where("_joined").select(*KEY, CHUNK, "_i", F.col("_prev_last").alias("carry_last"))
-            .join(prior, [*KEY, "_i"]).select(*KEY, CHUNK, "carry_start", "carry_last"))
+    places = (maps.select(*cols, "first_ts", "last_ts").withColumn("_i", F.row_number().over(w).cast("bigint") - 1)
+              .withColumn("_prev_last", F.lag("last_ts").over(w))
+              .withColumn("_joined", F.coalesce(F.col("first_ts") - F.col("_prev_last") <= idle, F.lit(False))))
+    places = cut_lineage(places.select(*cols, "_i", "_prev_last", "_joined"))
+    out = F.when(F.col("_joined"), F.col("const_out")).otherwise(F.coalesce("const_out", "fresh_out"))
+    level = (maps.join(places, cols).withColumn("_out", out).withColumn("fixed", F.col("_out").isNotNull())
+             .select(*KEY, "_i", "first_ts", "last_ts", "fixed", F.coalesce("_out", F.lit(0)).alias("out"), "edge", "val"))
+    levels = [cut_lineage(level)]
+    block = F.floor(F.col("_i") / FAN).cast("bigint")
+    while levels[-1].where("_i > 0").limit(1).count():
+        up = levels[-1].withColumn("_up", block).groupBy(*KEY, "_up").applyInArrow(
+            _combine(active, to_arrow_schema(levels[0].schema)), levels[0].schema)
+        levels.append(cut_lineage(up))
+    # The first chunk of a key is joined to none before it, so the start that it gets is never read.
+    carry = levels.pop().select(*KEY, "_i", F.lit(0).cast("bigint").alias("carry_start"))
+    at = carry.schema
+    for level in reversed(levels):
+        below = level.withColumn("_up", block).join(carry.withColumnRenamed("_i", "_up"), [*KEY, "_up"])
+        carry = cut_lineage(below.groupBy(*KEY, "_up").applyInArrow(_spread(active, to_arrow_schema(at)), at))
+    return (places.where("_joined").select(*KEY, CHUNK, "_i", F.col("_prev_last").alias("carry_last"))
+            .join(carry, [*KEY, "_i"]).select(*KEY, CHUNK, "carry_start", "carry_last"))
 
 
 def _sorted_runs(packets: DataFrame, idle_s: float, active_s: float, hot_rows: int | None,
