@@ -175,3 +175,12 @@ def test_hashed_redraw_weighs_every_row(spark):
     assert all(r.none == 0 for r in got) and len(got) == len(want)
     total = bs.hashed_counts(df, [], "id", cells, 120).agg(F.sum("hit"), F.sum("miss")).first()
     assert list(total) == [sum(p[j] for p in want.values()) for j in (0, 1)]
+
+
+def test_no_join_by_group_alone(spark):
+    """Totals of a group come with its bucket totals: the cells of a group are never brought together by the group."""
+    df = spark.createDataFrame([(g, float(v % 13), v % 3 == 0) for g in "ab" for v in range(90)], "g string, v double, s boolean")
+    for out in (dr.distances(df, ["g"], "v", F.col("s")), od.percentiles(df, ["g"], "v", {"m": 0.5})):
+        joins = [ln for ln in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in ln]
+        assert len(joins) == 1 and "_bucket" in joins[0]
+        assert {r.g for r in out.collect()} == {"a", "b"}

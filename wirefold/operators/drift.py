@@ -27,9 +27,8 @@ def distances(df: DataFrame, by: list[str], value: str, in_source) -> DataFrame:
     """
     src = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double")).withColumn("_src", in_source)
     cells = src.groupBy(*by, "_v").agg(F.count_if("_src").alias("a"), F.count_if(~F.col("_src")).alias("b"))
-    run = running_totals(cells, by, "_v", ["a", "b"], cuts=depth_cuts(src, "_v"), next_out="_next")
-    n = cells.groupBy(*by).agg(F.sum("a").alias("n_source"), F.sum("b").alias("n_target"))
-    j = run.join(n, by)
+    run = running_totals(cells, by, "_v", ["a", "b"], cuts=depth_cuts(src, "_v"), next_out="_next", totals=True)
+    j = run.withColumnsRenamed({"all_a": "n_source", "all_b": "n_target"})
     diff = F.abs(F.try_divide(F.col("cum_a"), F.col("n_source")) - F.try_divide(F.col("cum_b"), F.col("n_target")))
     return (j.withColumn("_d", diff).groupBy(*by, "n_source", "n_target")
             .agg(F.max("_d").alias("ks"), F.sum(F.col("_d") * (F.col("_next") - F.col("_v"))).alias("w1"))

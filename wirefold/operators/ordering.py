@@ -59,22 +59,25 @@ def with_bucket(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
 
 def _offsets(df: DataFrame, groups: list[str], sums: list[str], descending: bool,
              value: str | None = None) -> DataFrame:
-    """Per (groups, bucket): sums over the buckets before it and, for `value`, the next non-empty bucket's first."""
+    """Per (groups, bucket): sums over the buckets before it, sums over the group and, for `value`, the next non-empty
+    bucket's first."""
     order = F.desc(BUCKET) if descending else F.asc(BUCKET)
     firsts = [F.min(value).alias("_first")] if value else []
     totals = df.groupBy(*groups, BUCKET).agg(*[F.sum(s).alias(s) for s in sums], *firsts)
     w = Window.partitionBy(*groups).orderBy(order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(*groups, BUCKET, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
+                         *[F.sum(s).over(Window.partitionBy(*groups)).alias(f"_all_{s}") for s in sums],
                          *([F.lead("_first").over(w).alias("_after")] if value else []))
 
 
 def running_totals(cells: DataFrame, groups: list[str], value: str, sums: list[str], *,
                    cuts: list[float] | None = None, descending: bool = False,
-                   next_out: str | None = None) -> DataFrame:
+                   next_out: str | None = None, totals: bool = False) -> DataFrame:
     """Inclusive running sums `cum_<s>` over `value` within `groups`; `cells` has one row per (groups, value).
 
-    `next_out` adds the next larger value (ascending order only; NULL for the largest).
+    `next_out` adds the next larger value (ascending order only; NULL for the largest). `totals` adds the group's sums
+    `all_<s>`, which come with the bucket totals: a join by group would bring all cells of a group to one task.
     """
     cuts = depth_cuts(cells, value) if cuts is None else cuts
     b = with_bucket(cells, value, cuts)
@@ -84,8 +87,9 @@ def running_totals(cells: DataFrame, groups: list[str], value: str, sums: list[s
     local = b.select("*", *[F.sum(s).over(upto).alias(f"_loc_{s}") for s in sums], *lead)
     out = local.join(_offsets(b, groups, sums, descending, value if next_out else None), [*groups, BUCKET])
     nxt = [F.coalesce("_next", "_after").alias(next_out)] if next_out else []
+    both = [F.col(f"_all_{s}").alias(f"all_{s}") for s in sums] if totals else []
     return out.select(*cells.columns, *[(F.col(f"_loc_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
-                      *nxt)
+                      *nxt, *both)
 
 
 def numbered(df: DataFrame, groups: list[str], first: str, ties: list[str], out: str,
@@ -106,7 +110,7 @@ def numbered(df: DataFrame, groups: list[str], first: str, ties: list[str], out:
     w = Window.partitionBy(*groups, BUCKET).orderBy(first, *ties)
     local = b.withColumn("_rn", F.row_number().over(w))
     return (local.join(_offsets(b, groups, ["_one"], False), [*groups, BUCKET])
-            .withColumn(out, F.col("_rn") + F.col("_off__one")).drop("_rn", "_one", "_off__one", BUCKET))
+            .withColumn(out, F.col("_rn") + F.col("_off__one")).drop("_rn", "_one", "_off__one", "_all__one", BUCKET))
 
 
 TIE_SAMPLE = 20  # rows sampled per cut
@@ -141,9 +145,7 @@ def percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, f
     src = df.where(F.col(value).isNotNull())
     cells = src.groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     cuts = depth_cuts(src.select(F.col(value).cast("double").alias("_v")), "_v")
-    ranked = running_totals(cells, groups, "_v", ["_n"], cuts=cuts)
-    sizes = cells.groupBy(*groups).agg(F.sum("_n").alias("_size"))
-    r = ranked.join(sizes, groups)
+    r = running_totals(cells, groups, "_v", ["_n"], cuts=cuts, totals=True).withColumnRenamed("all__n", "_size")
     aggs, cols = [], []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_size") - 1)
