@@ -1,13 +1,17 @@
 """Streaming results against batch on ordered, shuffled and late input."""
 
+import glob
+import os
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from wirefold.operators import alerts as al
 from wirefold.operators import flows as fl
+from wirefold.registry import stream_queries
 from wirefold.streaming import flows as st
 from wirefold.streaming import run as rn
 from wirefold.streaming import windows as sw
@@ -238,3 +242,21 @@ def test_session_window_gap_is_strict(spark):
     got = sorted((r.start_us, r.packet_count_total) for r in
                  sw.session_flows(df.withColumn("ts", F.timestamp_micros("ts_us"))).collect())
     assert got == [(0, 2), (120 * S + 1, 1)]
+
+
+def test_tasks_share_an_arrival_file(spark, tmp_path, monkeypatch):
+    """One file per arrival, in order of time, each in row groups that tasks can share; no row is lost."""
+    (spark.range(60_000).selectExpr(
+        "id as event_id", "timestamp_micros(1704067200000000 + id * 21600000 + id % 7) as ts", "id % 5 as user_id",
+        "'view' as event_type", "rand(1) as value", "concat('{\"k\":', id, '}') as props")
+     .coalesce(1).write.parquet(str(tmp_path / "events.parquet")))
+    monkeypatch.setattr(stream_queries, "ROW_GROUP_BYTES", 1 << 17, raising=False)
+    folder, real = [], stream_queries.scratch_path
+    monkeypatch.setattr(stream_queries, "scratch_path", lambda s, n: folder.append(real(s, n)) or folder[-1])
+    stream_queries._arrivals(spark, str(tmp_path))
+    files = sorted(glob.glob(folder[0].removeprefix("file:") + "/*.parquet"), key=os.path.getmtime)
+    first = [spark.read.parquet(f).where("event_id % 50 <> 7").agg(F.min("event_id")).first()[0] for f in files]
+    rows = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in rows) == 60_000
+    assert [i for i in first if i is not None] == sorted(i for i in first if i is not None)
+    assert len(files) == 5 and all(m.num_row_groups > 2 for m in rows if m.num_rows > 15_000)

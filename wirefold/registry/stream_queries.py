@@ -13,7 +13,7 @@ from wirefold.registry.flow_queries import IDENT, TOTALS, flows_of
 from wirefold.registry.flow_queries import ORACLE as _FLOW_ORACLE
 from wirefold.registry.join_queries import OFFSET_S, TOL_S
 from wirefold.registry.join_queries import ORACLE as _JOIN_ORACLE
-from wirefold.session import cut_lineage, scratch_path
+from wirefold.session import scratch_path
 from wirefold.streaming import flows as st
 from wirefold.streaming import run as rn
 from wirefold.streaming import windows as sw
@@ -22,6 +22,7 @@ DELAY_S = 10
 METHODS = ("lr", "rf", "xgb")
 RATE_BY = ["domain", "method"]
 START_US, SLICE_US = 1_704_067_200_000_000, 432_000_000_000  # arrival files: slices of five days
+ROW_GROUP_BYTES = 4 << 20  # as much as Spark reads at least per task
 
 
 def _typed(base, name):
@@ -58,16 +59,21 @@ def stream_progress(spark, sf):
 
 
 def _arrivals(spark, sf):
-    """The events in files by arrival: every slice of time one file, every 50th event two files late."""
-    path = scratch_path(spark, "arrivals")
+    """The events in files by arrival: every slice of time one file, every 50th event two files late.
+
+    A micro-batch is one file, so its row groups are small: tasks share them. The slices are parted in one pass beforehand.
+    """
+    path, parted = scratch_path(spark, "arrivals"), scratch_path(spark, "arrivals-parted")
     ev = table(spark, sf, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     at = F.floor((us - START_US) / SLICE_US) + F.when(F.col("event_id") % 50 == 7, 2).otherwise(0)
-    ev = cut_lineage(ev.withColumn("arrival", at))
-    for i in [r[0] for r in ev.select("arrival").distinct().orderBy("arrival").collect()]:
-        ev.where(F.col("arrival") == i).drop("arrival").coalesce(1).write.mode("append").parquet(path)
+    ev.withColumn("arrival", at).write.partitionBy("arrival").parquet(parted)
+    slices = spark.read.schema(ev.withColumn("arrival", at).schema).parquet(parted)
+    for i in [r[0] for r in slices.select("arrival").distinct().orderBy("arrival").collect()]:
+        one = slices.where(F.col("arrival") == i).drop("arrival").coalesce(1)
+        one.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         time.sleep(0.02)  # the file source takes files in the order of their times
-    return spark.readStream.schema(ev.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _late_run(spark, sf):
