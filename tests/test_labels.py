@@ -36,6 +36,21 @@ def by_port(df, col):
     return {r.start_us: r[col] for r in df.collect()}
 
 
+def test_the_lookup_counts_rows_before_it_compares_text(spark):
+    rows = [("a", 1, "b", 2, 6, "BENIGN", 0)] * 300 + [("b", 2, "a", 1, 6, " BENIGN", 0)] * 200 + [
+        (None, 1, "b", 2, 6, "BENIGN", 0), ("a", 1, "b", 2, None, "BENIGN", 0), ("a", 1, "b", 2, 6, None, 0)]
+    out = lb.label_lookup(spark.createDataFrame(rows, REF))
+    assert [(r.label, r.ambiguous, r.n_label_rows) for r in out.collect()] == [("BENIGN", False, 500)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and plan.index("min(") < plan.rindex("Aggregate") < plan.rindex("count(1)")
+
+
+def test_the_join_meets_a_stored_lookup(tables):
+    flows, ref, mapping = tables
+    plan = lb.align_labels(flows, ref, mapping, "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(" not in plan and "source_ip" not in plan
+
+
 def test_outcomes(tables):
     out = lb.align_labels(*tables, "d").cache()
     assert by_port(out, "label_match_method") == {

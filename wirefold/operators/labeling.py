@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wirefold.functions import rules
 from wirefold.functions.columns import (
     blank_to_null, endpoint_high, endpoint_low, normalise_label, percent)
+from wirefold.session import cut_lineage
 
 LABEL_ENDPOINTS = ("source_ip", "source_port", "destination_ip", "destination_port")
 FLOW_ENDPOINTS = ("src_ip", "src_port", "dst_ip", "dst_port")
@@ -28,15 +29,18 @@ def with_canonical(df: DataFrame, endpoints=FLOW_ENDPOINTS, protocol: str = "pro
 def label_lookup(label_ref: DataFrame, compat_raw_conflict: bool = False) -> DataFrame:
     """One row per canonical key: its label when all rows agree, else ambiguous.
 
-    Only min, max and counts are kept per key, so a key with very many rows combines map-side to one row per task.
+    Rows with the same endpoints and label reduce to one first, by a count, which is hashed; the least and greatest text
+    sort what they get, and normalising is dear, so both meet distinct rows only. Either step combines map-side.
     Labels are normalised before they are compared; `compat_raw_conflict=True` compares the trimmed text instead.
     """
     raw = F.trim("label")
     cmp = raw if compat_raw_conflict else normalise_label("label")
-    src = (with_canonical(label_ref, LABEL_ENDPOINTS).where(F.col("k_protocol").isNotNull() & F.col("label").isNotNull())
-           .select(*NKEY, cmp.alias("_cmp"), raw.alias("_raw")))
+    rows = label_ref.where(F.col("label").isNotNull()).groupBy(*LABEL_ENDPOINTS, "protocol", "label").agg(
+        F.count("*").alias("_n"))
+    src = (with_canonical(rows, LABEL_ENDPOINTS).where(F.col("k_protocol").isNotNull())
+           .select(*NKEY, cmp.alias("_cmp"), raw.alias("_raw"), "_n"))
     g = src.groupBy(*NKEY).agg(F.min("_cmp").alias("_a"), F.max("_cmp").alias("_b"), F.min("_raw").alias("_raw"),
-                               F.count("*").alias("n_label_rows"))
+                               F.sum("_n").alias("n_label_rows"))
     amb = F.col("_a") != F.col("_b")
     return g.select(*NKEY, amb.alias("ambiguous"), F.when(~amb, F.col("_a" if not compat_raw_conflict else "_raw"))
                     .alias("label"), "n_label_rows")
@@ -78,9 +82,11 @@ def align_labels(flows: DataFrame, label_ref: DataFrame, mapping: DataFrame, dat
     """Adds matched_flag, ambiguous_flag, label_match_method, original_label, binary_label, coarse_family,
     and exclusion_reason.
 
-    The lookup is unique per key, so a hot flow key never multiplies rows; adaptive skew-join splits its partition.
+    The lookup is unique per key, so a hot flow key never multiplies rows; adaptive skew-join splits its partition. It is
+    stored first: the join asks for keys that are not NULL, and over label rows that test builds both endpoints again
+    for every key column.
     """
-    lk = label_lookup(label_ref, compat_raw_conflict)
+    lk = cut_lineage(label_lookup(label_ref, compat_raw_conflict))
     m = mapping_for(mapping, dataset)
     j = _look_up(with_canonical(flows), lk).withColumn("norm", normalise_label("label")).join(m, "norm", "left")
     no_key = F.col("k_protocol").isNull()
