@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wirefold.operators import models as md
 from wirefold.plans import pipeline as pl
 from wirefold.plans.fixtures import ACTIVE_S, IDLE_S, table
+from wirefold.registry import model_queries as mq
 from wirefold.schemas import FEATURES, PREDICTION_COLS
 from wirefold.operators import thresholds as th
 from wirefold.operators.features import with_label_bit, extract_features
@@ -37,6 +38,23 @@ def test_models_learn(rows, kind):
     assert r.roc_auc > 0.75 and s.where("y_score < 0 or y_score > 1").count() == 0
 
 
+def test_baseline_metrics_score_every_row_once(spark, rows, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def scored(x):
+        seen.add(1)
+        return x / 10
+
+    base = rows.where("split = 'test'").select("y", "split", F.lit("m").alias("model_name"), scored("duration_s").alias("y_score"))
+    monkeypatch.setattr(mq, "training_table", lambda spark, sf: rows)
+    monkeypatch.setattr(mq.md, "run_baselines", lambda t: base)
+    out = mq.baseline_metrics(spark, None).collect()
+    assert seen.value == rows.where("split = 'test'").count()
+    want = th.ranking_metrics(base, ["model_name"], y="y").first()
+    assert len(out) == 1 and out[0].roc_auc == pytest.approx(want.roc_auc, abs=1e-4)
+
+
 def test_scaler_matches_population_deviation(rows):
     train = rows.where("split = 'train'")
     m = md.fit(train, "logistic_regression", SMALL)
